@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality
+from . import decontaminate, langid, quality, substrings
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_quality": quality.op8_quality,
+    "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
 }
-ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL}
+ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_substrings": substrings.OP9_SQL}
