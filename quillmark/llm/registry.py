@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, substrings
+from . import decontaminate, langid, neardup, quality, substrings
 
 QUERIES = {
+    "op1_neardup": neardup.op1_neardup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_quality": quality.op8_quality,
     "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
 }
-ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_substrings": substrings.OP9_SQL}
+ORACLE = {"op1_neardup": neardup.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op9_substrings": substrings.OP9_SQL}
