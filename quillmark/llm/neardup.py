@@ -9,9 +9,11 @@ similarity s is a candidate with probability (1 - (1 - s^2)^SIDE)^2, 0.99998 at
 2. A band held by one class only can't meet another; what is left of A and B forms the keys.
 3. In each key the smallest class is the hub; every other class proposes its hub.  A class checks
    the hub it shares most keys with first, on the whole sets; links make components.
-4. Keys that still hold several components have their cross-component pairs compared by minhash
-   agreement (with a margin of over five deviations) and the rest confirmed on the whole sets.
-   Pairs inside one component can add nothing and are never made.
+4. Keys that still hold several components are searched for more links.  Classes of a large hub
+   group are dealt into units of bounded size; unit pairs that meet in such a key, and hold several
+   components, are compared once: by minhash agreement (with a margin of over five deviations),
+   then on the whole sets, whose intersections are counted together.  Pairs inside one
+   component can add nothing; pairs of classes are never rows.
 5. Components are joined again.
 
 Defined cases: null, empty or word-less texts have an empty set and stand alone; 1 to 4 words are one
@@ -41,6 +43,8 @@ _XOR, _MUL = _SEEDS[:N_HASH], _SEEDS[N_HASH:] | U(1)
 #: Agreements of N_HASH minhashes below which a pair is not confirmed: at similarity 0.75 the
 #: mean is 42 with deviation 3.2.
 AGREE = 24
+#: Classes of a large hub group that are compared as one unit.
+UNIT = 512
 
 
 def _sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -156,27 +160,46 @@ def _keys(classes: DataFrame) -> DataFrame:
     return tensor.select(F.xxhash64("a.band", "a.h", "b.band", "b.h").alias("key"), "id")
 
 
-def _cross_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components in a key whose sizes and minhashes allow a link.
+def _units(ids: DataFrame, best: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, label, unit.  Classes of a large hub group are dealt, by whether they are linked to the
+    hub, into units of about UNIT; every other class is a unit by itself."""
+    own = ids.join(best.select(F.col("v").alias("id"), F.col("u").alias("hub")), "id", "left").join(labels, "id", "left")
+    own = own.select("id", F.coalesce("hub", "id").alias("hub"), F.coalesce("label", "id").alias("label"))
+    hubs = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+    own = settle(own.join(hubs, "hub", "left").withColumn("linked", F.col("label") == F.coalesce("hub_label", "hub")).drop("hub_label"))
+    size = own.groupBy("hub", "linked").agg(F.count("*").alias("n"))
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / UNIT))
+    unit = F.when(F.col("n") >= UNIT // 8, F.xxhash64("hub", "linked", chunk)).otherwise(F.xxhash64(F.lit(-1), "id"))
+    return own.join(size, ["hub", "linked"]).select("id", "label", unit.alias("unit"))
 
-    ``mixed``: key, id, label, n_shingles, sig.  A key's rows meet in one task as bytes; rows are
-    compared in blocks, so memory is bounded by the key's rows and not by their pairs."""
+
+def _unit_pairs(met: DataFrame) -> DataFrame:
+    """Distinct unit pairs (a, b) that meet in a key and may hold a link between components.
+
+    ``met``: key, unit, lo, hi (labels), small, large (set sizes), sig (of a class alone).  A key's
+    units are compared in blocks, so memory follows its units and not their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+
         def pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            ids = np.array([r["id"] for r in rows], np.int64)
-            label = np.array([r["label"] for r in rows], np.int64)
-            n = np.array([r["n_shingles"] for r in rows], np.int64)
-            sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), N_HASH)
+            unit, lo, hi, small, large = (np.array([r[c] for r in rows], np.int64) for c in ("unit", "lo", "hi", "small", "large"))
+            alone = np.array([r["sig"] is not None for r in rows])
+            sig = np.frombuffer(b"".join(r["sig"] or bytes(N_HASH) for r in rows), np.uint8).reshape(len(rows), N_HASH)
             for k in range(0, len(rows), 64):
                 s = slice(k, k + 64)
-                ok = (label[s, None] != label[None]) & (ids[s, None] < ids[None]) & (100 * np.minimum(n[s, None], n[None]) >= PERCENT * np.maximum(n[s, None], n[None]))
+                one = (lo[s, None] == hi[None]) & (hi[s, None] == lo[None])
+                ok = (unit[s, None] <= unit[None]) & ~one & (100 * small[None] <= 10000 // PERCENT * large[s, None] + 100) & (100 * small[s, None] <= 10000 // PERCENT * large[None] + 100)
                 x, y = np.nonzero(ok)
-                near = np.zeros(len(x), bool)
-                for t in range(0, len(x), 1 << 16):
-                    near[t : t + (1 << 16)] = (sig[x[t : t + (1 << 16)] + k] == sig[y[t : t + (1 << 16)]]).sum(1) >= AGREE
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x[near] + k]), pa.array(ids[y[near]])], ["u", "v"])
+                near = ~(alone[x + k] & alone[y])
+                for t in np.array_split(np.flatnonzero(~near), 1 + len(near) // 65536):
+                    near[t] = (sig[x[t] + k] == sig[y[t]]).sum(1) >= AGREE
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                fresh = [p for p in zip(unit[x[near] + k].tolist(), unit[y[near]].tolist()) if p not in seen]
+                if fresh:
+                    seen.update(fresh)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], ["a", "b"])
 
         key, rows = None, []
         for batch in batches:
@@ -189,7 +212,68 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
         if rows:
             yield from pairs(rows)
 
-    return mixed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    ra, rb = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    ka, kb = np.searchsorted(both, a), np.searchsorted(both, b)
+    ina, inb = (ka < len(both)), (kb < len(both))
+    ina[ina] = both[ka[ina]] == a[ina]
+    inb[inb] = both[kb[inb]] == b[inb]
+    ra, ka, rb, kb = ra[ina], ka[ina], rb[inb], kb[inb]
+    for c in range(0, len(both), 4096):
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        m, n = (ka >= c) & (ka < c + 4096), (kb >= c) & (kb < c + 4096)
+        x[ra[m], ka[m] - c] = 1
+        y[rb[n], kb[n] - c] = 1
+        out += x @ y.T
+    return out
+
+
+def _link_units(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): links between components found in unit pairs, on whole sets, as few as join them."""
+
+    def links(p: list[dict], q: list[dict]) -> list[tuple[int, int]]:
+        sig = [np.frombuffer(b"".join(r["sig"] for r in x), np.uint8).reshape(len(x), N_HASH) for x in (p, q)]
+        apart = np.array([r["label"] for r in p])[:, None] != np.array([r["label"] for r in q])[None]
+        near = np.stack([(sig[1] == s).sum(1) >= AGREE for s in sig[0]]) & apart
+        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(rows):
+            return []
+        left = [_set_of(p[i]["z"], p[i]["size"]) for i in rows]
+        right = [_set_of(q[i]["z"], q[i]["size"]) for i in cols]
+        shared = _shared_counts(left, right).astype(np.int64)
+        total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None] - shared
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in np.argwhere((shared > 0) & (100 * shared >= PERCENT * total) & apart[np.ix_(rows, cols)]).tolist():
+            x, y = p[rows[i]], q[cols[j]]
+            a, b = find(x["label"]), find(y["label"])
+            if a != b:
+                root[a] = b
+                out.append((x["id"], y["id"]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    both = pairs.join(members.select(F.col("unit").alias("a"), F.col("rows").alias("p")), "a").join(members.select(F.col("unit").alias("b"), F.col("rows").alias("q")), "b")
+    return both.select("p", "q").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,12 +293,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(confirm(best, packed))
     labels = components(links)
 
-    tagged = keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    units = settle(_units(keys.select("id").distinct(), best, labels))
+    tagged = keys.select("key", "id").join(units, "id")
     apart = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    mixed = tagged.join(apart, "key").join(sizes, "id")
-    more = settle(_cross_pairs(mixed).join(best, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(confirm(more, packed))
+    met = settle(tagged.select("key", "unit").distinct().join(apart, "key"))
+    rows = units.join(met.select("unit").distinct(), "unit", "left_semi").join(sizes, "id")
+    about = rows.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
+    pairs = settle(_unit_pairs(met.join(about, "unit")))
+    if not pairs.isEmpty():
+        members = rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "label", "sig", "z", "size")).alias("rows"))
+        links = links.union(_link_units(pairs, members))
         labels = components(links)
     # A class member's component is its class's; classes are found again by set.
     where = named.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "id").alias("component"))
