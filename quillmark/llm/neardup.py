@@ -43,8 +43,9 @@ _XOR, _MUL = _SEEDS[:N_HASH], _SEEDS[N_HASH:] | U(1)
 #: Agreements of N_HASH minhashes below which a pair is not confirmed: at similarity 0.75 the
 #: mean is 42 with deviation 3.2.
 AGREE = 24
-#: Classes of a large hub group that are compared as one unit.
-UNIT = 512
+#: Classes of a hub group of GROUP or more that are compared as one unit.
+UNIT = 2048
+GROUP = 64
 
 
 def _sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -169,7 +170,7 @@ def _units(ids: DataFrame, best: DataFrame, labels: DataFrame) -> DataFrame:
     own = settle(own.join(hubs, "hub", "left").withColumn("linked", F.col("label") == F.coalesce("hub_label", "hub")).drop("hub_label"))
     size = own.groupBy("hub", "linked").agg(F.count("*").alias("n"))
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / UNIT))
-    unit = F.when(F.col("n") >= UNIT // 8, F.xxhash64("hub", "linked", chunk)).otherwise(F.xxhash64(F.lit(-1), "id"))
+    unit = F.when(F.col("n") >= GROUP, F.xxhash64("hub", "linked", chunk)).otherwise(F.xxhash64(F.lit(-1), "id"))
     return own.join(size, ["hub", "linked"]).select("id", "label", unit.alias("unit"))
 
 
