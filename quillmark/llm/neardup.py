@@ -273,8 +273,21 @@ def _link_units(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
 
-    both = pairs.join(members.select(F.col("unit").alias("a"), F.col("rows").alias("p")), "a").join(members.select(F.col("unit").alias("b"), F.col("rows").alias("q")), "b")
-    return both.select("p", "q").mapInArrow(run, "u bigint, v bigint")
+    return _meet(pairs, members).mapInArrow(run, "u bigint, v bigint")
+
+
+def _meet(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(p, q): the members of unit pairs.  Classes alone that meet one larger unit come to it
+    together, so a unit moves once for up to UNIT / 4 of them."""
+    a, b = (members.select(F.col("unit").alias(x), F.col("rows").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+    many = members.select("unit", (F.size("rows") > 1).alias("many"))
+    kind = settle(pairs.join(many.toDF("a", "many_a"), "a").join(many.toDF("b", "many_b"), "b"))
+    alike = kind.where("many_a = many_b").join(a, "a").join(b, "b").select("p", "q")
+    mixed = kind.where("many_a <> many_b").select(F.when(F.col("many_a"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("many_a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    count = mixed.groupBy("a").agg(F.count("*").alias("n"))
+    share = mixed.join(count, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") * 4 / UNIT)))
+    shares = share.join(b, "b").groupBy("a", "share").agg(F.flatten(F.collect_list("q")).alias("q"))
+    return alike.unionByName(shares.join(a, "a").select("p", "q"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -302,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     about = rows.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
     pairs = settle(_unit_pairs(met.join(about, "unit")))
     if not pairs.isEmpty():
-        members = rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "label", "sig", "z", "size")).alias("rows"))
+        members = settle(rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "label", "sig", "z", "size")).alias("rows")))
         links = links.union(_link_units(pairs, members))
         labels = components(links)
     # A class member's component is its class's; classes are found again by set.
