@@ -160,7 +160,7 @@ def _assign(hist: DataFrame, capacity: int) -> DataFrame:
     by rank from lo, go ``each`` to a bin, bins counted from ``bin``, first at ``offset``."""
     schema = "part bigint, length bigint, lo bigint, bin bigint, offset bigint, each bigint, bins bigint, sealed boolean"
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         count = np.zeros(capacity + 1, np.int64)
         np.add.at(count, t["length"].to_numpy(), t["n"].to_numpy())
         groups = best_fit(count, capacity)

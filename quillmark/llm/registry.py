@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, packing, quality, substrings, warc
+from . import chat, decontaminate, langid, neardup, packing, quality, substrings, warc
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
     "op3_warc": warc.op3_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
+    "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
     "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
@@ -17,5 +18,6 @@ ORACLE = {
     "op1_neardup": neardup.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op7_chat": chat.OP7_SQL,
     "op9_substrings": substrings.OP9_SQL,
 }
