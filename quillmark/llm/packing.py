@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from .tables import settle, table
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-WORD_CACHE = 1 << 20
+WORD_CACHE = 2 << 20
 PART_PIECES = 50_000
 ROUNDS = 3
 
@@ -45,38 +44,76 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 class WordEncoder:
     """Ids of whole texts.  The tokenizer drops white space between words and treats each word by
-    itself, so words are encoded once and remembered; a text where a word may reach over white
-    space (a special token's sign, or a sign that composes with its neighbours) is encoded whole."""
+    itself, so a word is encoded once and kept, by its hash, in sorted arrays; a text that may hold
+    a special token's sign is encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, split, fresh = self.known, [], {}
-        if len(known) > WORD_CACHE:
-            known.clear()
-        for t in texts:
-            words = None if "<|" in t else t.encode("utf-8", "surrogatepass").split()
-            split.append(words)
-            for w in words or ():
-                if w not in known:
-                    fresh[w] = None
-        if fresh:
-            new = list(fresh)
-            for w, e in zip(new, self.whole.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        out = []
-        for t, words in zip(texts, split):
-            if words is None:
-                ids = self.whole.encode(t, add_special_tokens=False).ids
-            else:
-                ids = [i for w in words for i in known[w]]
-            ids.append(END_ID)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        special = max(self.whole.get_added_tokens_decoder().items())
+        self.mark, self.mark_id = f" {special[1].content} ", special[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, V.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _learn(self, w: V.Words, first: np.ndarray, keys: np.ndarray) -> None:
+        data = w.data.tobytes()
+        words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
+        for k in range(0, len(words), 50_000):
+            ids = np.array(self.whole.encode(self.mark.join(words[k : k + 50_000]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark_id)
+            size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+            part = ids[ids != self.mark_id]
+            while self.used + len(part) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(part)] = part
+            key = np.concatenate([self.key, keys[k : k + 50_000]])
+            at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
+            size = np.concatenate([self.size, size])
+            order = np.argsort(key, kind="stable")
+            self.key, self.at, self.size = key[order], at[order], size[order]
+            self.used += len(part)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum(np.searchsorted(self.key, h), max(len(self.key) - 1, 0))
+        return k, (self.key[k] == h) if len(self.key) else np.zeros(len(h), bool)
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray, i: int, j: int) -> list[np.ndarray]:
+        """The ids of rows i..j-1."""
+        if len(self.key) > WORD_CACHE:
+            self._forget()
+        w = V.split(raw, offs, i, j)
+        bar = np.flatnonzero((w.data[:-1] == 60) & (w.data[1:] == 124))  # "<|"
+        odd = np.unique(np.searchsorted(w.rows, bar, side="right") - 1)
+        h, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        plain = np.ones(len(w.starts), bool)
+        for r in odd:
+            plain[w.bounds[r] : w.bounds[r + 1]] = False
+        at, known = self._find(h)
+        fresh = np.flatnonzero(~known & plain[first] if len(first) else known)
+        if len(odd):  # a word first met in such a text may stand in a plain one too
+            later = np.zeros(len(h), bool)
+            later[back[plain]] = True
+            place = np.zeros(len(h), np.int64)
+            place[back[plain]] = np.flatnonzero(plain)
+            fresh = np.flatnonzero(~known & later)
+            first = np.where(later, place, first)
+        if len(fresh):
+            self._learn(w, first[fresh], h[fresh])
+            at, known = self._find(h)
+        size = np.where(known, self.size[at] if len(self.size) else 0, 0)[back] * plain
+        start = (self.at[at] if len(self.at) else np.zeros(len(h), np.int64))[back]
+        total = np.concatenate([[0], np.cumsum(size)])
+        out = self.ids[np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(start, size)]
+        cut = total[w.bounds]
+        parts = [out[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        for r in odd:
+            text = w.data[w.rows[r] : w.rows[r + 1]].tobytes().decode("utf-8", "surrogatepass")
+            parts[r] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return parts
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -87,10 +124,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder(path)
         for batch in batches:
-            _, offs, _ = V.column(batch.column(1))
+            raw, offs, _ = V.column(batch.column(1))
             for i, j in V.slices(offs):
                 cols = [[] for _ in range(6)]
-                for own, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])):
+                for own, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode(raw, offs, i, j)):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for n, a in enumerate(range(0, len(ids), capacity)):
                         part = ids[a : a + capacity]
                         for c, v in zip(cols, (own, n, a, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None)):
@@ -116,7 +154,6 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     half = capacity // 2
     # pieces over half need a bin each; thirds by the floor function u(2)
     for parts in (2, 3, 4):
-        value = np.where((n * (parts + 1)) % capacity == 0, Fraction(0), 0)
         value = np.where((n * (parts + 1)) % capacity == 0, n * parts, (n * (parts + 1) // capacity) * capacity)
         best = max(best, -(-int((count * value).sum()) // (capacity * parts)))
     return max(best, int(number[capacity] - number[half]))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, neardup, packing, quality, substrings, warc
+from . import chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, warc
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
+    "op2_html": html.op2_html,
     "op3_warc": warc.op3_warc,
+    "op4_pii": pii.op4_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
     "op7_chat": chat.op7_chat,
