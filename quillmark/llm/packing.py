@@ -17,6 +17,7 @@ null doc_ids are packed too; an empty table gives no rows; extra columns are ign
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ TOKENIZER = "word_bpe_49k.json"
 WORD_CACHE = 2 << 20
 PART_PIECES = 50_000
 ROUNDS = 3
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -50,32 +53,56 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        special = max(self.whole.get_added_tokens_decoder().items())
-        self.mark, self.mark_id = f" {special[1].content} ", special[0]
+        self.closes = np.zeros(self.whole.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.key, self.at, self.size = np.zeros(0, V.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word).
+
+        Words of letters, and words of letters and closing signs, hold one and two pre-tokens, each
+        ending with one end-of-word token, so many are encoded in one string and told apart by
+        those; other words are encoded one by one."""
+        held = np.array([1 if w.isalpha() else 2 if w[-1] in _SIGNS and w.rstrip(_SIGNS).isalpha() else 0 for w in words], np.int64)
+        held[[k for k, w in enumerate(words) if "\u0130" in w]] = 0
+        size, parts = np.zeros(len(words), np.int64), {}
+        plain = np.flatnonzero(held)
+        chunks = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        single = [np.flatnonzero(held == 0)]
+        for c, e in zip(chunks, self.whole.encode_batch_fast([" ".join(words[k] for k in c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            end = np.flatnonzero(self.closes[ids])
+            if len(end) != held[c].sum():
+                single.append(c)
+                continue
+            edge = np.concatenate([[0], end[np.cumsum(held[c]) - 1] + 1])
+            size[c] = np.diff(edge)
+            for k, a, b in zip(c.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+                parts[k] = ids[a:b]
+        rest = np.concatenate(single)
+        for k, e in zip(rest.tolist(), self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            parts[k] = np.array(e.ids, np.int64)
+            size[k] = len(parts[k])
+        return np.concatenate([parts[k] for k in range(len(words))]).astype(np.uint32), size
+
     def _learn(self, w: V.Words, first: np.ndarray, keys: np.ndarray) -> None:
+        """Encode the words at ``first``, whose hashes are ``keys`` in order."""
         data = w.data.tobytes()
-        words = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
-        for k in range(0, len(words), 50_000):
-            ids = np.array(self.whole.encode(self.mark.join(words[k : k + 50_000]), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-            part = ids[ids != self.mark_id]
-            while self.used + len(part) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(part)] = part
-            key = np.concatenate([self.key, keys[k : k + 50_000]])
-            at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
-            size = np.concatenate([self.size, size])
-            order = np.argsort(key, kind="stable")
-            self.key, self.at, self.size = key[order], at[order], size[order]
-            self.used += len(part)
+        ids, size = self._words([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        place = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, place, keys)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += len(ids)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = np.minimum(np.searchsorted(self.key, h), max(len(self.key) - 1, 0))
@@ -122,10 +149,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(path)
+        enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))  # for a worker's life
         for batch in batches:
             raw, offs, _ = V.column(batch.column(1))
-            for i, j in V.slices(offs):
+            for i, j in V.slices(offs, 4 << 20):
                 cols = [[] for _ in range(6)]
                 for own, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode(raw, offs, i, j)):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
