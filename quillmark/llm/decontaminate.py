@@ -121,6 +121,23 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of ``benchmark``; one pass a slice."""
+    for items in _slices(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                raw, offs, _ = V.column(batch.column(batch.schema.get_field_index("text")))
+                for i, j in V.slices(offs):
+                    sets = V.distinct(*V.shingles(V.split(raw, offs, i, j, lower=True), WORDS))
+                    yield batch.slice(i, j - i).filter(pa.array([not (len(s) and len(index.key) and index.matches(s)) for s in sets], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -28,7 +28,7 @@ DIM = 2048
 PER_LANG = 1000
 UNKNOWN = "und"
 CACHE = 16384
-MIN_SCORE = 0.5
+MIN_SCORE = 0.1
 _FOLD: np.ndarray | None = None
 
 
@@ -163,6 +163,29 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of the languages: not ``und`` and with
+    a cosine of ``min_score`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, space = shared.value, Space()
+
+        def known(text: str | None) -> bool:
+            keys = trigram_keys(text) if text else ()
+            if not len(keys) or not p.langs:
+                return False
+            v = bundle(space, keys)
+            return float((p.matrix @ v).max()) >= min_score * float(np.linalg.norm(v))
+
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            for k in range(0, batch.num_rows, 512):
+                yield batch.slice(k, 512).filter(pa.array([known(t) for t in text.slice(k, 512).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
