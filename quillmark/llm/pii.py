@@ -54,7 +54,7 @@ _PATTERN = re.compile(
 |(?P<secret>(?<!\w)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
 |(?P<name>(?<!\w)(?P<title>Mr|Mister|Sir|Herrn?|Monsieur|Señora?|Sra?|Mrs|Ms|Miss|Madame?|Frau|Mme|Mlle|Dr|Prof)\.?[ ](?P<nv>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+(?:[ ][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+)?))
 """,
-    re.X | re.I if False else re.X,
+    re.X,
 )
 _MAY = re.compile(r"[@0-9]|token|secret|passw|key|auth|bearer|\b(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sra?|Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Dr|Prof)")
 
@@ -130,7 +130,9 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int =
         plain = domain.lower()
         host = plain.rpartition(".")[0]
         new = c.recode("host", host, [_alphabet(x) for x in host])
-        return c.recode("local", local, [_alphabet(x) for x in local]) + "@" + new + ".example"
+        low = "".join(x.lower() if len(x.lower()) == 1 else x for x in local)  # one mailbox, however it is cased
+        own = c.recode("local", low, [_alphabet(x) for x in low])
+        return "".join(y.upper() if x.isupper() and len(y.upper()) == 1 else y for x, y in zip(local, own)) + "@" + new + ".example"
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         return ".".join(map(str, c.permute("ip", parts, [256] * 4)))
@@ -225,7 +227,6 @@ def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     # Names that met are few: the square of a page's names over the lists' product.
     attempts = {(r.gender, r.value): r.attempt for r in name_attempts(docs, key).toLocalIterator()}
     shared = spark.sparkContext.broadcast(attempts)
-    names = [c for c in docs.columns if c != "text"]
     counts = [f"n_{k}" for k in KINDS]
     clash = {c.lower() for c in docs.columns}
     added = [n if n not in clash else f"pii_{n}" for n in ["n_pii", *counts]]
@@ -243,7 +244,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, *added])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names[:0] + docs.columns), *(f"`{n}` bigint" for n in added)])
+    schema = ", ".join([*(f"`{n}` {kinds[n] if n != 'text' else 'string'}" for n in docs.columns), *(f"`{n}` bigint" for n in added)])
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
