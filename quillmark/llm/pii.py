@@ -25,6 +25,7 @@ import hmac
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,7 @@ _PATTERN = re.compile(
 _MAY = re.compile(r"[@0-9]|token|secret|passw|key|auth|bearer|\b(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sra?|Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Dr|Prof)")
 
 
+@lru_cache(maxsize=4096)
 def _alphabet(c: str) -> str | None:
     """The letters or digits that may stand for a sign; None if the sign stays."""
     for a in (DIGITS, LOWER, UPPER):
@@ -69,7 +71,8 @@ def _alphabet(c: str) -> str | None:
         if low <= code <= high and chr(code).isalpha():
             return "".join(chr(x) for x in range(low, high + 1) if chr(x).isalpha())
     if c.isalpha():
-        return "àâäçèéêëîïñôöùûü" if c.islower() else "ÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ"
+        near = "àâäçèéêëîïñôöùûü" if c.islower() else "ÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ"
+        return near if c in near else None
     return None
 
 
@@ -126,9 +129,8 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int =
     """The stand-in of an entity; ``extra`` is a name's gender, ``attempt`` tells apart names that met."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        # Domains don't tell case; the local part and the host's labels are recoded, the ending is reserved.
-        plain = domain.lower()
-        host = plain.rpartition(".")[0]
+        # Domains don't tell case; the local part and all labels are recoded, under a reserved ending.
+        host = domain.lower()
         new = c.recode("host", host, [_alphabet(x) for x in host])
         low = "".join(x.lower() if len(x.lower()) == 1 else x for x in local)  # one mailbox, however it is cased
         own = c.recode("local", low, [_alphabet(x) for x in low])
