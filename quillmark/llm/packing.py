@@ -5,7 +5,8 @@ into capacity-long pieces and a rest, every other document is one piece.  Pieces
 partitions and packed by best-fit decreasing.  Dual feasible functions give each partition a lower
 bound on its bins; where bins exceed the bound, the pieces of the bins that aren't full are
 exchanged among the open partitions and packed anew, a round at a time, with fewer and larger
-partitions each round.  Full bins and certified partitions are final.
+partitions each round, one in the last.  Full bins are final, and bins of certified partitions that
+are nearly full; the rest of a certified partition, its odd last bins, is exchanged as well.
 
 A partition is packed from its histogram of piece lengths, which has at most ``capacity`` entries,
 so its memory is bounded by the capacity and not by the pieces; pieces then take their places by
@@ -231,7 +232,8 @@ def _assign(hist: DataFrame, capacity: int) -> DataFrame:
         certified = sum(b for b, _ in groups) <= lower_bound(count, capacity)
         used, first, cols = np.zeros(capacity + 1, np.int64), 0, [[] for _ in range(8)]
         for bins, content in groups:
-            full, offset = certified or sum(n * e for n, e in content) == capacity, 0
+            gap = capacity - sum(n * e for n, e in content)
+            full, offset = gap == 0 or (certified and gap <= capacity // 32), 0
             for length, each in content:
                 for c, v in zip(cols, (key[0].as_py(), length, int(used[length]), first, offset, each, bins, full)):
                     c.append(v)
@@ -253,14 +255,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     total = items.count()
     open_, done, base = items.select("uid", "length"), [], 0
     for r in range(rounds):
-        parts = max(1, total // (part_pieces * 8**r))
+        last = r == rounds - 1
+        parts = 1 if last else max(1, total // (part_pieces * 8**r))  # a histogram is small however many pieces it counts
         cell = F.pmod(F.xxhash64("uid", F.lit(r + 100)), F.lit(256))
         dealt = open_.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(parts)).alias("part"), cell.alias("cell"))
         cells = settle(dealt.groupBy("part", "length", "cell").agg(F.count("*").alias("n")))
         plan = settle(_assign(cells.groupBy("part", "length").agg(F.sum("n").alias("n")), capacity))
-        yield_ = _place(dealt, cells, plan, capacity)
-        last = r == rounds - 1
-        placed = settle(yield_)
+        made = _place(dealt, cells, plan, capacity)
+        placed = settle(made)
         final = placed if last else placed.where("sealed")
         # ids of this round's bins follow those of earlier rounds
         done.append(final.select("uid", (F.lit(r) * F.lit(1 << 60) + F.col("part") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset"))
