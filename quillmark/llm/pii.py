@@ -4,14 +4,15 @@ Detected kinds: e-mail addresses, IPv4 addresses, payment cards, IBANs, national
 nnn-nn-nnnn form, phone numbers, secrets (``token = "..."`` and the like), and titled names
 (``Mr``, ``Frau``, ``Mme`` and so on, which tell the gender).  Every entity is replaced by a keyed
 surrogate of its own type and format: a digit by a digit, a hex digit by one of its case, a letter by
-a letter of its script and case, a name by a name of its gender, a card keeps its check digit right, an
-address its domain's public ending reserved.
+a letter of its script and case, a given name by one of its gender, a card keeps its check digit right,
+an address gets a reserved ending.
 
 Digits and letters are replaced by a keyed permutation (a balanced Feistel network of HMAC rounds
 over the entity's alphabet positions), so different entities of one format get different
 surrogates, and one entity gets the same everywhere: distinctness and coreference need no table.
-What a permutation can't give, names from short lists, is checked: equal surrogates of different
-names are told apart in a second pass over the distinct names.
+Family names keep vowels and consonants in their places.  What a permutation can't give, given names
+from a list of the gender, is checked: given names that met in one stand-in are numbered, in a
+pass over the distinct given names, whose table is bounded by ``MAX_GIVEN`` or refused.
 
 Defined cases: a null text stays null; a text without entities comes back unchanged; overlapping
 finds go to the leftmost, then the first kind listed; equal rows get equal texts; other columns of
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -43,7 +44,8 @@ NAMES = {
     "f": "Ada Alma Bianca Clara Dora Edith Flora Greta Hanna Ines Julia Karla Lena Marta Nora Olga Paula Ruth Selma Thea Ursula Vera Wanda Xenia Yvonne Zora".split(),
     "n": "Alex Billie Casey Dana Eden Finley Gale Harper Indigo Jamie Kim Logan Morgan Noel Parker Quinn Robin Sasha Taylor Val".split(),
 }
-STEMS, ENDS = "Al Bar Cor Den El Far Gor Hal Ir Jar Kel Lan Mor Nor Ol Per Quar Ros Sar Tor Ul Ver Wal Yar Zel".split(), "ander berg dale ford gard heim land lund mark mann ner ow quist ridge sen sted stone ton vik wood".split()
+_SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
+MAX_GIVEN = 1 << 20
 
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
@@ -125,8 +127,9 @@ def _luhn_ok(digits: str) -> bool:
     return len(digits) > 1 and _luhn(digits[:-1]) == int(digits[-1])
 
 
-def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int = 0) -> str:
-    """The stand-in of an entity; ``extra`` is a name's gender, ``attempt`` tells apart names that met."""
+def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int = 0, attempts: dict[tuple[str, str], int] | None = None) -> str:
+    """The stand-in of an entity; ``extra`` is a name's gender, ``attempt`` numbers given names that met
+    (``attempts`` those of a whole name)."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         # Domains don't tell case; the local part and all labels are recoded, under a reserved ending.
@@ -163,16 +166,18 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int =
         return value[:skip] + c.recode("phone" + value[:skip], value[skip:], [DIGITS if x.isdigit() else None for x in value[skip:]])
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         return c.recode("hex", value, [HEX] * len(value))
+    if kind == "given":
+        # A name of the list; one whose name another given name has, is numbered by further names.
+        names = NAMES[extra]
+        parts = [names[c.number("given", extra, value) % len(names)]]
+        while attempt:
+            attempt, digit = divmod(attempt - 1, len(names))
+            parts.append(names[digit])
+        return "-".join(parts)
     if kind == "name":
-        words = value.split(" ")
-        out = []
-        for k, w in enumerate(words):
-            number = c.number("name", extra, len(words), k, w, attempt)
-            if k == len(words) - 1:
-                out.append(STEMS[number % len(STEMS)] + ENDS[number // 97 % len(ENDS)] + ("" if not attempt else LOWER[attempt % 26] * (1 + attempt // 26)))
-            else:
-                out.append(NAMES[extra][number % len(NAMES[extra])])
-        return " ".join(out)
+        *given, family = value.split(" ")
+        sound = [next((a for a in _SOUNDS if x in a), _alphabet(x)) for x in family]
+        return " ".join([*(surrogate(c, "given", g, extra, (attempts or {}).get((extra, g), 0)) for g in given), c.recode("family", family, sound)])
     return c.recode(kind, value, [_alphabet(x) for x in value])
 
 
@@ -196,38 +201,39 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
 def rewrite(c: Cipher, text: str, attempts: dict[tuple[str, str], int]) -> tuple[str, Counter]:
     out, at, seen = [], 0, Counter()
     for a, b, kind, value, gender in detect(text):
-        out += [text[at:a], surrogate(c, kind, value, gender, attempts.get((gender, value), 0))]
+        out += [text[at:a], surrogate(c, kind, value, gender, attempts=attempts)]
         at = b
         seen[kind] += 1
     return ("".join([*out, text[at:]]), seen) if at else (text, seen)
 
 
 def name_attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(gender, value, attempt) of names whose first surrogate also stands for another name.
+    """(gender, value, attempt) of given names whose stand-in also stands for another.
 
-    Distinct names meet by surrogate; the smallest keeps it, others get a numbered form.  Names are
-    counted before they are shuffled, so a frequent one is a row a task."""
+    Distinct given names meet by stand-in; the smallest keeps it, others are numbered.  Names are
+    made distinct before they are shuffled, so a frequent one is a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cipher(key)
         for batch in batches:
-            found = {(g, v) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name"}
+            found = {(g, w) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name" for w in v.split(" ")[:-1]}
             if found:
-                rows = [(g, v, surrogate(c, "name", v, g)) for g, v in found]
+                rows = [(g, v, surrogate(c, "given", v, g)) for g, v in found]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["gender", "value", "stand_in"])
 
     titled = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("(?:" + "|".join(TITLES) + r")\.? \p{Lu}"))
     names = titled.mapInArrow(run, "gender string, value string, stand_in string").distinct()
-    from pyspark.sql import Window
-
-    return names.withColumn("attempt", F.row_number().over(Window.partitionBy("stand_in").orderBy("gender", "value")) - 1).where("attempt > 0").select("gender", "value", "attempt")
+    number = F.row_number().over(Window.partitionBy("gender", "stand_in").orderBy("value")) - 1
+    return names.withColumn("attempt", number).where("attempt > 0").select("gender", "value", "attempt")
 
 
 def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with text rewritten, and n_pii and one count a kind at the end."""
     spark = docs.sparkSession
-    # Names that met are few: the square of a page's names over the lists' product.
-    attempts = {(r.gender, r.value): r.attempt for r in name_attempts(docs, key).toLocalIterator()}
+    rows = name_attempts(docs, key).limit(MAX_GIVEN + 1).collect()  # a word and a number each
+    if len(rows) > MAX_GIVEN:
+        raise ValueError(f"more than {MAX_GIVEN} given names share stand-ins; use longer name lists")
+    attempts = {(r.gender, r.value): r.attempt for r in rows}
     shared = spark.sparkContext.broadcast(attempts)
     counts = [f"n_{k}" for k in KINDS]
     clash = {c.lower() for c in docs.columns}

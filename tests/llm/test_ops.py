@@ -1,0 +1,392 @@
+"""Each operator against brute force on small fixtures, with the defined corner cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.llm import chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text):
+    w = words(lower(text))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def corpus(seed=5):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)] + ["Über", "naïve", "東京", "x" * 300]
+    rows = []
+    for _ in range(60):
+        rows.append(" ".join(r.choice(vocab) for _ in range(r.randint(1, 120))))
+    for k in range(60):  # copies, exact to far
+        w = rows[r.randrange(60)].split(" ")
+        for _ in range(k % 8):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append("\n".join(w) if k % 5 == 0 else " ".join(w))
+    shared = " ".join(r.choice(vocab) for _ in range(60))
+    rows += [f"{rows[i]} {shared} {rows[i + 1]}" for i in range(6)]
+    rows += [None, "", "  \t\n", "one", "one", "ab ab ab ab " * 30, "A B c d e", "a b C d e", " ".join(rows[:50])]
+    return [(i, t, "en", "s", None) for i, t in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).withColumn("extra", F.lit(1)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_neardup(docs, empty):
+    rows = {i: t for i, t, *_ in corpus()}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    root = {i: i for i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    assert len(got) == len(rows)
+    for i in rows:
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_neardup_large_group(spark):
+    """A hub group above the unit size, with members linked only through others."""
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(i % 5):
+            w[r.randrange(60)] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 75 * len(sets[a] | sets[b]):
+                    label[a] = min(label[a], label[b])
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == label
+
+
+def test_neardup_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (3, 3, True)], key=str)
+
+
+def test_html():
+    page = (
+        "<!DOCTYPE html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>home</a></ul></nav>"
+        "<header><h2>Site</h2></header><div class='cookie-notice'>We use cookies here.</div><main><article><h1>Big  &amp; news</h1>"
+        "<p>First para with <b>bold</b> text.<br>Second line, &eacute;t&eacute; 3 &lt; 4.<ul><li>one item<li>two items</ul>"
+        "<div class=ad>Buy this thing now, please do.</div><form><input><button>Send</button></form><p>Last one.</article></main>"
+        "<section class='comments'><p>A reader wrote a long comment about this text.</section><aside>Related reading</aside>"
+        "<script>var a='<p>no</p>';</script><footer>&copy; 2024 Us.</footer></body>"
+    )
+    want = ["Big & news", "First para with bold text.", "Second line, été 3 < 4.", "one item", "two items", "Last one."]
+    assert html.main_text(page).split("\n") == want
+    assert html.main_text(None) == html.main_text("") == ""
+    assert html.main_text("<article><p>cut off &am") == "cut off &am"
+
+
+def test_min_cut_is_minimal():
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randint(1, 7)
+        a, z = [r.random() for _ in range(n)], [r.random() for _ in range(n)]
+        edges = [(r.randrange(n), r.randrange(n), r.random()) for _ in range(n)]
+        edges = [e for e in edges if e[0] != e[1]]
+
+        def cost(side):
+            return sum(z[v] if side[v] else a[v] for v in range(n)) + sum(c for x, y, c in edges if side[x] != side[y])
+
+        best = min(cost([bool(m >> v & 1) for v in range(n)]) for m in range(1 << n))
+        assert abs(cost(html.min_cut(a, z, edges)) - best) < 1e-9
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "u", "<article>x y.</article>"), (2, "u", "<article>x y.</article>")], "page_id bigint, url string, html string")
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect() if r.url) == [(2, "u", "x y.", 4)] * 2
+
+
+def test_warc(spark, tmp_path):
+    big = "x\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 60
+    rows = [(1, "http://a.b/c d", big), (2, None, big), (5, "http://é/", "small"), (7, "u", "small"), (8, "u\nv", None), (9, "u", "é" * 600)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("type", F.lit("clash"))
+    warc.write(df, f"{tmp_path}/w")
+    recs = warc.read(spark, f"{tmp_path}/w").collect()
+    assert len(recs) == 18
+    payloads = sorted(bytes(r.payload) for r in recs if r.type == "response")
+    assert payloads == sorted(x.encode() for x in (big, "small", "small", "", "é" * 600))
+    got = {r.metadata.fields["page-id"]: r for r in warc.assemble(warc.read(spark, f"{tmp_path}/w")).collect()}
+    assert got["1"].response.type == "revisit" and got["1"].response.refers_to == got["2"].response.id
+    assert all(r.request.uri == r.response.uri for r in got.values())
+    warc.write(df.limit(0), f"{tmp_path}/e")
+
+
+def test_pii_properties():
+    c = pii.Cipher()
+    text = 'Mail a.b1@Mail.example.com or A.B1@mail.example.com, call +1 (771) 555-1655, card 4111 1111 1111 1111 and 4111-1111-1111-1111, ip 13.149.130.89. token = "e03422dad6b454724135a384f69ba12c7de6c8f4". Frau Müller met Mr John Smith.'
+    new, n = pii.rewrite(c, text, {})
+    assert n == {"email": 2, "phone": 1, "card": 2, "ip": 1, "secret": 1, "name": 2}
+    for value in ("555-1655", "4111", "13.149.130.89", "e03422", "Müller", "John", "a.b1@"):
+        assert value not in new
+    mails = re.findall(r"\S+@\S+?(?=[, ])", new)
+    assert mails[0].lower() == mails[1].lower() and new.startswith("Mail ")
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"(?:\d{4}[ -]){3}\d{4}", new)]
+    assert cards[0] == cards[1] and pii._luhn_ok(cards[0])
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r'token = "[0-9a-f]{40}"', new)
+    assert pii.rewrite(c, text, {})[0] == new and pii.rewrite(pii.Cipher(b"other"), text, {})[0] != new
+    clean = "On 3 May 2024 we sold 1234 units at 99.50, version 1.2.3, up 12 %."
+    assert pii.rewrite(c, clean, {})[0] == clean
+
+
+def test_pii_is_injective():
+    c = pii.Cipher()
+    values = [f"{a}.{b}.{d}.7" for a in range(10) for b in range(10) for d in range(10)]
+    assert len({pii.surrogate(c, "ip", v) for v in values}) == len(values)
+    mails = [f"u{k}@x{k % 3}.{'com' if k % 2 else 'org'}" for k in range(500)]
+    assert len({pii.surrogate(c, "email", v) for v in mails}) == 500
+    assert len({pii.surrogate(c, "phone", f"+1 (555) 123-{k:04d}") for k in range(2000)}) == 2000
+
+
+def test_pii_names_stay_distinct(spark):
+    names = [f"Mr {chr(65 + a)}an{chr(97 + b)} Stone" for a in range(26) for b in range(10)] + [f"Mr {chr(65 + a)}abe{chr(97 + b)}" for a in range(26) for b in range(26)]
+    df = spark.createDataFrame([(k, f"{n} spoke. {n} left.") for k, n in enumerate(names)] + [(-1, None)], "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in pii.anonymise(df).collect()}
+    assert out[-1] is None
+    found = [re.findall(r"Mr ([\w-]+(?: [\w-]+)?) (?:spoke|left)", out[k]) for k in range(len(names))]
+    assert all(a == b for a, b in found) and len({a for a, _ in found}) == len(names)
+
+
+def test_decontaminate(spark, docs, empty):
+    items = [(1, " ".join(words(corpus()[3][1])[:30])), (2, "not there at all in any text"), (3, None), (4, ""), (5, "one"), (1, "second text of the id that is nowhere")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {}
+    for i, t, *_ in corpus():
+        s = shingles(t)
+        hits = [(len(shingles(x) & s), k, len(shingles(x))) for k, x in items if shingles(x)]
+        want[i] = sum(1 for n, _, size in hits if n and 100 * n >= 75 * size)
+    got = {r.doc_id: r for r in decontaminate.scan(docs, bench).collect()}
+    assert {i: r.n_items for i, r in got.items()} == want and any(want.values())
+    kept = {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
+    assert kept == {i for i, n in want.items() if not n}
+    assert decontaminate.scan(empty, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_decontaminate_in_slices(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(k, corpus()[k][1]) for k in range(12)], "item_id bigint, text string")
+    whole = sorted(decontaminate.scan(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 400)
+    assert sorted(decontaminate.scan(docs, bench).select(decontaminate.scan(docs, bench).columns).collect()) == whole
+
+
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    odd = [(500, "<|endoftext|> hi <|startoftext|>", "", "", 0), (501, "İstanbul don't x'll 12a!? ...", "", "", 0), (502, "é Σας ΣΑΣ", "", "", 0)]
+    df = docs.drop("extra").unionByName(spark.createDataFrame(odd, DOCS))
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    rows = packing.pack(packing.pieces(df, 64), 64, part_pieces=20).collect()
+    texts = {r.doc_id: r.text for r in df.collect()}
+    by, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        seq[r.sequence_id].append(r)
+    for i, text in texts.items():
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        want = [(k, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by[i]) == want
+    for v in seq.values():
+        at = 0
+        for r in sorted(v, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 64
+    count = np.bincount([r.length for r in rows], minlength=65)
+    assert packing.lower_bound(count, 64) <= len(seq) <= 1.02 * sum(b for b, _ in packing.best_fit(count, 64))
+    assert packing.pack(packing.pieces(empty)).count() == 0
+
+
+def test_lower_bound_never_exceeds_optimum():
+    r = random.Random(1)
+
+    def optimum(items, cap):
+        best = [len(items)]
+
+        def go(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(bins)
+                return
+            for b in {x: n for n, x in enumerate(bins)}.values():
+                if bins[b] + items[k] <= cap:
+                    bins[b] += items[k]
+                    go(k + 1, bins)
+                    bins[b] -= items[k]
+            go(k + 1, [*bins, items[k]])
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(150):
+        items = sorted((r.randint(1, 20) for _ in range(r.randint(1, 8))), reverse=True)
+        count = np.bincount(items, minlength=21)
+        used = sum(b for b, _ in packing.best_fit(count, 20))
+        assert packing.lower_bound(count, 20) <= optimum(items, 20) <= used
+
+
+def test_chat_round_trip():
+    turns = [("system", "be [TURN] </s> good"), ("user", "a\x1b<s>\x1b\x1b"), ("assistant", "</s>[INST] ok [/INST]"), ("", ""), ("od\nd", "x\n\n[/TURN]"), ("assistant", "["), ("assistant", "")]
+    ((text, loss),) = chat.format_conversation(turns)
+    assert chat.parse(text) == turns
+    assert [chat.unescape(text[a:b]) for a, b in loss] == [t for r, t in turns if r == "assistant"]
+    assert text.count("</s>") == 3 and chat.unescape(chat.escape("\x1b")) == "\x1b"
+
+
+def test_chat_windows():
+    turns = [("system", "S")] + [(("user", "assistant")[k % 2], f"t{k} " * (k % 7 + 1)) for k in range(40)]
+    seen = []
+    for text, loss in chat.format_conversation(turns, budget=200, history=0.3):
+        parsed = chat.parse(text)
+        assert parsed[0] == turns[0] and (len(text) <= 200 or len(parsed) == 2)
+        seen += [chat.unescape(text[a:b]) for a, b in loss]
+    assert seen == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_rows(spark):
+    df = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (None, 0, "user", "n")], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_all(df)).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[None].n_turns == 1
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nx\nassistant\nx\n").hexdigest()
+
+
+def test_quality_counts(spark, docs, empty):
+    text = "a  b\na  b\n\n \nx # * $\r\nx # * $\r\nü€ ü€"
+    df = docs.drop("extra").unionByName(spark.createDataFrame([(900, text, "", "", 0), (901, "a b c d e " * 3, "", "", 0), (902, "\n\n", "", "", 0)], DOCS))
+    got = {r.doc_id: r for r in quality.score(df, quality.fit([], np.zeros(0, np.int64))).collect()}
+    for r in df.collect():
+        w = words(r.text)
+        seen, dup = set(), 0
+        for line in (r.text or "").split("\n"):
+            if words(line):
+                dup += line in seen
+                seen.add(line)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        cover = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r.text or ""), dup, len(cover))
+        g = got[r.doc_id]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
+        assert g.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and g.kept != g.base_failed
+    assert quality.score(empty, quality.fit([], np.zeros(0, np.int64))).count() == 0
+
+
+def test_quality_model_learns():
+    r = random.Random(4)
+    good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(40)) for _ in range(80)]
+    bad = [" ".join(r.choice(["###", "buy!!", "%%%", "click"]) for _ in range(40)) for _ in range(80)]
+    texts = [t for p in zip(good, bad) for t in p]
+    m = quality.fit(texts[:120], np.array([1, 0] * 60))
+    import pyarrow as pa
+
+    from quillmark.llm import vectext as V
+
+    raw, offs, _ = V.column(pa.array(texts[120:]))
+    w = V.split(raw, offs, 0, len(offs) - 1)
+    assert ((m.probability(w, w.hashes()) >= 0.5) == np.array([True, False] * 20)).all()
+
+
+def test_substrings(spark, docs, empty):
+    rows = {i: words(t) for i, t, *_ in corpus()}
+    first, gone = {}, defaultdict(set)
+    for i in sorted(rows):
+        for k in range(len(rows[i]) - 19):
+            g = tuple(rows[i][k : k + 20])
+            if g in first:
+                gone[i].update(range(k, k + 20))
+            else:
+                first[g] = (i, k)
+    got = {r.doc_id: r for r in substrings.find_spans(docs, block_bytes=2000).collect()}
+    assert len(got) == len(rows) and any(gone.values())
+    for i, w in rows.items():
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone[i])
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), len(gone[i]), kept)
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+        for s in got[i].spans:  # a factor equals its source
+            assert rows[i][s.start : s.end] == rows[s.source_doc][s.source_start : s.source_start + s.end - s.start]
+    assert substrings.find_spans(empty).count() == 0
+
+
+def test_langid(spark, empty):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = langid.train(d)
+    got = langid.predict(d, p).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    df = spark.createDataFrame([(1, None), (2, "12 !?"), (3, ""), (None, "der die das und")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in langid.predict(df, p).collect()}
+    assert [rows[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and rows[None].held_out is False and 0 < rows[None].score <= 1
+    none = langid.train(empty)
+    assert none.langs == [] and {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs
+    for name, stage in C.STAGES[:-1]:
+        after = stage(spark, before, sf).cache()
+        assert after.columns == list(C.COLUMNS)
+        old, new = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
+        assert set(new) <= set(old)
+        if name == "near_dedup":
+            kept = {r.doc_id for r in neardup.near_duplicates(before).where("kept").collect()}
+            assert set(new) == kept
+        if name == "decontamination":
+            items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert set(new) == {i for i, r in old.items() if not any(s and 100 * len(s & shingles(r.text)) >= 75 * len(s) for s in items)}
+        if name == "privacy":
+            assert set(new) == set(old)
+            values = {v for r in old.values() for *_, v, _ in pii.detect(r.text)}
+            assert values and not any(v in r.text for v in values for r in new.values())
+        before = after
+    out = C.STAGES[-1][1](spark, before, sf)
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in before.collect()}
+    assert C.run(spark, sf).count() == out.count()
