@@ -341,9 +341,9 @@ def d12(spark, d):
 # --- market ----------------------------------------------------------------------------------
 
 
-@query("f24_screen", "SELECT p_partkey, p_brand, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_retailprice BETWEEN 1000 AND 1500 AND p_size >= 10 AND p_brand IN ('Brand#1', 'Brand#10', 'Brand#11', 'Brand#12', 'Brand#13')")
+@query("f24_screen", "SELECT p_partkey, p_brand, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 990 AND p_size >= 10 AND p_brand IN ('Brand#1', 'Brand#10', 'Brand#11', 'Brand#12', 'Brand#13')")
 def f24(spark, d):
-    config = '{"filters": [{"field": "p_retailprice", "min": 1000, "max": 1500}, {"field": "p_size", "min": 10}, {"field": "p_brand", "in": ["Brand#1", "Brand#10", "Brand#11", "Brand#12", "Brand#13"]}]}'
+    config = '{"filters": [{"field": "p_retailprice", "min": 950, "max": 990}, {"field": "p_size", "min": 10}, {"field": "p_brand", "in": ["Brand#1", "Brand#10", "Brand#11", "Brand#12", "Brand#13"]}]}'
     return market.screen(_t(spark, d, "part"), config).select("p_partkey", "p_brand", _r("p_retailprice").alias("p_retailprice"))
 
 
@@ -359,9 +359,9 @@ def j07(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", _r("p_retailprice").alias("p_retailprice"))
 
 
-@query("j16_nearest", "SELECT p_brand, p_partkey, round(abs(p_retailprice - 1200), 6) AS distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - 1200), p_partkey) AS INTEGER) AS place FROM part) WHERE place <= 5")
+@query("j16_nearest", "SELECT p_brand, p_partkey, round(abs(p_retailprice - 950), 6) AS distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - 950), p_partkey) AS INTEGER) AS place FROM part) WHERE place <= 5")
 def j16(spark, d):
-    return market.nearest_contract(_t(spark, d, "part"), ["p_brand"], "p_retailprice", F.lit(1200.0), "p_partkey").select("p_brand", "p_partkey", _r("distance").alias("distance"), "place")
+    return market.nearest_contract(_t(spark, d, "part"), ["p_brand"], "p_retailprice", F.lit(950.0), "p_partkey").select("p_brand", "p_partkey", _r("distance").alias("distance"), "place")
 
 
 _BARS = "SELECT event_type, time_bucket(INTERVAL 60 MINUTE, ts) AS bar, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n FROM events GROUP BY ALL"
