@@ -274,7 +274,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, -(-total // block_bytes))
-    buckets = max(16, n // 8)  # some MB of numbers each
+    buckets = max(4, n // 4)  # what four blocks send, each
     blocks = settle(to_blocks(docs, n))
     returned = _returned(blocks, buckets, window, run_words)
     returned = settle(returned)
