@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, retrieval, statements, valuation
-from quillmark.plans import queries
-from quillmark.sources import files
+from quillmark.plans import more, queries  # noqa: F401
+from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -161,6 +161,29 @@ def test_files(spark, tmp_path):
     assert {r.content for r in files.load_chunks(spark, str(tmp_path / "store"), "T").collect()} == {"new", "c2"}
 
 
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rows = [["metric", "unit", "2025Q1", "2025FY"], ["", "", "2025-03-31", "2025-12-31"], ["Revenue", "M", "1,200", "-"], ["Cost", "M", "(300)", "7"]]
+    strings = [v for r in rows for v in r]
+    cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{"ABCD"[j]}{i}" t="s"><v>{4 * (i - 1) + j}</v></c>' for j in range(4)) + "</row>" for i in range(1, 5))
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="income"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{v}</t></si>" for v in strings) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>")
+    (tmp_path / "bad.xlsx").write_text("no archive")
+    got = {(r.sheet, r.metric, r.period): (r.value, r.report_date) for r in workbook.statement_facts(workbook.workbooks(spark, str(tmp_path)), "path").collect()}
+    assert got == {("income", "Revenue", "2025Q1"): (1200.0, "2025-03-31"), ("income", "Revenue", "2025FY"): (None, "2025-12-31"), ("income", "Cost", "2025Q1"): (-300.0, "2025-03-31"), ("income", "Cost", "2025FY"): (7.0, "2025-12-31")}
+
+
+def test_html_tables(spark):
+    html = "<table><tr><th>Segment<th>Q1<th>Q2<th>Q3</tr>" + "".join(f"<tr><td>s{k}<td>{100 + k}<td>{200 + k}<td>3</tr>" for k in range(3)) + "</table><table><tr><td>one</table>"
+    cells = workbook.html_tables(spark.createDataFrame([(1, html), (2, None), (3, "<p>none")], "id int, html string"), "id", "html")
+    assert cells.count() == 16 and cells.select("id").distinct().count() == 1
+    assert workbook.looks_like_segments(cells, "id").first().numbers == 6
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 
