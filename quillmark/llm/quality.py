@@ -42,7 +42,6 @@ def _dup_lines(w: V.Words) -> np.ndarray:
     begin = np.zeros(len(w.data), dtype=bool)
     begin[1:] = newline[:-1]
     begin[w.rows[:-1][w.rows[:-1] < len(w.data)]] = True
-    begin[w.rows[:-1][w.rows[:-1] == w.rows[1:]]] &= True
     starts = np.flatnonzero(begin)
     gap = np.diff(starts, append=len(w.data))
     place = np.arange(len(w.data)) - np.repeat(starts, gap)

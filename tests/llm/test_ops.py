@@ -299,7 +299,7 @@ def test_chat_rows(spark):
 
 def test_quality_counts(spark, docs, empty):
     text = "a  b\na  b\n\n \nx # * $\r\nx # * $\r\nü€ ü€"
-    df = docs.drop("extra").unionByName(spark.createDataFrame([(900, text, "", "", 0), (901, "a b c d e " * 3, "", "", 0), (902, "\n\n", "", "", 0)], DOCS))
+    df = docs.drop("extra").unionByName(spark.createDataFrame([(900, text, "", "", 0), (901, "a b c d e " * 3, "", "", 0), (902, "\n\n", "", "", 0), (903, "", "", "", 0)], DOCS))
     got = {r.doc_id: r for r in quality.score(df, quality.fit([], np.zeros(0, np.int64))).collect()}
     for r in df.collect():
         w = words(r.text)
