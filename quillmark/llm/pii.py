@@ -11,8 +11,9 @@ Digits and letters are replaced by a keyed permutation (a balanced Feistel netwo
 over the entity's alphabet positions), so different entities of one format get different
 surrogates, and one entity gets the same everywhere: distinctness and coreference need no table.
 Family names keep vowels and consonants in their places.  What a permutation can't give, given names
-from a list of the gender, is checked: given names that met in one stand-in are numbered, in a
-pass over the distinct given names, whose table is bounded by ``MAX_GIVEN`` or refused.
+from a list of the gender, is checked: of the given names that meet in one stand-in, the smallest
+keeps it, and every other has its own permuted letters behind it.  A pass finds the keepers, one a
+listed name, so their table is bounded by the lists.
 
 Defined cases: a null text stays null; a text without entities comes back unchanged; overlapping
 finds go to the leftmost, then the first kind listed; equal rows get equal texts; other columns of
@@ -25,11 +26,11 @@ import hashlib
 import hmac
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -45,7 +46,6 @@ NAMES = {
     "n": "Alex Billie Casey Dana Eden Finley Gale Harper Indigo Jamie Kim Logan Morgan Noel Parker Quinn Robin Sasha Taylor Val".split(),
 }
 _SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
-MAX_GIVEN = 1 << 20
 
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
@@ -127,9 +127,18 @@ def _luhn_ok(digits: str) -> bool:
     return len(digits) > 1 and _luhn(digits[:-1]) == int(digits[-1])
 
 
-def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int = 0, attempts: dict[tuple[str, str], int] | None = None) -> str:
-    """The stand-in of an entity; ``extra`` is a name's gender, ``attempt`` numbers given names that met
-    (``attempts`` those of a whole name)."""
+def listed(c: Cipher, given: str, gender: str) -> str:
+    """The listed name that a given name meets."""
+    return NAMES[gender][c.number("given", gender, given) % len(NAMES[gender])]
+
+
+def _by_sound(c: Cipher, tag: str, name: str) -> str:
+    return c.recode(tag, name, [next((a for a in _SOUNDS if x in a), _alphabet(x)) for x in name])
+
+
+def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Container[tuple[str, str]] = ()) -> str:
+    """The stand-in of an entity; ``extra`` is a name's gender, ``keepers`` the (gender, given name)
+    that have a listed name alone."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         # Domains don't tell case; the local part and all labels are recoded, under a reserved ending.
@@ -167,17 +176,12 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", attempt: int =
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         return c.recode("hex", value, [HEX] * len(value))
     if kind == "given":
-        # A name of the list; one whose name another given name has, is numbered by further names.
-        names = NAMES[extra]
-        parts = [names[c.number("given", extra, value) % len(names)]]
-        while attempt:
-            attempt, digit = divmod(attempt - 1, len(names))
-            parts.append(names[digit])
-        return "-".join(parts)
+        # A name of the list; its own letters, permuted, tell it from others of that stand-in.
+        name = listed(c, value, extra)
+        return name if (extra, value) in keepers else f"{name}-{_by_sound(c, 'given', value)}"
     if kind == "name":
         *given, family = value.split(" ")
-        sound = [next((a for a in _SOUNDS if x in a), _alphabet(x)) for x in family]
-        return " ".join([*(surrogate(c, "given", g, extra, (attempts or {}).get((extra, g), 0)) for g in given), c.recode("family", family, sound)])
+        return " ".join([*(surrogate(c, "given", g, extra, keepers) for g in given), _by_sound(c, "family", family)])
     return c.recode(kind, value, [_alphabet(x) for x in value])
 
 
@@ -198,43 +202,35 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
-def rewrite(c: Cipher, text: str, attempts: dict[tuple[str, str], int]) -> tuple[str, Counter]:
+def rewrite(c: Cipher, text: str, keepers: Container[tuple[str, str]]) -> tuple[str, Counter]:
     out, at, seen = [], 0, Counter()
     for a, b, kind, value, gender in detect(text):
-        out += [text[at:a], surrogate(c, kind, value, gender, attempts=attempts)]
+        out += [text[at:a], surrogate(c, kind, value, gender, keepers)]
         at = b
         seen[kind] += 1
     return ("".join([*out, text[at:]]), seen) if at else (text, seen)
 
 
-def name_attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(gender, value, attempt) of given names whose stand-in also stands for another.
-
-    Distinct given names meet by stand-in; the smallest keeps it, others are numbered.  Names are
-    made distinct before they are shuffled, so a frequent one is a row a task."""
+def name_keepers(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(gender, stand_in, value): the smallest given name of each listed name, so at most a row a
+    listed name.  Tasks send their own smallest, however many names they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cipher(key)
         for batch in batches:
             found = {(g, w) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name" for w in v.split(" ")[:-1]}
             if found:
-                rows = [(g, v, surrogate(c, "given", v, g)) for g, v in found]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["gender", "value", "stand_in"])
+                rows = [(g, listed(c, v, g), v) for g, v in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["gender", "stand_in", "value"])
 
     titled = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("(?:" + "|".join(TITLES) + r")\.? \p{Lu}"))
-    names = titled.mapInArrow(run, "gender string, value string, stand_in string").distinct()
-    number = F.row_number().over(Window.partitionBy("gender", "stand_in").orderBy("value")) - 1
-    return names.withColumn("attempt", number).where("attempt > 0").select("gender", "value", "attempt")
+    names = titled.mapInArrow(run, "gender string, stand_in string, value string")
+    return names.groupBy("gender", "stand_in").agg(F.min("value").alias("value"))
 
 
 def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with text rewritten, and n_pii and one count a kind at the end."""
-    spark = docs.sparkSession
-    rows = name_attempts(docs, key).limit(MAX_GIVEN + 1).collect()  # a word and a number each
-    if len(rows) > MAX_GIVEN:
-        raise ValueError(f"more than {MAX_GIVEN} given names share stand-ins; use longer name lists")
-    attempts = {(r.gender, r.value): r.attempt for r in rows}
-    shared = spark.sparkContext.broadcast(attempts)
+    keepers = frozenset((r.gender, r.value) for r in name_keepers(docs, key).collect())  # at most a row a listed name
     counts = [f"n_{k}" for k in KINDS]
     clash = {c.lower() for c in docs.columns}
     added = [n if n not in clash else f"pii_{n}" for n in ["n_pii", *counts]]
@@ -245,7 +241,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             col = batch.schema.get_field_index("text")
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                made = [(None, Counter()) if t is None else rewrite(c, t, shared.value) for t in part.column(col).to_pylist()]
+                made = [(None, Counter()) if t is None else rewrite(c, t, keepers) for t in part.column(col).to_pylist()]
                 arrays = [part.column(x) if x != col else pa.array([t for t, _ in made], pa.string()) for x in range(part.num_columns)]
                 arrays.append(pa.array([sum(n.values()) for _, n in made], pa.int64()))
                 arrays += [pa.array([n[kind] for _, n in made], pa.int64()) for kind in KINDS]
