@@ -6,6 +6,13 @@ signs, place) gives each block a cost of being content and one of being boilerpl
 the capacities of its terminal edges.  Neighbouring blocks and blocks under one container are
 joined by smoothness edges.  The source side of the minimum cut is the content.
 
+The classifier is fitted to the pages themselves.  No table labels blocks, so landmark elements do:
+on pages with an article or main element, blocks in it are content unless a bad class name or a
+settling container holds them, all others boilerplate.  Each block is learned from as it stands and
+with its landmarks hidden, so that its text tells on pages without any; badly named blocks also
+as if inside an article.  The fit is the mode under a normal prior about ``PRIOR``, to the blocks of
+the ``MAX_TRAIN`` page_ids of smallest hash; without landmarks in these it is the prior.
+
 Containers whose tag settles the matter (nav, script, form and so on) are terminals of infinite
 capacity.  White space inside a block becomes one space, character references are decoded, blocks
 are joined by a newline.
@@ -18,11 +25,13 @@ container is judged by the classifier; repeated rows are each extracted; extra c
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
-from math import exp, log1p
+from math import log1p
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +55,15 @@ _ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "sear
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 INFINITE = 1e9
 
-#: Classifier weights: bias, in an article or main element, under a good class name, under a bad
-#: class name or role, share of linked characters, log of words, ends like a sentence, heading,
-#: list item, before the first or after the last heading, copyright sign.
-WEIGHTS = {"bias": -1.2, "article": 4.0, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5}
+#: Prior means of the weights: bias; the page has landmarks; in an article or main element; under a
+#: good class name; under a bad one; share of linked characters outside articles; log of words; ends
+#: like a sentence; heading; list item; copyright sign outside articles.
+PRIOR = {"bias": -1.2, "landmarks": 0.0, "article": 4.0, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5}
+NAMES = tuple(PRIOR)
+_PRIOR = tuple(PRIOR.values())
+MAX_TRAIN = 2000
+#: Blocks that the sample counts as, against a prior of variance 1.
+EVIDENCE = 1000.0
 ADJACENT, SIBLING = 0.6, 0.4
 
 
@@ -182,12 +196,67 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def _score(b: Block) -> float:
-    w, text = WEIGHTS, b.text
-    s = w["bias"] + w["article"] * b.article + w["good"] * b.good + w["bad"] * b.bad
-    s += w["link"] * min(1.0, b.linked / max(len(text), 1)) * (not b.article) + w["words"] * log1p(text.count(" ") + 1)
-    s += w["sentence"] * (text[-1] in ".!?…。！？\"”»") + w["heading"] * b.heading + w["item"] * b.item
-    return s + w["copyright"] * (("©" in text or "all rights reserved" in text.lower()) and not b.article)
+def features(b: Block, landmarks: bool, article: bool, good: bool, bad: bool) -> tuple[float, ...]:
+    """The values of ``NAMES`` for a block whose landmarks are given (as they are, or hidden).
+
+    Shares are in tenths and logs of words in halves, so that equal blocks are counted together."""
+    text = b.text
+    link = 0.0 if article else round(10 * min(1.0, b.linked / max(len(text), 1))) / 10
+    words = round(2 * log1p(text.count(" ") + 1)) / 2
+    sign = not article and ("©" in text or "all rights reserved" in text.lower())
+    return (1.0, float(landmarks), float(article), float(good), float(bad), link, words, float(text[-1] in ".!?…。！？\"”»"), float(b.heading), float(b.item), float(sign))
+
+
+def examples(bs: list[Block]) -> Iterator[tuple[float, ...]]:
+    """(label, features...) of the blocks of a page that has landmarks."""
+    if not any(b.article for b in bs):
+        return
+    for b in bs:
+        content = float(b.article and not b.bad and not b.banned)
+        yield content, *features(b, True, b.article, b.good, b.bad)
+        yield content, *features(b, False, False, False, False)
+        if b.bad:
+            yield 0.0, *features(b, True, True, b.good, True)
+
+
+def fit(counts: dict[tuple[float, ...], int]) -> tuple[float, ...]:
+    """Weights of ``NAMES`` from counted examples, by Newton's method."""
+    prior = np.array(_PRIOR)
+    if not counts:
+        return _PRIOR
+    rows, n = np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)], float)
+    y, x, n = rows[:, 0], rows[:, 1:], n * EVIDENCE / n.sum()
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (n * (p - y)) + (w - prior))
+        size = float(np.abs(step).max())
+        w -= step / max(1.0, size)  # at most 1 a round, so no step overshoots
+        if size < 1e-9:
+            break
+    return tuple(w.tolist())
+
+
+def train(pages: DataFrame) -> tuple[float, ...]:
+    """Weights fitted to the pages of smallest hashed id; what comes to the driver is a count for
+    each distinct row of features, of which there are few."""
+    key = F.xxhash64(F.col("page_id").cast("bigint"))
+    ids = pages.where("page_id is not null").select(key.alias("key")).distinct().orderBy("key").limit(MAX_TRAIN)
+    last = ids.agg(F.max("key")).first()[0]
+    if last is None:
+        return _PRIOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                seen.update(examples(blocks(html)))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())], ["example", "n"])
+
+    sample = pages.where((key <= last) & F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(F.col("html").cast("string"))
+    found = sample.mapInArrow(run, "example array<double>, n bigint").groupBy("example").agg(F.sum("n").alias("n"))
+    return fit({tuple(r.example): r.n for r in found.collect()})
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -229,7 +298,7 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             graph[b][a] += f
 
 
-def label(bs: list[Block]) -> list[bool]:
+def label(bs: list[Block], weights: tuple[float, ...] = _PRIOR) -> list[bool]:
     """Content or not, for each block.
 
     Neighbouring blocks alike in container and verdict of their containers are one node, whose
@@ -244,10 +313,11 @@ def label(bs: list[Block]) -> list[bool]:
         node.append(len(groups) - 1)
         groups[-1].append(b)
     source, sink = [], []
+    landmarks = any(b.article for b in bs)
     for g in groups:
         a = z = 0.0
         for b in g:
-            s = _score(b)
+            s = sum(map(mul, weights, features(b, landmarks, b.article, b.good, b.bad)))
             a += max(s, 0.0)
             z += max(-s, 0.0)
         source.append(0.0 if g[0].banned else a)
@@ -263,21 +333,22 @@ def label(bs: list[Block]) -> list[bool]:
     return [side[k] for k in node]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: tuple[float, ...] = _PRIOR) -> str:
     if not html:
         return ""
     bs = blocks(html)
-    return "\n".join(b.text for b, keep in zip(bs, label(bs)) if keep)
+    return "\n".join(b.text for b, keep in zip(bs, label(bs, weights)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    weights = train(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = [main_text(h) for h in part.column(2).to_pylist()]
+                texts = [main_text(h, weights) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
