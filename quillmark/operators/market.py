@@ -95,3 +95,32 @@ def formula(text: str, names: set[str]) -> Column:
         raise ValueError(f"not allowed in a formula: {ast.dump(n)}")
 
     return walk(ast.parse(text, mode="eval").body)
+
+
+def scan(df: DataFrame, code: str, codes: list[str] | None, fields: list[str]) -> DataFrame:
+    """Chosen fields of some (or all) securities."""
+    return (df.where(F.col(code).isin(codes)) if codes else df).select(code, *fields)
+
+
+def ranked(df: DataFrame, by: str, id_col: str, n: int, offset: int = 0, ascending: bool = False) -> DataFrame:
+    """A page of a ranking, smallest id first of equals."""
+    out = df.orderBy(F.asc(by) if ascending else F.desc(by), id_col)
+    return (out.offset(offset) if offset else out).limit(n)
+
+
+def between_times(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """Rows of a closed time range; the bounds are literals, so they reach the scan."""
+    return df.where(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
+def members(edges: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str) -> DataFrame:
+    """Edges with the columns of both of their ends."""
+    return edges.join(children, child).join(parents, parent)
+
+
+def correlate(requests: DataFrame, results: DataFrame, request_id: str, sent: str, got: str, seconds: int = 60) -> DataFrame:
+    """Each request with its first result inside the time allowed; ``timed_out`` where none came."""
+    late = F.col(sent) + F.make_dt_interval(secs=F.lit(seconds))
+    r = requests.join(results, request_id, "left")
+    best = F.min(F.when((F.col(got) >= F.col(sent)) & (F.col(got) <= late), F.col(got)))
+    return r.groupBy(*requests.columns).agg(best.alias("answered")).withColumn("timed_out", F.col("answered").isNull())

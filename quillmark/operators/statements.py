@@ -164,3 +164,60 @@ def ladder_parent(rows: DataFrame, group: list[str], order: str, level: str, nam
         ok = last[k].isNotNull() & (shallow[k].isNull() | (shallow[k] <= last[k][order]))
         parent = F.when((F.col(level) == k + 1) & ok, last[k][name]).otherwise(parent)
     return rows.withColumn("parent", parent)
+
+
+def first_match_sum(df: DataFrame, keys: list[str], groups: list[list[str]], name: str, value: str) -> DataFrame:
+    """first_match: over groups of labels, the sum of each group's first label that is there;
+    all_match: the sum over every label of any group."""
+    sums = [[F.sum(F.when(F.col(name) == label, F.col(value))) for label in g] for g in groups]
+    first = sum((F.coalesce(*g, F.lit(0.0)) for g in sums[1:]), F.coalesce(*sums[0], F.lit(0.0)))
+    labels = sorted({label for g in groups for label in g})
+    return df.groupBy(*keys).agg(first.alias("first_match"), F.coalesce(F.sum(F.when(F.col(name).isin(labels), F.col(value))), F.lit(0.0)).alias("all_match"))
+
+
+def merge_facts(files: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Facts of files in order of precedence; of a key the first file that has it counts."""
+    out = None
+    for k, f in enumerate(files):
+        f = f.withColumn("file_no", F.lit(k))
+        out = f if out is None else out.unionByName(f)
+    rest = [c for c in out.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.min_by(F.struct(*rest), "file_no").alias("x")).select(*keys, "x.*")
+
+
+def with_ratio_rows(facts: DataFrame, keys: list[str], config: list[tuple[str, str, str]], name: str = "metric", value: str = "value") -> DataFrame:
+    """``facts`` (order 0) and, behind each numerator, its ratio rows in percent (order 1, 2 ...).
+
+    One aggregate puts a period's configured metrics side by side, so no self join is needed."""
+    used = sorted({m for a, b, _ in config for m in (a, b)})
+    wide = facts.where(F.col(name).isin(used)).groupBy(*keys).agg(*(F.first(F.when(F.col(name) == m, F.col(value)), ignorenulls=True).alias(m) for m in used))
+    rows = [F.struct(F.lit(a).alias("parent"), F.lit(k + 1).alias("sub_order"), F.lit(label).alias(name), ratio(F.col(a), F.col(b)).alias(value)) for k, (a, b, label) in enumerate(config)]
+    made = wide.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*").where(F.col(value).isNotNull())
+    own = facts.select(*keys, F.col(name).alias("parent"), F.lit(0).alias("sub_order"), name, value)
+    return own.unionByName(made)
+
+
+def unique_ids(df: DataFrame, group: list[str], base: str, order: list) -> DataFrame:
+    """base, base-2, base-3 ... inside a group."""
+    n = F.row_number().over(Window.partitionBy(*group, base).orderBy(*order))
+    return df.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+
+
+def islands(df: DataFrame, group: list[str], order: str, hit: Column, least: int = 3) -> DataFrame:
+    """Runs of ``least`` or more consecutive rows that ``hit``: group, first, last, n."""
+    w = Window.partitionBy(*group).orderBy(order)
+    rows = df.withColumn("_all", F.row_number().over(w)).where(hit)
+    rows = rows.withColumn("_run", F.col("_all") - F.row_number().over(w))
+    return rows.groupBy(*group, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_run")
+
+
+def compound(df: DataFrame, keys: list[str], order: str, rate: str, base: str) -> DataFrame:
+    """value_t = value_(t-1) * (1 + rate_t) from ``base``, as a running sum of logs; rates over -1."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("compounded", F.col(base) * F.exp(F.sum(F.log1p(rate)).over(w)))
+
+
+def nearest_left(df: DataFrame, group: list[str], order: str, header: str) -> DataFrame:
+    """Each column's header, or that of the nearest one to its left that has any."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("header", F.last(header, ignorenulls=True).over(w))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
-from quillmark.operators import chunking, market, retrieval, statements, valuation
-from quillmark.plans import more, queries  # noqa: F401
+from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
+from quillmark.plans import more, queries, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +188,23 @@ def test_entry(spark):
     import __spark_entry__ as E
 
     assert E.entry(spark).count() > 0 and set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_three_statements(spark):
+    row = {"id": 1, "revenue": 100.0, "cash": 10.0, "receivables": 8.0, "inventory": 5.0, "payables": 4.0, "plant": 30.0, "debt": 20.0}
+    row |= {"gross_margin": 0.4, "opex": 0.2, "depreciation": 0.04, "capex": 0.05, "tax": 0.25, "dso": 36.5, "dio": 36.5, "dpo": 36.5, "issuance": 1.0, "mandatory": 2.0, "sweep": 0.1, "rate": 0.05}
+    df = spark.createDataFrame([row]).crossJoin(spark.createDataFrame([([0.1, 0.0],), ([],), (None,)], "growth array<double>"))
+    got = sorted((r.years for r in modelling.three_statements(df).collect()), key=lambda y: y is None)
+    assert got[1:] == [None, None]
+    first, second = got[0]
+    # 110 of revenue: 44 gross, 22 costs, 4.4 depreciation, 1 interest
+    assert first.net_income == pytest.approx(16.6 * 0.75) and first.debt == pytest.approx(17.0) and first.cff == pytest.approx(-3.0)
+    assert first.cfo == pytest.approx(12.45 + 4.4 + 9.0 - 11.0) and first.cash == pytest.approx(10 + first.cfo - 5.5 - 3)
+    assert max(abs(first.gap), abs(second.gap)) < 1e-9 and second.year == 2
+
+
+def test_correlate(spark):
+    sent = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "2024-01-01 00:00:00")], "id int, s string").select("id", F.col("s").cast("timestamp").alias("sent"))
+    back = spark.createDataFrame([(1, "2024-01-01 00:00:30"), (1, "2024-01-01 00:00:10"), (2, "2024-01-01 00:01:01")], "id int, g string").select("id", F.col("g").cast("timestamp").alias("got"))
+    out = {r.id: (r.timed_out, r.answered and r.answered.second) for r in market.correlate(sent, back, "id", "sent", "got").collect()}
+    assert out == {1: (False, 10), 2: (True, None), 3: (True, None)}
