@@ -53,13 +53,13 @@ _PATTERN = re.compile(
 |(?P<card>(?<![\w.-])\d{4}(?P<cs>[ -]?)\d{4}(?P=cs)\d{4}(?P=cs)\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}(?P<as>[ -]?)\d{6}(?P=as)\d{5}(?![\w-]))
 |(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
 |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
-|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))
-|(?P<secret>(?<!\w)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
+|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[.-]?\d{2,4}|[ ](?!(?:\d{1,3}\.){3}\d{1,3}(?![\w.]))\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))
+|(?P<secret>(?<!\w)(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
 |(?P<name>(?<!\w)(?P<title>Mr|Mister|Sir|Herrn?|Monsieur|Señora?|Sra?|Mrs|Ms|Miss|Madame?|Frau|Mme|Mlle|Dr|Prof)\.?[ ](?P<nv>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+(?:[ ][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+)?))
 """,
     re.X,
 )
-_MAY = re.compile(r"[@0-9]|token|secret|passw|key|auth|bearer|\b(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sra?|Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Dr|Prof)")
+_MAY = re.compile(r"[@0-9]|(?i:token|secret|passw|key|auth|bearer)|\b(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sra?|Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Dr|Prof)")
 
 
 @lru_cache(maxsize=4096)
@@ -173,8 +173,9 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Contai
         country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         skip = country.end() if country else 0
         return value[:skip] + c.recode("phone" + value[:skip], value[skip:], [DIGITS if x.isdigit() else None for x in value[skip:]])
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
-        return c.recode("hex", value, [HEX] * len(value))
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+        new = c.recode("hex", value.lower(), [HEX] * len(value))  # one secret, however it is cased
+        return new if value == value.lower() else new.upper()
     if kind == "given":
         # A name of the list; its own letters, permuted, tell it from others of that stand-in.
         name = listed(c, value, extra)
@@ -189,15 +190,17 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, value, gender) of the entities of a text, from left to right."""
     if not _MAY.search(text):
         return []
-    out = []
-    for m in _PATTERN.finditer(text):
+    out, at = [], 0
+    while m := _PATTERN.search(text, at):
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         group = {"secret": "sv" if m["sv"] is not None else "sw", "name": "nv"}.get(kind, kind)
         value, gender = m[group], ""
         if kind == "name":
             gender = TITLES.get(m["title"], "n")
         if kind == "phone" and not 7 <= sum(x.isdigit() for x in value) <= 15:
+            at = m.start() + 1  # what it ran over may be something else
             continue
+        at = m.end()
         out.append((m.start(group), m.end(group), kind, value, gender))
     return out
 

@@ -196,6 +196,17 @@ def test_pii_properties():
     assert pii.rewrite(c, clean, {})[0] == clean
 
 
+def test_pii_neighbours_and_case():
+    kinds = lambda t: [(k, v) for _, _, k, v, _ in pii.detect(t)]
+    assert kinds("Des +1 (826) 555-4081 190.137.223.204 du") == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]
+    assert kinds("+49 30 123456 10.20.30.40") == [("phone", "+49 30 123456"), ("ip", "10.20.30.40")]
+    assert kinds("+33.1.23.45.67.89 then") == [("phone", "+33.1.23.45.67.89")]
+    assert kinds("+1 (826) 555-4081 4111 1111 1111 1111") == [("phone", "+1 (826) 555-4081"), ("card", "4111 1111 1111 1111")]
+    c = pii.Cipher()
+    upper, low = (pii.rewrite(c, t, ())[0] for t in ('TOKEN = "9233A8ECF7C5B09F"!!', 'token = "9233a8ecf7c5b09f"!!'))
+    assert upper.lower() == low and "9233A8" not in upper and re.fullmatch(r'TOKEN = "[0-9A-F]{16}"!!', upper)
+
+
 def test_pii_is_injective():
     c = pii.Cipher()
     values = [f"{a}.{b}.{d}.7" for a in range(10) for b in range(10) for d in range(10)]
