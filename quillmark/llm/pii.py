@@ -1,6 +1,7 @@
 """Surrogates for personal data.
 
-Detected kinds: e-mail addresses, IPv4 addresses, payment cards, IBANs, national numbers in the
+Detected kinds: e-mail addresses, IPv4 addresses, payment cards and IBANs (with right check digits;
+other long numbers are none), national numbers in the
 nnn-nn-nnnn form, phone numbers, secrets (``token = "..."`` and the like), and titled names
 (``Mr``, ``Frau``, ``Mme`` and so on, which tell the gender).  Every entity is replaced by a keyed
 surrogate of its own type and format: a digit by a digit, a hex digit by one of its case, a letter by
@@ -136,6 +137,20 @@ def _by_sound(c: Cipher, tag: str, name: str) -> str:
     return c.recode(tag, name, [next((a for a in _SOUNDS if x in a), _alphabet(x)) for x in name])
 
 
+def _iban_rest(value: str) -> int:
+    raw = value.replace(" ", "")
+    return int("".join(str(int(x, 36)) for x in raw[4:] + raw[:4])) % 97
+
+
+def _holds(kind: str, value: str) -> bool:
+    """Whether a find is what it looks like: check digits of cards and IBANs, digits of a phone number."""
+    if kind == "card":
+        return _luhn_ok("".join(x for x in value if x.isdigit()))
+    if kind == "iban":
+        return _iban_rest(value) == 1
+    return kind != "phone" or 7 <= sum(x.isdigit() for x in value) <= 15
+
+
 def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Container[tuple[str, str]] = ()) -> str:
     """The stand-in of an entity; ``extra`` is a name's gender, ``keepers`` the (gender, given name)
     that have a listed name alone."""
@@ -153,12 +168,8 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Contai
     if kind == "card":
         at = [i for i, x in enumerate(value) if x.isdigit()]
         digits = "".join(value[i] for i in at)
-        valid = _luhn_ok(digits)
-        body = c.recode(f"card{len(digits)}{valid}", digits[1:-1], [DIGITS] * (len(digits) - 2))
-        body = digits[0] + body
-        check = _luhn(body)
-        # A number whose check digit was wrong keeps a wrong one, by as much.
-        new = body + str((check + (int(digits[-1]) - _luhn(digits[:-1]))) % 10)
+        body = digits[0] + c.recode(f"card{len(digits)}", digits[1:-1], [DIGITS] * (len(digits) - 2))
+        new = body + str(_luhn(body))
         out = list(value)
         for i, x in zip(at, new):
             out[i] = x
@@ -166,8 +177,7 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Contai
     if kind == "iban":
         keep = 2
         raw = value[:keep] + c.recode("iban", value[keep + 2 :], [_alphabet(x) for x in value[keep + 2 :]])
-        moved = raw[keep:].replace(" ", "") + raw[:keep] + "00"
-        check = 98 - int("".join(str(int(x, 36)) for x in moved)) % 97
+        check = 98 - _iban_rest(f"{raw[:keep]}00{raw[keep:]}")
         return f"{raw[:keep]}{check:02d}{raw[keep:]}"
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
@@ -197,7 +207,7 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
         value, gender = m[group], ""
         if kind == "name":
             gender = TITLES.get(m["title"], "n")
-        if kind == "phone" and not 7 <= sum(x.isdigit() for x in value) <= 15:
+        if not _holds(kind, value):
             at = m.start() + 1  # what it ran over may be something else
             continue
         at = m.end()

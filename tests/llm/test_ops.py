@@ -207,6 +207,15 @@ def test_pii_neighbours_and_case():
     assert upper.lower() == low and "9233A8" not in upper and re.fullmatch(r'TOKEN = "[0-9A-F]{16}"!!', upper)
 
 
+def test_pii_check_digits():
+    c = pii.Cipher()
+    for t in ("order 4111111111111112 of them", "4111-1111-1111-1112", "GB82 WEST 1234 5698 7654 33 no", "9807915762804490"):
+        assert pii.rewrite(c, t, ())[0] == t
+    new = pii.rewrite(c, "GB82 WEST 1234 5698 7654 32 and 4111111111111111.", ())[0]
+    iban, card = re.fullmatch(r"(GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d) and (\d{16})\.", new).groups()
+    assert pii._iban_rest(iban) == 1 and pii._luhn_ok(card) and "WEST" not in iban and card != "4111111111111111"
+
+
 def test_pii_is_injective():
     c = pii.Cipher()
     values = [f"{a}.{b}.{d}.7" for a in range(10) for b in range(10) for d in range(10)]
