@@ -150,10 +150,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages left in a reused worker
         enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))  # for a worker's life
         for batch in batches:
             raw, offs, _ = V.column(batch.column(1))
-            for i, j in V.slices(offs, 4 << 20):
+            for i, j in V.slices(offs, 2 << 20):
                 cols = [[] for _ in range(6)]
                 for own, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode(raw, offs, i, j)):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
