@@ -6,11 +6,14 @@ blank line pair that ends a record, so any file system that Spark writes to will
 holds a bounded number of records and is compressed as a whole.  Payloads of 1000 bytes or more are kept once: of equal ones
 that of the largest page_id is the response and the others revisit it.
 
+Every row is a capture of its own.  Record ids come from page_id, payload digest and a number among
+the rows that share both, so they are the same in every attempt; those rows are numbered in one task.
+
 Defined cases: a null html is an empty payload; a null url is written as an empty target and read
-back as null; rows with a null page_id are archived under the empty id and read back as null;
-rows of one page_id and equal payload are one capture each only if the payload is small, else they
-revisit themselves' id; payloads may hold any text, blank lines and WARC headers included, since
-reading goes by Content-Length; an empty table gives no rows; extra columns are ignored.
+back as null; rows with a null page_id are archived under the empty id, read back as null and are
+never revisits; of rows with the largest page_id of a digest each is a response; payloads may hold
+any text, blank lines and WARC headers included, since reading goes by Content-Length; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_dir, table
@@ -45,22 +48,29 @@ def _record(fields: list[tuple[str, Column]], body: Column) -> Column:
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
+    """page_id, url, html, payload_bytes, payload_digest, copy (1, 2, ... among the rows of one
+    page_id and digest, by url), record_type, refers_to.
 
-    The largest page_id of each digest comes from a pre-aggregated count; the join back has one
-    row a digest on its small side, so a hot digest can be split."""
+    The largest page_id of each digest that several rows share comes from a pre-aggregated count and
+    is dealt to that digest's ids before payloads move, so these go by digest and id and a hot digest
+    is many keys.  Numbering needs no other shuffle."""
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("bigint")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
-    first = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("first"))
-    out = rows.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= MIN_REVISIT) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("own", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    ids = rows.where(F.col("payload_bytes") >= MIN_REVISIT).where("page_id is not null").groupBy("payload_digest", "own").agg(F.max("page_id").alias("id"))
+    first = ids.groupBy("payload_digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = ids.join(first, "payload_digest").where("id <> first").select("payload_digest", "own", F.col("first").alias("refers_to"))
+    equal = Window.partitionBy("payload_digest", "own").orderBy("url")
+    out = rows.join(again, ["payload_digest", "own"], "left").withColumn("copy", F.row_number().over(equal))
+    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", "copy", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archive each page as request, response (or revisit) and metadata records."""
     d = decide(pages)
     own, url = F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
+    capture = lambda page, copy: F.concat_ws(":", page, "payload_digest", copy)
+    this = capture(own, F.col("copy").cast("string"))
     revisit = F.col("record_type") == "revisit"
     host = F.coalesce(F.parse_url(F.regexp_replace(url, r"[\s\[\]{}|\\^`<>\"]", "_"), F.lit("HOST")), F.lit(""))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
@@ -68,21 +78,21 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     response = _record(
         [
             ("WARC-Type", F.col("record_type")),
-            ("WARC-Record-ID", _uuid("response", own)),
+            ("WARC-Record-ID", _uuid("response", this)),
             *common,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-            ("WARC-Refers-To", F.when(revisit, _uuid("response", F.col("refers_to").cast("string")))),
+            ("WARC-Refers-To", F.when(revisit, _uuid("response", capture(F.col("refers_to").cast("string"), F.lit("1"))))),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.concat(http, F.when(revisit, "").otherwise(F.col("html"))),
     )
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", own)), *common, ("WARC-Concurrent-To", _uuid("response", own)), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", this)), *common, ("WARC-Concurrent-To", _uuid("response", this)), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1" + EOL + "Host: "), host, F.lit(EOL + EOL)),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", own)), *common, ("WARC-Concurrent-To", _uuid("response", own)), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", this)), *common, ("WARC-Concurrent-To", _uuid("response", this)), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), own, F.lit(EOL + "refers-to-page-id: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(EOL + "payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(EOL)),
     )
     d.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * PER_FILE).option("compression", "gzip").text(path)

@@ -159,6 +159,31 @@ def test_warc(spark, tmp_path):
     warc.write(df.limit(0), f"{tmp_path}/e")
 
 
+def test_warc_every_row_is_a_capture(spark, tmp_path):
+    """Null ids, repeated rows and one id with several payloads; SQL's rows come back."""
+    import duckdb
+
+    big, other = "b" * 1500, "c" * 1200
+    rows = [(None, "u", "one"), (None, "u", "two"), (None, None, "two"), (None, "u", big), (None, "u", other), (None, "u", other)]
+    rows += [(1, "u", "small"), (1, "u", "small"), (1, "v", "small"), (1, "u", big), (2, "u", big), (2, "u", big), (2, "w", big), (2, "u", "other"), (3, "u", None), (3, "u", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    warc.write(df, f"{tmp_path}/w")
+    recs = warc.read(spark, f"{tmp_path}/w").collect()
+    assert len(recs) == 3 * len(rows) == len({r.id for r in recs})
+    held = {r.id for r in recs if r.type == "response"}
+    assert all(r.refers_to in held for r in recs if r.type == "revisit")
+    got = warc.assemble(warc.read(spark, f"{tmp_path}/w")).collect()
+    assert all(r.request.uri == r.response.uri for r in got)
+    payload = {r.id: bytes(r.payload).decode() for r in recs if r.type == "response"}
+    seen = [(r.metadata.fields["page-id"], r.response.uri, payload[r.response.refers_to or r.response.id]) for r in got]
+    assert sorted(map(str, seen)) == sorted(str(("" if i is None else str(i), u, h or "")) for i, u, h in rows)
+    (tmp_path / "sf").mkdir()
+    df.coalesce(1).write.parquet(f"{tmp_path}/sf/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/sf/pages.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, warc.op3_warc(spark, f"{tmp_path}/sf").collect()))) == sorted(map(str, con.execute(warc.OP3_SQL).fetchall()))
+
+
 def test_html_classifier_is_fitted(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     weights = html.train(pages)
