@@ -52,19 +52,21 @@ def _unpack(b: bytes, n: int, kind) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block: hashes (h1, h2), minimizer, document place and first word."""
+    """The windows of a block: hashes (h1, h2), minimizer, document place, first word and, if
+    ``inner``, the word where the leftmost run that is the minimizer begins."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, window: int, run: int, inner: bool = False):
         self.ids = ids
         raw, offs, _ = V.column(texts)
         h1, h2, mini, doc, start, self.counts = [], [], [], [], [], np.zeros(len(ids), np.int64)
-        multi = []
+        held = []
         for i, j in V.slices(offs):
             w = V.split(raw, offs, i, j)
             self.counts[i:j] = w.counts
             at, row = V.gram_rows(w.bounds, window)
             if not len(at):
                 continue
+            start_of = at - w.bounds[row]
             wh = w.hashes()
             h1.append(V.grams(wh, window)[at])
             h2.append(V.grams(V.mix(wh + U(0x632BE59BD9B4E019)), window, V._BASE1)[at])
@@ -77,13 +79,15 @@ class Windows:
             low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
             mini.append(low[at])
             if inner:
-                n = sum((runs[at + t] == mini[-1]).astype(np.int8) for t in range(span))
-                multi.append(n > 1)
+                off = np.zeros(len(at), np.int64)
+                for t in reversed(range(span)):
+                    off[runs[at + t] == mini[-1]] = t
+                held.append(start_of + off)
             doc.append(row + i)
-            start.append(at - w.bounds[row])
+            start.append(start_of)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.h1, self.h2, self.mini = join(h1, U), join(h2, U), join(mini, U)
-        self.multi = join(multi, bool)
+        self.held = join(held, np.int64)
         self.doc, self.start = join(doc, np.int64), join(start, np.int64)
 
 
@@ -159,11 +163,11 @@ def _returned(blocks: DataFrame, buckets: int, window: int, run_words: int) -> D
         for batch in batches:
             for row in batch.to_pylist():
                 w = Windows(*_block(row), window, run_words, inner=True)
-                fresh = np.ones(len(w.mini), bool)  # one occurrence a run of windows
-                fresh[1:] = (w.mini[1:] != w.mini[:-1]) | (w.doc[1:] != w.doc[:-1])
+                # one occurrence a place of the run: equal windows hold theirs at equal distances, so at
+                # two places; the windows of one place follow each other
+                fresh = np.ones(len(w.mini), bool)
+                fresh[1:] = (w.mini[1:] != w.mini[:-1]) | (w.held[1:] != w.held[:-1]) | (w.doc[1:] != w.doc[:-1])
                 m, n = np.unique(w.mini[fresh], return_counts=True)
-                # a run of windows whose minimizer stands twice in one of them may repeat itself
-                n[np.searchsorted(m, w.mini[w.multi])] = 2
                 bucket = _bucket(m, buckets)
                 cols = [[], [], [], []]
                 for b, at in _groups(bucket, buckets):

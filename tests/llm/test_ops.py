@@ -418,6 +418,17 @@ def test_substrings(spark, docs, empty):
     assert substrings.find_spans(empty).count() == 0
 
 
+def test_substrings_lines_of_every_length(spark):
+    """A line repeated in one document, and nowhere else."""
+    rows, want = [], {}
+    for n in range(1, 41):
+        times = max(3, -(-40 // n) + 1)
+        rows.append((n, "\n".join([" ".join(f"l{n}w{k}" for k in range(n))] * times)))
+        want[n] = n * times - n
+    got = {r.doc_id: r.n_removed for r in substrings.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_langid(spark, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = langid.train(d)
