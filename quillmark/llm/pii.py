@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Container, Iterator
 from functools import lru_cache
@@ -48,6 +49,34 @@ NAMES = {
 }
 _SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
 
+
+
+def _letters(*categories: str) -> str:
+    """The inside of a character class: ranges of the code points of Unicode categories."""
+    out, last = [], -2
+    for c in range(0x80, 0x32400):
+        if unicodedata.category(chr(c)) in categories:
+            if c == last + 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+            last = c
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+# Names: words that begin with a capital (inner capitals, hyphens and apostrophes too), initials and
+# particles, any number of them; where letters have no case nothing tells the end, so up to three words.
+_TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
+_UP, _UNCASED = f"[A-Z{_letters('Lu', 'Lt')}]", f"[{_letters('Lo')}]"
+_LETTER = rf"(?:[^\W\d_]|[{_letters('Mn', 'Mc')}])"
+_JOIN = r"(?!['’]s(?!\w))['’‐‑-]"
+_PARTICLE = r"(?:(?:von|vom|van|der|den|de|del|della|di|da|dos|das|do|du|la|le|zu|zum|zur|bin|ibn|ter|ten|af|av|d['’](?=[A-ZÀ-Þ]))(?:[ ]|(?<=['’])))"
+_INITIAL = rf"{_UP}\.(?:-?{_UP}\.)*"
+_WORD = rf"(?!{_TITLE}(?!\w))(?:{_INITIAL}|{_UP}(?:{_LETTER}+(?:{_JOIN}{_LETTER}+)*|(?:{_JOIN}{_LETTER}+)+)|{_UP}(?=[ ]{_UP}))"
+_UNCASED_WORD = rf"{_UNCASED}{_LETTER}*(?:['’‐‑·-]{_LETTER}+)*"
+_NAME = rf"(?:{_PARTICLE}*{_WORD}(?:(?:[ ]|(?<=\.)){_PARTICLE}*{_WORD})*|{_UNCASED_WORD}(?:[ ]{_UNCASED_WORD}){{0,2}})"
+_TITLED = rf"(?<!\w)(?P<title>{_TITLE}(?:(?:\.[ ]?|[ ]){_TITLE}(?!\w))*)(?:\.?[ ]?(?:med|phil|rer|nat|jur|iur|ing|habil|pol|oec|theol|dent|vet|h\.[ ]?c)\.)*(?:\.[ ]?|[ ])(?P<nv>{_NAME})"
+
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
 |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
@@ -56,11 +85,17 @@ _PATTERN = re.compile(
 |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
 |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[.-]?\d{2,4}|[ ](?!(?:\d{1,3}\.){3}\d{1,3}(?![\w.]))\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))
 |(?P<secret>(?<!\w)(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
-|(?P<name>(?<!\w)(?P<title>Mr|Mister|Sir|Herrn?|Monsieur|Señora?|Sra?|Mrs|Ms|Miss|Madame?|Frau|Mme|Mlle|Dr|Prof)\.?[ ](?P<nv>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+(?:[ ][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+)?))
-""",
+|(?P<name>"""
+    + _TITLED
+    + ")",
     re.X,
 )
-_MAY = re.compile(r"[@0-9]|(?i:token|secret|passw|key|auth|bearer)|\b(?:Mr|Mister|Sir|Herr|Monsieur|Señor|Sra?|Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Dr|Prof)")
+#: What every find holds, from the same parts as the pattern.
+_MAY = re.compile(rf"[@0-9]|(?i:token|secret|passw|key|auth|bearer)|(?<!\w)(?:(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{{16}}|{_TITLE}[. ])")
+
+
+_RANGES = ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x4E00, 0x9FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x5D0, 0x5EA), (0x627, 0x64A))
+_NEAR = "àâäçèéêëîïñôöùûüÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ"
 
 
 @lru_cache(maxsize=4096)
@@ -70,15 +105,25 @@ def _alphabet(c: str) -> str | None:
         if c in a:
             return a
     code = ord(c)
-    for low, high in ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x4E00, 0x9FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x5D0, 0x5EA), (0x627, 0x64A)):
+    for low, high in _RANGES:
         if low <= code <= high and chr(code).isalpha():
             return "".join(chr(x) for x in range(low, high + 1) if chr(x).isalpha())
     if c.isalpha():
-        near = "àâäçèéêëîïñôöùûü" if c.islower() else "ÀÂÄÇÈÉÊËÎÏÑÔÖÙÛÜ"
-        return near if c in near else None
+        near = _NEAR[:16] if c.islower() else _NEAR[16:]
+        if c in near:
+            return near
+        low = code & ~0x7F
+        same = "".join(x for x in map(chr, range(low, low + 128)) if _sort(x) == _sort(c) and x not in _NEAR and not any(a <= ord(x) <= b for a, b in _RANGES))
+        return same if len(same) > 1 else None
     return None
 
 
+def _sort(c: str) -> tuple[str, bool]:
+    """Letters of one block stand for each other if they are of one category and turn case alike."""
+    other = c.swapcase()
+    return unicodedata.category(c), other != c and len(other) == 1 and other.swapcase() == c
+
+
 class Cipher:
     """Keyed permutations of mixed-radix numbers."""
 
@@ -151,6 +196,20 @@ def _holds(kind: str, value: str) -> bool:
     return kind != "phone" or 7 <= sum(x.isdigit() for x in value) <= 15
 
 
+def _parts(name: str) -> list[str]:
+    """Words, particles, initials and the spaces between them."""
+    return [x for x in re.split(rf"([ ]|(?<!\w){_PARTICLE}|(?<!\w){_INITIAL})", name) if x]
+
+
+def _is_word(x: str) -> bool:
+    return len(x) > 1 and not re.fullmatch(rf"{_PARTICLE}|{_INITIAL}|d['’]", x) and not re.fullmatch(_PARTICLE, x + " ")
+
+
+def _given(name: str) -> list[str]:
+    """The given names of a name: its words but the last."""
+    return [x for x in _parts(name) if _is_word(x)][:-1]
+
+
 def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Container[tuple[str, str]] = ()) -> str:
     """The stand-in of an entity; ``extra`` is a name's gender, ``keepers`` the (gender, given name)
     that have a listed name alone."""
@@ -191,8 +250,16 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Contai
         name = listed(c, value, extra)
         return name if (extra, value) in keepers else f"{name}-{_by_sound(c, 'given', value)}"
     if kind == "name":
-        *given, family = value.split(" ")
-        return " ".join([*(surrogate(c, "given", g, extra, keepers) for g in given), _by_sound(c, "family", family)])
+        parts, given = _parts(value), _given(value)
+        family = max((i for i, x in enumerate(parts) if _is_word(x)), default=len(parts) - 1)
+        for i, x in enumerate(parts):
+            if re.fullmatch(_INITIAL, x) or (len(x) == 1 and x.isupper()):
+                parts[i] = c.recode("initial", x, [_alphabet(y) for y in x])
+            elif i == family:
+                parts[i] = _by_sound(c, "family", x)
+            elif x in given:
+                parts[i] = surrogate(c, "given", x, extra, keepers)
+        return "".join(parts)
     return c.recode(kind, value, [_alphabet(x) for x in value])
 
 
@@ -206,7 +273,7 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
         group = {"secret": "sv" if m["sv"] is not None else "sw", "name": "nv"}.get(kind, kind)
         value, gender = m[group], ""
         if kind == "name":
-            gender = TITLES.get(m["title"], "n")
+            gender = next((g for t in re.findall(_TITLE, m["title"]) if (g := TITLES[t]) != "n"), "n")
         if not _holds(kind, value):
             at = m.start() + 1  # what it ran over may be something else
             continue
@@ -231,12 +298,12 @@ def name_keepers(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cipher(key)
         for batch in batches:
-            found = {(g, w) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name" for w in v.split(" ")[:-1]}
+            found = {(g, w) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name" for w in _given(v)}
             if found:
                 rows = [(g, listed(c, v, g), v) for g, v in found]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["gender", "stand_in", "value"])
 
-    titled = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("(?:" + "|".join(TITLES) + r")\.? \p{Lu}"))
+    titled = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(_TITLE + "[. ]"))
     names = titled.mapInArrow(run, "gender string, stand_in string, value string")
     return names.groupBy("gender", "stand_in").agg(F.min("value").alias("value"))
 
