@@ -190,7 +190,7 @@ def _unit_pairs(met: DataFrame) -> DataFrame:
             for k in range(0, len(rows), 64):
                 s = slice(k, k + 64)
                 one = (lo[s, None] == hi[None]) & (hi[s, None] == lo[None])
-                ok = (unit[s, None] <= unit[None]) & ~one & (100 * small[None] <= 10000 // PERCENT * large[s, None] + 100) & (100 * small[s, None] <= 10000 // PERCENT * large[None] + 100)
+                ok = (unit[s, None] <= unit[None]) & ~one & (PERCENT * small[None] <= 100 * large[s, None]) & (PERCENT * small[s, None] <= 100 * large[None])
                 x, y = np.nonzero(ok)
                 near = ~(alone[x + k] & alone[y])
                 for t in np.array_split(np.flatnonzero(~near), 1 + len(near) // 65536):

@@ -103,6 +103,18 @@ def test_neardup_large_group(spark):
     assert got == label
 
 
+def test_neardup_size_bound(spark):
+    """Units whose smaller set is exactly three quarters of the larger may link, either way round."""
+    rows, want = [], set()
+    for k, (a, b, may) in enumerate([(303, 404, True), (306, 408, True), (900, 1200, True), (1500, 2000, True), (1500, 2001, False), (302, 404, False), (3, 4, True), (2, 3, False)]):
+        for turn, sizes in enumerate([(a, b), (b, a)]):
+            key = 2 * k + turn
+            rows += [(key, 10 * key + j, 10 * key + j, 10 * key + j, n, n, None) for j, n in enumerate(sizes)]
+            want |= {(10 * key, 10 * key + 1)} if may else set()
+    met = spark.createDataFrame(rows, "key bigint, unit bigint, lo bigint, hi bigint, small bigint, large bigint, sig binary")
+    assert {(r.a, r.b) for r in neardup._unit_pairs(met).collect()} == want
+
+
 def test_neardup_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id bigint, text string")
     got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
