@@ -29,6 +29,7 @@ PER_LANG = 1000
 UNKNOWN = "und"
 CACHE = 16384
 MIN_SCORE = 0.1
+MIN_TRIGRAMS = 30
 _FOLD: np.ndarray | None = None
 
 
@@ -164,8 +165,8 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in one of the languages: not ``und`` and with
-    a cosine of ``min_score`` or more."""
+    """The rows of ``docs``, all columns, whose text is in one of the languages: not ``und`` and, from
+    MIN_TRIGRAMS on, with a cosine of ``min_score`` or more: fewer can't reach a prototype's direction."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,8 @@ def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE
             keys = trigram_keys(text) if text else ()
             if not len(keys) or not p.langs:
                 return False
+            if len(keys) < MIN_TRIGRAMS:
+                return True
             v = bundle(space, keys)
             return float((p.matrix @ v).max()) >= min_score * float(np.linalg.norm(v))
 

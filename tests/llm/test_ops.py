@@ -484,6 +484,15 @@ def test_langid(spark, empty):
     assert none.langs == [] and {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_short_texts_of_a_learned_language_stay(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = langid.train(d)
+    rows = [(1, "Avec."), (2, "Osrañ."), (3, "A."), (4, "A.\nAll rights reserved."), (5, "123"), (6, None), (7, "Съешь же ещё этих мягких французских булок, да выпей чаю " * 3)]
+    got = langid.keep_known(spark.createDataFrame(rows, "doc_id bigint, text string"), p).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4}
+    assert langid.keep_known(d, p).count() == d.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
