@@ -208,3 +208,12 @@ def test_correlate(spark):
     back = spark.createDataFrame([(1, "2024-01-01 00:00:30"), (1, "2024-01-01 00:00:10"), (2, "2024-01-01 00:01:01")], "id int, g string").select("id", F.col("g").cast("timestamp").alias("got"))
     out = {r.id: (r.timed_out, r.answered and r.answered.second) for r in market.correlate(sent, back, "id", "sent", "got").collect()}
     assert out == {1: (False, 10), 2: (True, None), 3: (True, None)}
+
+
+def test_tickers_of_every_supplier(spark, tmp_path):
+    from quillmark.plans import wide
+
+    keys = [7, 99999, 100000, 300001, 600001, 830001, 1234567]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.s_suppkey: (r.ticker, r.market) for r in wide.x12(spark, str(tmp_path)).collect()}
+    assert got == {7: ("00007", "HK"), 99999: ("99999", "HK"), 100000: ("100000", None), 300001: ("300001", "SZ"), 600001: ("600001", "SH"), 830001: ("830001", "BJ"), 1234567: ("1234567", None)}
