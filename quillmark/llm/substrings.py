@@ -9,8 +9,9 @@ windows that share one form an entry.  Three passes read the blocks:
 2. a block sends, for windows of returned minimizers only, 128-bit window hashes with their first
    place in the block; the index finds each window's first place in the corpus, and returns it
    where that is earlier;
-3. a document is parsed greedily: at each word the longest factor whose windows continue at
-   consecutive places of one earlier source.  A factor of 20 words or more is a duplicate span.
+3. a document is parsed into factors: runs of windows whose first places in the corpus follow each
+   other in one source.  No longer match in a later source is sought, so a copy of a text that is
+   partly older makes several factors; the words they cover are the same.  A factor of 20 words or more is a duplicate span.
    Where a factor ends, the windows across the boundary are looked up as well, since a repeat may
    begin inside the factor before it.
 
@@ -256,7 +257,7 @@ def _sources(blocks: DataFrame, returned: DataFrame, buckets: int, window: int,
 
 
 def parse(sourced: np.ndarray, src_doc: np.ndarray, src_start: np.ndarray, n_words: int, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, end, source doc, source start) of one document, of ``window`` words
+    """Factors (start, end, source doc, source start) of one document, of ``window`` words
     or more.  ``sourced`` marks window starts that have an earlier source.
 
     A factor runs while its windows continue in its source; the window after it, if it has a
