@@ -3,7 +3,8 @@
 A conversation's turns, in order, are rendered under a template whose control strings are escaped
 inside texts.  Where a budget is given, prefix sums of turn sizes choose spans aligned to turns:
 each window repeats the system turn and up to ``history`` of the budget of turns before it, and
-targets that an earlier window has shown are masked.  Without a budget there is one window.
+targets that an earlier window has shown are masked.  Without a budget there is one window.  The
+query's budget is ``BUDGET`` tokens; a turn's size is its rendered text's tokens, taken by itself.
 
 Escaping: an escape sign U+001B is put after the first character of every control string and after
 every escape sign, so no control string is left in a text and one removal of the signs inverts it.
@@ -21,12 +22,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packing
+from . import vectext as V
 from .tables import table
 
 BEGIN, END = "<s>", "</s>"
@@ -34,6 +37,7 @@ OPEN, CLOSE = "[TURN]", "[/TURN]"
 CONTROL = (BEGIN, END, OPEN, CLOSE, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESC = "\x1b"
 TARGET = "assistant"
+BUDGET = 4096
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL) + "|" + ESC)
 _ESCAPED = re.compile(f"(?s)(.){ESC}")
 
@@ -88,15 +92,19 @@ def windows(sizes: list[int], fixed: int, budget: int, history: float) -> Iterat
         new = end
 
 
-def format_conversation(turns: Iterable[tuple[str, str]], budget: int | None = None, history: float = 0.25) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(formatted, loss spans as character ranges) of each window of a conversation."""
+def _windowed(turns: Iterable[tuple[str, str]], budget: int | None, history: float, sizes: Callable[[list[str]], list[int]]) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """(formatted, loss spans as character ranges, leading turns that repeat) of each window."""
     rows = [(r or "", t or "") for r, t in turns]
     made = [render_turn(*r) for r in rows]
     lead = bool(budget) and bool(rows) and rows[0][0] == "system"
     fixed = made[0][0] if lead else ""
     body = made[lead:]
     roles = [r for r, _ in rows][lead:]
-    spans = [(0, 0, len(body))] if budget is None else windows([len(m[0]) for m in body], len(BEGIN) + len(fixed), budget, history)
+    if budget is None or not body:
+        spans = [(0, 0, len(body))]
+    else:
+        head, *size = sizes([BEGIN + fixed, *(m[0] for m in body)])
+        spans = windows(size, head, budget, history)
     for back, new, end in spans:
         text, loss = [BEGIN, fixed], []
         at = len(BEGIN) + len(fixed)
@@ -105,22 +113,43 @@ def format_conversation(turns: Iterable[tuple[str, str]], budget: int | None = N
                 loss.append((at + body[k][1], at + body[k][2]))
             text.append(body[k][0])
             at += len(body[k][0])
-        yield "".join(text), loss
+        yield "".join(text), loss, (lead + new - back if new else 0)
+
+
+def format_conversation(turns: Iterable[tuple[str, str]], budget: int | None = None, history: float = 0.25) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(formatted, loss spans as character ranges) of each window; the budget is in characters."""
+    for text, loss, _ in _windowed(turns, budget, history, lambda texts: [len(t) for t in texts]):
+        yield text, loss
+
+
+def token_sizes(path: str) -> Callable[[list[str]], list[int]]:
+    """The number of tokens of each text."""
+    enc = packing._ENCODERS.get(path) or packing._ENCODERS.setdefault(path, packing.WordEncoder(path))
+
+    def sizes(texts: list[str]) -> list[int]:
+        raw, offs, _ = V.column(pa.array(texts, pa.string()))
+        return [len(x) for i, j in V.slices(offs, 2 << 20) for x in enc.encode(raw, offs, i, j)]
+
+    return sizes
 
 
 def format_all(conversations: DataFrame, budget: int | None = None, history: float = 0.25) -> DataFrame:
-    """conv_id, window, formatted and loss (array of ranges), one row a window.
+    """conv_id, window, formatted, loss (array of ranges) and repeated (leading turns that an earlier
+    window has shown), one row a window; the budget is in tokens.
 
     Rows are sorted into conversations by the shuffle and streamed through; a task holds one
     conversation's texts at a time."""
-    schema = "conv_id bigint, window int, formatted string, loss array<struct<start:bigint,end:bigint>>"
+    schema = "conv_id bigint, window int, formatted string, loss array<struct<start:bigint,end:bigint>>, repeated int"
+    path = packing.tokenizer_path() if budget else None
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = token_sizes(path) if path else len
+
         def out(conv: int | None, turns: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-            for n, (text, loss) in enumerate(format_conversation(turns, budget, history)):
+            for n, (text, loss, old) in enumerate(_windowed(turns, budget, history, sizes)):
                 spans = [{"start": a, "end": b} for a, b in loss]
-                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([spans], loss_type)], ["conv_id", "window", "formatted", "loss"])
+                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([spans], loss_type), pa.array([old], pa.int32())], ["conv_id", "window", "formatted", "loss", "repeated"])
 
         key, turns = None, []
         for batch in batches:
@@ -138,33 +167,45 @@ def format_all(conversations: DataFrame, budget: int | None = None, history: flo
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per window, what reading the formatted text and its mask back gives."""
+    """Per conversation, what reading its windows and their masks back in order gives: new turns once,
+    and the text under the masks.  The windows of one follow each other, as ``format_all`` leaves them."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        sha = None
+
+        def out() -> pa.RecordBatch:
+            row = [conv, n, sha.hexdigest(), chars, under.hexdigest(), size]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
         for batch in batches:
             for k in range(batch.num_rows):
-                text, loss = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                turns, sha, under = parse(text), hashlib.sha256(), hashlib.sha256()
+                own, window, text, loss, old = (batch.column(c)[k].as_py() for c in range(5))
+                if window == 0:
+                    if sha:
+                        yield out()
+                    conv, n, chars, size, sha, under = own, 0, 0, len(BEGIN), hashlib.sha256(), hashlib.sha256()
+                turns = parse(text)[old:]
+                n += len(turns)
                 for role, body in turns:
                     sha.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-                chars = 0
+                size += sum(len(OPEN) + 1 + len(x) for x in text.removeprefix(BEGIN).split(OPEN + " ")[1 + old :])
                 for s in loss:
                     part = unescape(text[s["start"] : s["end"]])
                     chars += len(part)
                     under.update(part.encode("utf-8", "surrogatepass"))
-                row = [batch.column(0)[k].as_py(), len(turns), sha.hexdigest(), chars, under.hexdigest(), len(text)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        if sha:
+            yield out()
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, schema)
+    return formatted.select("conv_id", "window", "formatted", "loss", "repeated").mapInArrow(run, schema)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role"), F.col("text"))
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sign).alias("text"))
-    return digest(format_all(rows.unionByName(extra)))
+    return digest(format_all(rows.unionByName(extra), BUDGET))
 
 
 OP7_SQL = r"""

@@ -405,6 +405,21 @@ def test_chat_rows(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nx\nassistant\nx\n").hexdigest()
 
 
+def test_chat_windows_in_the_query(spark):
+    """Token-budgeted windows, read back, give what one unbounded sequence gives."""
+    rows = [(c, k, "system" if k == 0 and c % 2 else ("user", "assistant")[k % 2], f"turn {k} <s> of words " * (k % 5)) for c in range(4) for k in range(30)]
+    rows += [(9, 0, "system", "alone"), (None, 0, "user", "x"), (10, 0, "user", "long " * 300), (10, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_all(df, 100)
+    held = made.collect()
+    assert sum(r.window > 0 for r in held) > 8 and any(r.repeated > 1 for r in held)
+    sizes = chat.token_sizes(packing.tokenizer_path())
+    for r in held:
+        head, *parts = r.formatted.split("[TURN] ")
+        assert sum(sizes([head, *("[TURN] " + p for p in parts)])) <= 110 or len(parts) - r.repeated == 1
+    assert sorted(map(str, chat.digest(made).collect())) == sorted(map(str, chat.digest(chat.format_all(df)).collect()))
+
+
 def test_quality_counts(spark, docs, empty):
     text = "a  b\na  b\n\n \nx # * $\r\nx # * $\r\nü€ ü€"
     df = docs.drop("extra").unionByName(spark.createDataFrame([(900, text, "", "", 0), (901, "a b c d e " * 3, "", "", 0), (902, "\n\n", "", "", 0), (903, "", "", "", 0)], DOCS))
