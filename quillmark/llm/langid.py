@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .tables import table
+from .tables import modest, table
 
 DIM = 2048
 PER_LANG = 1000
 UNKNOWN = "und"
 CACHE = 16384
+CHUNK = 256
+SCALE = 1 << 20
 MIN_SCORE = 0.1
 MIN_TRIGRAMS = 30
 _FOLD: np.ndarray | None = None
@@ -48,16 +50,16 @@ def _fold() -> np.ndarray:
 def _letter(code: int) -> np.ndarray:
     seed = np.arange(DIM // 64, dtype=V.U) + V.U(code * 1009 + 17)
     bits = np.unpackbits(V.mix(V.mix(seed)).view(np.uint8))
-    return bits.astype(np.float32) * 2 - 1
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 class Space:
-    """Trigram vectors, made when met and kept up to a bound."""
+    """Trigram vectors, made when met and kept, a byte a place, up to a bound."""
 
     def __init__(self) -> None:
         self.at: dict[int, int] = {}
         self.letters: dict[int, np.ndarray] = {}
-        self.vectors = np.empty((CACHE, DIM), dtype=np.float32)
+        self.vectors = np.empty((CACHE, DIM), dtype=np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -66,17 +68,18 @@ class Space:
             self.letters[code] = _letter(code)
         return self.letters[code]
 
-    def rows(self, keys: np.ndarray) -> np.ndarray:
+    def rows(self, keys: list[int]) -> list[int]:
         """Places of up to CACHE trigrams in ``vectors``."""
         at = self.at
-        if len(at) + sum(k not in at for k in keys.tolist()) > CACHE:
+        new = [k for k in keys if k not in at]
+        if len(at) + len(new) > CACHE:
             at.clear()
-        for k in keys.tolist():
-            if k not in at:
-                a, b, c = k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF
-                at[k] = n = len(at)
-                self.vectors[n] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-        return np.array([at[k] for k in keys.tolist()], dtype=np.int64)
+            new = keys
+        for k in new:
+            a, b, c = k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF
+            at[k] = n = len(at)
+            self.vectors[n] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
+        return [at[k] for k in keys]
 
 
 def trigram_keys(text: str) -> np.ndarray:
@@ -94,8 +97,8 @@ def bundle(space: Space, keys: np.ndarray) -> np.ndarray:
     """Sum of the trigrams' vectors."""
     ids, n = np.unique(keys, return_counts=True)
     out = np.zeros(DIM, dtype=np.float32)
-    for i in range(0, len(ids), 4096):
-        out += n[i : i + 4096].astype(np.float32) @ space.vectors[space.rows(ids[i : i + 4096])]
+    for i in range(0, len(ids), CHUNK):
+        out += n[i : i + CHUNK].astype(np.float32) @ space.vectors[space.rows(ids[i : i + CHUNK].tolist())].astype(np.float32)
     return out
 
 
@@ -104,19 +107,28 @@ class Profiles:
         self.langs, self.matrix = langs, matrix
 
 
+def _unit(space: Space, text: str) -> np.ndarray | None:
+    """A text's direction in steps of 1 / SCALE, so that sums are exact in any order."""
+    v = bundle(space, trigram_keys(text))
+    size = float(np.linalg.norm(v))
+    return np.rint(v * (SCALE / size)).astype(np.int64) if size else None
+
+
+def _profiles(sums: dict[str, np.ndarray]) -> Profiles:
+    langs = sorted(sums)
+    if not langs:
+        return Profiles([], np.zeros((0, DIM), np.float32))
+    m = np.stack([sums[x] for x in langs]).astype(np.float64)
+    return Profiles(langs, (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+
+
 def fit(rows: list[tuple[str, str]]) -> Profiles:
     """Unit prototypes of the languages of (text, lang) rows."""
     space, sums = Space(), {}
     for text, lang in rows:
-        v = bundle(space, trigram_keys(text))
-        size = float(np.linalg.norm(v))
-        if size:
-            sums[lang] = sums.get(lang, 0) + v / size
-    langs = sorted(sums)
-    if not langs:
-        return Profiles([], np.zeros((0, DIM), np.float32))
-    m = np.stack([sums[x] for x in langs]).astype(np.float32)
-    return Profiles(langs, m / np.linalg.norm(m, axis=1, keepdims=True))
+        if (v := _unit(space, text)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    return _profiles(sums)
 
 
 def is_held_out(doc_id):
@@ -124,13 +136,31 @@ def is_held_out(doc_id):
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Profiles:
-    """Learn from at most ``per_lang`` rows of each language outside the held-out third, those of
-    smallest hashed id; ranks are cut before the shuffle, and only the chosen texts are read."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).select("doc_id", "lang")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"])
-    return fit([(r.text, r.lang) for r in rows.select("text", "lang", "doc_id").orderBy("lang", "doc_id", "text").toLocalIterator()])
+    """Learn from about ``per_lang`` ids of each language outside the held-out third: those whose hash is
+    under the language's share, one text (the smallest) an id.  Tasks bundle their texts; what
+    comes to the driver is DIM sums a language."""
+    modest(docs.sparkSession)
+    known = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where("lang is not null and text is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
+    many = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = known.join(F.broadcast(many), "lang").where(place * F.col("n") < per_lang)  # a row a language
+    texts = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, sums = Space(), {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (v := _unit(space, text)) is not None:
+                    sums[lang] = sums.get(lang, 0) + v
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM), pa.int32()), pa.array(v, pa.int64())], ["lang", "place", "v"])
+
+    found = texts.mapInArrow(run, "lang string, place int, v bigint").groupBy("lang", "place").agg(F.sum("v").alias("v"))
+    sums: dict[str, np.ndarray] = {}
+    for r in found.collect():
+        sums.setdefault(r.lang, np.zeros(DIM, np.int64))[r.place] = r.v
+    return _profiles(sums)
 
 
 def _codes(text: pa.Array, i: int, j: int) -> list[str | None]:
@@ -183,8 +213,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE
 
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            for k in range(0, batch.num_rows, 512):
-                yield batch.slice(k, 512).filter(pa.array([known(t) for t in text.slice(k, 512).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([known(text[k].as_py()) for k in range(batch.num_rows)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

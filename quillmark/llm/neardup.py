@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .tables import settle, table
+from .tables import scope, settle, table
 
 WORDS = 5
 PERCENT = 75
@@ -43,9 +43,12 @@ _XOR, _MUL = _SEEDS[:N_HASH], _SEEDS[N_HASH:] | U(1)
 #: Agreements of N_HASH minhashes below which a pair is not confirmed: at similarity 0.75 the
 #: mean is 42 with deviation 3.2.
 AGREE = 24
-#: Classes of a hub group of GROUP or more that are compared as one unit.
+#: Classes of a hub group of GROUP or more that are compared as one unit, and their shingles.
 UNIT = 2048
+UNIT_SHINGLES = 1 << 20
 GROUP = 64
+#: Units of a key that one task compares with as many others.
+KEY_UNITS = 1024
 
 
 def _sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -96,9 +99,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [pa.compress(t, codec="zstd", asbytes=True) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            size = [len(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary()), pa.array(size, pa.int32())], ["doc_id", "z", "size"])
+            raw, offs, _ = V.column(batch.column(1))
+            for i, j in V.slices(offs):
+                z = [pa.compress(memoryview(raw[a:b]), codec="zstd", asbytes=True) for a, b in zip(offs[i:j], offs[i + 1 : j + 1])]
+                size = np.diff(offs[i : j + 1]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(z, pa.binary()), pa.array(size)], ["doc_id", "z", "size"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(run, "doc_id bigint, z binary, size int")
@@ -161,59 +166,69 @@ def _keys(classes: DataFrame) -> DataFrame:
     return tensor.select(F.xxhash64("a.band", "a.h", "b.band", "b.h").alias("key"), "id")
 
 
-def _units(ids: DataFrame, best: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, label, unit.  Classes of a large hub group are dealt, by whether they are linked to the
-    hub, into units of about UNIT; every other class is a unit by itself."""
-    own = ids.join(best.select(F.col("v").alias("id"), F.col("u").alias("hub")), "id", "left").join(labels, "id", "left")
-    own = own.select("id", F.coalesce("hub", "id").alias("hub"), F.coalesce("label", "id").alias("label"))
+def _units(ids: DataFrame, sizes: DataFrame, best: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, n_shingles, label, unit.  Classes of a large hub group are dealt, by whether they are linked
+    to the hub, into units of about UNIT and UNIT_SHINGLES; every other class is a unit by itself."""
+    own = ids.join(sizes.select("id", "n_shingles"), "id").join(best.select(F.col("v").alias("id"), F.col("u").alias("hub")), "id", "left").join(labels, "id", "left")
+    own = own.select("id", "n_shingles", F.coalesce("hub", "id").alias("hub"), F.coalesce("label", "id").alias("label"))
     hubs = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
     own = settle(own.join(hubs, "hub", "left").withColumn("linked", F.col("label") == F.coalesce("hub_label", "hub")).drop("hub_label"))
-    size = own.groupBy("hub", "linked").agg(F.count("*").alias("n"))
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / UNIT))
+    size = own.groupBy("hub", "linked").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.greatest(F.col("n") / UNIT, F.col("w") / UNIT_SHINGLES)))
     unit = F.when(F.col("n") >= GROUP, F.xxhash64("hub", "linked", chunk)).otherwise(F.xxhash64(F.lit(-1), "id"))
-    return own.join(size, ["hub", "linked"]).select("id", "label", unit.alias("unit"))
+    return own.join(size, ["hub", "linked"]).select("id", "n_shingles", "label", unit.alias("unit"))
 
 
-def _unit_pairs(met: DataFrame) -> DataFrame:
+def _unit_pairs(met: DataFrame, key_units: int = KEY_UNITS) -> DataFrame:
     """Distinct unit pairs (a, b) that meet in a key and may hold a link between components.
 
     ``met``: key, unit, lo, hi (labels), small, large (set sizes), sig (of a class alone).  A key's
-    units are compared in blocks, so memory follows its units and not their pairs."""
+    units are dealt into blocks of about ``key_units`` and each two blocks are a group of their own, so
+    a hot key is many small tasks; only rows move more than once, never pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
 
         def pairs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            unit, lo, hi, small, large = (np.array([r[c] for r in rows], np.int64) for c in ("unit", "lo", "hi", "small", "large"))
+            unit, lo, hi, small, large, block = (np.array([r[c] for r in rows], np.int64) for c in ("unit", "lo", "hi", "small", "large", "block"))
             alone = np.array([r["sig"] is not None for r in rows])
             sig = np.frombuffer(b"".join(r["sig"] or bytes(N_HASH) for r in rows), np.uint8).reshape(len(rows), N_HASH)
+            within = rows[0]["i"] == rows[0]["j"]
             for k in range(0, len(rows), 64):
                 s = slice(k, k + 64)
                 one = (lo[s, None] == hi[None]) & (hi[s, None] == lo[None])
                 ok = (unit[s, None] <= unit[None]) & ~one & (PERCENT * small[None] <= 100 * large[s, None]) & (PERCENT * small[s, None] <= 100 * large[None])
+                if not within:
+                    ok &= block[s, None] != block[None]
                 x, y = np.nonzero(ok)
                 near = ~(alone[x + k] & alone[y])
                 for t in np.array_split(np.flatnonzero(~near), 1 + len(near) // 65536):
                     near[t] = (sig[x[t] + k] == sig[y[t]]).sum(1) >= AGREE
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 fresh = [p for p in zip(unit[x[near] + k].tolist(), unit[y[near]].tolist()) if p not in seen]
                 if fresh:
                     seen.update(fresh)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], ["a", "b"])
 
-        key, rows = None, []
+        group, rows = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["key"] != key and rows:
+                own = (row["key"], row["i"], row["j"])
+                if own != group and rows:
                     yield from pairs(rows)
                     rows = []
-                key = row["key"]
+                group = own
                 rows.append(row)
         if rows:
             yield from pairs(rows)
 
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    many = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_units)
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / key_units).cast("int")
+    dealt = met.join(many, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit", F.lit(3)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "unit", "lo", "hi", "small", "large", "sig")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -227,9 +242,9 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     ina[ina] = both[ka[ina]] == a[ina]
     inb[inb] = both[kb[inb]] == b[inb]
     ra, ka, rb, kb = ra[ina], ka[ina], rb[inb], kb[inb]
-    for c in range(0, len(both), 4096):
-        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
-        m, n = (ka >= c) & (ka < c + 4096), (kb >= c) & (kb < c + 4096)
+    for c in range(0, len(both), 1024):
+        x, y = np.zeros((len(left), 1024), np.float32), np.zeros((len(right), 1024), np.float32)
+        m, n = (ka >= c) & (ka < c + 1024), (kb >= c) & (kb < c + 1024)
         x[ra[m], ka[m] - c] = 1
         y[rb[n], kb[n] - c] = 1
         out += x @ y.T
@@ -278,14 +293,15 @@ def _link_units(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _meet(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(p, q): the members of unit pairs.  Classes alone that meet one larger unit come to it
-    together, so a unit moves once for up to UNIT / 4 of them."""
+    together, so a unit moves once for up to UNIT / 4 of them or UNIT_SHINGLES."""
     a, b = (members.select(F.col("unit").alias(x), F.col("rows").alias(y)) for x, y in (("a", "p"), ("b", "q")))
-    many = members.select("unit", (F.size("rows") > 1).alias("many"))
-    kind = settle(pairs.join(many.toDF("a", "many_a"), "a").join(many.toDF("b", "many_b"), "b"))
+    many = members.select("unit", (F.col("n") > 1).alias("many"), "w")
+    kind = settle(pairs.join(many.toDF("a", "many_a", "wa"), "a").join(many.toDF("b", "many_b", "wb"), "b"))
     alike = kind.where("many_a = many_b").join(a, "a").join(b, "b").select("p", "q")
-    mixed = kind.where("many_a <> many_b").select(F.when(F.col("many_a"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("many_a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    count = mixed.groupBy("a").agg(F.count("*").alias("n"))
-    share = mixed.join(count, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") * 4 / UNIT)))
+    of = lambda x, y: F.when(F.col("many_a"), F.col(x)).otherwise(F.col(y))
+    mixed = kind.where("many_a <> many_b").select(of("a", "b").alias("a"), of("b", "a").alias("b"), of("wb", "wa").alias("w"))
+    count = mixed.groupBy("a").agg(F.ceil(F.greatest(F.count("*") * 4 / UNIT, F.sum("w") / UNIT_SHINGLES)).alias("shares"))
+    share = mixed.drop("w").join(count, "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares"))
     shares = share.join(b, "b").groupBy("a", "share").agg(F.flatten(F.collect_list("q")).alias("q"))
     return alike.unionByName(shares.join(a, "a").select("p", "q"))
 
@@ -294,6 +310,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     seen = settle(sketches(docs))
     named = seen.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    with scope(docs.sparkSession):
+        labels = settle(_labels(docs, seen, named), outer=True)
+    # A class member's component is its class's; classes are found again by set.
+    where = named.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "id").alias("component"))
+    out = seen.select("doc_id", "n_shingles", "s1", "s2").join(where, ["s1", "s2", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _labels(docs: DataFrame, seen: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, label): the component of each class that has a link."""
     # Classes by their name, so no class's copies meet in a task.
     first = named.select("id").distinct()
     classes = seen.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands").dropDuplicates(["id"])
@@ -307,22 +334,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(confirm(best, packed))
     labels = components(links)
 
-    units = settle(_units(keys.select("id").distinct(), best, labels))
-    tagged = keys.select("key", "id").join(units, "id")
+    units = settle(_units(keys.select("id").distinct(), sizes, best, labels))
+    tagged = keys.select("key", "id").join(units.select("id", "label", "unit"), "id")
     apart = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     met = settle(tagged.select("key", "unit").distinct().join(apart, "key"))
-    rows = units.join(met.select("unit").distinct(), "unit", "left_semi").join(sizes, "id")
+    rows = units.join(met.select("unit").distinct(), "unit", "left_semi").join(sizes.select("id", "sig"), "id")
     about = rows.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
     pairs = settle(_unit_pairs(met.join(about, "unit")))
     if not pairs.isEmpty():
-        members = settle(rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit").agg(F.collect_list(F.struct("id", "label", "sig", "z", "size")).alias("rows")))
-        links = links.union(_link_units(pairs, members))
-        labels = components(links)
-    # A class member's component is its class's; classes are found again by set.
-    where = named.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "id").alias("component"))
-    out = seen.select("doc_id", "n_shingles", "s1", "s2").join(where, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        held = rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit")
+        members = settle(held.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.collect_list(F.struct("id", "label", "sig", "z", "size")).alias("rows")))
+        labels = components(links.union(_link_units(pairs, members)))
+    return labels
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,34 +1,75 @@
-"""Reading the tables and small shared helpers."""
+"""Reading the tables, intermediate tables in the shared folder, and their removal."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: An Arrow batch that goes to Python holds about so many bytes, or a single longer row.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_scopes: list[list[str]] = []
+
+
+def modest(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES, so long texts don't add up in a worker."""
+    held = spark.conf.get(_ARROW_BYTES, None)
+    if not (held and held.isdigit() and int(held) <= BATCH_BYTES):
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which every executor sees.
+def shared_dir(spark: SparkSession, outer: bool = False) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, which every executor sees; it goes when its
+    ``scope`` (the one around that, if ``outer``) ends, and at the latest with the driver's JVM.
 
     Only where that setting is missing (tests on one machine) is one made under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
+    return path
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, on files that
     outlive any executor."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    modest(spark)
+    path = shared_dir(spark, outer) + "/t"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Discards what is settled inside when it ends, so only what was written elsewhere by then
+    stays.  Without a scope, tables stay until the driver's JVM ends, for results are lazy."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            discard(spark, path)

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of text whose words are hashed at once, whatever a text's length.
+HASH_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,18 +64,20 @@ class Words:
         return np.diff(self.bounds)
 
     def hashes(self, base: int = _BASE1) -> np.ndarray:
-        """A mixed 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=U)
-        length = self.ends - self.starts
-        place = np.arange(len(self.data), dtype=np.int64)
-        gap = np.diff(self.starts, append=len(self.data))
-        place = place[self.starts[0] :] - np.repeat(self.starts, gap)
-        value = (self.data[self.starts[0] :].astype(U) + U(1)) * powers(base, int(gap.max()))[place]
-        value[self.space[self.starts[0] :]] = 0
-        inside = np.repeat(length, gap) > place
-        value[~inside] = 0
-        return mix(np.add.reduceat(value, self.starts - self.starts[0]) ^ (length.astype(U) << U(48)))
+        """A mixed 64-bit hash of each word's bytes, made HASH_BYTES at a time."""
+        out, a, n = np.zeros(len(self.starts), dtype=U), 0, len(self.starts)
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + HASH_BYTES, side="right"))))
+            first, last = self.starts[a], self.ends[b - 1]
+            starts, length = self.starts[a:b] - first, self.ends[a:b] - self.starts[a:b]
+            gap = np.diff(starts, append=last - first)
+            place = np.arange(last - first, dtype=np.int64) - np.repeat(starts, gap)
+            value = (self.data[first:last].astype(U) + U(1)) * powers(base, int(gap.max()))[place]
+            value[self.space[first:last]] = 0
+            value[place >= np.repeat(length, gap)] = 0
+            out[a:b] = mix(np.add.reduceat(value, starts) ^ (length.astype(U) << U(48)))
+            a = b
+        return out
 
 
 def column(batch_column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -115,6 +115,16 @@ def test_neardup_size_bound(spark):
     assert {(r.a, r.b) for r in neardup._unit_pairs(met).collect()} == want
 
 
+def test_neardup_hot_key(spark):
+    """A key of many units is compared block by block, and gives the pairs that it gives whole."""
+    rows = [(k, u, u, u, 100 + 7 * u, 100 + 7 * u, None) for k in (1, 2) for u in range(90)]
+    met = spark.createDataFrame(rows, "key bigint, unit bigint, lo bigint, hi bigint, small bigint, large bigint, sig binary")
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if 75 * (100 + 7 * b) <= 100 * (100 + 7 * a)}
+    for size in (1000, 90, 17, 1):
+        got = [(r.a, r.b) for r in neardup._unit_pairs(met, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_neardup_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id bigint, text string")
     got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
