@@ -2,16 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the
 columns of ``documents``; the last returns the packed pieces.  ``run`` writes every stage's rows to the
-shared folder and reads them for the next.  Language ID and packing have no SQL form, so there
+shared folder and reads them for the next; an empty table gives no rows.  Language ID and packing have no SQL form, so there
 is no ORACLE_SQL; tests/llm compares the stages with brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, langid, neardup, packing, pii
-from quillmark.llm.tables import settle, table
+from quillmark.llm.tables import scope, settle, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,9 +23,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies stays."""
+    """The document of smallest id of each group of near copies stays, and of rows equal in id and
+    text one.  Rows without an id belong to no group and stay."""
+    docs = docs.select(*COLUMNS)
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    more = kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(more)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; n_chars follows the new text."""
-    from pyspark.sql import functions as F
-
     out = pii.anonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint")))
     return out.select(*COLUMNS)
 
@@ -50,9 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; a stage's own intermediate tables go when its rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = settle(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope(spark):
+            docs = settle(stage(spark, docs, sf_dir), outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
