@@ -179,6 +179,26 @@ def test_warc(spark, tmp_path):
     assert got["1"].response.type == "revisit" and got["1"].response.refers_to == got["2"].response.id
     assert all(r.request.uri == r.response.uri for r in got.values())
     warc.write(df.limit(0), f"{tmp_path}/e")
+    assert warc.captures(warc.assemble(warc.read(spark, f"{tmp_path}/e"))).count() == 0
+
+
+def test_warc_reads_as_a_stream(spark, tmp_path, monkeypatch):
+    """Files bounded by the bytes of large pages, records above a chunk, several gzip members."""
+    import gzip
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abc \r\n") for _ in range(n))
+    rows = [(k, "u", text(30_000)) for k in range(40)] + [(99, "u", text(100) * 30_000)]
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write(df, f"{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("part-*"))) > 3
+    got = {x.page_id: (x.payload_bytes, x.payload_digest) for x in warc.captures(warc.assemble(warc.read(spark, f"{tmp_path}/w"))).collect()}
+    assert got == {k: (len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows}
+    data = text(5000).encode()
+    assert b"".join(warc._inflate(gzip.compress(data[:2000]) + gzip.compress(data[2000:]), 700)) == data
+    with pytest.raises(ValueError):
+        list(warc._inflate(gzip.compress(data)[:-20]))
 
 
 def test_warc_every_row_is_a_capture(spark, tmp_path):
@@ -465,6 +485,84 @@ def test_quality_model_learns():
     assert ((m.probability(w, w.hashes()) >= 0.5) == np.array([True, False] * 20)).all()
 
 
+def _held_out(half, rows):
+    """(probability, label) of the rows that ``half`` leaves out, under a model of the others."""
+    import pyarrow as pa
+
+    from quillmark.llm import vectext as V
+
+    train, rest = rows[half::2], rows[1 - half :: 2]
+    m = quality.fit([t for t, _ in train], np.array([y for _, y in train]))
+    raw, offs, _ = V.column(pa.array([t for t, _ in rest], pa.large_string()))
+    p = [m.probability(w, w.hashes()) for i, j in V.slices(offs) for w in [V.split(raw, offs, i, j)]]
+    return np.concatenate(p), np.array([y for _, y in rest])
+
+
+def test_quality_is_calibrated(spark):
+    """Two folds over the labels of sf0.01: verdicts, log loss and reliability of rows not learned from."""
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id"))
+    rows = [(r.text, r.quality) for r in rows.collect()]
+    p, y = (np.concatenate(x) for x in zip(_held_out(0, rows), _held_out(1, rows)))
+    share = y.mean()
+    assert ((p >= 0.5) == y).mean() > 0.95
+    assert -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() < 0.5 * -(share * np.log(share) + (1 - share) * np.log(1 - share))
+    assert ((p > 0.01) & (p < 0.99)).mean() > 0.5  # no saturation on so few rows
+    for low, high in ((0, 0.5), (0.5, 0.8), (0.8, 1.01)):
+        k = (p >= low) & (p < high)
+        assert k.sum() < 30 or abs(p[k].mean() - y[k].mean()) < 0.1
+
+
+def test_quality_calibration_converges():
+    r = np.random.default_rng(3)
+    for scale in (1e-3, 1.0, 500.0):  # whatever a score's size
+        z = r.normal(size=4000)
+        y = (r.random(4000) < 1 / (1 + np.exp(-(2 * z + 1)))).astype(int)
+        a, b = quality.calibrate(z * scale, y)
+        assert abs(a * scale - 2) < 0.3 and abs(b - 1) < 0.3
+    a, b = quality.calibrate(np.repeat([-500.0, 500.0], 50), np.repeat([0, 1], 50))
+    assert np.isfinite([a, b]).all() and 0.9 < 1 / (1 + np.exp(-(500 * a + b))) < 1
+    assert quality.calibrate(np.zeros(10), np.array([1] * 9 + [0]))[0] == 0
+    assert quality.calibrate(np.array([3.0, 2.0, 1.0, 0.0]), np.array([0, 0, 1, 1]))[0] == 0  # against the labels
+
+
+def test_quality_train(spark):
+    """Null, repeated and contradicting labels, null texts, and rows in another order."""
+    r = random.Random(7)
+    text = lambda k: " ".join(r.choice(["alpha", "beta", "gamma"] if k % 4 else ["###", "%%%", "buy"]) for _ in range(30))
+    rows = [(k, text(k)) for k in range(120)] + [(200, None), (None, "x y z")]
+    marks = [(k, int(k % 4 > 0)) for k in range(120)]
+    odd = [(3, None), (5, 1), (5, 1), (200, 1), (None, 0), (300, 0), (8, 1)]  # 8 has a 0 as well
+    kind = ("doc_id bigint, text string", "doc_id bigint, quality int")
+    plain = quality.train(spark.createDataFrame(rows, kind[0]), spark.createDataFrame(marks, kind[1]))
+    rows += [rows[9]]
+    r.shuffle(rows)
+    both = marks + odd
+    r.shuffle(both)
+    again = quality.train(spark.createDataFrame(rows, kind[0]).repartition(3), spark.createDataFrame(both, kind[1]))
+    assert np.array_equal(plain.weights, again.weights) and (plain.a, plain.b) == (again.a, again.b)
+    got = {x.doc_id: x.probability >= quality.KEEP_AT for x in quality.score(spark.createDataFrame(rows, kind[0]).where("doc_id < 120"), plain).collect()}
+    assert sum(got[k] == (k % 4 > 0) for k in range(120)) > 115
+    only = quality.train(spark.createDataFrame(rows, kind[0]), spark.createDataFrame([(1, 1), (2, 1)], kind[1]))
+    assert only.a == 1.0 and not only.weights.any()
+
+
+def test_quality_points():
+    """Code point n-grams are told apart by code points, in each row for itself."""
+    import pyarrow as pa
+
+    from quillmark.llm import vectext as V
+
+    texts = ["aé東𝒳z", "", "éa", "東𝒳zaé"]
+    raw, offs, _ = V.column(pa.array(texts))
+    w = V.split(raw, offs, 0, 4)
+    points, bounds = quality._points(w)
+    assert np.diff(bounds).tolist() == [5, 0, 2, 5] and len(set(points.tolist())) == 5
+    found = [(int(row), int(b)) for f, rows, bs in quality._features(w, w.hashes()) if f == 1 for row, b in zip(rows, bs)]
+    assert Counter(row for row, _ in found) == {0: 6, 3: 6}
+    assert len({b for row, b in found if row == 0} & {b for row, b in found if row == 3}) == 1  # 東𝒳z
+
+
 def test_substrings(spark, docs, empty):
     rows = {i: words(t) for i, t, *_ in corpus()}
     first, gone = {}, defaultdict(set)
