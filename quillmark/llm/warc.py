@@ -2,9 +2,11 @@
 assembled by their concurrent-to identifiers into one nested row a capture.
 
 Records are made with SQL functions and written by Spark's text sink, whose line separator is the
-blank line pair that ends a record, so any file system that Spark writes to will do.  A file
-holds a bounded number of records and is compressed as a whole.  Payloads of 1000 bytes or more are kept once: of equal ones
-that of the largest page_id is the response and the others revisit it.
+blank line pair that ends a record, so any file system that Spark writes to will do.  A file is
+compressed as a whole and holds at most ``PER_FILE`` captures, or as many as make up ``FILE_BYTES`` at
+the mean size if these are fewer; it is read as a stream, a record at a time.  Payloads of 1000
+bytes or more are kept once: of equal ones that of the largest page_id is the response and the
+others revisit it.
 
 Every row is a capture of its own.  Record ids come from page_id, payload digest and a number among
 the rows that share both, so they are the same in every attempt; those rows are numbered in one task.
@@ -18,19 +20,20 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import shared_dir, table
+from .tables import settle, shared_dir, table
 
 MIN_REVISIT = 1000
 PER_FILE = 2000
+FILE_BYTES = 32 << 20
 EOL = "\r\n"
 _UUID = "urn:uuid:"
 
@@ -93,28 +96,55 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", this)), *common, ("WARC-Concurrent-To", _uuid("response", this)), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page-id: "), own, F.lit(EOL + "refers-to-page-id: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(EOL + "payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(EOL)),
+        F.concat(F.lit("page-id: "), own, F.lit(EOL)),
     )
-    d.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * PER_FILE).option("compression", "gzip").text(path)
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    each = max(1, min(PER_FILE, int(FILE_BYTES / (mean + 1000))))
+    records = d.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * each).option("compression", "gzip").text(path)
 
 
 _HEAD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def _inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The contents of gzip members, a bounded chunk at a time."""
+    while data:
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            chunk = z.decompress(data, step)
+            data = z.unconsumed_tail
+            if chunk:
+                yield chunk
+            elif not data and not z.eof:
+                raise ValueError("the archive is cut off")
+        data = z.unused_data
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of archives: type, id, concurrent_to, refers_to, uri, digest, payload (the HTTP
     body of responses), payload_sha1, fields (of metadata records)."""
     schema = "type string, id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes bigint, payload_sha1 string, payload binary, fields map<string,string>"
 
     def records(data: bytes) -> Iterator[tuple]:
-        at, end = 0, len(data)
-        while at < end:
-            stop = data.find(b"\r\n\r\n", at)
-            if stop < 0:
-                return
-            head = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEAD.findall(data, data.find(b"\n", at) + 1, stop + 2)}
+        chunks, held, at = _inflate(data), b"", 0
+        while True:
+            while (stop := held.find(b"\r\n\r\n", at)) < 0:
+                chunk = next(chunks, None)
+                if chunk is None:
+                    return
+                held, at = held[at:] + chunk, 0
+            head = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEAD.findall(held, held.find(b"\n", at) + 1, stop + 2)}
             start, size = stop + 4, int(head["content-length"])
-            body, kind = data[start : start + size], head["warc-type"]
+            if len(held) < start + size + 4:
+                more, have = [held[at:]], len(held)
+                while have < start + size + 4 and (chunk := next(chunks, None)) is not None:
+                    more.append(chunk)
+                    have += len(chunk)
+                held, start, at = b"".join(more), start - at, 0
+            body, kind = held[start : start + size], head["warc-type"]
+            if len(body) < size:
+                raise ValueError(f"record {head.get('warc-record-id')} is cut off")
             at = start + size + 4
             payload = fields = None
             if kind in ("response", "revisit"):
@@ -134,7 +164,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, size = [], 0
-                for r in records(gzip.decompress(batch.column(0)[k].as_py())):
+                for r in records(batch.column(0)[k].as_py()):
                     rows.append(r)
                     size += len(r[8] or b"")
                     if size > 4 << 20:
@@ -160,19 +190,33 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
+def captures(assembled: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture.
+
+    Size and digest of a response are those of the payload read; a revisit has those of the response
+    that its WARC-Refers-To names, and that one's page_id."""
+    own = settle(
+        assembled.select(
+            "capture",
+            F.expr("try_cast(metadata.fields['page-id'] as bigint)").alias("page_id"),
+            F.col("response.type").alias("record_type"),
+            F.col("response.payload_bytes").alias("payload_bytes"),
+            F.col("response.payload_sha1").alias("payload_digest"),
+            F.col("response.refers_to").alias("target"),
+        )
+    )
+    responses, revisits = own.where("record_type = 'response'"), own.where("record_type = 'revisit'")
+    named = responses.select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
+    followed = revisits.select("page_id", "record_type", "target").join(named, "target", "left")
+    whole = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    return whole.unionByName(followed.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and size of revisits come from the record they refer to, found by its record id."""
+    """Everything returned is read from the archives."""
     path = shared_dir(spark) + "/archive"
     write(table(spark, sf_dir, "pages"), path)
-    a = assemble(read(spark, path))
-    field = lambda n, kind: F.expr(f"try_cast(metadata.fields['{n}'] as {kind})")
-    return a.select(
-        field("page-id", "bigint").alias("page_id"),
-        field("payload-bytes", "bigint").alias("payload_bytes"),
-        F.coalesce("response.payload_sha1", F.expr("substring(response.digest, 6)")).alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        field("refers-to-page-id", "bigint").alias("refers_to"),
-    )
+    return captures(assemble(read(spark, path)))
 
 
 OP3_SQL = """
