@@ -1,24 +1,31 @@
 """Surrogates for personal data.
 
-Detected kinds: e-mail addresses, IPv4 addresses, payment cards and IBANs (with right check digits;
-other long numbers are none), national numbers in the
-nnn-nn-nnnn form, phone numbers, secrets (``token = "..."`` and the like), and titled names
-(``Mr``, ``Frau``, ``Mme`` and so on, which tell the gender).  Every entity is replaced by a keyed
-surrogate of its own type and format: a digit by a digit, a hex digit by one of its case, a letter by
-a letter of its script and case, a given name by one of its gender, a card keeps its check digit right,
-an address gets a reserved ending.
+Detected kinds: e-mail addresses, IPv4 and IPv6 addresses, payment cards and IBANs (with right check
+digits and an issuer's prefix; other long numbers are none), national numbers in the nnn-nn-nnnn
+form, phone numbers, secrets (``token = "..."`` and the like), titled names (``Mr``, ``Frau``, ``Mme``
+and so on, which tell the gender), and the words of a titled name wherever else they stand in the
+same document.  Every entity is replaced by a keyed surrogate of its own type and format: a digit
+by a digit, a hex digit by one of its case, a letter by a letter of its script and case, a given
+name by a name with its gender's ending, a card keeps its check digit right, an address gets a
+reserved ending.
 
 Digits and letters are replaced by a keyed permutation (a balanced Feistel network of HMAC rounds
 over the entity's alphabet positions), so different entities of one format get different
 surrogates, and one entity gets the same everywhere: distinctness and coreference need no table.
-Family names keep vowels and consonants in their places.  What a permutation can't give, given names
-from a list of the gender, is checked: of the given names that meet in one stand-in, the smallest
-keeps it, and every other has its own permuted letters behind it.  A pass finds the keepers, one a
-listed name, so their table is bounded by the lists.
+What is one entity in several spellings (case of mailboxes and secrets, spacing of phone numbers,
+cards and IBANs, forms of IPv6) is permuted in one normal form.  Names keep vowels and consonants in
+their places; a given name's permuted letters are followed by the ending of its gender, which no
+other gender has.  In each document surrogates are checked against all entities there and against
+each other; one that meets another's is permuted again.
+
+The key comes from the Spark setting ``spark.quillmark.pii.secret``.  Without it a random key is made
+for the session and kept in that setting, so nobody can invert the output, and another session's
+surrogates are others.
 
 Defined cases: a null text stays null; a text without entities comes back unchanged; overlapping
-finds go to the leftmost, then the first kind listed; equal rows get equal texts; other columns of
-``documents`` pass through; an empty table gives no rows.
+finds go to the leftmost, then the first kind listed; the gender of a given name is what a title in
+the document tells, or ``n``; equal rows get equal texts; other columns of ``documents`` pass through;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,27 +33,30 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import ip_address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import modest, table
 
-KEY = b"public demonstration key; a caller gives its own"
+KEY_SETTING = "spark.quillmark.pii.secret"
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "secret", "name")
+_GROUPS = (*KINDS, "ip6")
 DIGITS, HEX, UPPER, LOWER = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Titles by gender: m, f or n (either).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n"}
-NAMES = {
-    "m": "Adam Albin Anton Arlo Bruno Carl Cyrus Dario Emil Felix Gabor Hugo Ivor Janis Karel Leon Marek Nils Oskar Pavel Quentin Rafael Silas Tomas Urban Viktor Walter Xaver Yannick Zeno".split(),
-    "f": "Ada Alma Bianca Clara Dora Edith Flora Greta Hanna Ines Julia Karla Lena Marta Nora Olga Paula Ruth Selma Thea Ursula Vera Wanda Xenia Yvonne Zora".split(),
-    "n": "Alex Billie Casey Dana Eden Finley Gale Harper Indigo Jamie Kim Logan Morgan Noel Parker Quinn Robin Sasha Taylor Val".split(),
-}
+#: Endings that tell a given name's gender, for Latin, Greek and Cyrillic letters.
+ENDINGS = {"f": "aα\u0430", "m": "oο\u043e", "n": "eε\u0435"}
+#: Country codes of one and two digits; all others have three.
+_SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_ISSUER = re.compile(r"4|5[0-9]|6[0-9]|3[04-9]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
 _SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
 
 
@@ -78,11 +88,12 @@ _NAME = rf"(?:{_PARTICLE}*{_WORD}(?:(?:[ ]|(?<=\.)){_PARTICLE}*{_WORD})*|{_UNCAS
 _TITLED = rf"(?<!\w)(?P<title>{_TITLE}(?:(?:\.[ ]?|[ ]){_TITLE}(?!\w))*)(?:\.?[ ]?(?:med|phil|rer|nat|jur|iur|ing|habil|pol|oec|theol|dent|vet|h\.[ ]?c)\.)*(?:\.[ ]?|[ ])(?P<nv>{_NAME})"
 
 _PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
+    r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[^\W_](?:[\w-]{0,62}\.)+[^\W\d_]{2,24}(?![\w-]))
 |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
 |(?P<card>(?<![\w.-])\d{4}(?P<cs>[ -]?)\d{4}(?P=cs)\d{4}(?P=cs)\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}(?P<as>[ -]?)\d{6}(?P=as)\d{5}(?![\w-]))
 |(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
 |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
+|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{6,39}(?![\w:]))
 |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[.-]?\d{2,4}|[ ](?!(?:\d{1,3}\.){3}\d{1,3}(?![\w.]))\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))
 |(?P<secret>(?<!\w)(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
 |(?P<name>"""
@@ -91,7 +102,7 @@ _PATTERN = re.compile(
     re.X,
 )
 #: What every find holds, from the same parts as the pattern.
-_MAY = re.compile(rf"[@0-9]|(?i:token|secret|passw|key|auth|bearer)|(?<!\w)(?:(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{{16}}|{_TITLE}[. ])")
+_MAY = re.compile(rf"[@0-9]|::|(?i:token|secret|passw|key|auth|bearer)|(?<!\w)(?:(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{{16}}|{_TITLE}[. ])")
 
 
 _RANGES = ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x4E00, 0x9FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x5D0, 0x5EA), (0x627, 0x64A))
@@ -127,8 +138,8 @@ def _sort(c: str) -> tuple[str, bool]:
 class Cipher:
     """Keyed permutations of mixed-radix numbers."""
 
-    def __init__(self, key: bytes = KEY):
-        self.key = key
+    def __init__(self, key: bytes, turn: int = 0):
+        self.key = key + b"\x1e%d" % turn if turn else key
 
     def number(self, *parts: object) -> int:
         return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
@@ -173,11 +184,6 @@ def _luhn_ok(digits: str) -> bool:
     return len(digits) > 1 and _luhn(digits[:-1]) == int(digits[-1])
 
 
-def listed(c: Cipher, given: str, gender: str) -> str:
-    """The listed name that a given name meets."""
-    return NAMES[gender][c.number("given", gender, given) % len(NAMES[gender])]
-
-
 def _by_sound(c: Cipher, tag: str, name: str) -> str:
     return c.recode(tag, name, [next((a for a in _SOUNDS if x in a), _alphabet(x)) for x in name])
 
@@ -190,12 +196,36 @@ def _iban_rest(value: str) -> int:
 def _holds(kind: str, value: str) -> bool:
     """Whether a find is what it looks like: check digits of cards and IBANs, digits of a phone number."""
     if kind == "card":
-        return _luhn_ok("".join(x for x in value if x.isdigit()))
+        digits = "".join(x for x in value if x.isdigit())
+        return bool(_ISSUER.match(digits)) and _luhn_ok(digits)
     if kind == "iban":
         return _iban_rest(value) == 1
+    if kind == "ip6":
+        try:
+            return int(ip_address(value)) >> 16 > 0  # an address beyond the first few
+        except ValueError:
+            return False
     return kind != "phone" or 7 <= sum(x.isdigit() for x in value) <= 15
 
 
+def _country(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
+
+
+def normal(kind: str, value: str, gender: str = "") -> tuple[str, str]:
+    """What entities that are spelled apart, but are one, have in common."""
+    if kind in ("card", "iban"):
+        return kind, re.sub(r"[ -]", "", value)
+    if kind == "phone":
+        digits = re.sub(r"\D", "", value)
+        return kind, digits if value[0] == "+" else "1" + digits
+    if kind == "ip" and ":" in value:
+        return kind, ip_address(value).exploded
+    if kind == "email" or (kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)):
+        return kind, value.lower()
+    return kind, f"{value}\x1f{gender}"
+
+
 def _parts(name: str) -> list[str]:
     """Words, particles, initials and the spaces between them."""
     return [x for x in re.split(rf"([ ]|(?<!\w){_PARTICLE}|(?<!\w){_INITIAL})", name) if x]
@@ -205,22 +235,33 @@ def _is_word(x: str) -> bool:
     return len(x) > 1 and not re.fullmatch(rf"{_PARTICLE}|{_INITIAL}|d['’]", x) and not re.fullmatch(_PARTICLE, x + " ")
 
 
-def _given(name: str) -> list[str]:
-    """The given names of a name: its words but the last."""
-    return [x for x in _parts(name) if _is_word(x)][:-1]
+def _ended(c: Cipher, given: str, gender: str) -> str:
+    """Permuted letters and the ending of the gender, where the script has one."""
+    new = _by_sound(c, "given", given)
+    script = next((k for k, x in enumerate((r"[A-Za-z\u00c0-\u024f]", r"[\u0370-\u03ff]", r"[\u0400-\u04ff]")) if re.match(x, given[-1])), None)
+    ending = "" if script is None else ENDINGS[gender][script]
+    return new + (ending.upper() if len(given) > 1 and given.isupper() else ending)
 
 
-def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Container[tuple[str, str]] = ()) -> str:
-    """The stand-in of an entity; ``extra`` is a name's gender, ``keepers`` the (gender, given name)
-    that have a listed name alone."""
+def _last(parts: list[str]) -> int:
+    """Which part is the family name."""
+    return max((i for i, x in enumerate(parts) if _is_word(x)), default=len(parts) - 1)
+
+
+def surrogate(c: Cipher, kind: str, value: str, extra: str = "") -> str:
+    """The stand-in of an entity; ``extra`` is a name's gender."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         # Domains don't tell case; the local part and all labels are recoded, under a reserved ending.
-        host = domain.lower()
+        host = "".join(x.lower() if len(x.lower()) == 1 else x for x in domain)
         new = c.recode("host", host, [_alphabet(x) for x in host])
         low = "".join(x.lower() if len(x.lower()) == 1 else x for x in local)  # one mailbox, however it is cased
         own = c.recode("local", low, [_alphabet(x) for x in low])
         return "".join(y.upper() if x.isupper() and len(y.upper()) == 1 else y for x, y in zip(local, own)) + "@" + new + ".example"
+    if kind == "ip" and ":" in value:
+        parts = c.permute("ip6", list(ip_address(value).packed), [256] * 16)
+        new = str(ip_address(bytes(parts)))
+        return new.upper() if value.isupper() else new
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         return ".".join(map(str, c.permute("ip", parts, [256] * 4)))
@@ -234,31 +275,34 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "", keepers: Contai
             out[i] = x
         return "".join(out)
     if kind == "iban":
-        keep = 2
-        raw = value[:keep] + c.recode("iban", value[keep + 2 :], [_alphabet(x) for x in value[keep + 2 :]])
-        check = 98 - _iban_rest(f"{raw[:keep]}00{raw[keep:]}")
-        return f"{raw[:keep]}{check:02d}{raw[keep:]}"
+        raw = value.replace(" ", "")
+        new = raw[:2] + c.recode("iban", raw[4:], [_alphabet(x) for x in raw[4:]])
+        check = 98 - _iban_rest(f"{new[:2]}00{new[2:]}")
+        signs = iter(f"{new[:2]}{check:02d}{new[2:]}")
+        return "".join(x if x == " " else next(signs) for x in value)
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        skip = country.end() if country else 0
-        return value[:skip] + c.recode("phone" + value[:skip], value[skip:], [DIGITS if x.isdigit() else None for x in value[skip:]])
+        # National digits are permuted under their country; a number without one is taken for code 1's.
+        digits = re.sub(r"\D", "", value)
+        code = _country(digits) if value[0] == "+" else ""
+        new = iter(code + c.recode("phone" + (code or "1"), digits[len(code) :], [DIGITS] * (len(digits) - len(code))))
+        return "".join(next(new) if x.isdigit() else x for x in value)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         new = c.recode("hex", value.lower(), [HEX] * len(value))  # one secret, however it is cased
         return new if value == value.lower() else new.upper()
     if kind == "given":
-        # A name of the list; its own letters, permuted, tell it from others of that stand-in.
-        name = listed(c, value, extra)
-        return name if (extra, value) in keepers else f"{name}-{_by_sound(c, 'given', value)}"
+        return _ended(c, value, extra)
+    if kind == "family":
+        return _by_sound(c, "family", value)
     if kind == "name":
-        parts, given = _parts(value), _given(value)
-        family = max((i for i, x in enumerate(parts) if _is_word(x)), default=len(parts) - 1)
+        parts = _parts(value)
+        family = _last(parts)
         for i, x in enumerate(parts):
             if re.fullmatch(_INITIAL, x) or (len(x) == 1 and x.isupper()):
                 parts[i] = c.recode("initial", x, [_alphabet(y) for y in x])
             elif i == family:
-                parts[i] = _by_sound(c, "family", x)
-            elif x in given:
-                parts[i] = surrogate(c, "given", x, extra, keepers)
+                parts[i] = surrogate(c, "family", x)
+            elif _is_word(x):
+                parts[i] = surrogate(c, "given", x, extra)
         return "".join(parts)
     return c.recode(kind, value, [_alphabet(x) for x in value])
 
@@ -269,7 +313,7 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
         return []
     out, at = [], 0
     while m := _PATTERN.search(text, at):
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
+        kind = m.lastgroup if m.lastgroup in _GROUPS else next(k for k in _GROUPS if m[k] is not None)
         group = {"secret": "sv" if m["sv"] is not None else "sw", "name": "nv"}.get(kind, kind)
         value, gender = m[group], ""
         if kind == "name":
@@ -278,39 +322,78 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
             at = m.start() + 1  # what it ran over may be something else
             continue
         at = m.end()
-        out.append((m.start(group), m.end(group), kind, value, gender))
-    return out
+        out.append((m.start(group), m.end(group), "ip" if kind == "ip6" else kind, value, gender))
+    return _repeats(text, out) if any(x[2] == "name" for x in out) else out
 
 
-def rewrite(c: Cipher, text: str, keepers: Container[tuple[str, str]]) -> tuple[str, Counter]:
+def _repeats(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """The finds, given names with the gender that any title of the document tells, and the places where
+    words of the names stand without a title."""
+    gender, family = {}, set()
+    for *_, kind, value, g in found:
+        if kind == "name":
+            parts = _parts(value)
+            last = _last(parts)
+            family.add(parts[last])
+            for x in parts[:last]:
+                if _is_word(x) and gender.get(x, "n") == "n":
+                    gender[x] = g
+    found = [(a, b, k, v, next((gender[x] for x in _parts(v) if x in gender), g) if k == "name" else g) for a, b, k, v, g in found]
+    words = sorted((x for x in family | set(gender) if len(x) > 2 or not x.isascii()), key=len, reverse=True)
+    if not words:
+        return found
+    taken, out, k = found, list(found), 0
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.end() <= taken[k][0]:
+            out.append((m.start(), m.end(), "family" if m[0] in family else "given", m[0], gender.get(m[0], "")))
+    return sorted(out)
+
+
+def rewrite(c: Cipher, text: str) -> tuple[str, Counter]:
+    """The text with its entities replaced, and how many there were of each kind."""
+    found = detect(text)
+    if not found:
+        return text, Counter()
     out, at, seen = [], 0, Counter()
-    for a, b, kind, value, gender in detect(text):
-        out += [text[at:a], surrogate(c, kind, value, gender, keepers)]
+    mine: dict[tuple[str, str], int] = {}
+    real = {(k, normal(k, v)[1]) for _, _, k, v, _ in found}
+    used: dict[tuple[str, str], tuple[str, str]] = {}
+    for a, b, kind, value, gender in found:
+        own = normal(kind, value, gender)
+        turn = mine.get(own, 0)
+        while True:
+            new = surrogate(Cipher(c.key, turn) if turn else c, kind, value, gender)
+            if own in mine:
+                break
+            # An address can't meet a real one but for its ending, a name's parts are checked as a whole.
+            meets = (kind, normal(kind, new)[1])
+            if turn < 8 and (meets in real or used.get(meets, own) != own):
+                turn += 1
+                continue
+            mine[own], used[meets] = turn, own
+            break
+        out += [text[at:a], new]
         at = b
-        seen[kind] += 1
-    return ("".join([*out, text[at:]]), seen) if at else (text, seen)
-
+        seen["name" if kind in ("given", "family") else kind] += 1
+    return "".join([*out, text[at:]]), seen
 
-def name_keepers(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(gender, stand_in, value): the smallest given name of each listed name, so at most a row a
-    listed name.  Tasks send their own smallest, however many names they hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Cipher(key)
-        for batch in batches:
-            found = {(g, w) for t in batch.column(0).to_pylist() if t for _, _, k, v, g in detect(t) if k == "name" for w in _given(v)}
-            if found:
-                rows = [(g, listed(c, v, g), v) for g, v in found]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], ["gender", "stand_in", "value"])
 
-    titled = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(_TITLE + "[. ]"))
-    names = titled.mapInArrow(run, "gender string, stand_in string, value string")
-    return names.groupBy("gender", "stand_in").agg(F.min("value").alias("value"))
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, made at random and kept there if it has none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
 
 
-def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with text rewritten, and n_pii and one count a kind at the end."""
-    keepers = frozenset((r.gender, r.value) for r in name_keepers(docs, key).collect())  # at most a row a listed name
+def anonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``docs`` with text rewritten, and n_pii and one count a kind at the end; the key is the
+    session's if none is given."""
+    modest(docs.sparkSession)
+    key = key or session_key(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     clash = {c.lower() for c in docs.columns}
     added = [n if n not in clash else f"pii_{n}" for n in ["n_pii", *counts]]
@@ -321,7 +404,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             col = batch.schema.get_field_index("text")
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                made = [(None, Counter()) if t is None else rewrite(c, t, keepers) for t in part.column(col).to_pylist()]
+                made = [(None, Counter()) if t is None else rewrite(c, t) for t in part.column(col).to_pylist()]
                 arrays = [part.column(x) if x != col else pa.array([t for t, _ in made], pa.string()) for x in range(part.num_columns)]
                 arrays.append(pa.array([sum(n.values()) for _, n in made], pa.int64()))
                 arrays += [pa.array([n[kind] for _, n in made], pa.int64()) for kind in KINDS]
