@@ -92,19 +92,16 @@ def windows(sizes: list[int], fixed: int, budget: int, history: float) -> Iterat
         new = end
 
 
-def _windowed(turns: Iterable[tuple[str, str]], budget: int | None, history: float, sizes: Callable[[list[str]], list[int]]) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
-    """(formatted, loss spans as character ranges, leading turns that repeat) of each window."""
-    rows = [(r or "", t or "") for r, t in turns]
-    made = [render_turn(*r) for r in rows]
-    lead = bool(budget) and bool(rows) and rows[0][0] == "system"
+def _windowed(made: list[tuple[str, int, int]], roles: list[str], sizes: list[int] | None, budget: int | None, history: float) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """(formatted, loss spans as character ranges, leading turns that repeat) of each window of
+    rendered turns with their sizes."""
+    lead = bool(budget) and bool(roles) and roles[0] == "system"
     fixed = made[0][0] if lead else ""
-    body = made[lead:]
-    roles = [r for r, _ in rows][lead:]
+    body, roles = made[lead:], roles[lead:]
     if budget is None or not body:
         spans = [(0, 0, len(body))]
     else:
-        head, *size = sizes([BEGIN + fixed, *(m[0] for m in body)])
-        spans = windows(size, head, budget, history)
+        spans = windows(sizes[lead:], sizes[0] if lead else 0, budget, history)
     for back, new, end in spans:
         text, loss = [BEGIN, fixed], []
         at = len(BEGIN) + len(fixed)
@@ -118,7 +115,10 @@ def _windowed(turns: Iterable[tuple[str, str]], budget: int | None, history: flo
 
 def format_conversation(turns: Iterable[tuple[str, str]], budget: int | None = None, history: float = 0.25) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """(formatted, loss spans as character ranges) of each window; the budget is in characters."""
-    for text, loss, _ in _windowed(turns, budget, history, lambda texts: [len(t) for t in texts]):
+    rows = [(r or "", t or "") for r, t in turns]
+    made = [render_turn(*r) for r in rows]
+    room = max(1, budget - len(BEGIN)) if budget else None
+    for text, loss, _ in _windowed(made, [r for r, _ in rows], [len(m[0]) for m in made], room, history):
         yield text, loss
 
 
@@ -144,21 +144,26 @@ def format_all(conversations: DataFrame, budget: int | None = None, history: flo
     loss_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = token_sizes(path) if path else len
+        count = token_sizes(path) if path else None
+        room = max(1, budget - count([BEGIN])[0]) if path else None
 
-        def out(conv: int | None, turns: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-            for n, (text, loss, old) in enumerate(_windowed(turns, budget, history, sizes)):
+        def out(conv: int | None, turns: list[tuple]) -> Iterator[pa.RecordBatch]:
+            made, roles, sizes = map(list, zip(*turns))
+            for n, (text, loss, old) in enumerate(_windowed(made, roles, sizes, room, history)):
                 spans = [{"start": a, "end": b} for a, b in loss]
                 yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([spans], loss_type), pa.array([old], pa.int32())], ["conv_id", "window", "formatted", "loss", "repeated"])
 
         key, turns = None, []
         for batch in batches:
-            for conv, null, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3))):
-                if (conv, null) != key and turns:
+            roles = [r or "" for r in batch.column(2).to_pylist()]
+            made = [render_turn(r, t or "") for r, t in zip(roles, batch.column(3).to_pylist())]
+            sizes = count([m[0] for m in made]) if count else [0] * len(made)  # a batch's turns at once
+            for *own, turn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), zip(made, roles, sizes)):
+                if own != key and turns:
                     yield from out(key[0], turns)
                     turns = []
-                key = (conv, null)
-                turns.append((role, text))
+                key = own
+                turns.append(turn)
         if turns:
             yield from out(key[0], turns)
 
