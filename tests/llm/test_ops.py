@@ -397,11 +397,29 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.scan(empty, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontaminate_in_slices(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(k, corpus()[k][1]) for k in range(12)], "item_id bigint, text string")
-    whole = sorted(decontaminate.scan(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 400)
-    assert sorted(decontaminate.scan(docs, bench).select(decontaminate.scan(docs, bench).columns).collect()) == whole
+def test_decontaminate_large_sets(spark, docs, empty, monkeypatch):
+    """A set that is too large for a broadcast gives the same rows by joins; repeated rows and null ids stay apart."""
+    bench = spark.createDataFrame([(k, corpus()[k][1]) for k in range(60)] + [(1, "one"), (1, None), (None, "one")], "item_id bigint, text string")
+    some = docs.drop("extra").unionByName(spark.createDataFrame([(None, corpus()[3][1], "", "", 0)] * 2 + [(7, corpus()[7][1], "", "", 0)], DOCS))
+    whole = sorted(map(str, decontaminate.scan(some, bench).collect()))
+    kept = sorted(map(str, decontaminate.keep_clean(some, bench).collect()))
+    assert 0 < len(kept) < len(whole)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, decontaminate.scan(some, bench).collect())) == whole
+    assert sorted(map(str, decontaminate.keep_clean(some, bench).collect())) == kept
+    assert decontaminate.scan(empty, bench).count() == 0 and decontaminate.keep_clean(empty, bench).count() == 0
+
+
+def test_decontaminate_sketches():
+    """Whatever three quarters of an item a document holds, it holds what is asked of the sketch."""
+    r = random.Random(9)
+    for n in [*range(1, 70), 127, 128, 129, 500, 1000]:
+        s = np.sort(np.array(r.sample(range(10**9), n), dtype=np.uint64))
+        kind, least, asked = decontaminate.sketch(s)
+        assert 1 <= asked <= len(least) <= n <= 2 << kind and list(least) == list(s[: len(least)])
+        may_miss = n - -(-3 * n // 4)
+        assert len(least) - min(may_miss, len(least)) <= asked or may_miss == 0
+        assert len(least) - may_miss == asked
 
 
 def test_packing(spark, docs, empty):
