@@ -2,13 +2,20 @@
 
 A page is tokenised into blocks of text (runs between block-level tags).  A logistic classifier
 over structural features (tags and class names above the block, link density, words, sentence
-signs, place) gives each block a cost of being content and one of being boilerplate; these are
-the capacities of its terminal edges.  Neighbouring blocks and blocks under one container are
-joined by smoothness edges.  The source side of the minimum cut is the content.
-
-The classifier is fitted to the pages themselves.  No table labels blocks, so landmark elements do:
-on pages with an article or main element, blocks in it are content unless a bad class name or a
-settling container holds them, all others boilerplate.  Each block is learned from as it stands and
+signs, calls to act, place) gives each block a cost of being content and one of being boilerplate;
+these are the capacities of its terminal edges.  Every block is a node: neighbouring blocks and
+successive blocks of one container are joined by smoothness edges.  The source side of the minimum
+cut is the content.  Where the cut leaves nothing of a page, its blocks that no sign speaks
+against are the content.
+
+The cut is found exactly: a node whose terminal edges outweigh its other edges lies on their side in
+every minimum cut, so it is contracted into its terminal, again and again; what is left is cut by
+Dinic's algorithm, component by component.
+
+The classifier is fitted to the pages themselves.  No table labels blocks, so other evidence does: on
+pages with an article or main element, blocks in it are content unless a bad class name, a settling
+container or a call to act speaks against it; blocks outside are boilerplate, and so is, wherever it
+stands, a text that ``REPEATED`` pages of the sample share.  Each block is learned from as it stands and
 with its landmarks hidden, so that its text tells on pages without any; badly named blocks also
 as if inside an article.  The fit is the mode under a normal prior about ``PRIOR``, to the blocks of
 the ``MAX_TRAIN`` page_ids of smallest hash; without landmarks in these it is the prior.
@@ -19,14 +26,16 @@ are joined by a newline.
 
 Defined cases: a null or empty html gives the empty text; unclosed tags end with the page or their
 container; a ``<`` that opens no tag is text; a cut-off tag at the end is dropped; text outside any
-container is judged by the classifier; repeated rows are each extracted; extra columns don't matter.
+container is judged by the classifier; a very long page costs time in proportion to its blocks, but
+for long runs of undecided ones; repeated rows are each extracted; an empty table gives no rows; extra
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from html import unescape
 from math import log1p
 from operator import mul
@@ -36,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import modest, table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video", "xmp"])
@@ -50,6 +59,13 @@ _SIGN = re.compile(
     re.I,
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|prose)(?=$|[\s_-])", re.I)
+#: Short blocks that call to act, mark adverts or introduce a reader's comment.
+_CALL = re.compile(
+    r"^(?:advert\w*|anzeige|publicité|publicidad|sponsored|promoted|ad)\b\s*(?:[:.\-–|]|$)|^[\w.]+(?: \w+)? (?:says|said|wrote|replied|schrieb|sagt|a écrit|dijo)\s*:"
+    r"|\b(?:sign up|subscribe|newsletter|log ?in|sign in|register now|follow us|share this|share on|click here|read more|read also|related (?:articles|posts|stories)|you may also like|accept (?:all )?cookies|uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|leave a (?:comment|reply)|post a comment|\d+ comments?|abonnieren|jetzt anmelden|mehr lesen|inscrivez-vous|abonnez-vous|lire aussi|suscríbete|leer más)\b",
+    re.I,
+)
+CALL_WORDS = 15
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"])
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,22 +73,25 @@ INFINITE = 1e9
 
 #: Prior means of the weights: bias; the page has landmarks; in an article or main element; under a
 #: good class name; under a bad one; share of linked characters outside articles; log of words; ends
-#: like a sentence; heading; list item; copyright sign outside articles.
-PRIOR = {"bias": -1.2, "landmarks": 0.0, "article": 4.0, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5}
+#: like a sentence; heading; list item; copyright sign outside articles; short call to act; table cell.
+PRIOR = {"bias": -1.2, "landmarks": 0.0, "article": 4.0, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5, "call": -7.0, "cell": 0.6}
 NAMES = tuple(PRIOR)
 _PRIOR = tuple(PRIOR.values())
 MAX_TRAIN = 2000
 #: Blocks that the sample counts as, against a prior of variance 1.
 EVIDENCE = 1000.0
+REPEATED = 3
 ADJACENT, SIBLING = 0.6, 0.4
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "article", "good", "bad", "banned", "heading", "item")
+    __slots__ = ("text", "linked", "parent", "article", "good", "bad", "banned", "heading", "item", "cell", "call")
 
-    def __init__(self, text, linked, parent, article, good, bad, banned, heading, item):
+    def __init__(self, text, linked, parent, article, good, bad, banned, heading, item, cell):
         self.text, self.linked, self.parent = text, linked, parent
-        self.article, self.good, self.bad, self.banned, self.heading, self.item = article, good, bad, banned, heading, item
+        self.article, self.good, self.bad, self.banned = article, good, bad, banned
+        self.heading, self.item, self.cell = heading, item, cell
+        self.call = not heading and len(text) < 8 * CALL_WORDS and text.count(" ") < CALL_WORDS and bool(_CALL.search(text))
 
 
 def _marks(tag: str, attrs: str, inherited: tuple) -> tuple:
@@ -86,10 +105,10 @@ def _marks(tag: str, attrs: str, inherited: tuple) -> tuple:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                if _SIGN.search(value):
-                    bad = True
-                elif _GOOD.search(value):
-                    good = True
+                # a name with signs of both kinds tells nothing
+                signs = {(bool(_GOOD.search(x)), bool(_SIGN.search(x))) for x in value.split()}
+                bad = bad or (False, True) in signs
+                good = good or (True, False) in signs
             elif name == "role":
                 banned = banned or value.lower() in _ROLE
                 article = article or value.lower() in ("main", "article")
@@ -103,8 +122,13 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, tuple]] = [("", 0, (False, False, False, False))]
     parts: list[str] = []
+    opened: Counter = Counter()
     linked, in_link, number, at, n = 0, 0, 0, 0, len(html)
 
+    def cut(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -113,7 +137,7 @@ def blocks(html: str) -> list[Block]:
                 tags = [s[0] for s in stack[-4:]]
                 heading = any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags)
                 parent = next((s[1] for s in reversed(stack) if s[0] not in _INLINE and s[0] not in ("p", "li")), 0)
-                out.append(Block(text, linked, parent, *stack[-1][2], heading, "li" in tags))
+                out.append(Block(text, linked, parent, *stack[-1][2], heading, "li" in tags, "td" in tags or "th" in tags))
             parts.clear()
         linked = 0
 
@@ -156,11 +180,11 @@ def blocks(html: str) -> list[Block]:
         if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if any(s[0] == "a" for s in stack[k + 1 :]):
                         in_link = 0
-                    del stack[k:]
+                    cut(k)
                     break
                 if tag in _INLINE and stack[k][0] not in _INLINE:
                     break
@@ -169,10 +193,10 @@ def blocks(html: str) -> list[Block]:
             if tag in ("br", "hr"):
                 flush()
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    cut(k)
                     in_link = 0
                     break
                 if stack[k][0] not in _INLINE:
@@ -181,7 +205,7 @@ def blocks(html: str) -> list[Block]:
             same, stop = _SELF[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in same.split():
-                    del stack[k:]
+                    cut(k)
                     in_link = 0
                     break
                 if stack[k][0] in stop:
@@ -191,6 +215,7 @@ def blocks(html: str) -> list[Block]:
         if attrs.rstrip().endswith("/") and tag not in _CLOSES_P:
             continue
         number += 1
+        opened[tag] += 1
         stack.append((tag, number, _marks(tag, attrs, stack[-1][2])))
     flush()
     return out
@@ -204,15 +229,15 @@ def features(b: Block, landmarks: bool, article: bool, good: bool, bad: bool) ->
     link = 0.0 if article else round(10 * min(1.0, b.linked / max(len(text), 1))) / 10
     words = round(2 * log1p(text.count(" ") + 1)) / 2
     sign = not article and ("©" in text or "all rights reserved" in text.lower())
-    return (1.0, float(landmarks), float(article), float(good), float(bad), link, words, float(text[-1] in ".!?…。！？\"”»"), float(b.heading), float(b.item), float(sign))
+    return (1.0, float(landmarks), float(article), float(good), float(bad), link, words, float(text[-1] in ".!?…。！？\"”»"), float(b.heading), float(b.item), float(sign), float(b.call), float(b.cell))
 
 
-def examples(bs: list[Block]) -> Iterator[tuple[float, ...]]:
-    """(label, features...) of the blocks of a page that has landmarks."""
+def examples(bs: list[Block], shared: Container[str] = ()) -> Iterator[tuple[float, ...]]:
+    """(label, features...) of the blocks of a page that has landmarks; ``shared`` are texts of many pages."""
     if not any(b.article for b in bs):
         return
     for b in bs:
-        content = float(b.article and not b.bad and not b.banned)
+        content = float(b.article and not (b.bad or b.banned or b.call or b.text in shared))
         yield content, *features(b, True, b.article, b.good, b.bad)
         yield content, *features(b, False, False, False, False)
         if b.bad:
@@ -246,91 +271,128 @@ def train(pages: DataFrame) -> tuple[float, ...]:
     if last is None:
         return _PRIOR
 
+    sample = pages.where((key <= last) & F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(F.col("html").cast("string"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = sorted({b.text for b in blocks(batch.column(0)[k].as_py()) if len(b.text) <= 400})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
+
+    # Short texts of the sample that several pages share: fewer than its blocks / REPEATED.
+    again = sample.mapInArrow(texts, "text string").groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+    shared = frozenset(r.text for r in again.collect())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for html in batch.column(0).to_pylist():
-                seen.update(examples(blocks(html)))
+            for k in range(batch.num_rows):
+                seen.update(examples(blocks(batch.column(0)[k].as_py()), shared))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())], ["example", "n"])
 
-    sample = pages.where((key <= last) & F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(F.col("html").cast("string"))
     found = sample.mapInArrow(run, "example array<double>, n bigint").groupBy("example").agg(F.sum("n").alias("n"))
     return fit({tuple(r.example): r.n for r in found.collect()})
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes lie on the source side of a minimum cut (largest such side of equal cuts is
-    not taken: ties go to the sink).  Shortest augmenting paths with residual capacities."""
+    """Which nodes lie on the source side of a minimum cut (ties go to the sink)."""
     n = len(source)
     graph: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
         graph[a][b] = graph[a].get(b, 0) + c
         graph[b][a] = graph[b].get(a, 0) + c
-    left, right = list(source), list(sink)
-    for v in range(n):  # what flows straight through a node
-        f = min(left[v], right[v])
-        left[v] -= f
-        right[v] -= f
+    # What flows straight through a node leaves one terminal edge; where it outweighs the node's
+    # other edges, the node is decided and its edges become terminal edges of its neighbours.
+    pull = [a - z for a, z in zip(source, sink)]
+    side: list[bool | None] = [None] * n
+    weight = [sum(g.values()) for g in graph]
+    queue = deque(range(n))
+    while queue:
+        v = queue.popleft()
+        if side[v] is not None or -weight[v] < pull[v] <= weight[v]:
+            continue
+        side[v] = pull[v] > 0
+        for u, c in graph[v].items():
+            del graph[u][v]
+            pull[u] += c if side[v] else -c
+            weight[u] -= c
+            queue.append(u)
+        graph[v] = {}
+    for v in range(n):
+        if side[v] is None:
+            _cut_component(v, graph, pull, side)
+    return side
+
+
+def _cut_component(start: int, graph: list[dict[int, float]], pull: list[float], side: list[bool | None]) -> None:
+    """Dinic's algorithm over the undecided nodes that ``start`` reaches."""
+    nodes, stack = {start}, [start]
+    while stack:
+        for u in graph[stack.pop()]:
+            if u not in nodes:
+                nodes.add(u)
+                stack.append(u)
+    left = {v: max(pull[v], 0.0) for v in nodes}
+    right = {v: max(-pull[v], 0.0) for v in nodes}
     while True:
-        came: dict[int, int] = {v: -1 for v in range(n) if left[v] > 1e-12}
-        queue, end = deque(came), -1
+        level = {v: 0 for v in nodes if left[v] > 1e-12}
+        queue, open_ = deque(level), False
         while queue:
             v = queue.popleft()
-            if right[v] > 1e-12:
-                end = v
-                break
+            open_ = open_ or right[v] > 1e-12
             for u, c in graph[v].items():
-                if c > 1e-12 and u not in came:
-                    came[u] = v
+                if c > 1e-12 and u not in level:
+                    level[u] = level[v] + 1
                     queue.append(u)
-        if end < 0:
-            return [v in came for v in range(n)]
-        path, v = [], end
-        while came[v] >= 0:
-            path.append((came[v], v))
-            v = came[v]
-        f = min([left[v], right[end], *(graph[a][b] for a, b in path)])
-        left[v] -= f
-        right[end] -= f
-        for a, b in path:
-            graph[a][b] -= f
-            graph[b][a] += f
+        if not open_:
+            for v in nodes:
+                side[v] = v in level
+            return
+        ways = {v: list(graph[v]) for v in level}
+        for root in [v for v in level if level[v] == 0]:
+            while left[root] > 1e-12:  # a path to a node with room, by steps of one level
+                path, v = [], root
+                while right[v] <= 1e-12:
+                    while ways[v] and not (graph[v][ways[v][-1]] > 1e-12 and level.get(ways[v][-1], -1) == level[v] + 1):
+                        ways[v].pop()
+                    if ways[v]:
+                        path.append(v)
+                        v = ways[v][-1]
+                    elif path:
+                        v = path.pop()
+                        ways[v].pop()
+                    else:
+                        break
+                if right[v] <= 1e-12:
+                    break
+                steps = list(zip(path, [*path[1:], v]))
+                f = min([left[root], right[v], *(graph[a][b] for a, b in steps)])
+                left[root] -= f
+                right[v] -= f
+                for a, b in steps:
+                    graph[a][b] -= f
+                    graph[b][a] += f
 
 
 def label(bs: list[Block], weights: tuple[float, ...] = _PRIOR) -> list[bool]:
-    """Content or not, for each block.
-
-    Neighbouring blocks alike in container and verdict of their containers are one node, whose
-    capacities are sums, so a page's graph has a node a region."""
-    node, groups = [], []
-    last = None
-    for b in bs:
-        sign = (b.parent, b.article, b.bad, b.banned, b.good)
-        if sign != last:
-            groups.append([])
-            last = sign
-        node.append(len(groups) - 1)
-        groups[-1].append(b)
-    source, sink = [], []
+    """Content or not, for each block."""
     landmarks = any(b.article for b in bs)
-    for g in groups:
-        a = z = 0.0
-        for b in g:
-            s = sum(map(mul, weights, features(b, landmarks, b.article, b.good, b.bad)))
-            a += max(s, 0.0)
-            z += max(-s, 0.0)
-        source.append(0.0 if g[0].banned else a)
-        sink.append(INFINITE if g[0].banned else z)
-    edges = [(k, k + 1, ADJACENT) for k in range(len(groups) - 1)]
-    by_parent: dict[int, int] = {}
-    for k, g in enumerate(groups):
-        p = g[0].parent
-        if p in by_parent:
-            edges.append((by_parent[p], k, SIBLING))
-        by_parent[p] = k
+    source, sink, edges = [], [], []
+    last: dict[int, int] = {}
+    for k, b in enumerate(bs):
+        s = -INFINITE if b.banned else sum(map(mul, weights, features(b, landmarks, b.article, b.good, b.bad)))
+        source.append(max(s, 0.0))
+        sink.append(max(-s, 0.0))
+        if k:
+            edges.append((k - 1, k, ADJACENT))
+        if b.parent in last:
+            edges.append((last[b.parent], k, SIBLING))
+        last[b.parent] = k
     side = min_cut(source, sink, edges)
-    return [side[k] for k in node]
+    if not any(side):
+        side = [not (b.banned or b.bad or b.call or 2 * b.linked > len(b.text) or "©" in b.text) for b in bs]
+    return side
 
 
 def main_text(html: str | None, weights: tuple[float, ...] = _PRIOR) -> str:
@@ -342,6 +404,7 @@ def main_text(html: str | None, weights: tuple[float, ...] = _PRIOR) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    modest(pages.sparkSession)
     weights = train(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
