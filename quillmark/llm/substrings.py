@@ -6,7 +6,7 @@ windows that share one form an entry.  Three passes read the blocks:
 
 1. each block sends the distinct minimizers it holds; those held twice or more, anywhere, return
    to the blocks that hold them;
-2. a block sends, for windows of returned minimizers only, 128-bit window hashes with their first
+2. a block sends, for windows of returned minimizers only, 96-bit window hashes with their first
    place in the block; the index finds each window's first place in the corpus, and returns it
    where that is earlier;
 3. a document is parsed into factors: runs of windows whose first places in the corpus follow each
@@ -15,13 +15,16 @@ windows that share one form an entry.  Three passes read the blocks:
    Where a factor ends, the windows across the boundary are looked up as well, since a repeat may
    begin inside the factor before it.
 
-A minimizer or window is sent at most once by a block, so a passage that a third of all documents
-hold costs one entry a block.  Every message is a packed column of numbers, dealt into buckets by
-hash; the number of blocks and buckets follows the input's bytes.
+A minimizer or window is a row of two or three numbers, so what moves is in proportion to the text.
+Rows are sorted by hash and streamed: a task keeps the first place of one hash at a time, however
+many blocks hold it.  A block sends each minimizer and window at most once, so a passage that a
+third of all documents hold costs one row a block.  The number of blocks and of partitions follows
+the input's bytes.
 
 Defined cases: a null, empty or word-less text has 0 words and the digest of the empty string;
 texts under 20 words keep every word; of equal rows (same doc_id and text) the first of the block
-order stays; null doc_ids count as smaller than all others; extra columns are ignored.
+order stays; null doc_ids count as smaller than all others; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,16 +43,11 @@ from .tables import settle, table
 WINDOW = 20
 RUN = 8
 BLOCK_BYTES = 4 << 20
+#: Blocks whose messages one partition of the index holds, about.
+BLOCKS_A_PART = 16
 NULL_ID = -(1 << 63)
 U = V.U
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(b: bytes, n: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
+_HIGH = U(0xFFFFFFFF00000000)
 
 
 class Windows:
@@ -92,18 +90,6 @@ class Windows:
         self.doc, self.start = join(doc, np.int64), join(start, np.int64)
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
-
-
-def _groups(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edge[b] < edge[b + 1]:
-            yield b, order[edge[b] : edge[b + 1]]
-
-
 def _block(row: dict) -> tuple[np.ndarray, pa.Array]:
     texts = pa.array(_texts(row), pa.large_binary())
     return np.frombuffer(row["ids"], np.int64), texts
@@ -153,12 +139,52 @@ def to_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
     own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id")
     rows = docs.select(own, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    rows = rows.select(_block_of("doc_id", blocks).alias("block"), "doc_id", "text")
     return rows.repartition(blocks, "block").sortWithinPartitions("block", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _returned(blocks: DataFrame, buckets: int, window: int, run_words: int) -> DataFrame:
-    """(block, minis): for each block, its minimizers that occur twice or more in the corpus."""
+def _block_of(doc, blocks: int):
+    return F.pmod(F.xxhash64(doc, F.lit(9)), F.lit(blocks)).cast("int")
+
+
+def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _by_block(rows: DataFrame, parts: int) -> DataFrame:
+    """(block, packed): the other columns of each block's rows, one after the other, as bytes."""
+    names = rows.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [[] for _ in names]
+
+        def out() -> pa.RecordBatch:
+            data = b"".join(np.concatenate(c).tobytes() for c in held)
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([data], pa.binary())], ["block", "packed"])
+
+        for batch in batches:
+            block, *cols = _numbers(batch)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for a, b in zip(edge[:-1], edge[1:]):
+                if a < b:
+                    if key is not None and block[a] != key:
+                        yield out()
+                        held = [[] for _ in names]
+                    key = int(block[a])
+                    for h, c in zip(held, cols):
+                        h.append(c[a:b])
+        if key is not None:
+            yield out()
+
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "block int, packed binary")
+
+
+def _columns(packed: bytes | None, n: int) -> list[np.ndarray]:
+    return list(np.frombuffer(packed or b"", np.int64).reshape(n, -1))
+
+
+def _returned(blocks: DataFrame, parts: int, window: int, run_words: int) -> DataFrame:
+    """(block, packed): for each block, its minimizers that occur twice or more in the corpus."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,91 +195,86 @@ def _returned(blocks: DataFrame, buckets: int, window: int, run_words: int) -> D
                 fresh = np.ones(len(w.mini), bool)
                 fresh[1:] = (w.mini[1:] != w.mini[:-1]) | (w.held[1:] != w.held[:-1]) | (w.doc[1:] != w.doc[:-1])
                 m, n = np.unique(w.mini[fresh], return_counts=True)
-                bucket = _bucket(m, buckets)
-                cols = [[], [], [], []]
-                for b, at in _groups(bucket, buckets):
-                    for c, v in zip(cols, (b, row["block"], m[at].tobytes(), (n[at] > 1).tobytes())):
-                        c.append(v)
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "block", "minis", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(row["block"] * 2 + (n > 1), pa.int64())], ["h", "tag"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches):
-            m = [np.frombuffer(r["minis"], U) for r in rows]
-            every, two = np.concatenate(m), np.concatenate([np.frombuffer(r["twice"], bool) for r in rows])
-            value, at, n = np.unique(every, return_inverse=True, return_counts=True)
-            hit = n > 1
-            hit[at[two]] = True
-            flag, edge = hit[at], np.cumsum([0, *map(len, m)])
-            block = [r["block"] for r in rows]
-            back = [x[flag[a:b]].tobytes() for x, a, b in zip(m, edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(back, pa.binary())], ["block", "minis"])
-
-    sent = blocks.mapInArrow(send, "bucket int, block int, minis binary, twice binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(find, "block int, minis binary")
-    return found.groupBy("block").agg(F.collect_list("minis").alias("minis"))
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Consecutive rows of one bucket."""
-    key, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["bucket"] != key:
-                yield key, rows
-                rows = []
-            key = row["bucket"]
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
-def _all(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), U)
-
-
-def _sources(blocks: DataFrame, returned: DataFrame, buckets: int, window: int, run_words: int) -> DataFrame:
-    """(block, places): for each bucket of a block's windows sent, the first place in the corpus."""
+        # ``last`` is the final hash so far, ``many`` whether it is known to be held twice, ``wait`` its tag if not
+        last, many, wait = None, False, None
+        for batch in batches:
+            h, tag = _numbers(batch)
+            if not len(h):
+                continue
+            head = np.concatenate([[True], h[1:] != h[:-1]])
+            run = np.cumsum(head) - 1
+            hit = np.bincount(run, weights=tag & 1) + (np.bincount(run) > 1) > 0
+            extra = ()
+            if h[0] == last:
+                if not many:
+                    extra = (wait,)
+                hit[0] = True
+            out = hit[run]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([tag[out] >> 1, np.array([t >> 1 for t in extra], np.int64)]).astype(np.int32)), pa.array(np.concatenate([h[out], np.full(len(extra), last or 0, np.int64)]))], ["block", "h"])
+            last, many, wait = int(h[-1]), bool(hit[-1]), int(tag[-1])
+
+    sent = blocks.mapInArrow(send, "h bigint, tag bigint")
+    found = sent.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(find, "block int, h bigint")
+    return _by_block(found, parts)
+
+
+def _sources(blocks: DataFrame, returned: DataFrame, n: int, parts: int, window: int, run_words: int) -> DataFrame:
+    """(block, packed): for each block's windows that occur earlier elsewhere, hash h1, source doc, and
+    the high half of h2 with the source's start as one number."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 w = Windows(*_block(row), window, run_words)
-                at = _candidates(w, _all(row["minis"]))
+                at = _candidates(w, _columns(row["packed"], 1)[0].view(U))
                 at = at[_heads(w, at)]
-                cols = [[] for _ in range(6)]
-                for b, k in _groups(_bucket(w.h1[at], buckets), buckets):
-                    k = at[k]
-                    for c, v in zip(cols, (b, row["block"], w.h1[k].tobytes(), w.h2[k].tobytes(), _pack(w.ids[w.doc[k]]), _pack(w.start[k].astype(np.int32)))):
-                        c.append(v)
-                kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "block", "h1", "h2", "doc", "start"])
+                mark = (w.h2[at] & _HIGH | w.start[at].astype(U)).view(np.int64)
+                for k in range(0, len(at), 1 << 16):
+                    s = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(w.h1[at[s]].view(np.int64)), pa.array(w.ids[w.doc[at[s]]]), pa.array(mark[s])], ["h1", "doc", "mark"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _runs(batches):
-            size = [len(r["h1"]) // 8 for r in rows]
-            h1 = np.concatenate([np.frombuffer(r["h1"], U) for r in rows])
-            h2 = np.concatenate([np.frombuffer(r["h2"], U) for r in rows])
-            doc = np.concatenate([_unpack(r["doc"], n, np.int64) for r, n in zip(rows, size)])
-            start = np.concatenate([_unpack(r["start"], n, np.int32) for r, n in zip(rows, size)])
-            order = np.lexsort((start, doc, h2, h1))
-            head = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
-            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            first_doc, first_start = np.empty_like(doc), np.empty_like(start)
-            first_doc[order], first_start[order] = doc[lead], start[lead]
-            own = (first_doc == doc) & (first_start == start)
-            edge = np.cumsum([0, *size])
-            cols = [[] for _ in range(6)]
-            for r, a, b in zip(rows, edge[:-1], edge[1:]):
-                far = ~own[a:b]
-                for c, v in zip(cols, (r["block"], bucket, b - a, np.packbits(far).tobytes(), _pack(first_doc[a:b][far]), _pack(first_start[a:b][far]))):
-                    c.append(v)
-            kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "bucket", "n", "far", "doc", "start"])
-
-    sent = blocks.join(returned, "block").mapInArrow(send, "bucket int, block int, h1 binary, h2 binary, doc binary, start binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(find, "block int, bucket int, n bigint, far binary, doc binary, start binary")
-    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "far", "doc", "start")).alias("places"))
+        last, first = None, {}  # the final h1 so far, and for each high h2 under it its first (doc, mark)
+        for batch in batches:
+            h, doc, mark = _numbers(batch)
+            if not len(h):
+                continue
+            head = np.concatenate([[h[0] != last], h[1:] != h[:-1]])
+            lead = np.flatnonzero(head)
+            run = np.cumsum(head) - 1  # -1: the run goes on from the batch before
+            old = run < 0
+            source = lead[run] if len(lead) else np.zeros(len(h), np.int64)
+            src_doc, src_mark = doc[source], mark[source]
+            own = np.arange(len(h)) == source
+            odd = {-1} if old.any() else set()
+            # two windows of one h1 but another h2, if ever
+            odd |= set(run[~old & ((src_mark ^ mark) >> 32 != 0)].tolist())
+            for r in sorted(odd):
+                known = first if r < 0 else {}
+                at = np.flatnonzero(run == r)
+                if r < 0 and len(known) == 1:
+                    (high, (d, m)), = known.items()
+                    if (mark[at] >> 32 == high).all():
+                        src_doc[at], src_mark[at], own[at] = d, m, False
+                        continue
+                for k in at.tolist():
+                    d, m = known.setdefault(int(mark[k]) >> 32, (int(doc[k]), int(mark[k])))
+                    src_doc[k], src_mark[k], own[k] = d, m, (d, m) == (doc[k], mark[k])
+            if run[-1] >= 0:
+                at = np.flatnonzero(run == run[-1])
+                first = {}
+                for k in (at.tolist() if int(run[-1]) in odd else at[:1].tolist()):
+                    first.setdefault(int(mark[k]) >> 32, (int(doc[k]), int(mark[k])))
+            last = int(h[-1])
+            far = ~own
+            yield pa.RecordBatch.from_arrays([pa.array(c[far]) for c in (doc, h, src_doc, src_mark)], ["doc", "h1", "src", "mark"])
+
+    sent = blocks.join(returned, "block").mapInArrow(send, "h1 bigint, doc bigint, mark bigint")
+    found = sent.repartition(parts, "h1").sortWithinPartitions("h1", "doc", "mark").mapInArrow(find, "doc bigint, h1 bigint, src bigint, mark bigint")
+    return _by_block(found.select(_block_of("doc", n).alias("block"), "h1", "src", "mark"), parts)
 
 
 def parse(sourced: np.ndarray, src_doc: np.ndarray, src_start: np.ndarray, n_words: int, window: int) -> list[tuple[int, int, int, int]]:
@@ -279,11 +300,10 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, -(-total // block_bytes))
-    buckets = max(4, n // 4)  # what four blocks send, each
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCKS_A_PART))
     blocks = settle(to_blocks(docs, n))
-    returned = _returned(blocks, buckets, window, run_words)
-    returned = settle(returned)
-    places = settle(_sources(blocks, returned, buckets, window, run_words))
+    returned = settle(_returned(blocks, parts, window, run_words))
+    places = settle(_sources(blocks, returned, n, parts, window, run_words))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint,source_doc:bigint,source_start:bigint>>, kept_text string, kept_sha256 string"
     span_type = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "source_doc", "source_start")]))
 
@@ -294,18 +314,16 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
                 w = Windows(ids, texts, window, run_words)
                 doc, start = np.zeros(len(w.h1), np.int64), np.zeros(len(w.h1), np.int64)
                 far = np.zeros(len(w.h1), bool)
-                at = _candidates(w, _all(row["minis"]))
+                at = _candidates(w, _columns(row["packed"], 1)[0].view(U))
                 head = _heads(w, at)
                 lead = at[head]
-                sent = {p["bucket"]: p for p in row["places"] or []}
                 first_doc, first_start = w.ids[w.doc[lead]], w.start[lead].copy()
                 moved = np.zeros(len(lead), bool)
-                for b, k in _groups(_bucket(w.h1[lead], buckets), buckets):
-                    p = sent[b]
-                    hit = k[np.unpackbits(np.frombuffer(p["far"], np.uint8), count=p["n"]).astype(bool)]
-                    first_doc[hit] = _unpack(p["doc"], len(hit), np.int64)
-                    first_start[hit] = _unpack(p["start"], len(hit), np.int32)
-                    moved[hit] = True
+                h1, src, mark = _columns(row["places"], 3)
+                k = np.searchsorted(w.h1[lead], h1.view(U))
+                while len(wrong := np.flatnonzero((w.h2[lead[k]] ^ mark.view(U)) & _HIGH)):
+                    k[wrong] += 1  # the next window of that h1
+                first_doc[k], first_start[k], moved[k] = src, mark & 0xFFFFFFFF, True
                 group = np.cumsum(head) - 1
                 doc[at], start[at] = first_doc[group], first_start[group]
                 far[at] = ~head | moved[group]
@@ -332,7 +350,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
                 arrays[4] = arrays[4].cast(pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"])
 
-    whole = blocks.join(returned, "block", "left").join(places, "block", "left")
+    whole = blocks.join(returned, "block", "left").join(places.withColumnRenamed("packed", "places"), "block", "left")
     return whole.mapInArrow(finish, schema)
 
 

@@ -61,3 +61,32 @@ def test_very_long_text(spark):
     assert (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 2, 1)
     out = {x.doc_id: x for x in substrings.find_spans(df).collect()}
     assert (out[1].n_removed, out[2].n_words, out[3].kept_text) == (0, 1, "tail")
+
+
+def test_pipeline_stages_on_edges(spark):
+    """Rows equal in id and text come down to one, rows without an id stay, and an empty table gives no rows."""
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{k}" for k in range(40))
+    own = " ".join(f"v{k}" for k in range(40))
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", None), (None, own, None, None, None), (None, own, None, None, None), (5, None, None, None, None), (6, "", "en", "s", 0)]
+    kept = P.near_dedup(spark, spark.createDataFrame(rows, kind), "")
+    assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "5", "6", "None", "None"]
+    empty = spark.createDataFrame([], kind)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_scopes_drop_what_they_settled(spark):
+    import os
+
+    from quillmark.llm.tables import scope, settle
+
+    where = lambda df: df.inputFiles()[0].removeprefix("file:").rpartition("/t/")[0]
+    with scope(spark):
+        a = settle(spark.range(5))
+        b = settle(a.selectExpr("id + 1 AS id"), outer=True)
+        inner, outer = where(a), where(b)
+        assert os.path.isdir(inner) and os.path.isdir(outer)
+    assert not os.path.exists(inner) and os.path.isdir(outer) and b.count() == 5

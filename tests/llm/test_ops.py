@@ -709,6 +709,29 @@ def test_substrings(spark, docs, empty):
     assert substrings.find_spans(empty).count() == 0
 
 
+def test_substrings_runs_across_batches(spark, docs):
+    """Hashes whose rows fill several Arrow batches, and hashes that agree in one half only."""
+    want = sorted(map(str, substrings.find_spans(docs, block_bytes=600).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert sorted(map(str, substrings.find_spans(docs, block_bytes=600).collect())) == want
+    finally:
+        spark.conf.set(name, held)
+    real = substrings.Windows.__init__
+
+    def poor(self, *a, **k):
+        real(self, *a, **k)
+        self.h1 = self.h1 & substrings.U(0xF)  # h2 alone tells windows apart
+
+    substrings.Windows.__init__ = poor
+    try:
+        assert sorted(map(str, substrings.find_spans(docs, block_bytes=600).collect())) == want
+    finally:
+        substrings.Windows.__init__ = real
+
+
 def test_substrings_lines_of_every_length(spark):
     """A line repeated in one document, and nowhere else."""
     rows, want = [], {}
