@@ -72,16 +72,28 @@ def year_ago(fy: Column, kind: Column) -> Column:
     return tag_label(fy - 1, kind)
 
 
+#: Words that name a period relative to the latest. Fixed values.
+LATEST_WORDS = "最新财报|最新一期|最近一期|最新季报|最新年报|最新的"
+YEAR_AGO_WORDS = "去年同期|同比"
+PREVIOUS_WORDS = "上季度|上一季|环比|前一季"
+LAST_N_WORDS = r"(?:最近|近|过去)(\d+)(?:个季度|期|季)"
+
+
 def relative_intent(query: Column) -> Column:
     """LAST_N, YEAR_AGO, PREVIOUS or LATEST, in that precedence; null if none."""
     return (
-        F.when(query.rlike(r"近\s*([0-9一二两三四五六七八九十]+)\s*(期|个?季度|年)"), "LAST_N")
-        .when(query.rlike("去年同期|同比"), "YEAR_AGO")
-        .when(query.rlike("上季度|上一季|上期|环比"), "PREVIOUS")
-        .when(query.rlike("最新|最近|latest"), "LATEST")
+        F.when(query.rlike(LAST_N_WORDS), "LAST_N")
+        .when(query.rlike(YEAR_AGO_WORDS), "YEAR_AGO")
+        .when(query.rlike(PREVIOUS_WORDS), "PREVIOUS")
+        .when(query.rlike(LATEST_WORDS), "LATEST")
     )
 
 
+def relative_count(query: Column) -> Column:
+    """How many periods a LAST_N query asks for; null for others."""
+    return F.when(query.rlike(LAST_N_WORDS), F.regexp_extract(query, LAST_N_WORDS, 1).cast("int"))
+
+
 def fiscal_quarter(month: Column, fy_end_month: int) -> Column:
     """Fiscal quarter of a calendar month for a year that ends in ``fy_end_month``."""
     return F.floor(F.pmod(month - fy_end_month - 1, F.lit(12)) / 3).cast("int") + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Upper-case words that look like tickers and aren't. Fixed values.
-TICKER_STOP = ["AND", "THE", "FOR", "CEO", "CFO", "USD", "RMB", "HKD", "EPS", "ROE", "ROA", "PE", "PB", "YOY", "QOQ", "FY", "AI"]
+TICKER_STOP = ["Q1", "Q2", "Q3", "Q4", "FY", "H1", "H2", "YOY", "QOQ", "THE", "AND", "FOR", "HOW", "WHAT", "WHY", "CEO", "CFO", "GDP", "EPS", "ROE", "ROA", "PE", "PB", "MAU", "DAU", "ARPU", "GMV"]
 
 
 def count_occurrences(text: Column, needle: Column | str) -> Column:
@@ -91,10 +91,15 @@ def market_of(ticker: Column) -> Column:
 
 
 def tickers_in(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])(\d{5,6}|[A-Z]{2,5})(?![A-Za-z0-9])"), F.lit(1))
+    """Numbers of four to six digits and words of two to five letters, however cased, that may be tickers."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"(?<![A-Z0-9_])(\d{4,6}|[A-Z]{2,5})(?![A-Z0-9_])"), F.lit(1))
     return F.filter(F.array_distinct(found), lambda x: ~x.isin(TICKER_STOP))
 
 
+def first_ticker(text: Column) -> Column:
+    return F.try_element_at(tickers_in(text), F.lit(1))
+
+
 def chinese_year(text: Column) -> Column:
     """二零二五 and 二〇二五 as 2025; other texts null."""
     digits = F.translate(text, "〇零○一二三四五六七八九", "000123456789")

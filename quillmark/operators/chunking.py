@@ -19,13 +19,23 @@ def hash16(*parts: object) -> str:
     return hashlib.sha256("|".join(map(str, parts)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def tokens(text: str) -> int:
-    cjk = sum("一" <= c <= "鿿" for c in text)
-    plain = sum("!" <= c <= "~" for c in text)
-    other = sum(not ("一" <= c <= "鿿") and ord(c) > 127 and not c.isspace() for c in text)
+_KINDS = (re.compile("[一-鿿]+"), re.compile("[!-~]+"), re.compile(r"[^\x00-\x7f一-鿿\s]+"))
+
+
+def counts(text: str) -> tuple[int, int, int]:
+    """CJK characters, ASCII ones that aren't space, and others; they add up over pieces of a text."""
+    cjk, plain, other = (sum(map(len, k.findall(text))) for k in _KINDS)
+    return cjk, plain, other
+
+
+def estimate(cjk: int, plain: int, other: int) -> int:
     return -(-2 * cjk // 3) + plain // 4 + other
 
 
+def tokens(text: str) -> int:
+    return estimate(*counts(text))
+
+
 def sections(text: str) -> Iterator[tuple[str, int, str]]:
     """(breadcrumb, offset, body) of the parts below #..#### headings."""
     path: list[str] = []
@@ -76,49 +86,63 @@ def heading_chunks(text: str, size: int = 512, overlap: int = 64, parent_size: i
 
 
 def fixed_chunks(text: str, size: int = 512) -> Iterator[dict]:
-    """Paragraphs packed to a size."""
-    part, at, place = "", 0, 0
-    for p in [*re.split(r"\n{2,}", text), None]:
-        if part and (p is None or len(part) + len(p) + 2 > size):
+    """Paragraphs packed to a size; ``start`` is where the first stands in the text."""
+    part, at = "", 0
+    gaps = [(0, 0), *(m.span() for m in re.finditer(r"\n{2,}", text)), (len(text), len(text))]
+    for (_, begin), (end, _) in zip(gaps, gaps[1:]):
+        p = text[begin:end]
+        if part and len(part) + len(p) + 2 > size:
             yield {"chunk_id": hash16("fixed", at, part), "parent_id": None, "kind": "text", "header": "", "start": at, "content": part}
             part = ""
-        if p is not None:
-            at = place if not part else at
-            part = f"{part}\n\n{p}" if part else p
-            place += len(p) + 2
+        at = at if part else begin
+        part = f"{part}\n\n{p}" if part else p
+    if part:
+        yield {"chunk_id": hash16("fixed", at, part), "parent_id": None, "kind": "text", "header": "", "start": at, "content": part}
+
+
+def _sum(parts: list[tuple[str, tuple[int, int, int]]]) -> int:
+    """Tokens of units side by side."""
+    return estimate(*map(sum, zip(*(c for _, c in parts)))) if parts else 0
 
 
 def window_chunks(text: str, title: str = "", target: int = 400, most: int = 600, overlap: int = 80) -> Iterator[dict]:
     """Sentence units packed to ``target`` tokens, none above ``most``; a window starts with the last
-    units of the one before, up to ``overlap`` tokens; a short tail joins its neighbour."""
-    units: list[str] = []
+    units of the one before, up to ``overlap`` tokens; a short tail joins its neighbour.
+
+    Each unit is counted once, and counts are added, so time follows the text's length."""
+    units: list[tuple[str, tuple[int, int, int]]] = []
     for u in _UNIT.findall(text):
-        while tokens(u) > most:
-            cut = max(1, len(u) * most // (tokens(u) + 1))
-            units.append(u[:cut])
+        c = counts(u)
+        while (n := estimate(*c)) > most:
+            cut = max(1, len(u) * most // (n + 1))
+            units.append((u[:cut], counts(u[:cut])))
             u = u[cut:]
+            c = counts(u)
         if u.strip():
-            units.append(u)
-    windows: list[list[str]] = []
-    cur: list[str] = []
+            units.append((u, c))
+    windows: list[list[tuple[str, tuple[int, int, int]]]] = []
+    cur: list[tuple[str, tuple[int, int, int]]] = []
+    held = (0, 0, 0)
     for u in units:
-        if cur and tokens("".join(cur)) + tokens(u) > target:
+        if cur and estimate(*held) + estimate(*u[1]) > target:
             windows.append(cur)
-            back: list[str] = []
+            back: list[tuple[str, tuple[int, int, int]]] = []
             for x in reversed(cur):
-                if tokens("".join([x, *back])) > overlap:
+                if _sum([x, *back]) > overlap:
                     break
                 back.insert(0, x)
-            cur = back if tokens("".join(back)) + tokens(u) <= most else []
+            cur = back if _sum(back) + estimate(*u[1]) <= most else []
+            held = tuple(map(sum, zip((0, 0, 0), *(c for _, c in cur))))
         cur = [*cur, u]
+        held = tuple(map(sum, zip(held, u[1])))
     if cur:
-        if windows and tokens("".join(cur)) < max(50, target // 3) and tokens("".join(windows[-1] + cur)) <= most:
+        if windows and _sum(cur) < max(50, target // 3) and _sum(windows[-1] + cur) <= most:
             windows[-1] = windows[-1] + cur
         else:
             windows.append(cur)
     head = f"Section: {title}\n" if title else ""
     for n, w in enumerate(windows):
-        body = head + "".join(w).strip()
+        body = head + "".join(u for u, _ in w).strip()
         yield {"chunk_id": hash16("window", title, n, body), "parent_id": None, "kind": "text", "header": title, "start": n, "content": body}
 
 
@@ -134,13 +158,22 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str = "HEADING"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made, size = [[] for _ in range(10)], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(made[0], batch.schema.field(0).type), *(pa.array(c, k) for c, k in zip(made[1:], kinds))], [id_col, *names])
+
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = list(f(text or "", **options))
-                if not rows:
-                    continue
                 ids = [r["chunk_id"] for r in rows]
-                cols = [list(range(len(rows))), *([r[k] for r in rows] for k in names[1:7]), [None, *ids[:-1]], [*ids[1:], None]]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), batch.schema.field(0).type), *(pa.array(c, k) for c, k in zip(cols, kinds))], [id_col, *names])
+                for c, v in zip(made, ([own] * len(rows), range(len(rows)), *([r[k] for r in rows] for k in names[1:7]), [None, *ids[:-1]] if ids else [], [*ids[1:], None] if ids else [])):
+                    c.extend(v)
+                size += len(text or "")
+                if size > 4 << 20:
+                    yield out()
+                    made, size = [[] for _ in range(10)], 0
+            if made[0]:
+                yield out()
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index int, chunk_id string, parent_id string, kind string, header string, start bigint, content string, prev_id string, next_id string"
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)

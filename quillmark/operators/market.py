@@ -62,9 +62,11 @@ def streaks(events: DataFrame, key: str, order: list[str], sign: str, least: int
 
 def adjust(prices: DataFrame, factors: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Price times the product of the factors that take effect later (forward adjustment)."""
-    f = factors.select(key, F.col(time).alias("_t"), F.log("factor").alias("_f"))
-    s = prices.join(f, (prices[key] == f[key]) & (f["_t"] > prices[time]), "left").drop(f[key])
-    return s.groupBy(*prices.columns).agg(F.exp(F.coalesce(F.sum("_f"), F.lit(0.0))).alias("_m")).withColumn(value, F.col(value) * F.col("_m")).drop("_m")
+    rows = prices.select(F.col(key).alias("_id"), F.col(time).alias("_t"), F.lit(None).cast("double").alias("_f"), F.struct(*prices.columns).alias("_row"))
+    marks = factors.select(F.col(key).alias("_id"), F.col(time).alias("_t"), F.log("factor").alias("_f"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    later = Window.partitionBy("_id").orderBy(F.col("_t").desc(), F.col("_f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.unionByName(marks).withColumn("_m", F.exp(F.coalesce(F.sum("_f").over(later), F.lit(0.0)))).where("_row is not null").select("_row.*", "_m")
+    return seen.withColumn(value, F.col(value) * F.col("_m")).drop("_m")
 
 
 def convert(df: DataFrame, rates: DataFrame, amount: str, source: str, target: str, default: float = 1.0) -> DataFrame:
@@ -119,8 +121,13 @@ def members(edges: DataFrame, parents: DataFrame, children: DataFrame, parent: s
 
 
 def correlate(requests: DataFrame, results: DataFrame, request_id: str, sent: str, got: str, seconds: int = 60) -> DataFrame:
-    """Each request with its first result inside the time allowed; ``timed_out`` where none came."""
-    late = F.col(sent) + F.make_dt_interval(secs=F.lit(seconds))
-    r = requests.join(results, request_id, "left")
-    best = F.min(F.when((F.col(got) >= F.col(sent)) & (F.col(got) <= late), F.col(got)))
-    return r.groupBy(*requests.columns).agg(best.alias("answered")).withColumn("timed_out", F.col("answered").isNull())
+    """Each request with its first result inside the time allowed; ``timed_out`` where none came.
+
+    Requests and results of an id are put in order once, and each request sees the next result, so equal
+    requests stay apart and an id's rows are never multiplied."""
+    asked = requests.select(F.col(request_id).alias("_id"), F.col(sent).alias("_at"), F.lit(None).cast(results.schema[got].dataType).alias("_got"), F.struct(*requests.columns).alias("_row"))
+    came = results.select(F.col(request_id).alias("_id"), F.col(got).alias("_at"), F.col(got).alias("_got"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    ahead = Window.partitionBy("_id").orderBy("_at", F.col("_got").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    seen = asked.unionByName(came).withColumn("_next", F.first("_got", ignorenulls=True).over(ahead)).where("_row is not null").select("_row.*", "_next")
+    answered = F.when(F.col("_next") <= F.col(sent) + F.make_dt_interval(secs=F.lit(seconds)), F.col("_next"))
+    return seen.withColumn("answered", answered).drop("_next").withColumn("timed_out", F.col("answered").isNull())

@@ -57,16 +57,30 @@ def trend_summary(trended: DataFrame, keys: list[str], flat: float = 0.0) -> Dat
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_year: str, right_year: str, left_period: str, right_period: str, prefix: str = "b_") -> DataFrame:
     """Best right row for each left row: same period, then same year (FY first), then the last year
-    not later, then the first of all; ``match_kind`` 1 to 4.
-
-    Candidates are the key's rows on the right, one a period, so a key's group is small."""
-    r = right.select(*keys, *(F.col(c).alias(prefix + c) for c in right.columns if c not in keys))
-    ly, ry, lp, rp = F.col(left_year), F.col(prefix + right_year), F.col(left_period), F.col(prefix + right_period)
-    kind = F.when(lp == rp, 1).when(ly == ry, 2).when(ry <= ly, 3).otherwise(4)
-    tie = F.when(kind == 2, F.when(rp.contains("FY"), 0).otherwise(1)).when(kind == 3, -ry).otherwise(ry)
-    best = F.min(F.struct(kind.alias("match_kind"), tie.cast("long").alias("tie"), rp.alias("rp"), F.struct(*(F.col(prefix + c) for c in right.columns if c not in keys)).alias("row")))
-    got = left.join(r, keys, "left").groupBy(*left.columns).agg(best.alias("m"))
-    return got.select(*left.columns, F.when(F.col(f"m.row.{prefix}{right_year}").isNotNull(), F.col("m.match_kind")).alias("match_kind"), "m.row.*")
+    not later, then the first of all; ``match_kind`` 1 to 4, null where the key has none.
+
+    The right side comes down to one row for each key and period, key and year, and key before it meets
+    the left, so left rows, equal ones too, are neither multiplied nor merged, however hot a key."""
+    own = [c for c in right.columns if c not in keys]
+    row = F.struct(*(F.col(c).alias(prefix + c) for c in own)).alias("row")
+    ry, rp = F.col(right_year), F.col(right_period)
+
+    def least(by: list[str], *order: Column) -> DataFrame:
+        return right.groupBy(*by).agg(F.min(F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), row)).alias("m"))
+
+    period = least([*keys, right_period], ry, rp).select(*keys, F.col(right_period).alias("_period"), F.col("m.row").alias("_m1"))
+    year = least([*keys, right_year], F.when(rp.contains("FY"), 0).otherwise(1), rp).select(*keys, F.col(right_year).alias("_year"), F.col("m.row").alias("_m2"))
+    first = least(keys, ry, rp).select(*keys, F.col("m.row").alias("_m4"))
+    # The last year not later: the years asked for among the years there are, in order.
+    there = least([*keys, right_year], rp).select(*keys, F.col(right_year).alias("_year"), F.col("m.row").alias("r"))
+    asked = left.select(*keys, F.col(left_year).alias("_year")).distinct()
+    back = Window.partitionBy(*keys).orderBy("_year").rowsBetween(Window.unboundedPreceding, 0)
+    years = asked.join(there, [*keys, "_year"], "full").withColumn("_m3", F.last("r", ignorenulls=True).over(back)).drop("r")
+    out = left.withColumns({"_period": F.col(left_period), "_year": F.col(left_year)})
+    out = out.join(period, [*keys, "_period"], "left").join(year, [*keys, "_year"], "left").join(years, [*keys, "_year"], "left").join(first, keys, "left")
+    kind = F.when(F.col("_m1").isNotNull(), 1).when(F.col("_m2").isNotNull(), 2).when(F.col("_m3").isNotNull(), 3).when(F.col("_m4").isNotNull(), 4)
+    best = F.coalesce("_m1", "_m2", "_m3", "_m4").alias("best")
+    return out.select(*(out[c] for c in left.columns), kind.alias("match_kind"), best).select(*left.columns, "match_kind", *(F.col(f"best.{prefix}{c}") for c in own))
 
 
 def derive_quarters(facts: DataFrame, keys: list[str]) -> DataFrame:

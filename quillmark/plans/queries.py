@@ -341,9 +341,9 @@ def d12(spark, d):
 # --- market ----------------------------------------------------------------------------------
 
 
-@query("f24_screen", "SELECT p_partkey, p_brand, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 990 AND p_size >= 10 AND p_brand IN ('Brand#1', 'Brand#10', 'Brand#11', 'Brand#12', 'Brand#13')")
+@query("f24_screen", "SELECT p_partkey, p_brand, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_retailprice BETWEEN 905 AND 990 AND p_size >= 10 AND p_brand IN ('Brand#1', 'Brand#10', 'Brand#11', 'Brand#12', 'Brand#13')")
 def f24(spark, d):
-    config = '{"filters": [{"field": "p_retailprice", "min": 950, "max": 990}, {"field": "p_size", "min": 10}, {"field": "p_brand", "in": ["Brand#1", "Brand#10", "Brand#11", "Brand#12", "Brand#13"]}]}'
+    config = '{"filters": [{"field": "p_retailprice", "min": 905, "max": 990}, {"field": "p_size", "min": 10}, {"field": "p_brand", "in": ["Brand#1", "Brand#10", "Brand#11", "Brand#12", "Brand#13"]}]}'
     return market.screen(_t(spark, d, "part"), config).select("p_partkey", "p_brand", _r("p_retailprice").alias("p_retailprice"))
 
 
@@ -378,7 +378,7 @@ def r03s(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # The source takes folders and globs alike, so one pattern fits a file and a folder of parts.
-    out = run_available(spark, f"{d}/events.parque[t]", schema, f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}", ["event_type"], "ts", "value", "event_id")
+    out = run_available(spark, f"{d}/events.parque[t]", schema, f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}", ["event_type"], "ts", "value", "event_id", late="30 days")
     return out.select("event_type", "bar", *(_r(c).alias(c) for c in _BAR_COLS), "n")
 
 

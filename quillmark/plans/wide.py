@@ -205,9 +205,9 @@ def f14(spark, d):
     return _t(spark, d, "orders").where(P.is_quarterly(_quarter())).select("o_orderkey")
 
 
-@query("f23_stock_screen", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 1500 AND p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 40")
+@query("f23_stock_screen", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 905 AND 1500 AND p_size >= 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 40")
 def f23(spark, d):
-    config = {"filters": [{"field": "p_retailprice", "min": 950, "max": 1500}, {"field": "p_size", "min": 10}], "sort": [{"field": "p_retailprice", "desc": True}, {"field": "p_partkey"}], "limit": 40}
+    config = {"filters": [{"field": "p_retailprice", "min": 905, "max": 1500}, {"field": "p_size", "min": 10}], "sort": [{"field": "p_retailprice", "desc": True}, {"field": "p_partkey"}], "limit": 40}
     return market.screen(_t(spark, d, "part"), config).select("p_partkey", "p_retailprice")
 
 
