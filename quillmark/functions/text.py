@@ -125,8 +125,8 @@ def camel_to_snake(name: str) -> str:
 def format_big(x: Column) -> Column:
     """Numbers in 万, 亿 and 万亿, two decimals."""
     a = F.abs(x)
-    show = lambda d, u: F.concat(F.format_number(x / d, "0.00"), F.lit(u))
-    return F.when(a >= 1e12, show(1e12, "万亿")).when(a >= 1e8, show(1e8, "亿")).when(a >= 1e4, show(1e4, "万")).otherwise(F.format_number(x, "0.00"))
+    show = lambda d, u: F.concat(F.format_string("%.2f", x / d), F.lit(u))
+    return F.when(a >= 1e12, show(1e12, "万亿")).when(a >= 1e8, show(1e8, "亿")).when(a >= 1e4, show(1e4, "万")).otherwise(show(1.0, ""))
 
 
 def scale_int(value: Column, pow10: int, decimals: int | None = None) -> Column:

@@ -180,3 +180,32 @@ def context_text(results: DataFrame, group: list[str], order: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*group).orderBy(order))
     rows = results.withColumn("n", n).withColumn("part", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.coalesce("header", F.lit("")), F.lit("\n"), F.col("content")))
     return rows.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+
+
+def recall(df: DataFrame, k: int, id_col: str, keep: Column, factor: int = 3, score: str = "score") -> DataFrame:
+    """The best ``k`` that pass among the best ``factor`` * k: filtering after the search costs recall, not results."""
+    return top(top(df, factor * k, id_col, score).where(keep), k, id_col, score)
+
+
+def vector_filter(ticker: str | None = None, form_type: str | None = None, period: str | None = None, year: int | None = None, first: int | None = None, last: int | None = None) -> Column:
+    """The predicate that goes with a vector search: equalities, and a closed range of years."""
+    ok = F.lit(True)
+    for name, value in (("ticker", ticker), ("form_type", form_type), ("fiscal_period", period), ("fiscal_year", year)):
+        ok = ok & (F.col(name) == value) if value is not None else ok
+    ok = ok & (F.col("fiscal_year") >= first) if first is not None else ok
+    return ok & (F.col("fiscal_year") <= last) if last is not None else ok
+
+
+def guarded(df: DataFrame, domain: str, handler) -> DataFrame:
+    """``handler`` applied in the filing domain only; decided when the plan is built."""
+    return handler(df) if domain == "filing" else df
+
+
+def score_or_parts(score: Column, vector: Column, term: Column) -> Column:
+    """A result's score, or 0.7 of its vector's and 0.3 of its terms' similarity."""
+    return F.coalesce(score, 0.7 * F.coalesce(vector, F.lit(0.0)) + 0.3 * F.coalesce(term, F.lit(0.0)))
+
+
+def rebuild(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``new`` in place of all rows of its keys, so building again changes nothing."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)

@@ -235,3 +235,87 @@ def nearest_left(df: DataFrame, group: list[str], order: str, header: str) -> Da
     """Each column's header, or that of the nearest one to its left that has any."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("header", F.last(header, ignorenulls=True).over(w))
+
+
+def nested_facts(reports: DataFrame, keys: list[str], items: str = "item_list") -> DataFrame:
+    """(keys, field_id, data, yoy) of reports with nested items."""
+    return reports.select(*keys, F.inline_outer(items))
+
+
+def statement_table(reports: DataFrame, structure: list[tuple[int, str]], keys: list[str]) -> DataFrame:
+    """(keys, place, field_id, name, data): every field of the structure, (field_id, name) in order, in every
+    period, null where a report lacks it, so no column slips."""
+    facts = nested_facts(reports, keys).where("field_id is not null")
+    rows = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(i).alias("field_id"), F.lit(n).alias("name")) for k, (i, n) in enumerate(structure)))
+    frame = reports.select(*keys).distinct().select(*keys, F.inline(rows))
+    return frame.join(facts.select(*keys, "field_id", "data"), [*keys, "field_id"], "left").select(*keys, "place", "field_id", "name", "data")
+
+
+def returns_on(net_total: Column, net_owners: Column, assets: Column, equity: Column, factor: Column) -> dict[str, Column]:
+    """Annualised returns in percent: total profit (owners' where there is none) on assets, owners' profit on equity."""
+    on = lambda a, b: F.round(F.try_divide(a * factor, b) * 100, 2)
+    return {"roa": on(F.coalesce(net_total, net_owners), assets), "roe": on(net_owners, equity)}
+
+
+def gross_margin(revenue: Column, cost: Column) -> Column:
+    """(revenue - cost) / revenue in percent."""
+    return F.round(F.try_divide(revenue - cost, revenue) * 100, 2)
+
+
+def cash_conversion(fcf: Column, total: Column, owners: Column) -> Column:
+    """Free cash flow in percent of profit, the owners' where there is no total."""
+    return F.round(F.try_divide(fcf, F.coalesce(total, owners)) * 100, 2)
+
+
+def abs_sum(df: DataFrame, keys: list[str], names: list[str], name: str = "field_id", value: str = "value") -> DataFrame:
+    """Sum of sizes over the named items; null where a key has none of them."""
+    return df.groupBy(*keys).agg(F.sum(F.when(F.col(name).isin(names), F.abs(F.col(value)))).alias("total"))
+
+
+def covered(df: DataFrame, keys: list[str], core: list[str], name: str = "metric", value: str = "value", least: int = 2) -> DataFrame:
+    """Keys with ``least`` core metrics that aren't zero: keys, hits, covered."""
+    hits = F.count_if(F.col(name).isin(core) & (F.coalesce(F.col(value), F.lit(0.0)) != 0))
+    return df.groupBy(*keys).agg(hits.alias("hits")).withColumn("covered", F.col("hits") >= least)
+
+
+def pick_column(columns: list[str], label: str) -> str:
+    """The column of a label, else the first that begins with it."""
+    if label in columns:
+        return label
+    found = [c for c in columns if c.startswith(label)]
+    if not found:
+        raise ValueError(f"no column {label!r} among {columns}")
+    return found[0]
+
+
+def latest_values(facts: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
+    """The value of each key's last period: keys, period, value."""
+    return facts.groupBy(*keys).agg(F.max_by(F.struct(period, value), F.col(period)).alias("x")).select(*keys, "x.*")
+
+
+def with_estimates(actual: DataFrame, estimate: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Actual facts and estimates of one form; NaN is null, and ``kind`` tells them apart."""
+    clean = F.when(~F.isnan(value), F.col(value))
+    both = [df.select(*keys, clean.alias(value), F.lit(kind).alias("kind")) for df, kind in ((actual, "actual"), (estimate, "estimate"))]
+    return both[0].unionByName(both[1])
+
+
+def earnings_metrics(facts: DataFrame, keys: list[str], names: dict[str, str], name: str = "metric", value: str = "value") -> DataFrame:
+    """One row a key: each output column the value of its source metric; liabilities are assets less equity."""
+    of = lambda m: F.first(F.when(F.col(name) == m, F.col(value)), ignorenulls=True)
+    out = facts.groupBy(*keys).agg(*(of(m).alias(c) for c, m in names.items()))
+    if {"total_assets", "shareholders_equity"} <= set(names):
+        out = out.withColumn("total_liabilities", F.col("total_assets") - F.col("shareholders_equity"))
+    return out
+
+
+def column_lookup(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Fields of the first row with the key (the smallest by value), 0 where there is none, as a sheet lookup."""
+    one = right.groupBy(key).agg(*(F.min(f).alias(f) for f in fields))
+    return left.join(one, key, "left").fillna(0, fields)
+
+
+def looks_like_segments(table: Column) -> Column:
+    """A table (array of rows of cells) of three rows or more, 4 to 10 columns, and five numbers of 100 or more."""
+    numbers = F.flatten(F.transform(table, lambda r: F.transform(r, lambda c: F.regexp_extract(F.regexp_replace(c, ",", ""), r"(\d+(?:\.\d+)?)", 1).try_cast("double"))))
+    return (F.size(table) >= 3) & F.size(table[0]).between(4, 10) & (F.size(F.filter(numbers, lambda x: x >= 100)) >= 5)

@@ -99,3 +99,50 @@ def plug(total: Column, buckets: list[Column]) -> Column:
 def checks(w: Column, g: Column, tv_share: Column) -> Column:
     """Names of the failed sanity checks of a DCF."""
     return F.filter(F.array(F.when(g >= w, "growth_not_below_wacc"), F.when(~w.between(0.05, 0.20), "wacc_range"), F.when(tv_share > 0.75, "terminal_share")), lambda x: x.isNotNull())
+
+
+def lbo_grid(df: DataFrame, first: str, second: str, years: int = 5) -> DataFrame:
+    """5 x 5 cells (i, j) of money multiple and IRR about a base case, in closed form: debt follows the entry
+    price, and what is repaid over the hold stays that of the base.
+
+    ``first`` and ``second`` are two of entry (step 1), exit (step 1) and leverage (step 0.1, held in
+    0 to 0.9); columns: entry, exit, leverage, ebitda, exit_ebitda, repaid."""
+    steps = {"entry": 1.0, "exit": 1.0, "leverage": 0.1}
+    at = lambda name, k: F.col(name) + (F.col(k) - 2) * steps[name]
+    cells = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    own = {n: at(n, k) for n, k in ((first, "i"), (second, "j"))}
+    own = {n: F.greatest(F.lit(0.0), F.least(F.lit(0.9), c)) if n == "leverage" else c for n, c in own.items()}
+    entry, exit_, lever = (own.get(n, F.col(n)) for n in ("entry", "exit", "leverage"))
+    price = entry * F.col("ebitda")
+    debt = lever * price
+    moic = F.coalesce(F.try_divide(exit_ * F.col("exit_ebitda") - F.greatest(F.lit(0.0), debt - F.col("repaid")), price - debt), F.lit(0.0))
+    return cells.withColumns({"moic": moic, "irr": F.when(moic > 0, F.pow(moic, 1.0 / years) - 1).otherwise(-1.0)})
+
+
+def multiples(ev: Column, cap: Column, revenue: Column, ebit: Column, earnings: Column) -> dict[str, Column]:
+    """EV / revenue, EV / EBIT and P / E; 0 where there is nothing to divide by."""
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {"ev_revenue": over(ev, revenue), "ev_ebit": over(ev, ebit), "pe": over(cap, earnings)}
+
+
+def dcf_findings(cases: DataFrame) -> DataFrame:
+    """Rows (name, check, level) of a DCF's sanity checks: growth below the rate, the rate inside 5 to 20 %,
+    the terminal share inside 40 to 80 %."""
+    rate = F.when(F.col("growth") >= F.col("wacc"), "error").when(~F.col("wacc").between(0.05, 0.20), "warning").otherwise("info")
+    share = F.try_divide(F.col("pv_terminal"), F.col("ev"))
+    level = F.when(share.isNull(), "info").when((share > 0.80) | (share < 0.40), "warning").otherwise("info")
+    row = lambda name, c: F.struct(F.lit(name).alias("check"), c.alias("level"))
+    return cases.select("name", F.inline(F.array(row("growth_below_wacc", rate), row("terminal_share", level))))
+
+
+def model_audit(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Rows (period, check, gap, ok) of a linked model: the sheet balances, cash ties out, and retained
+    earnings and fixed assets roll forward."""
+    gaps = {
+        "balance": F.col("assets") - F.col("liabilities") - F.col("equity"),
+        "cash": F.col("cash") - F.col("cash_begin") - F.col("net_cash_flow"),
+        "retained": F.col("retained") - F.col("retained_begin") - F.col("net_income") + F.col("dividends"),
+        "fixed_assets": F.col("ppe") - F.col("ppe_begin") - F.col("capex") + F.col("depreciation"),
+    }
+    checks = [F.struct(F.lit(k).alias("check"), v.alias("gap"), (F.abs(v) <= tolerance).alias("ok")) for k, v in gaps.items()]
+    return rows.select("period", F.inline(F.array(*checks)))
