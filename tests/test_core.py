@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
-from quillmark.plans import fixtures, more, queries, wide  # noqa: F401
+from quillmark.plans import endpoints, fixtures, more, queries, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +265,12 @@ def test_stream_bars_equal_batch_bars(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, market.bars(events, *names).collect()))
     (tmp_path / "none").mkdir()
     assert bars.run_available(spark, f"{tmp_path}/none", events.schema, f"{tmp_path}/o2", *names).count() == 0
+
+
+def test_every_endpoint_has_a_shape():
+    from quillmark.operators import endpoints as E
+
+    names = [n for x in (*E.SCAN.values(), E.RANK, E.TIMES, E.SCREEN, E.HIERARCHY, E.CALCULATION) for n in x]
+    assert len(names) == len(set(names)) and all(E.shape(n) for n in names)
+    with pytest.raises(ValueError):
+        E.shape("place_order")
