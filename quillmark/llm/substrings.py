@@ -113,6 +113,12 @@ def _heads(w: Windows, at: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], ~same]) if len(at) else np.zeros(0, bool)
 
 
+def _twins(h1: np.ndarray) -> np.ndarray:
+    """Which of sorted hashes stand there twice."""
+    same = np.concatenate([[False], h1[1:] == h1[:-1], [False]]) if len(h1) else np.zeros(1, bool)
+    return same[1:] | same[:-1]
+
+
 def to_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, ids, lengths, size, body): the documents dealt by hashed id, in order of doc_id."""
     schema = "block int, ids binary, lengths binary, size bigint, body binary"
@@ -223,7 +229,10 @@ def _returned(blocks: DataFrame, parts: int, window: int, run_words: int) -> Dat
 
 def _sources(blocks: DataFrame, returned: DataFrame, n: int, parts: int, window: int, run_words: int) -> DataFrame:
     """(block, packed): for each block's windows that occur earlier elsewhere, hash h1, source doc, and
-    the high half of h2 with the source's start as one number."""
+    the source's start with, where h1 stands for two of the block's windows, the high half of h2.
+
+    A block sends a window once and a document is in one block, so equal windows differ in doc, and
+    the first by doc is the first in the corpus."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +240,7 @@ def _sources(blocks: DataFrame, returned: DataFrame, n: int, parts: int, window:
                 w = Windows(*_block(row), window, run_words)
                 at = _candidates(w, _columns(row["packed"], 1)[0].view(U))
                 at = at[_heads(w, at)]
-                mark = (w.h2[at] & _HIGH | w.start[at].astype(U)).view(np.int64)
+                mark = (w.h2[at] & _HIGH | w.start[at].astype(U) | _twins(w.h1[at]).astype(U) << U(31)).view(np.int64)
                 for k in range(0, len(at), 1 << 16):
                     s = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(w.h1[at[s]].view(np.int64)), pa.array(w.ids[w.doc[at[s]]]), pa.array(mark[s])], ["h1", "doc", "mark"])
@@ -270,7 +279,9 @@ def _sources(blocks: DataFrame, returned: DataFrame, n: int, parts: int, window:
                     first.setdefault(int(mark[k]) >> 32, (int(doc[k]), int(mark[k])))
             last = int(h[-1])
             far = ~own
-            yield pa.RecordBatch.from_arrays([pa.array(c[far]) for c in (doc, h, src_doc, src_mark)], ["doc", "h1", "src", "mark"])
+            # h2 comes back only where the block needs it to tell two windows apart
+            back = src_mark & 0x7FFFFFFF | np.where(mark >> 31 & 1, mark & ~0xFFFFFFFF, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[far]) for c in (doc, h, src_doc, back)], ["doc", "h1", "src", "mark"])
 
     sent = blocks.join(returned, "block").mapInArrow(send, "h1 bigint, doc bigint, mark bigint")
     found = sent.repartition(parts, "h1").sortWithinPartitions("h1", "doc", "mark").mapInArrow(find, "doc bigint, h1 bigint, src bigint, mark bigint")
@@ -320,10 +331,10 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
                 first_doc, first_start = w.ids[w.doc[lead]], w.start[lead].copy()
                 moved = np.zeros(len(lead), bool)
                 h1, src, mark = _columns(row["places"], 3)
-                k = np.searchsorted(w.h1[lead], h1.view(U))
-                while len(wrong := np.flatnonzero((w.h2[lead[k]] ^ mark.view(U)) & _HIGH)):
+                k, twin = np.searchsorted(w.h1[lead], h1.view(U)), _twins(w.h1[lead])
+                while len(wrong := np.flatnonzero(twin[k] & (((w.h2[lead[k]] ^ mark.view(U)) & _HIGH) != 0))):
                     k[wrong] += 1  # the next window of that h1
-                first_doc[k], first_start[k], moved[k] = src, mark & 0xFFFFFFFF, True
+                first_doc[k], first_start[k], moved[k] = src, mark & 0x7FFFFFFF, True
                 group = np.cumsum(head) - 1
                 doc[at], start[at] = first_doc[group], first_start[group]
                 far[at] = ~head | moved[group]
