@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from quillmark.operators.chunking import html_markdown
 from quillmark.operators.statements import latest, number, to_long
+from quillmark.sources import pdf
 
 DOCUMENT_SUFFIXES = ["pdf", "html", "htm"]
 
@@ -28,9 +36,29 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     ).where(F.col("suffix").isin(DOCUMENT_SUFFIXES))
 
 
+def routed(spark: SparkSession, root: str) -> DataFrame:
+    """path, suffix, content of all files below ``root``."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return df.select("path", suffix(F.col("path")).alias("suffix"), "content")
+
+
 def as_text(df: DataFrame) -> DataFrame:
-    """``text``: UTF-8 content of a file whose suffix names no other reader."""
-    return df.withColumn("text", F.when(~F.col("suffix").isin("pdf"), F.decode("content", "UTF-8")))
+    """``text`` in place of ``content``, by the reader of the suffix: PDF and HTML as marked text, any other file
+    as UTF-8."""
+    rest = [c for c in df.columns if c != "content"]
+    schema = StructType([*(df.schema[c] for c in rest), StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kind = b.schema.get_field_index("content"), b.schema.get_field_index("suffix")
+            made = []
+            for k in range(b.num_rows):
+                data, name = b.column(at)[k].as_py(), b.column(kind)[k].as_py()
+                plain = (data or b"").decode("utf-8", "replace")
+                made.append(None if data is None else pdf.markdown(data) if name == "pdf" else html_markdown(plain) if name in ("html", "htm") else plain)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns) if c != at), pa.array(made, pa.string())], [*rest, "text"])
+
+    return df.select(*rest, "content").mapInArrow(run, schema)
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -66,6 +94,12 @@ def latest_versions(paths: DataFrame, keys: str = r"([A-Z]+)_([A-Za-z0-9]+)_(inc
     return hit.groupBy(part(1).alias("market"), part(2).alias("ticker"), part(3).alias("statement")).agg(F.max_by("path", F.struct(part(4), part(5))).alias("path"))
 
 
+def latest_by(paths: DataFrame, pattern: str) -> DataFrame:
+    """key and the path of the greatest mark: a pattern's first and second group."""
+    hit = paths.where(F.col("path").rlike(pattern))
+    return hit.groupBy(F.regexp_extract("path", pattern, 1).alias("key")).agg(F.max_by("path", F.regexp_extract("path", pattern, 2)).alias("path"))
+
+
 def fresh(files: DataFrame, key: list[str], now: Column, ttl: str) -> DataFrame:
     """The newest file of each key, if younger than ``ttl`` (an interval)."""
     return latest(files.where(F.col("modified") >= now - F.expr(f"interval {ttl}")), key, F.struct("modified", "path"))
@@ -81,6 +115,31 @@ def statement_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
     return long.withColumn("value", number(F.col("value")))
 
 
+def statement_csvs(spark: SparkSession, path: str) -> DataFrame:
+    """path, item, period, value of small CSV files, each UTF-8 or else GBK, with periods as columns or with a ``period``
+    column."""
+
+    def parse(data: bytes) -> Iterator[tuple[str, str, str]]:
+        try:
+            text = data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            text = data.decode("gbk", "replace")
+        head, *rows = [r for r in csv.reader(io.StringIO(text)) if r] or [[]]
+        for r in rows:
+            for name, value in zip(head[1:], r[1:]):
+                yield (name, r[0], value) if head[0].strip().lower() == "period" else (r[0], name, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if found := list(parse(data)):
+                    cols = [[own] * len(found), *zip(*found)]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["path", "item", "period", "value"])
+
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return df.mapInArrow(run, "path string, item string, period string, value string").withColumn("value", number(F.col("value")))
+
+
 def statement_rows(rows: DataFrame, periods: list[str]) -> DataFrame:
     """(ticker, statement, metric, unit, <periods>) as tidy facts."""
     return to_long(rows, ["ticker", "statement", "metric", "unit"], periods).withColumn("value", number(F.col("value").cast("string")))

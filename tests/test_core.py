@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
-from quillmark.plans import endpoints, fixtures, more, queries, wide  # noqa: F401
+from quillmark.plans import endpoints, fixtures, more, queries, sources, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
@@ -274,3 +274,39 @@ def test_every_endpoint_has_a_shape():
     assert len(names) == len(set(names)) and all(E.shape(n) for n in names)
     with pytest.raises(ValueError):
         E.shape("place_order")
+
+
+def test_pdf_reader():
+    import zlib
+
+    from quillmark.plans.sources import simple_pdf
+    from quillmark.sources import pdf
+
+    assert pdf.pages(simple_pdf([["one", "two (a)".replace("(", "\\(").replace(")", "\\)")], [], ["last"]])) == ["one\ntwo (a)", "", "last"]
+    assert pdf.pages(None) == pdf.pages(b"") == pdf.pages(b"%PDF-1.4 nothing") == []
+    text = b"BT /F1 9 Tf 72 700 Td [(Re) -50 (venue) -400 (grew)] TJ 0 -12 Td (below) Tj ET q 1 0 0 1 0 500 cm BT 300 200 Td (right) Tj ET Q BT 72 720 Td <005400> Tj ET"
+    cmap = b"beginbfchar <0054> <4E91> <00> <0041> endbfchar"
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents [4 0 R] >>", b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(text) + b"\nendstream"]
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in enumerate(parts, 1))
+    assert pdf.pages(data)[0].split("\n")[1:] == ["Revenue grew right", "below"]
+    assert pdf._unicode_map(cmap) == {b"\x00\x54": "云", b"\x00": "A"}
+    packed = b"5 0 6 6 (five) <<six>>"
+    inner = b"<< /Type /ObjStm /First 8 /Filter /FlateDecode >>\nstream\n" + zlib.compress(packed) + b"\nendstream"
+    assert pdf._objects(b"9 0 obj\n" + inner + b"\nendobj")[6].strip() == b"<<six>>"
+
+
+def test_sections_corner_cases():
+    from quillmark.operators import sections as S
+
+    assert list(S.html_sections("")) == [] and list(S.page_sections([])) == []
+    wide = "<table><tr>" + "<td>x</td>" * 16 + "</tr></table>"
+    assert list(S.html_sections(f"<body><div>{wide}<h3>T</h3>text</div></body>")) == [("T", "text", None)]
+    assert list(S.html_sections("<h1>" + "long " * 60 + "</h1><p>t</p>"))[0][0] is None
+    assert S.heading_marks("Item 2. Properties\nplain") == "## Item 2. Properties\nplain"
+
+
+def test_classified_titles_without_words(spark):
+    from quillmark.operators import filings
+
+    df = spark.createDataFrame([("", 2024, 1), (None, None, None)], "title string, release_year int, release_month int")
+    assert filings.classify(df).count() == 0
