@@ -209,3 +209,18 @@ def score_or_parts(score: Column, vector: Column, term: Column) -> Column:
 def rebuild(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` in place of all rows of its keys, so building again changes nothing."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)
+
+
+def bm25(docs: DataFrame, words: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``docs`` that hold a term, with the plain score of one field of words; statistics are one row."""
+    counts = {f"_f{i}": F.size(F.filter(words, lambda w: w == t)) for i, t in enumerate(terms)}  # noqa: B023  (applied at once)
+    rows = docs.withColumns({"_n": F.size(words)} | counts)
+    stats = rows.agg(F.count("*").alias("_c"), F.avg("_n").alias("_a"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
+
+    def part(i: int) -> Column:
+        d, f = F.col(f"_d{i}"), F.col(f"_f{i}")
+        return F.log(1 + (F.col("_c") - d + 0.5) / (d + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_a")))
+
+    some = reduce(lambda x, y: x | y, [F.col(f"_f{i}") > 0 for i in range(len(terms))], F.lit(False))
+    score = reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))], F.lit(0.0))
+    return rows.where(some).crossJoin(F.broadcast(stats)).select(*docs.columns, score.alias("score"))

@@ -445,7 +445,24 @@ def n11(spark, d):
     return _revenue(spark, d).select("k", _r(valuation.wacc(F.col("rev"), F.col("k") * 10.0, ke, F.lit(0.05), F.lit(0.25))).alias("wacc"))
 
 
-@query("n15_lbo")
+def _lbo_sql() -> str:
+    """The same waterfall as a recursion over years, tranche by tranche."""
+    n = len(valuation.TRANCHES)
+    share, rate, must = ([t[k] for t in valuation.TRANCHES] for k in (1, 2, 3))
+    begin = ", ".join(f"rev * 2 * {valuation.LEVERAGE!r}::DOUBLE * {share[i]!r}::DOUBLE AS e{i}" for i in range(n))
+    owed = ", ".join(f"least(e{i}, {must[i]!r}::DOUBLE * rev * 2 * {valuation.LEVERAGE!r}::DOUBLE * {share[i]!r}::DOUBLE) AS m{i}" for i in range(n))
+    interest = " + ".join(f"e{i} * {rate[i]!r}::DOUBLE" for i in range(n))
+    left = f"SELECT *, rev * power(1.05::DOUBLE, t + 1) * 0.15::DOUBLE - ({interest}) - ({' + '.join(f'm{i}' for i in range(n))}) AS l0 FROM (SELECT *, {owed} FROM w WHERE t < 5)"
+    for i in range(n):  # what a tranche sweeps is gone for the next
+        left = f"SELECT *, l{i} - s{i} AS l{i + 1} FROM (SELECT *, least(greatest(0, e{i} - m{i}), greatest(0, l{i})) AS s{i} FROM ({left}))"
+    step = ", ".join(f"greatest(0, e{i} - m{i} - s{i})" for i in range(n))
+    debt = " + ".join(f"e{i}" for i in range(n))
+    return f"""WITH RECURSIVE {_REV}, w AS (SELECT k, rev, 0 AS t, {begin} FROM r UNION ALL SELECT k, rev, t + 1, {step} FROM ({left})),
+x AS (SELECT k, {debt} AS d, (rev * power(1.05::DOUBLE, 5) * 0.25::DOUBLE * 8 - ({debt})) / (rev * 2 * {1 - valuation.LEVERAGE + valuation.FEES!r}::DOUBLE) AS moic FROM w WHERE t = 5)
+SELECT k, round(d, 6) AS end_debt, round(moic, 6) AS moic, round(CASE WHEN moic > 0 THEN power(moic, 0.2::DOUBLE) - 1 END, 6) AS irr FROM x"""
+
+
+@query("n15_lbo", _lbo_sql())
 def n15(spark, d):
     """Debt waterfall and returns of a buyout of each nation's book; folded year by year."""
     x = _revenue(spark, d).withColumn("debt", F.col("rev") * 2 * valuation.LEVERAGE)

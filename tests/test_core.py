@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
-from quillmark.plans import endpoints, fixtures, more, queries, segments, sources, wide  # noqa: F401
+from quillmark.plans import chain, endpoints, fixtures, more, queries, segments, sources, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
@@ -310,3 +310,61 @@ def test_classified_titles_without_words(spark):
 
     df = spark.createDataFrame([("", 2024, 1), (None, None, None)], "title string, release_year int, release_month int")
     assert filings.classify(df).count() == 0
+
+
+def test_window_chunks_against_a_plain_version():
+    """Counts added up give what counting whole windows anew gives."""
+    import random
+
+    tokens = chunking.tokens
+
+    def plain(text, target=400, most=600, overlap=80):
+        units = []
+        for u in chunking._UNIT.findall(text):
+            while tokens(u) > most:
+                cut = max(1, len(u) * most // (tokens(u) + 1))
+                units.append(u[:cut])
+                u = u[cut:]
+            if u.strip():
+                units.append(u)
+        # of joined units the three kinds of characters are added before rounding, as in one text
+        windows, cur = [], []
+        for u in units:
+            if cur and tokens("".join(cur)) + tokens(u) > target:
+                windows.append(cur)
+                back = []
+                for x in reversed(cur):
+                    if tokens("".join([x, *back])) > overlap:
+                        break
+                    back.insert(0, x)
+                cur = back if tokens("".join(back)) + tokens(u) <= most else []
+            cur = [*cur, u]
+        if cur:
+            if windows and tokens("".join(cur)) < max(50, target // 3) and tokens("".join(windows[-1] + cur)) <= most:
+                windows[-1] = windows[-1] + cur
+            else:
+                windows.append(cur)
+        return ["".join(w).strip() for w in windows]
+
+    r = random.Random(3)
+    for _ in range(30):
+        text = "".join(r.choice(["revenue ", "营业收入", "rose. ", "12 % ", "é", "；", "\n", "x" * 40, "。"]) for _ in range(r.randint(0, 900)))
+        assert [c["content"] for c in chunking.window_chunks(text)] == plain(text)
+
+
+def test_heading_chunks_lie_in_their_text():
+    import random
+
+    r = random.Random(4)
+    for _ in range(20):
+        text = "".join(r.choice(["# Head\n", "## Sub\n", "some words. ", "more text\n", "\n\n", "long " * 60]) for _ in range(r.randint(1, 60)))
+        made = list(chunking.heading_chunks(text, 120, 20))
+        parents = {c["chunk_id"]: c for c in made if c["kind"] == "parent"}
+        assert len({c["chunk_id"] for c in made}) == len(made)
+        for c in made:
+            assert c["content"] in text[c["start"] :]
+            if c["kind"] == "child":
+                assert c["header"] == parents[c["parent_id"]]["header"] and len(c["content"]) <= 220
+        # every word of a body stands in some child
+        for word in {w for _, _, body in chunking.sections(text) for w in body.split()}:
+            assert any(word in c["content"] for c in made if c["kind"] == "child")
