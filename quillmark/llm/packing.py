@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:
     """Least number of bins by dual feasible functions: the size, and for thresholds k the
-    functions that count a piece above capacity - k as a bin, one of k or less as nothing, and
+    functions that count a piece above capacity - k as a bin, one under k as nothing, and
     the rest by size.  ``count[n]`` pieces have length n."""
     n = np.arange(len(count))
     best = -(-int((count * n).sum()) // capacity)

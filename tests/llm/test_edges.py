@@ -90,3 +90,57 @@ def test_scopes_drop_what_they_settled(spark):
         inner, outer = where(a), where(b)
         assert os.path.isdir(inner) and os.path.isdir(outer)
     assert not os.path.exists(inner) and os.path.isdir(outer) and b.count() == 5
+
+
+def test_language_training_takes_one_text_an_id(spark):
+    """Repeated rows of an id neither weigh more nor pass the bound; null ids, texts and languages teach nothing."""
+    import numpy as np
+
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdef" if k % 2 else "uvwxyz") for _ in range(6))
+    rows = [(k, " ".join(word(k) for _ in range(30)), "ab" if k % 2 else "uz") for k in range(60)]
+    kind = "doc_id bigint, text string, lang string"
+    plain = langid.train(spark.createDataFrame(rows, kind))
+    more = rows + [rows[1]] * 300 + [rows[2]] * 50 + [(None, "zzz", "ab"), (70, None, "ab"), (71, "uvw xyz", None)]
+    r.shuffle(more)
+    again = langid.train(spark.createDataFrame(more, kind).repartition(5))
+    assert plain.langs == again.langs == ["ab", "uz"] and np.array_equal(plain.matrix, again.matrix)
+    got = langid.predict(spark.createDataFrame([(1, rows[1][1], "uz")] * 3 + [(None, rows[2][1], None), (5, "", "ab"), (6, "12 !", "ab")], kind), plain).collect()
+    assert sorted((str(x.doc_id), x.lang_pred) for x in got) == [("1", "ab")] * 3 + [("5", "und"), ("6", "und"), ("None", "uz")]
+    none = langid.train(spark.createDataFrame([], kind))
+    assert none.langs == [] and langid.predict(spark.createDataFrame(rows[:2], kind), none).where("lang_pred = 'und'").count() == 2
+    few = langid.train(spark.createDataFrame(rows, kind), per_lang=3)
+    assert few.langs == ["ab", "uz"] or few.langs in (["ab"], ["uz"], [])
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "one two"), (None, "one two"), (3, None), (3, ""), (4, "a b c")], "doc_id bigint, text string")
+    got = packing.pack(packing.pieces(df)).collect()
+    assert len(got) == 5 and sum(x.length == 1 for x in got) == 2
+    for seq in {x.sequence_id for x in got}:
+        at = 0
+        for x in sorted((x for x in got if x.sequence_id == seq), key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+    assert packing.pack(packing.pieces(df.limit(0))).count() == 0
+
+
+def test_chat_of_an_empty_table_and_odd_rows(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string"
+    empty = spark.createDataFrame([], kind)
+    assert chat.format_all(empty, 4096).count() == 0 and chat.digest(chat.format_all(empty, 4096)).count() == 0
+    rows = [(None, 0, "user", None), (None, None, None, "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y"), (3, 0, "user", "")]
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digest(chat.format_all(spark.createDataFrame(rows, kind), 4096)).collect()}
+    assert got == {None: (2, 0), 2: (2, 2), 3: (1, 0)}
+    long = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", "word " * 3000) for k in range(6)], kind)
+    made = chat.format_all(long, 4096).collect()
+    assert len(made) > 3 and chat.digest(chat.format_all(long, 4096)).first().n_turns == 6
+
+
+def test_substrings_of_null_ids(spark):
+    """Rows without an id count as smaller than all others; equal rows keep their words once."""
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(5, text), (None, text), (None, text), (7, None), (8, " \n")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.find_spans(df).collect())
+    assert got == [("5", 30, 30), ("7", 0, 0), ("8", 0, 0), ("None", 30, 0), ("None", 30, 30)]
+    assert substrings.find_spans(df.limit(0)).count() == 0
