@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark import tools
 from quillmark.operators import chain, chunking, retrieval, statements
 from quillmark.plans.fixtures import fixture
 from quillmark.plans.queries import _r, _t, query
-from quillmark.plans.sources import stated
+from quillmark.plans.sources import put, stated
+from quillmark.sources import workbook
 
 _CHUNKS = [
     ("a1", "00700", "2025Q1", "业绩", "一季度营业收入 80 亿元，同比增长 18%。"),
@@ -169,3 +171,72 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS IN
 )
 def h02p(spark, d):
     return chunking.chunk(_t(spark, d, "documents"), "doc_id", "text", "FIX_SIZE").select("doc_id", "chunk_index", "content")
+
+
+_FILINGS = {
+    f"portfolio/00700/filings/{doc}/{name}": text
+    for doc, period, year, revenue, rise in (("2025_Q1", "Q1", 2025, 80, 18), ("2025_Q2", "Q2", 2025, 100, 25))
+    for name, text in (
+        ("meta.json", f'{{"formType": "6-K", "fiscalYear": {year}, "fiscalPeriod": "{period}", "filingDate": "2025-08-01", "primaryFile": "a.html"}}'),
+        ("a.html", f"<h1>公告</h1><h2>业绩</h2><p>营业收入 {revenue} 亿元，同比增长 {rise}%。</p><h2>成本</h2><p>成本下降。</p>"),
+    )
+}
+
+
+@stated("t01_build_and_ask", "question string, fiscal_period string, title string, chunks bigint", [("00700 最新财报的营业收入", "2025Q2", "公告 > 业绩", 2), ("00700 2025Q1 的营业收入", "2025Q1", "公告 > 业绩", 2)])
+def t01(spark):
+    """Two filings are built twice over, then asked; the store holds each chunk once."""
+    root = put(spark, _FILINGS)
+    for _ in range(2):
+        tools.filing_kb_build(spark, f"{root}/portfolio", f"{root}/store")
+    held = spark.read.parquet(f"{root}/store").groupBy("fiscal_period").agg(F.count("*").alias("chunks"))
+    out = None
+    for q in ("00700 最新财报的营业收入", "00700 2025Q1 的营业收入"):
+        got = tools.filing_kb_qa(spark, f"{root}/store", q, 1).select(F.lit(q).alias("question"), "fiscal_period", "title").join(held, "fiscal_period")
+        out = got if out is None else out.unionByName(got)
+    return out.select("question", "fiscal_period", "title", "chunks")
+
+
+@stated("t02_index_and_ask", "document_id string, title string", [("2", "Cloud")])
+def t02(spark):
+    store = f"{put(spark, {})}/store"
+    docs = spark.createDataFrame([(1, "# Games\nplayers grew strongly"), (2, "# Cloud\ncloud revenue grew"), (3, None)], "id int, text string")
+    tools.rag_index(docs, "id", "text", store)
+    return tools.rag_qa(spark, store, "cloud revenue", 1).select("document_id", "title")
+
+
+@stated("z14_filings", "ticker string, document_id string, fiscal_period string", [("00700", "2025_Q1", "2025Q1"), ("00700", "2025_Q2", "2025Q2")])
+def z14(spark):
+    return tools.lf_filings(spark, put(spark, _FILINGS)).select("ticker", "document_id", "fiscal_period")
+
+
+@stated("z15_tables_by_type", "label string", [("Revenue",), ("Total revenue",)])
+def z15(spark):
+    page = "<table><tr><td>Total assets</td><td>5</td></tr></table><table><tr><td>Revenue</td><td>3</td></tr><tr><td>Total revenue</td><td>3</td></tr></table>"
+    return tools.lf_extract_table(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html", "income").select("label")
+
+
+@stated("z13_consensus_files", "ticker string, item string, period string, value double, kind string", [("00700", "revenue", "2026FY", 7.0, "estimate"), ("00700", "eps", "2026FY", None, "estimate"), ("00700", "revenue", "2025FY", 6.0, "actual")])
+def z13c(spark):
+    root = put(spark, {"00700_consensus.csv": "item,2026FY\nrevenue,7\neps,NaN\n", "other.csv": "item,2026FY\nx,1\n"})
+    actual = spark.createDataFrame([("00700", "revenue", "2025FY", 6.0)], "ticker string, item string, period string, value double")
+    return tools.lf_consensus(spark, root, actual)
+
+
+@stated("s37_workbook", "metric string, unit string, period string, value double", [("营业收入", "百万", "2025Q1", 80.5), ("营业收入", "百万", "2024Q1", 70.0), ("成本 & <x>", "百万", "2025Q1", None)])
+def s37(spark):
+    """A pivoted report written as a workbook and read back as facts."""
+    root = put(spark, {})
+    ddl = "metric string, unit string, `2025Q1` string, `2024Q1` string"
+    report = spark.createDataFrame([("date", "", "2025-03-31", "2024-03-31"), ("营业收入", "百万", "80.5", "70"), ("成本 & <x>", "百万", "-", None)], ddl).coalesce(1)
+    workbook.write_workbook(report, f"{root}/HK_00700_income_20250501_080000.xlsx")
+    return workbook.statement_facts(workbook.workbooks(spark, root), "path").select("metric", "unit", "period", "value")
+
+
+@stated("s14_historicals", "metric string, period string, value double, yoy double", [("rev", "2025Q1", 120.0, 20.0), ("rev", "2024Q1", 100.0, None)])
+def s14(spark):
+    root = put(spark, {})
+    rows = spark.createDataFrame([("date", "", "a", "b"), ("rev", "m", "120", "100")], "metric string, unit string, `2025Q1` string, `2024Q1` string").coalesce(1)
+    workbook.write_workbook(rows.withColumn("2025Q1", F.lit("1")), f"{root}/HK_00700_income_20250101_000000.xlsx")
+    workbook.write_workbook(rows, f"{root}/HK_00700_income_20250501_000000.xlsx")
+    return tools.lf_historicals(spark, root).select("metric", "period", "value", "yoy")

@@ -174,11 +174,11 @@ def s21(spark):
     return spark.read.schema("content string, ticker string, document_id string").parquet(path).select("ticker", "document_id", "content")
 
 
-@stated("s20_chunk_load", "document_id string, content string", [("d1", "a")])
+@stated("s20_chunk_load", "document_id string, content string", [("007", "a")])
 def s20(spark):
     path = f"{shared_folder(spark)}/chunks"
-    files.save_chunks(spark.createDataFrame([("t1", "d1", "a"), ("t1", "d2", "b"), ("t2", "d1", "c")], "ticker string, document_id string, content string"), path)
-    return files.load_chunks(spark, path, "t1", "d1").select("document_id", "content")
+    files.save_chunks(spark.createDataFrame([("00700", "007", "a"), ("00700", "d2", "b"), ("700", "007", "c")], "ticker string, document_id string, content string"), path)
+    return files.load_chunks(spark, path, "00700", "007").select("document_id", "content")
 
 
 @stated("s36_json_sink", "a int, b string", [(1, "x"), (2, None)])

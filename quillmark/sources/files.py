@@ -150,8 +150,15 @@ def save_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.partitionBy("ticker", "document_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def chunk_store(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks; tickers and documents stay text, so 00700 is no number."""
+    found = spark.read.parquet(path).schema
+    kinds = [StructField(f.name, StringType() if f.name in ("ticker", "document_id") else f.dataType) for f in found]
+    return spark.read.schema(StructType(kinds)).parquet(path)
+
+
 def load_chunks(spark: SparkSession, path: str, ticker: str, document_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path).where(F.col("ticker") == ticker)
+    df = chunk_store(spark, path).where(F.col("ticker") == ticker)
     return df if document_id is None else df.where(F.col("document_id") == document_id)
 
 

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -144,3 +145,49 @@ def looks_like_segments(cells: DataFrame, id_col: str) -> DataFrame:
     """Tables of three rows or more, four to ten columns and five numbers of 100 or more."""
     big = F.count_if(F.abs(number(F.col("value"))) >= 100)
     return cells.groupBy(id_col, "sheet").agg(F.countDistinct("row").alias("rows"), F.max("col").alias("cols"), big.alias("numbers")).where("rows >= 3 and cols between 4 and 10 and numbers >= 5")
+
+
+#: Rows of a sheet that the format holds. Fixed value.
+SHEET_ROWS = 1_048_576
+
+
+def _sheet(columns: list[str], rows: Iterator[tuple]) -> bytes:
+    """A workbook of one sheet, strings inline."""
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool) or not isinstance(v, int | float) or v != v:
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+        return f"<c><v>{v!r}</v></c>"
+
+    body = io.StringIO()
+    for n, r in enumerate([columns, *rows], 1):
+        if n > SHEET_ROWS:
+            raise ValueError(f"a sheet holds {SHEET_ROWS} rows")
+        body.write(f'<row r="{n}">{"".join(map(cell, r))}</row>')
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body.getvalue()}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def write_workbook(df: DataFrame, path: str) -> None:
+    """A report as one .xlsx file: column names, then rows in order; more rows than a sheet holds are an error."""
+    data = _sheet(df.columns, (tuple(r) for r in df.toLocalIterator()))
+    jvm = df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data))
+    out.close()
