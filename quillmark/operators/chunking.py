@@ -190,6 +190,8 @@ class _Markdown(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
+        elif self.skip:
+            return
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "1234":
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -202,7 +204,7 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag in self.BLOCK or tag[0] == "h":
+        elif not self.skip and (tag in self.BLOCK or tag[0] == "h"):
             self.out.append("\n")
 
     def handle_data(self, data: str) -> None:

@@ -476,7 +476,26 @@ def n15(spark, d):
 # --- text to rows ----------------------------------------------------------------------------
 
 
-@query("s02_read_html")
+def _read_html_sql() -> str:
+    """The reader's rules as replacements, one after the other: dropped elements, white space, marks, tags, references."""
+    space = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    steps = [("(?s)<!--.*?-->", "''")]
+    steps += [(rf"(?is)<{t}(\s[^>]*)?>.*?</{t}\s*>", "''") for t in ("script", "style", "nav", "header", "footer", "noscript")]
+    steps += [("<![^>]*>", "''"), (space + "+", "' '")]
+    steps += [(rf"(?i)<h{k}(\s[^>]*)?>", f"chr(10) || chr(10) || '{'#' * k} '") for k in (1, 2, 3, 4)]
+    steps += [(r"(?i)<li(\s[^>]*)?>", "chr(10) || '- '"), (r"(?i)<t[dh](\s[^>]*)?>", "' | '")]
+    steps += [(r"(?i)<(p|div|br|section|article|ul|ol|table|tr)(\s[^>]*)?/?>|</(p|div|br|section|article|ul|ol|table|h[^>]*)>", "chr(10)"), ("<[^>]*>", "''")]
+    out = "coalesce(html, '')"
+    for pattern, new in steps:
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    for sign, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"regexp_replace({out}, '{sign}?', '{char}', 'g')"  # the closing sign may be cut off
+    for pattern, new in ((r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (f"^{space}+", "''"), (f"{space}+$", "''")):
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    return f"SELECT page_id, {out} AS text FROM pages"
+
+
+@query("s02_read_html", _read_html_sql())
 def s02(spark, d):
     return chunking.read_html(_t(spark, d, "pages"), "page_id", "html")
 
