@@ -160,19 +160,6 @@ def w15(spark):
     return chunking.chunk(docs, "id", "text", "HEADING", size=100, overlap=20).where("kind = 'child'").select("start", F.length("content").alias("size"))
 
 
-@query(
-    "h02_packed_paragraphs",
-    r"""WITH RECURSIVE s AS (SELECT doc_id, regexp_split_to_array(text, '\n{2,}') AS p, regexp_extract_all(text, '\n{2,}') AS g FROM documents WHERE text IS NOT NULL AND text <> ''),
-r AS (SELECT doc_id, p, g, 1 AS i, p[1] AS part, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS done FROM s
-UNION ALL SELECT doc_id, p, g, i + 1, CASE WHEN part <> '' AND len(part) + len(p[i + 1]) + 2 > 512 THEN p[i + 1] WHEN part = '' THEN p[i + 1] ELSE part || chr(10) || chr(10) || p[i + 1] END, place,
-CASE WHEN part <> '' AND len(part) + len(p[i + 1]) + 2 > 512 THEN part END FROM r WHERE i < len(p)),
-c AS (SELECT doc_id, i AS k, done AS content FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, part FROM r WHERE i = len(p) AND part <> '')
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, content FROM c""",
-)
-def h02p(spark, d):
-    return chunking.chunk(_t(spark, d, "documents"), "doc_id", "text", "FIX_SIZE").select("doc_id", "chunk_index", "content")
-
-
 _FILINGS = {
     f"portfolio/00700/filings/{doc}/{name}": text
     for doc, period, year, revenue, rise in (("2025_Q1", "Q1", 2025, 80, 18), ("2025_Q2", "Q2", 2025, 100, 25))

@@ -505,7 +505,17 @@ def h01(spark, d):
     return chunking.chunk(chunking.read_html(_t(spark, d, "pages"), "page_id", "html"), "page_id", "text", "HEADING")
 
 
-@query("h02_fixed_chunks")
+@query(
+    "h02_fixed_chunks",
+    r"""WITH RECURSIVE s AS (SELECT doc_id, regexp_split_to_array(text, '\n{2,}') AS p, regexp_extract_all(text, '\n{2,}') AS g FROM documents WHERE text IS NOT NULL AND text <> ''),
+r AS (SELECT doc_id, p, g, 1 AS i, p[1] AS part, CAST(0 AS BIGINT) AS pos, CAST(len(p[1]) AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS BIGINT) AS done_at FROM s
+UNION ALL SELECT doc_id, p, g, i + 1, CASE WHEN part = '' OR len(part) + len(p[i + 1]) + 2 > 512 THEN p[i + 1] ELSE part || chr(10) || chr(10) || p[i + 1] END,
+CASE WHEN part = '' OR len(part) + len(p[i + 1]) + 2 > 512 THEN place + len(g[i]) ELSE pos END, place + len(g[i]) + len(p[i + 1]),
+CASE WHEN part <> '' AND len(part) + len(p[i + 1]) + 2 > 512 THEN part END, pos FROM r WHERE i < len(p)),
+c AS (SELECT doc_id, i AS k, done AS content, done_at AS start FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, part, pos FROM r WHERE i = len(p) AND part <> ''),
+h AS (SELECT *, left(sha256('fixed|' || start || '|' || content), 16) AS chunk_id FROM c)
+SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_index, chunk_id, CAST(NULL AS VARCHAR) AS parent_id, 'text' AS kind, '' AS header, start, content, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k)""",
+)
 def h02(spark, d):
     return chunking.chunk(_t(spark, d, "documents"), "doc_id", "text", "FIX_SIZE")
 
