@@ -227,3 +227,10 @@ def s14(spark):
     workbook.write_workbook(rows.withColumn("2025Q1", F.lit("1")), f"{root}/HK_00700_income_20250101_000000.xlsx")
     workbook.write_workbook(rows, f"{root}/HK_00700_income_20250501_000000.xlsx")
     return tools.lf_historicals(spark, root).select("metric", "period", "value", "yoy")
+
+
+@stated("z20_ingest_windows", "document_id string, chunks bigint", [("2025_Q1", 1), ("2025_Q2", 1)])
+def z20(spark):
+    """The same build with token windows."""
+    root = put(spark, _FILINGS)
+    return tools.filing_kb_build(spark, f"{root}/portfolio", f"{root}/store", "WINDOW", "00700").select("document_id", "chunks")

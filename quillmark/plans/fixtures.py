@@ -629,3 +629,30 @@ def z26(df):
 def j12(df, b):
     # by month, not by place, so a gap on one side doesn't shift the other
     return df.withColumnRenamed("r", "stock").join(b.withColumnRenamed("r", "bench"), "month")
+
+
+_FOUND = [("00700", "腾讯控股", "港股", 116), ("TCEHY", "腾讯控股(ADR)", "美股", 153), ("12345", "腾讯购B", "港股", 116), ("80700", "腾讯控股-R", "港股", 116)]
+
+
+@fixture(
+    "s33_ticker_search",
+    "code string, name string, kind string, market int",
+    _FOUND,
+    """WITH f AS (SELECT *, CASE market WHEN 116 THEN 'HKEX' ELSE 'OTHER' END AS exchange FROM {t} WHERE contains(kind, '股') AND NOT contains(name, '购') AND contains(name, '腾讯')),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE exchange WHEN 'HKEX' THEN 0 ELSE 1 END, code) AS n FROM f) SELECT code, exchange, round(1.0 - (n - 1) * 0.1, 4)::DOUBLE AS score FROM r WHERE n <= 2""",
+)
+def s33(df):
+    """Securities of a name, the preferred exchange first, scores falling by place."""
+    ok = df.where(filings.security_passes(F.col("kind"), F.col("name"), ["股"], ["购"]) & F.col("name").contains("腾讯"))
+    ok = ok.withColumn("exchange", filings.exchange_name(F.col("market"), {"116": "HKEX"}))
+    ranked = retrieval.rank_decay(ok.withColumn("g", F.lit(1)), 1.0, 0.1, ["g"], [F.when(F.col("exchange") == "HKEX", 0).otherwise(1), "code"])
+    return ranked.orderBy(F.desc("score"), "code").limit(2).select("code", "exchange", _r("score", 4).alias("score"))
+
+
+@query("z21_filtered_neighbours", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label >= 1 AND label <= 5 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 10")
+def z21(spark, d):
+    """Nearest vectors among those that pass a filter on other columns."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = e.agg(F.min_by("embedding", "vec_id").alias("v")).first().v
+    rows = e.withColumns({"fiscal_year": F.col("label")}).where(retrieval.vector_filter(first=1, last=5))
+    return retrieval.nearest(rows, q, 10, "vec_id").select("vec_id", _r("score").alias("score"))

@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillmark.functions.periods import date_bucket
+from quillmark.functions.text import url_host
 from quillmark.operators import sections
+from quillmark.operators.statements import number
 from quillmark.plans.fixtures import values
 from quillmark.plans.queries import query
 from quillmark.sources import files, pdf, workbook
@@ -49,10 +52,10 @@ def stated(name: str, ddl: str, rows: list[tuple]):
 
 
 def simple_pdf(pages: list[list[str]]) -> bytes:
-    """A PDF of lines, from the top of each page down."""
+    """A PDF of lines, from the top of each page down; tabs part cells, 100 units wide."""
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{4 + 2 * k} 0 R' for k in range(len(pages)))}] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     for k, lines in enumerate(pages):
-        text = "".join(f"BT /F1 11 Tf 1 0 0 1 72 {760 - 14 * i} Tm ({x}) Tj ET\n" for i, x in enumerate(lines))
+        text = "".join(f"BT /F1 11 Tf 1 0 0 1 {72 + 100 * j} {760 - 14 * i} Tm ({x}) Tj ET\n" for i, line in enumerate(lines) for j, x in enumerate(line.split("\t")))
         objects += [f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * k} 0 R >>", f"<< /Length {len(text)} >>\nstream\n{text}endstream"]
     body = "".join(f"{n} 0 obj\n{o}\nendobj\n" for n, o in enumerate(objects, 1))
     return f"%PDF-1.4\n{body}trailer << /Root 1 0 R >>\n%%EOF".encode("latin-1")
@@ -188,6 +191,49 @@ def s36(spark):
     return spark.read.schema("a int, b string").json(path)
 
 
+_TABLED = [["Title", "Item\t2024\t2023", "Revenue\t120\t100", "Cost\t(30)\t(20)", "a note"], ["Item\t2024\t2023", "Revenue\t120\t100", "Cost\t(30)\t(20)"], ["x\ty"]]
+_CELLS = [(1, 1, "Item"), (1, 2, "2024"), (1, 3, "2023"), (2, 1, "Revenue"), (2, 2, "120"), (2, 3, "100"), (3, 1, "Cost"), (3, 2, "(30)"), (3, 3, "(20)")]
+
+
+@stated("s17_pdf_tables", "row int, col int, value string", _CELLS)
+def s17(spark):
+    return workbook.pdf_tables(spark, put(spark, {"a.pdf": simple_pdf(_TABLED), "b.pdf": b"none"})).select("row", "col", "value")
+
+
+@stated("s18_pdf_table_facts", "metric string, period string, value double", [("Revenue", "2024", 120.0), ("Revenue", "2023", 100.0), ("Cost", "2024", -30.0), ("Cost", "2023", -20.0)])
+def s18(spark):
+    cells = workbook.pdf_tables(spark, put(spark, {"a.pdf": simple_pdf(_TABLED)}))
+    head = cells.where("row = 1 and col > 1").select("path", "sheet", "col", F.col("value").alias("period"))
+    name = cells.where("row > 1 and col = 1").select("path", "sheet", "row", F.col("value").alias("metric"))
+    body = cells.where("row > 1 and col > 1").join(head, ["path", "sheet", "col"]).join(name, ["path", "sheet", "row"])
+    return body.select("metric", "period", number(F.col("value")).alias("value"))
+
+
+_MACRO = '{"result": {"data": [{"REPORT_DATE": "2025-03-01 00:00:00", "NATIONAL_SAME": 0.1}, {"REPORT_DATE": "2025-02-01 00:00:00", "NATIONAL_SAME": -0.7}, {"REPORT_DATE": "2025-03-01 00:00:00", "NATIONAL_SAME": 9.9}]}}'
+
+
+@stated("s31_macro_reports", "period string, value double", [("2025-03", 0.1), ("2025-02", -0.7)])
+def s31(spark):
+    """A report of an indicator: rows by date, the first of a month counts."""
+    raw = spark.read.text(put(spark, {"cpi.json": _MACRO}), wholetext=True)
+    rows = raw.select(F.from_json("value", "struct<result:struct<data:array<struct<REPORT_DATE:string,NATIONAL_SAME:double>>>>")["result"]["data"].alias("d")).select(F.posexplode("d").alias("place", "x"))
+    month = date_bucket(F.to_date(F.substring("x.REPORT_DATE", 1, 10)), "month")
+    return rows.groupBy(month.alias("period")).agg(F.min_by("x.NATIONAL_SAME", "place").alias("value"))
+
+
+_WEB = ['{"web": {"results": [{"title": "A", "url": "https://www.a.com/1", "description": "one"}]}}', '{"results": [{"title": "B", "url": "http://b.org/2", "content": "two"}]}', "{}"]
+
+
+@stated("s29_web_results", "title string, host string, content string", [("A", "www.a.com", "one"), ("B", "b.org", "two")])
+def s29(spark):
+    """Result lists of two providers, in one form."""
+    raw = spark.read.text(put(spark, {f"{k}.json": w for k, w in enumerate(_WEB)}))
+    item = "struct<title:string,url:string,description:string,content:string>"
+    x = F.from_json("value", f"struct<web:struct<results:array<{item}>>,results:array<{item}>>")
+    rows = raw.select(F.inline(F.coalesce(x["web"]["results"], x["results"])))
+    return rows.select("title", url_host(F.col("url")).alias("host"), F.coalesce("description", "content").alias("content"))
+
+
 # --- push streams ------------------------------------------------------------------------------------
 
 _MESSAGES = [

@@ -160,3 +160,32 @@ def markdown(data: bytes | None) -> str:
     from quillmark.operators.sections import heading_marks
 
     return heading_marks("\n".join(pages(data)))
+
+
+def table_cells(data: bytes | None) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, col, value) of tables: two lines or more, one below the other, of two cells or more; a cell is what
+    is shown from one place on.  Columns are the places where the table's cells begin."""
+    if not data or b"%PDF" not in data[:1024]:
+        return
+    objects, number, seen = _objects(data), 0, set()
+    for n in _pages(objects):
+        content = b"\n".join(_stream(objects.get(k, b"")) for k in _refs(objects[n], b"Contents"))
+        rows: dict[float, list[tuple[float, str]]] = {}
+        for y, x, text in _shown(content, {}):
+            if text.strip():
+                rows.setdefault(round(y, 1), []).append((round(x), text.strip()))
+        block: list[list[tuple[float, str]]] = []
+        for line in [*(sorted(r) for _, r in sorted(rows.items(), key=lambda p: -p[0])), []]:
+            if len(line) >= 2:
+                block.append(line)
+                continue
+            mark = tuple(tuple(t[:100] for _, t in r) for r in block)  # a table that comes again is one
+            if len(block) >= 2 and mark not in seen:
+                seen.add(mark)
+                places = sorted({x for r in block for x, _ in r})
+                columns = [x for k, x in enumerate(places) if not k or x - places[k - 1] > 12]
+                for i, r in enumerate(block, 1):
+                    for x, text in r:
+                        yield str(number), i, sum(c <= x for c in columns), text
+                number += 1
+            block = []

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.statements import number
+from quillmark.sources import pdf
 
 _CELL = "sheet string, row int, col int, value string"
 
@@ -130,6 +131,12 @@ def html_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     return _cells(pages.withColumn(html, F.col(html).cast("string")), id_col, html, table_cells)
 
 
+def pdf_tables(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, row, col, value of the tables of the .pdf files below ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
+    return _cells(files, "path", "content", pdf.table_cells)
+
+
 def statement_facts(cells: DataFrame, id_col: str) -> DataFrame:
     """Tidy facts of statement sheets: periods in row 1 from column 3, report dates in row 2, metric and
     unit in columns 1 and 2, values from row 3."""
