@@ -34,6 +34,8 @@ from .tables import settle, shared_dir, table
 MIN_REVISIT = 1000
 PER_FILE = 2000
 FILE_BYTES = 32 << 20
+#: Bits of the bitmap of shared digests; a full one is 8 MB of rows.
+DIGEST_BITS = 25
 EOL = "\r\n"
 _UUID = "urn:uuid:"
 
@@ -54,18 +56,27 @@ def decide(pages: DataFrame) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, copy (1, 2, ... among the rows of one
     page_id and digest, by url), record_type, refers_to.
 
-    The largest page_id of each digest that several rows share comes from a pre-aggregated count and
-    is dealt to that digest's ids before payloads move, so these go by digest and id and a hot digest
-    is many keys.  Numbering needs no other shuffle."""
+    Digests that several rows share are found from digests alone, and a bitmap of them, of a bounded
+    size, is broadcast.  Rows whose digest isn't in it stand alone and never move; the others go by
+    digest and id, so a hot digest is many keys: the largest page_id of a digest comes from a
+    pre-aggregated table, and numbering needs no other shuffle."""
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("bigint")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     rows = rows.withColumn("own", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    ids = rows.where(F.col("payload_bytes") >= MIN_REVISIT).where("page_id is not null").groupBy("payload_digest", "own").agg(F.max("page_id").alias("id"))
-    first = ids.groupBy("payload_digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = ids.join(first, "payload_digest").where("id <> first").select("payload_digest", "own", F.col("first").alias("refers_to"))
+    ids = settle(rows.groupBy("payload_digest", "own").agg(F.max("page_id").alias("id"), F.max("payload_bytes").alias("bytes"), F.count("*").alias("rows")))
+    shared = ids.groupBy("payload_digest").agg(F.max("id").alias("first"), F.sum("rows").alias("n"), F.max("bytes").alias("bytes")).where("n > 1")
+    place = F.shiftright(F.conv(F.substring("payload_digest", 1, 8), 16, 10).cast("bigint"), 32 - DIGEST_BITS)
+    word, bit = F.shiftright(place, 6).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    bitmap = shared.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))  # 2**(DIGEST_BITS - 6) rows at most
+    marked = rows.withColumn("word", word).join(F.broadcast(bitmap), "word", "left")
+    is_shared = F.coalesce(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(False))
+    names = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    alone = marked.where(~is_shared).select(*names, F.lit(1).alias("copy"), F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
+    first = shared.where(F.col("bytes") >= MIN_REVISIT).select("payload_digest", "first")
+    again = ids.where("id is not null").join(first, "payload_digest").where("id <> first").select("payload_digest", "own", F.col("first").alias("refers_to"))
     equal = Window.partitionBy("payload_digest", "own").orderBy("url")
-    out = rows.join(again, ["payload_digest", "own"], "left").withColumn("copy", F.row_number().over(equal))
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", "copy", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    out = marked.where(is_shared).join(again, ["payload_digest", "own"], "left").withColumn("copy", F.row_number().over(equal))
+    return alone.unionByName(out.select(*names, "copy", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to"))
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
