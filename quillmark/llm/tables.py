@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,7 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: An Arrow batch that goes to Python holds about so many bytes, or a single longer row.
 BATCH_BYTES = 8 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_scopes: list[list[str]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The open scopes of this thread, innermost last."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 def modest(spark: SparkSession) -> None:
@@ -36,8 +45,8 @@ def shared_dir(spark: SparkSession, outer: bool = False) -> str:
     p, fs = _hadoop(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
-    if len(_scopes) > outer:
-        _scopes[-1 - outer].append(path)
+    if len(_scopes()) > outer:
+        _scopes()[-1 - outer].append(path)
     return path
 
 
@@ -56,6 +65,13 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs now, and not when the driver next happens to collect its
+    garbage: Spark's cleaner follows the references that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop(spark, path)
     fs.delete(p, True)
@@ -65,11 +81,9 @@ def discard(spark: SparkSession, path: str) -> None:
 def scope(spark: SparkSession) -> Iterator[None]:
     """Discards what is settled inside when it ends, so only what was written elsewhere by then
     stays.  Without a scope, tables stay until the driver's JVM ends, for results are lazy."""
-    paths: list[str] = []
-    _scopes.append(paths)
+    _scopes().append([])
     try:
         yield
     finally:
-        _scopes.remove(paths)
-        for path in paths:
+        for path in _scopes().pop():
             discard(spark, path)
