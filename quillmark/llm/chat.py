@@ -37,7 +37,8 @@ OPEN, CLOSE = "[TURN]", "[/TURN]"
 CONTROL = (BEGIN, END, OPEN, CLOSE, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESC = "\x1b"
 TARGET = "assistant"
-BUDGET = 4096
+#: Tokens of a window: those of a packed sequence.
+BUDGET = packing.CAPACITY
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL) + "|" + ESC)
 _ESCAPED = re.compile(f"(?s)(.){ESC}")
 

@@ -575,6 +575,38 @@ def test_chat_windows_in_the_query(spark):
     assert sorted(map(str, chat.digest(made).collect())) == sorted(map(str, chat.digest(chat.format_all(df)).collect()))
 
 
+def test_chat_windows_of_the_table(spark):
+    """At the query's budget the conversations of sf0.01 need windows: each is checked against its turns."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = defaultdict(list)
+    for r in rows.orderBy("turn", "role", "text").collect():
+        turns[r.conv_id].append((r.role or "", r.text or ""))
+    made = defaultdict(list)
+    for r in chat.format_all(rows, chat.BUDGET).collect():
+        made[r.conv_id].append(r)
+    assert set(made) == set(turns) and sum(len(w) > 1 for w in made.values()) >= 3
+    sizes = chat.token_sizes(packing.tokenizer_path())
+    for conv, ws in made.items():
+        ws.sort(key=lambda r: r.window)
+        seen, under = [], []
+        for r in ws:
+            shown = chat.parse(r.formatted)
+            own = shown[r.repeated :]
+            lead = bool(turns[conv]) and turns[conv][0][0] == "system"
+            if r.window:
+                # the system turn first, then history that ends where the window before ended
+                history = shown[lead : r.repeated]
+                assert shown[:lead] == turns[conv][:lead] and history == seen[len(seen) - len(history) :]
+                assert sum(sizes([chat.render_turn(*t)[0] for t in history] or [""])) <= 0.25 * chat.BUDGET
+            total = sum(sizes([chat.BEGIN, *(chat.render_turn(*t)[0] for t in shown)]))
+            assert total <= chat.BUDGET or len(own) == 1
+            seen += own
+            part = [chat.unescape(r.formatted[s["start"] : s["end"]]) for s in r.loss]
+            assert part == [t for role, t in own if role == "assistant"]  # repeated targets are masked
+            under += part
+        assert seen == turns[conv] and under == [t for role, t in seen if role == "assistant"]
+
+
 def test_quality_counts(spark, docs, empty):
     text = "a  b\na  b\n\n \nx # * $\r\nx # * $\r\nü€ ü€"
     df = docs.drop("extra").unionByName(spark.createDataFrame([(900, text, "", "", 0), (901, "a b c d e " * 3, "", "", 0), (902, "\n\n", "", "", 0), (903, "", "", "", 0)], DOCS))
