@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with scope(docs.sparkSession):
         labels = settle(_labels(docs, seen, named), outer=True)
     # A class member's component is its class's; classes are found again by set.
-    where = named.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "id").alias("component"))
+    # Written, so that the join back has nothing but exchanges below it and may split a class of very many copies.
+    where = settle(named.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "id").alias("component")))
     out = seen.select("doc_id", "n_shingles", "s1", "s2").join(where, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -339,7 +340,8 @@ def _labels(docs: DataFrame, seen: DataFrame, named: DataFrame) -> DataFrame:
     apart = tagged.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     met = settle(tagged.select("key", "unit").distinct().join(apart, "key"))
     rows = units.join(met.select("unit").distinct(), "unit", "left_semi").join(sizes.select("id", "sig"), "id")
-    about = rows.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.when(F.count("*") == 1, F.first("sig")).alias("sig"))
+    # Written, so that the join of a unit's keys has nothing but exchanges below it and may split a hot unit.
+    about = settle(rows.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("small"), F.max("n_shingles").alias("large"), F.when(F.count("*") == 1, F.first("sig")).alias("sig")))
     pairs = settle(_unit_pairs(met.join(about, "unit")))
     if not pairs.isEmpty():
         held = rows.join(packed.withColumnRenamed("doc_id", "id"), "id").groupBy("unit")
