@@ -14,9 +14,9 @@ Dinic's algorithm, component by component.
 
 The classifier is fitted to the pages themselves.  No table labels blocks, so other evidence does: on
 pages with an article or main element, blocks in it are content unless a bad class name, a settling
-container or a call to act speaks against it; blocks outside are boilerplate, and so is, wherever it
-stands, a text that ``REPEATED`` pages of the sample share.  Each block is learned from as it stands and
-with its landmarks hidden, so that its text tells on pages without any; badly named blocks also
+container or a call to act speaks against it; blocks outside are boilerplate.  Texts that several
+pages share are no evidence: short sentences and licence lines of articles are such.  Each block is learned
+from as it stands and with its landmarks hidden, so that its text tells on pages without any; badly named blocks also
 as if inside an article.  The fit is the mode under a normal prior about ``PRIOR``, to the blocks of
 the ``MAX_TRAIN`` page_ids of smallest hash; without landmarks in these it is the prior.
 
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from collections.abc import Container, Iterator
+from collections.abc import Iterator
 from html import unescape
 from math import log1p
 from operator import mul
@@ -80,7 +80,6 @@ _PRIOR = tuple(PRIOR.values())
 MAX_TRAIN = 2000
 #: Blocks that the sample counts as, against a prior of variance 1.
 EVIDENCE = 1000.0
-REPEATED = 3
 ADJACENT, SIBLING = 0.6, 0.4
 
 
@@ -232,12 +231,12 @@ def features(b: Block, landmarks: bool, article: bool, good: bool, bad: bool) ->
     return (1.0, float(landmarks), float(article), float(good), float(bad), link, words, float(text[-1] in ".!?…。！？\"”»"), float(b.heading), float(b.item), float(sign), float(b.call), float(b.cell))
 
 
-def examples(bs: list[Block], shared: Container[str] = ()) -> Iterator[tuple[float, ...]]:
-    """(label, features...) of the blocks of a page that has landmarks; ``shared`` are texts of many pages."""
+def examples(bs: list[Block]) -> Iterator[tuple[float, ...]]:
+    """(label, features...) of the blocks of a page that has landmarks."""
     if not any(b.article for b in bs):
         return
     for b in bs:
-        content = float(b.article and not (b.bad or b.banned or b.call or b.text in shared))
+        content = float(b.article and not (b.bad or b.banned or b.call))
         yield content, *features(b, True, b.article, b.good, b.bad)
         yield content, *features(b, False, False, False, False)
         if b.bad:
@@ -273,21 +272,11 @@ def train(pages: DataFrame) -> tuple[float, ...]:
 
     sample = pages.where((key <= last) & F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(F.col("html").cast("string"))
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                found = sorted({b.text for b in blocks(batch.column(0)[k].as_py()) if len(b.text) <= 400})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
-
-    # Short texts of the sample that several pages share: fewer than its blocks / REPEATED.
-    again = sample.mapInArrow(texts, "text string").groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
-    shared = frozenset(r.text for r in again.collect())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for k in range(batch.num_rows):
-                seen.update(examples(blocks(batch.column(0)[k].as_py()), shared))
+                seen.update(examples(blocks(batch.column(0)[k].as_py())))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())], ["example", "n"])
 
