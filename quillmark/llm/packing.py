@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,30 +73,37 @@ class WordEncoder:
         those; other words are encoded one by one."""
         held = np.array([1 if w.isalpha() else 2 if w[-1] in _SIGNS and w.rstrip(_SIGNS).isalpha() else 0 for w in words], np.int64)
         held[[k for k, w in enumerate(words) if "\u0130" in w]] = 0
-        size, parts = np.zeros(len(words), np.int64), {}
+        size, found = np.zeros(len(words), np.int64), []
         plain = np.flatnonzero(held)
         chunks = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         single = [np.flatnonzero(held == 0)]
-        for c, e in zip(chunks, self.whole.encode_batch_fast([" ".join(words[k] for k in c) for c in chunks], add_special_tokens=False)):
-            ids = np.array(e.ids, np.int64)
+        for c, e in zip(chunks, self.whole.encode_batch_fast([" ".join([words[k] for k in c.tolist()]) for c in chunks], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
             end = np.flatnonzero(self.closes[ids])
             if len(end) != held[c].sum():
                 single.append(c)
                 continue
-            edge = np.concatenate([[0], end[np.cumsum(held[c]) - 1] + 1])
-            size[c] = np.diff(edge)
-            for k, a, b in zip(c.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
-                parts[k] = ids[a:b]
+            size[c] = np.diff(end[np.cumsum(held[c]) - 1] + 1, prepend=0)
+            found.append((c, ids))
         rest = np.concatenate(single)
-        for k, e in zip(rest.tolist(), self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-            parts[k] = np.array(e.ids, np.int64)
-            size[k] = len(parts[k])
-        return np.concatenate([parts[k] for k in range(len(words))]).astype(np.uint32), size
+        parts = [e.ids for e in self.whole.encode_batch_fast([words[k] for k in rest.tolist()], add_special_tokens=False)]
+        size[rest] = [len(x) for x in parts]
+        found.append((rest, np.fromiter(chain.from_iterable(parts), np.uint32, int(size[rest].sum()))))
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        for at, ids in found:  # each run of words' ids goes to the words' places
+            n = size[at]
+            out[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = ids[: int(n.sum())]
+        return out, size
 
     def _learn(self, w: V.Words, first: np.ndarray, keys: np.ndarray) -> None:
         """Encode the words at ``first``, whose hashes are ``keys`` in order."""
-        data = w.data.tobytes()
-        ids, size = self._words([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())])
+        n = w.ends[first] - w.starts[first]
+        place = np.cumsum(n + 1) - (n + 1)
+        text = np.full(int((n + 1).sum()), 0x20, np.uint8)  # the words with a space behind each
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        text[np.repeat(place, n) + inner] = w.data[np.repeat(w.starts[first], n) + inner]
+        ids, size = self._words(text[:-1].tobytes().decode("utf-8", "surrogatepass").split(" "))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
