@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .tables import settle, table
+from .tables import release, settle, settle_buckets, table
 
 WINDOW = 20
 RUN = 8
 BLOCK_BYTES = 4 << 20
 #: Blocks whose messages one partition of the index holds, about.
 BLOCKS_A_PART = 16
+#: From so many blocks on, shuffle files of a pass are let go before the next.
+RELEASE_BLOCKS = 32
 NULL_ID = -(1 << 63)
 U = V.U
 _HIGH = U(0xFFFFFFFF00000000)
@@ -312,9 +314,13 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, -(-total // block_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCKS_A_PART))
-    blocks = settle(to_blocks(docs, n))
-    returned = settle(_returned(blocks, parts, window, run_words))
+    clean = release if n >= RELEASE_BLOCKS else lambda _: None
+    blocks = settle_buckets(to_blocks(docs, n), "block", parts)
+    clean(spark)
+    returned = settle_buckets(_returned(blocks, parts, window, run_words), "block", parts)
+    clean(spark)
     places = settle(_sources(blocks, returned, n, parts, window, run_words))
+    clean(spark)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint,source_doc:bigint,source_start:bigint>>, kept_text string, kept_sha256 string"
     span_type = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "source_doc", "source_start")]))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -65,10 +66,22 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def settle_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``settle`` in hash buckets of a column: a join on it moves the other side only."""
+    spark = df.sparkSession
+    modest(spark)
+    path, name = shared_dir(spark) + "/t", f"qm_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files are the folder's, the plan has them
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs now, and not when the driver next happens to collect its
-    garbage: Spark's cleaner follows the references that are gone."""
+    garbage.  Python's references are dropped on the JVM's side within a second; Spark's cleaner follows."""
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 
