@@ -149,7 +149,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "T" / "filings" / "doc_2025Q1" / "a.html").write_text("<p>x")
     (tmp_path / "T" / "filings" / "doc_2025Q1" / "meta.json").write_text('{"formType": "10-Q", "fiscalYear": 2025}')
     docs = files.as_text(files.documents(spark, str(tmp_path))).collect()
-    assert [(r.ticker, r.document_id, r.text) for r in docs] == [("T", "doc_2025Q1", "<p>x")]
+    assert [(r.ticker, r.document_id, r.text) for r in docs] == [("T", "doc_2025Q1", "x")]
     assert files.metadata(spark, str(tmp_path)).first().fiscalPeriod == "Q1"
     (tmp_path / "s.csv").write_text("item,2025Q1,2025FY\nrevenue,\"1,000\",-\n")
     rows = {(r.item, r.period): r.value for r in files.statement_csv(spark, str(tmp_path / "s.csv")).collect()}
