@@ -1,8 +1,8 @@
-"""Queries of the ten training-data operators, and their SQL."""
+"""Queries of the training-data operators, and their SQL."""
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, warc
+from . import bytebpe, chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, warc
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
+    "op13_bytebpe": bytebpe.op13_bytebpe,
 }
 ORACLE = {
     "op1_neardup": neardup.OP1_SQL,
