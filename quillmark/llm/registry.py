@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, warc
+from . import bytebpe, chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, vectorcodes, warc
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
+    "op11_vectorcodes": vectorcodes.op11_vectorcodes,
     "op13_bytebpe": bytebpe.op13_bytebpe,
 }
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_substrings": substrings.OP9_SQL,
+    "op11_vectorcodes": vectorcodes.OP11_SQL,
 }
