@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, decontaminate, html, langid, neardup, packing, pii, quality, substrings, vectorcodes, warc
+from . import bytebpe, chat, decontaminate, html, langid, lexical, neardup, packing, pii, quality, substrings, vectorcodes, warc
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substrings": substrings.op9_substrings,
     "op10_langid": langid.op10_langid,
     "op11_vectorcodes": vectorcodes.op11_vectorcodes,
+    "op12_lexical": lexical.op12_lexical,
     "op13_bytebpe": bytebpe.op13_bytebpe,
 }
 ORACLE = {
@@ -25,4 +26,5 @@ ORACLE = {
     "op7_chat": chat.OP7_SQL,
     "op9_substrings": substrings.OP9_SQL,
     "op11_vectorcodes": vectorcodes.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }

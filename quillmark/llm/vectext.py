@@ -105,13 +105,13 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def split(raw: np.ndarray, offs: np.ndarray, i: int, j: int, lower: bool = False) -> Words:
-    """The words of rows i..j-1."""
+def split(raw: np.ndarray, offs: np.ndarray, i: int, j: int, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """The words of rows i..j-1; ``gap`` marks the bytes between words."""
     rows = offs[i : j + 1] - offs[i]
     data = raw[offs[i] : offs[j]]
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = gap[data]
     word = ~space
     before = np.empty_like(word)
     before[:1] = False
