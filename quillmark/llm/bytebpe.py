@@ -6,8 +6,8 @@ A text is split into pre-tokens by the vocabulary's pattern, and each is looked
    tokens in one) tells whether the whole pre-token is a token.  The slot's own bytes are compared, so
    a stranger that falls into it is not taken for it;
 2. what misses is merged byte by byte: its parts are a linked list, its pairs lie in a heap by
-   (rank, place), and entries whose parts have merged meanwhile are passed over.  A pair's rank is
-   the perfect hash's answer for the joined bytes.
+   (rank, place), and entries whose parts have merged meanwhile are passed over.  The pairs that join to
+   a token are found beforehand, by asking the perfect hash for every token's two halves.
 
 The hash is built once on the driver from the file at ``path`` and shipped with the tasks: its size
 is that of the vocabulary, whatever the corpus, and ``MAX_TOKENS`` bounds it.  Everything is map only.
@@ -132,6 +132,13 @@ class Coder:
         self.tokens, self.hashed, self.longest = tokens, hashed, max(map(len, tokens), default=0)
         self.split, self.border = regex.compile(split), regex.compile(r"\S(?=\s)")
         self.met = _Met(self)
+        self.byte = [self.rank(bytes([b])) for b in range(256)]
+        #: Two tokens' joined bytes are a token: left * tokens + right -> its id.
+        self.pairs = {}
+        for i, t in enumerate(tokens):
+            for k in range(1, len(t)):
+                if (a := self.rank(t[:k])) >= 0 and (b := self.rank(t[k:])) >= 0:
+                    self.pairs[a * len(tokens) + b] = i
 
     def rank(self, piece: bytes) -> int:
         """The id of ``piece`` if it is a token, else -1."""
@@ -142,43 +149,27 @@ class Coder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no token itself: lowest rank first, of equal ranks the leftmost."""
-        n, rank = len(piece), self.rank
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        mark = array("q", [-1]) * n  # the rank in force of the pair that begins at a part; of dead parts -1
-        heap = []
-        for i in range(n - 1):
-            r = rank(piece[i : i + 2])
-            if r >= 0:
-                mark[i] = r
-                heap.append(r * (n + 1) + i)
+        n, size, joined = len(piece), len(self.tokens), self.pairs.get
+        part = [self.byte[b] for b in piece]  # ids by place; -1 where a part was merged into the one before
+        if -1 in part:
+            raise ValueError(f"the vocabulary lacks the byte {piece[part.index(-1)]}")
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r * n + i for i in range(n - 1) if (r := joined(part[i] * size + part[i + 1])) is not None]
         heapify(heap)
-
-        def renew(i: int) -> None:
-            middle = after[i]
-            r = rank(piece[i : after[middle]]) if middle < n else -1
-            mark[i] = r
-            if r >= 0:
-                heappush(heap, r * (n + 1) + i)
-
         while heap:
-            r, i = divmod(heappop(heap), n + 1)
-            if mark[i] != r:
+            r, i = divmod(heappop(heap), n)
+            j = after[i]
+            if part[i] < 0 or j == n or joined(part[i] * size + part[j]) != r:
                 continue
-            gone = after[i]
-            mark[gone], after[i] = -1, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        ids, i = [], 0
-        while i < n:
-            own = rank(piece[i : after[i]])
-            if own < 0:
-                raise ValueError(f"the vocabulary lacks the byte {piece[i]}")
-            ids.append(own)
-            i = after[i]
-        return ids
+            k, h = after[j], before[i]
+            part[i], part[j], after[i] = r, -1, k
+            if k < n:
+                before[k] = i
+                if (q := joined(r * size + part[k])) is not None:
+                    heappush(heap, q * n + i)
+            if h >= 0 and (q := joined(part[h] * size + r)) is not None:
+                heappush(heap, q * n + h)
+        return [x for x in part if x >= 0]
 
     def cuts(self, text: str) -> Iterator[str]:
         """The text in pieces that no pre-token crosses."""
