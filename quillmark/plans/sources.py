@@ -3,8 +3,6 @@ folder first, and reads them back through the source."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmark.functions.periods import date_bucket
@@ -14,20 +12,10 @@ from quillmark.operators.statements import number
 from quillmark.plans.fixtures import values
 from quillmark.plans.queries import query
 from quillmark.sources import files, pdf, workbook
+from quillmark.sources.shared import shared_folder
 from quillmark.streaming import pushes
 
 
-def shared_folder(spark) -> str:
-    """A fresh folder that all executors see; it goes with the driver's JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
 def put(spark, contents: dict[str, str | bytes]) -> str:
     """Writes small files below a fresh shared folder, in order; gives the folder."""
     root = shared_folder(spark)
