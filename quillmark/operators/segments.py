@@ -148,13 +148,13 @@ def may_be_segment(label: Column) -> Column:
     return F.length(t).between(2, 100) & ~metric & (digits <= 0.2 * F.length(t))
 
 
-def by_indent(rows: DataFrame, keys: list[str], depth: int = 4) -> DataFrame:
+def by_indent(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, label, level, parent) of labels that may be segments; the parent is the last one above that stands
     further out."""
     from quillmark.operators.statements import ladder_parent
 
     named = rows.where(may_be_segment(F.col("label")) & ~F.col("total")).select(*keys, "row", "label", (F.col("indent") + 1).alias("level"))
-    return ladder_parent(named, keys, "row", "level", "label", depth)
+    return ladder_parent(named, keys, "row", "level", "label")
 
 
 def labelled(rows: DataFrame, config: DataFrame, keys: list[str]) -> DataFrame:

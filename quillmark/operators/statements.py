@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillmark.operators import trees
+from quillmark.operators.skew import lookup
+from quillmark.sources.shared import settle
+
+#: Indentation levels that a window is planned for.
+LADDER = 32
 NULL_TOKENS = ["-", "—", "–", "*", "", "N/A", "NaN"]
 
 
@@ -103,15 +111,16 @@ def roll_up(leaves: DataFrame, levels: list[str], value: str) -> DataFrame:
     return out
 
 
-def fill_from_children(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """(parent, code, level, metric, period, value): a missing value becomes the sum of the node's
-    children, from the deepest level up; none stays null, and an own value is never replaced."""
-    done = nodes.where(F.col("level") == depth)
-    for level in range(depth - 1, 0, -1):
-        sums = done.where(F.col("level") == level + 1).groupBy(F.col("parent").alias("code"), "metric", "period").agg(F.sum("value").alias("_s"))
-        own = nodes.where(F.col("level") == level).join(sums, ["code", "metric", "period"], "left").withColumn("value", F.coalesce("value", "_s"))
-        done = done.unionByName(own.select(*nodes.columns))
-    return done
+def fill_from_children(nodes: DataFrame) -> DataFrame:
+    """(parent, code, metric, period, value and more): a missing value becomes the sum of the node's children, which are filled
+    first, at any depth; none stays null, and an own value is never replaced.  Below or in a cycle it stays missing."""
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("code"), "metric", "period"))
+    own = settle(nodes.select(at("code").alias("key"), at("parent").alias("up"), "value"))
+    # what a node passes on ends at a node with a value of its own
+    valued = own.where("value is not null").select(F.col("key").alias("up"), F.lit(True).alias("ends")).distinct()
+    cut = lookup(own, valued, "up", own.count()).withColumn("up", F.when(F.col("ends").isNull(), F.col("up"))).drop("ends")
+    sums = trees.subtree_sums(cut, "key", "up", "value").select("key", F.col("total").alias("_s"))
+    return nodes.withColumn("key", at("code")).join(sums, "key", "left").withColumn("value", F.coalesce("value", "_s")).select(*nodes.columns)
 
 
 def total_check(parts: DataFrame, totals: DataFrame, key: str, part: str, total: str) -> DataFrame:
@@ -168,15 +177,29 @@ def table_type(text: Column) -> Column:
     return F.when(t.rlike("income|revenue|利润|收入"), "income").when(t.rlike("balance|assets|资产"), "balance").when(t.rlike("cash flow|现金"), "cashflow").otherwise("other")
 
 
-def ladder_parent(rows: DataFrame, group: list[str], order: str, level: str, name: str, depth: int = 4) -> DataFrame:
-    """Parent of an indented row: the last row above one level up, with no shallower row between."""
+def ladder_parent(rows: DataFrame, group: list[str], order: str, level: str, name: str) -> DataFrame:
+    """Parent of an indented row: the last row above that is not as deep, if it is one level up.
+
+    As many levels as the rows have, in one window; tables of over ``LADDER`` levels are walked a table at a time."""
+    deepest = rows.agg(F.max(level)).first()[0] or 0
+    if deepest > LADDER:
+        kind = T.StructType([*rows.schema.fields, T.StructField("parent", T.StringType())])
+
+        def walk(t: pd.DataFrame) -> pd.DataFrame:
+            t, stack, out = t.sort_values(order), [], []
+            for depth, label in zip(t[level], t[name]):
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                out.append(stack[-1][1] if stack and stack[-1][0] == depth - 1 else None)
+                stack.append((depth, label))
+            return t.assign(parent=out)
+
+        return rows.groupBy(*group).applyInPandas(walk, kind)
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col(level) == k, F.struct(order, name))).over(w) for k in range(1, depth)}
-    shallow = {k: F.max(F.when(F.col(level) < k, F.col(order))).over(w) for k in range(1, depth)}
     parent = F.lit(None).cast("string")
-    for k in range(1, depth):
-        ok = last[k].isNotNull() & (shallow[k].isNull() | (shallow[k] <= last[k][order]))
-        parent = F.when((F.col(level) == k + 1) & ok, last[k][name]).otherwise(parent)
+    for k in range(1, deepest):
+        above = F.max(F.when(F.col(level) <= k, F.struct(order, level, name))).over(w)
+        parent = F.when((F.col(level) == k + 1) & (above[level] == k), above[name]).otherwise(parent)
     return rows.withColumn("parent", parent)
 
 

@@ -62,7 +62,7 @@ def a09(spark, d):
     nodes = row(_t(spark, d, "region"), F.lit(None).cast("string"), cast("r", "r_regionkey"), 1, null)
     nodes = nodes.unionByName(row(_t(spark, d, "nation"), cast("r", "n_regionkey"), cast("n", "n_nationkey"), 2, F.when(F.col("n_nationkey") % 2 == 1, 100.0)))
     nodes = nodes.unionByName(row(leaf, cast("n", "c_nationkey"), cast("c", "c_nationkey"), 3, F.col("v")))
-    return statements.fill_from_children(nodes, 3).where("level < 3").select("code", F.round("value", 2).alias("value"))
+    return statements.fill_from_children(nodes).where("level < 3").select("code", F.round("value", 2).alias("value"))
 
 
 @query("a15_spread", "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS spread, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
