@@ -40,7 +40,7 @@ from .tables import settle, shared_dir, table
 TOP = 50
 LEVELS = 5
 SAMPLE, DOC_TERMS, MODEL_TERMS, SWEEPS = 2048, 4096, 1 << 16, 20
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 SLICE = 2 << 20
 BLOCK_TERMS = 1 << 15
 VISITS = (2, 6)
@@ -71,13 +71,16 @@ def _postings(raw: np.ndarray, offs: np.ndarray, i: int, j: int) -> tuple[np.nda
 class Order:
     """The tree of the bisection: for each inner node, how much its left side is preferred by each term."""
 
-    def __init__(self, terms: np.ndarray, weights: np.ndarray):
-        self.terms, self.weights = terms, weights
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, middles: np.ndarray):
+        self.terms, self.weights, self.middles = terms, weights, middles
 
     @classmethod
     def fit(cls, sample: list[np.ndarray], levels: int = LEVELS) -> "Order":
-        """``sample``: the distinct terms of each document."""
+        """``sample``: the distinct terms of each document.  Half of it is bisected; the other half then goes down the tree, and
+        the middle of its preferences at a node is what parts the sides there, so that shards are of like size."""
         sample = [s for s in {s.tobytes(): s for s in sample}.values() if len(s)]
+        sample = [sample[i] for i in np.random.default_rng(0).permutation(len(sample))]
+        sample, other = (sample[::2], sample[1::2]) if len(sample) > 3 else (sample, [])
         flat = np.concatenate(sample) if sample else np.zeros(0, V.U)
         terms, number, df = np.unique(flat, return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sample)), [len(s) for s in sample])
@@ -95,7 +98,11 @@ class Order:
                 continue
             left, weights[at] = cls._bisect(docs, row, number, len(sample), len(often))
             node[docs] = np.where(left, 2 * at + 1, 2 * at + 2)
-        return cls(terms[often], weights)
+        made = cls(terms[often], weights, np.zeros(len(weights)))
+        if other:
+            u, number = np.unique(np.concatenate(other), return_inverse=True)
+            made.shards(u, number, np.repeat(np.arange(len(other)), [len(s) for s in other]), len(other), np.zeros(len(other), np.int64), learn=True)
+        return made
 
     @staticmethod
     def _bisect(docs: np.ndarray, row: np.ndarray, number: np.ndarray, n_docs: int, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +129,24 @@ class Order:
         more = lambda d, n: cost(d + 1, n) - cost(d, n)
         return left, more(dr, size[False]) - more(dl, size[True])
 
-    def shards(self, terms: np.ndarray, number: np.ndarray, row: np.ndarray, rows: int, turn: np.ndarray) -> np.ndarray:
-        """The leaf of each row; without a preference the bits of ``turn`` choose."""
+    def shards(self, terms: np.ndarray, number: np.ndarray, row: np.ndarray, rows: int, turn: np.ndarray, learn: bool = False) -> np.ndarray:
+        """The leaf of each row, by its terms' mean preference; at the very middle the bits of ``turn`` choose."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         known = (self.terms[at] == terms) if len(self.terms) else np.zeros(len(terms), bool)
         own = known[number]
         at, row = at[number[own]], row[own]
+        count = np.maximum(np.bincount(row, minlength=rows), 1)
         node, inner = np.zeros(rows, np.int64), len(self.weights)
         for level in range((inner + 1).bit_length() - 1):
-            v = np.bincount(row, self.weights[node[row], at], minlength=rows)
-            right = (v < 0) | ((v == 0) & ((turn >> level) & 1).astype(bool))
+            v = np.bincount(row, self.weights[node[row], at], minlength=rows) / count
+            if learn:
+                for n in np.unique(node):
+                    own = np.sort(v[node == n])
+                    own = own[int(0.4 * (len(own) - 1)) : math.ceil(0.6 * (len(own) - 1)) + 1]  # the widest gap near the middle
+                    k = int(np.argmax(np.diff(own))) if len(own) > 1 else 0
+                    self.middles[n] = own[k : k + 2].mean()
+            middle = self.middles[node]
+            right = (v < middle) | ((v == middle) & ((turn >> level) & 1).astype(bool))
             node = 2 * node + 1 + right
         return node - inner
 
@@ -198,7 +213,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield from segments(held)
 
     made = docs.mapInArrow(run, "shard int, " + INDEX)
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (1 << LEVELS))
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # some eight files a task, whatever the size of a shard
     path = shared_dir(spark) + "/index"
     dealt = made.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).repartition("shard", "salt").drop("salt")
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
