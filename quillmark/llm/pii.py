@@ -2,9 +2,10 @@
 
 Detected kinds: e-mail addresses, IPv4 and IPv6 addresses, payment cards and IBANs (with right check
 digits and an issuer's prefix; other long numbers are none), national numbers in the nnn-nn-nnnn
-form, phone numbers, secrets (``token = "..."`` and the like), titled names (``Mr``, ``Frau``, ``Mme``
-and so on, which tell the gender), and the words of a titled name wherever else they stand in the
-same document.  Every entity is replaced by a keyed surrogate of its own type and format: a digit
+form, phone numbers (international, in North American forms, and in the national forms of France and
+Germany, which begin with 0), secrets (``token = "..."`` and the like), titled names (``Mr``, ``Frau``, ``Mme``
+and so on, which tell the gender; in capitals too, and after ``mr`` and ``mrs``), and the words of a titled
+name wherever else they stand in the same document with a capital, but for names of months and weekdays.  Every entity is replaced by a keyed surrogate of its own type and format: a digit
 by a digit, a hex digit by one of its case, a letter by a letter of its script and case, a given
 name by a name with its gender's ending, a card keeps its check digit right, an address gets a
 reserved ending.
@@ -13,10 +14,12 @@ Digits and letters are replaced by a keyed permutation (a balanced Feistel netwo
 over the entity's alphabet positions), so different entities of one format get different
 surrogates, and one entity gets the same everywhere: distinctness and coreference need no table.
 What is one entity in several spellings (case of mailboxes and secrets, spacing of phone numbers,
-cards and IBANs, forms of IPv6) is permuted in one normal form.  Names keep vowels and consonants in
-their places; a given name's permuted letters are followed by the ending of its gender, which no
-other gender has.  In each document surrogates are checked against all entities there and against
-each other; one that meets another's is permuted again.
+cards and IBANs, forms of IPv6) is permuted in one normal form.  A name's entities are its words, each
+by its role: a family name is one whoever bears it, and in whatever case; so is a given name, whose
+permuted letters are followed by the ending of its gender.  Names keep vowels and consonants in
+their places.  In each document surrogates are checked against all entities there and against
+each other; one that meets another's is permuted again until it is free, and a name too short for
+that grows.
 
 The key comes from the Spark setting ``spark.quillmark.pii.secret``.  Without it a random key is made
 for the session and kept in that setting, so nobody can invert the output, and another session's
@@ -77,6 +80,16 @@ def _letters(*categories: str) -> str:
 # Names: words that begin with a capital (inner capitals, hyphens and apostrophes too), initials and
 # particles, any number of them; where letters have no case nothing tells the end, so up to three words.
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
+#: Titles that count in capitals, before words in capitals, and those that count in small letters.
+_LOUD, _LOW = "(?:MR|MRS|MISS|DR|PROF|HERR|HERRN|FRAU|MME|MONSIEUR|MADAME|SEÑOR|SEÑORA)", "(?:mr|mrs)"
+_BY_TITLE = {t.casefold(): g for t, g in TITLES.items()}
+#: Names of months and weekdays are no one's name where they stand alone. Fixed values.
+_CALENDAR = frozenset(
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday"
+    " januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag"
+    " janvier février mars avril juin juillet août septembre octobre novembre décembre lundi mardi mercredi jeudi vendredi samedi dimanche"
+    " enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre lunes martes miércoles jueves viernes sábado domingo".split()
+)
 _UP, _UNCASED = f"[A-Z{_letters('Lu', 'Lt')}]", f"[{_letters('Lo')}]"
 _LETTER = rf"(?:[^\W\d_]|[{_letters('Mn', 'Mc')}])"
 _JOIN = r"(?!['’]s(?!\w))['’‐‑-]"
@@ -86,6 +99,9 @@ _WORD = rf"(?!{_TITLE}(?!\w))(?:{_INITIAL}|{_UP}(?:{_LETTER}+(?:{_JOIN}{_LETTER}
 _UNCASED_WORD = rf"{_UNCASED}{_LETTER}*(?:['’‐‑·-]{_LETTER}+)*"
 _NAME = rf"(?:{_PARTICLE}*{_WORD}(?:(?:[ ]|(?<=\.)){_PARTICLE}*{_WORD})*|{_UNCASED_WORD}(?:[ ]{_UNCASED_WORD}){{0,2}})"
 _TITLED = rf"(?<!\w)(?P<title>{_TITLE}(?:(?:\.[ ]?|[ ]){_TITLE}(?!\w))*)(?:\.?[ ]?(?:med|phil|rer|nat|jur|iur|ing|habil|pol|oec|theol|dent|vet|h\.[ ]?c)\.)*(?:\.[ ]?|[ ])(?P<nv>{_NAME})"
+_CAPITALS = rf"{_UP}(?:(?:{_JOIN})?{_UP})+"
+_LOUD_TITLED = rf"(?<!\w)(?P<loud>{_LOUD}(?:(?:\.[ ]?|[ ]){_LOUD}(?!\w))*)(?:\.[ ]?|[ ])(?P<uv>(?!{_LOUD}(?!\w)){_CAPITALS}(?:[ ]{_CAPITALS})?)(?!\w)"
+_LOW_TITLED = rf"(?<!\w)(?P<low>{_LOW})\.?[ ](?P<lv>(?!(?:and|the|with)(?!\w))[^\W\d_]{{3,}}(?:{_JOIN}[^\W\d_]+)*)"
 
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[^\W_](?:[\w-]{0,62}\.)+[^\W\d_]{2,24}(?![\w-]))
@@ -94,15 +110,15 @@ _PATTERN = re.compile(
 |(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))
 |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
 |(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{6,39}(?![\w:]))
-|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[.-]?\d{2,4}|[ ](?!(?:\d{1,3}\.){3}\d{1,3}(?![\w.]))\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))
+|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[.-]?\d{2,4}|[ ](?!(?:\d{1,3}\.){3}\d{1,3}(?![\w.]))\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0[1-9](?:(?P<ps>[ .-])\d{2})(?:(?P=ps)\d{2}){3}|0[1-9]\d{1,3}[ /-]\d{5,8})(?![\w]|[.-]\d))
 |(?P<secret>(?<!\w)(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]\s*["']?(?P<sv>[A-Za-z0-9_\-/+]{8,})|(?<!\w)(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?(?P<sw>[A-Za-z0-9_-]{16,}))
 |(?P<name>"""
-    + _TITLED
+    + "|".join((_LOUD_TITLED, _TITLED, _LOW_TITLED))
     + ")",
     re.X,
 )
 #: What every find holds, from the same parts as the pattern.
-_MAY = re.compile(rf"[@0-9]|::|(?i:token|secret|passw|key|auth|bearer)|(?<!\w)(?:(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{{16}}|{_TITLE}[. ])")
+_MAY = re.compile(rf"[@0-9]|::|(?i:token|secret|passw|key|auth|bearer)|(?<!\w)(?:(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9_-]{{16}}|(?:{_TITLE}|{_LOUD}|{_LOW})[. ])")
 
 
 _RANGES = ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x4E00, 0x9FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x5D0, 0x5EA), (0x627, 0x64A))
@@ -212,18 +228,18 @@ def _country(digits: str) -> str:
     return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
 
 
-def normal(kind: str, value: str, gender: str = "") -> tuple[str, str]:
+def normal(kind: str, value: str) -> tuple[str, str]:
     """What entities that are spelled apart, but are one, have in common."""
     if kind in ("card", "iban"):
         return kind, re.sub(r"[ -]", "", value)
     if kind == "phone":
         digits = re.sub(r"\D", "", value)
-        return kind, digits if value[0] == "+" else "1" + digits
+        return kind, digits if value[0] == "+" else "0" + digits if digits[0] == "0" else "1" + digits
     if kind == "ip" and ":" in value:
         return kind, ip_address(value).exploded
     if kind == "email" or (kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)):
         return kind, value.lower()
-    return kind, f"{value}\x1f{gender}"
+    return kind, value
 
 
 def _parts(name: str) -> list[str]:
@@ -235,12 +251,24 @@ def _is_word(x: str) -> bool:
     return len(x) > 1 and not re.fullmatch(rf"{_PARTICLE}|{_INITIAL}|d['’]", x) and not re.fullmatch(_PARTICLE, x + " ")
 
 
-def _ended(c: Cipher, given: str, gender: str) -> str:
-    """Permuted letters and the ending of the gender, where the script has one."""
-    new = _by_sound(c, "given", given)
-    script = next((k for k, x in enumerate((r"[A-Za-z\u00c0-\u024f]", r"[\u0370-\u03ff]", r"[\u0400-\u04ff]")) if re.match(x, given[-1])), None)
-    ending = "" if script is None else ENDINGS[gender][script]
-    return new + (ending.upper() if len(given) > 1 and given.isupper() else ending)
+def _low(word: str) -> str:
+    return "".join(x.lower() if len(x.lower()) == 1 else x for x in word)
+
+
+def _cased(word: str, like: str) -> str:
+    """The word with the capitals of another; where it is longer, all capitals go on."""
+    loud = len(like) > 1 and like.isupper()
+    up = [x.isupper() for x in like] + [loud] * (len(word) - len(like))
+    return "".join(x.upper() if u and len(x.upper()) == 1 else x for x, u in zip(word, up))
+
+
+def _stand_in(c: Cipher, role: str, word: str, gender: str) -> str:
+    """The small letters that stand for a word of a name: permuted, a given name's with its gender's ending."""
+    new = _by_sound(c, role, word)
+    if role != "given":
+        return new
+    script = next((k for k, x in enumerate((r"[A-Za-z\u00c0-\u024f]", r"[\u0370-\u03ff]", r"[\u0400-\u04ff]")) if re.match(x, word[-1])), None)
+    return new if script is None else new + ENDINGS[gender or "n"][script]
 
 
 def _last(parts: list[str]) -> int:
@@ -248,8 +276,8 @@ def _last(parts: list[str]) -> int:
     return max((i for i, x in enumerate(parts) if _is_word(x)), default=len(parts) - 1)
 
 
-def surrogate(c: Cipher, kind: str, value: str, extra: str = "") -> str:
-    """The stand-in of an entity; ``extra`` is a name's gender."""
+def surrogate(c: Cipher, kind: str, value: str) -> str:
+    """The stand-in of an entity other than a name."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         # Domains don't tell case; the local part and all labels are recoded, under a reserved ending.
@@ -283,27 +311,12 @@ def surrogate(c: Cipher, kind: str, value: str, extra: str = "") -> str:
     if kind == "phone":
         # National digits are permuted under their country; a number without one is taken for code 1's.
         digits = re.sub(r"\D", "", value)
-        code = _country(digits) if value[0] == "+" else ""
+        code = _country(digits) if value[0] == "+" else "0" if digits[0] == "0" else ""
         new = iter(code + c.recode("phone" + (code or "1"), digits[len(code) :], [DIGITS] * (len(digits) - len(code))))
         return "".join(next(new) if x.isdigit() else x for x in value)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         new = c.recode("hex", value.lower(), [HEX] * len(value))  # one secret, however it is cased
         return new if value == value.lower() else new.upper()
-    if kind == "given":
-        return _ended(c, value, extra)
-    if kind == "family":
-        return _by_sound(c, "family", value)
-    if kind == "name":
-        parts = _parts(value)
-        family = _last(parts)
-        for i, x in enumerate(parts):
-            if re.fullmatch(_INITIAL, x) or (len(x) == 1 and x.isupper()):
-                parts[i] = c.recode("initial", x, [_alphabet(y) for y in x])
-            elif i == family:
-                parts[i] = surrogate(c, "family", x)
-            elif _is_word(x):
-                parts[i] = surrogate(c, "given", x, extra)
-        return "".join(parts)
     return c.recode(kind, value, [_alphabet(x) for x in value])
 
 
@@ -314,10 +327,12 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     out, at = [], 0
     while m := _PATTERN.search(text, at):
         kind = m.lastgroup if m.lastgroup in _GROUPS else next(k for k in _GROUPS if m[k] is not None)
-        group = {"secret": "sv" if m["sv"] is not None else "sw", "name": "nv"}.get(kind, kind)
+        group = {"secret": ("sv", "sw"), "name": ("nv", "uv", "lv")}.get(kind, (kind,))
+        group = next(g for g in group if m[g] is not None)
         value, gender = m[group], ""
         if kind == "name":
-            gender = next((g for t in re.findall(_TITLE, m["title"]) if (g := TITLES[t]) != "n"), "n")
+            title = m["title"] or m["loud"] or m["low"]
+            gender = next((g for t in re.findall(r"\w+", title) if (g := _BY_TITLE.get(t.casefold(), "n")) != "n"), "n")
         if not _holds(kind, value):
             at = m.start() + 1  # what it ran over may be something else
             continue
@@ -327,19 +342,25 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
 
 
 def _repeats(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
-    """The finds, given names with the gender that any title of the document tells, and the places where
-    words of the names stand without a title."""
-    gender, family = {}, set()
+    """The finds, and the places where words of the names stand without a title, with a capital: each given name with
+    the gender that any title of the document tells."""
+    gender, family, forms, givens = {}, set(), set(), _givens(found)
     for *_, kind, value, g in found:
         if kind == "name":
             parts = _parts(value)
             last = _last(parts)
-            family.add(parts[last])
-            for x in parts[:last]:
-                if _is_word(x) and gender.get(x, "n") == "n":
-                    gender[x] = g
-    found = [(a, b, k, v, next((gender[x] for x in _parts(v) if x in gender), g) if k == "name" else g) for a, b, k, v, g in found]
-    words = sorted((x for x in family | set(gender) if len(x) > 2 or not x.isascii()), key=len, reverse=True)
+            if len(parts) == 1 and _low(value) in givens:
+                parts, last = [value, ""], 1
+            for k, x in enumerate(parts):
+                if x and (k == last or (k < last and _is_word(x))):
+                    forms |= {y for y in (x, x.capitalize(), x.upper()) if y[0].isupper() or not _cases(y[0])}
+                if k == last and x:
+                    family.add(_low(x))
+                elif k < last and _is_word(x) and gender.get(_low(x), "n") == "n":
+                    gender[_low(x)] = g
+    words = sorted((x for x in forms if (len(x) > 2 or not x.isascii()) and x.casefold() not in _CALENDAR), key=len, reverse=True)
+    of = lambda v, g: next((gender[y] for x in _parts(v) if (y := _low(x)) in gender), g)
+    found = [(a, b, k, v, of(v, g) if k == "name" else g) for a, b, k, v, g in found]
     if not words:
         return found
     taken, out, k = found, list(found), 0
@@ -347,33 +368,91 @@ def _repeats(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tup
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
         if k == len(taken) or m.end() <= taken[k][0]:
-            out.append((m.start(), m.end(), "family" if m[0] in family else "given", m[0], gender.get(m[0], "")))
+            low = _low(m[0])
+            out.append((m.start(), m.end(), "family" if low in family else "given", m[0], gender.get(low, "")))
     return sorted(out)
 
 
+def _givens(found: list[tuple[int, int, str, str, str]]) -> set[str]:
+    """Given names of whole names that are no family's there: a title before one alone (``Dr Maria``) means the given name."""
+    given, family = set(), set()
+    for *_, kind, value, _ in found:
+        if kind == "name":
+            parts = _parts(value)
+            last = _last(parts)
+            given |= {_low(x) for x in parts[:last] if _is_word(x)}
+            if any(_is_word(x) for x in parts[:last]):
+                family.add(_low(parts[last]))
+    return given - family
+
+
+def _cases(c: str) -> bool:
+    return c.lower() != c.upper()
+
+
+#: A word of a name that hasn't found a free stand-in after so many turns gets longer ones.
+TURNS = 64
+
+
+class _Names:
+    """Stand-ins of the words of a document's names, one for a word and role; no two are the same, and none is a real word of a name there."""
+
+    def __init__(self, c: Cipher, found: list[tuple[int, int, str, str, str]]):
+        self.c, self.mine, self.used, self.gender, self.givens = c, {}, {}, {}, _givens(found)
+        for *_, kind, value, gender in found:
+            if kind == "name":
+                parts = _parts(value)
+                for x in parts if _low(value) in self.givens else parts[: _last(parts)]:
+                    if self.gender.get(_low(x), "n") == "n":
+                        self.gender[_low(x)] = gender
+        self.real = {_low(x) for *_, kind, value, _ in found if kind in ("name", "given", "family") for x in _parts(value) if _is_word(x)}
+
+    def word(self, role: str, word: str) -> str:
+        own = role, _low(word)
+        turn = 0
+        while own not in self.mine:
+            c = Cipher(self.c.key, turn) if turn else self.c
+            new = _stand_in(c, role, own[1], self.gender.get(own[1], "n"))
+            for k in range(turn - TURNS + 1):
+                new += LOWER[c.number("longer", *own, k) % 26]
+            if new not in self.real and self.used.setdefault(new, own) == own:
+                self.mine[own] = new
+            turn += 1
+        return _cased(self.mine[own], word)
+
+    def name(self, value: str) -> str:
+        parts = _parts(value)
+        family = _last(parts)
+        for i, x in enumerate(parts):
+            if i != family and (re.fullmatch(_INITIAL, x) or (len(x) == 1 and x.isupper())):
+                parts[i] = self.c.recode("initial", x, [_alphabet(y) for y in x])
+            elif i == family or _is_word(x):
+                parts[i] = self.word("family" if i == family and not (len(parts) == 1 and _low(x) in self.givens) else "given", x)
+        return "".join(parts)
+
+
 def rewrite(c: Cipher, text: str) -> tuple[str, Counter]:
     """The text with its entities replaced, and how many there were of each kind."""
     found = detect(text)
     if not found:
         return text, Counter()
-    out, at, seen = [], 0, Counter()
+    out, at, seen, names = [], 0, Counter(), _Names(c, found)
     mine: dict[tuple[str, str], int] = {}
-    real = {(k, normal(k, v)[1]) for _, _, k, v, _ in found}
+    real = {normal(k, v) for _, _, k, v, _ in found}
     used: dict[tuple[str, str], tuple[str, str]] = {}
-    for a, b, kind, value, gender in found:
-        own = normal(kind, value, gender)
-        turn = mine.get(own, 0)
-        while True:
-            new = surrogate(Cipher(c.key, turn) if turn else c, kind, value, gender)
-            if own in mine:
-                break
-            # An address can't meet a real one but for its ending, a name's parts are checked as a whole.
-            meets = (kind, normal(kind, new)[1])
-            if turn < 8 and (meets in real or used.get(meets, own) != own):
+    for a, b, kind, value, _ in found:
+        if kind in ("name", "given", "family"):
+            new = names.name(value) if kind == "name" else names.word(kind, value)
+        else:
+            own = normal(kind, value)
+            turn = mine.get(own, 0)
+            while True:  # a format has far more values than a text has entities
+                new = surrogate(Cipher(c.key, turn) if turn else c, kind, value)
+                meets = normal(kind, new)
+                if own in mine or (meets not in real and used.setdefault(meets, own) == own):
+                    break
                 turn += 1
-                continue
-            mine[own], used[meets] = turn, own
-            break
+            mine[own] = turn
         out += [text[at:a], new]
         at = b
         seen["name" if kind in ("given", "family") else kind] += 1
