@@ -5,27 +5,29 @@ over structural features (tags and class names above the block, link density, wo
 signs, calls to act, place) gives each block a cost of being content and one of being boilerplate;
 these are the capacities of its terminal edges.  Every block is a node: neighbouring blocks and
 successive blocks of one container are joined by smoothness edges.  The source side of the minimum
-cut is the content.  Where the cut leaves nothing of a page, its blocks that no sign speaks
-against are the content.
+cut is the content.  Where the cut leaves nothing of a page, blocks get cheaper as content in three
+steps, until a cut leaves something.
 
 The cut is found exactly: a node whose terminal edges outweigh its other edges lies on their side in
 every minimum cut, so it is contracted into its terminal, again and again; what is left is cut by
 Dinic's algorithm, component by component.
 
 The classifier is fitted to the pages themselves.  No table labels blocks, so other evidence does: on
-pages with an article or main element, blocks in it are content unless a bad class name, a settling
-container or a call to act speaks against it; blocks outside are boilerplate.  Texts that several
+pages with an article or main element, blocks in it are content unless a bad class name or a settling
+container speaks against it; blocks outside are boilerplate.  Texts that several
 pages share are no evidence: short sentences and licence lines of articles are such.  Each block is learned
 from as it stands and with its landmarks hidden, so that its text tells on pages without any; badly named blocks also
 as if inside an article.  The fit is the mode under a normal prior about ``PRIOR``, to the blocks of
 the ``MAX_TRAIN`` page_ids of smallest hash; without landmarks in these it is the prior.
 
 Containers whose tag settles the matter (nav, script, form and so on) are terminals of infinite
-capacity.  White space inside a block becomes one space, character references are decoded, blocks
+capacity.  Neither these nor bad names count where they are or hold the page's article (of its landmarks
+that with the most sentences, main first), or without one more than half of its sentences: such are
+wrappers, or tags that were never closed.  White space inside a block becomes one space, character references are decoded, blocks
 are joined by a newline.
 
 Defined cases: a null or empty html gives the empty text; unclosed tags end with the page or their
-container; a ``<`` that opens no tag is text; a cut-off tag at the end is dropped; text outside any
+container, and settle nothing if they swallow the article; a ``<`` that opens no tag is text; a cut-off tag at the end is dropped; text outside any
 container is judged by the classifier; a very long page costs time in proportion to its blocks, but
 for long runs of undecided ones; repeated rows are each extracted; an empty table gives no rows; extra
 columns don't matter.
@@ -65,7 +67,15 @@ _CALL = re.compile(
     r"|\b(?:sign up|subscribe|newsletter|log ?in|sign in|register now|follow us|share this|share on|click here|read more|read also|related (?:articles|posts|stories)|you may also like|accept (?:all )?cookies|uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|leave a (?:comment|reply)|post a comment|\d+ comments?|abonnieren|jetzt anmelden|mehr lesen|inscrivez-vous|abonnez-vous|lire aussi|suscríbete|leer más)\b",
     re.I,
 )
+#: A sentence of a text may well hold such words: in sentences and in articles they must begin the block, as a call does.
+_CALL_FIRST = re.compile(
+    r"^(?:advert\w*|anzeige|publicité|publicidad|sponsored|promoted)\b\s*(?:[:.\-–|]|$)|^[\w.]+(?: \w+)? (?:says|wrote|replied|schrieb|sagt|a écrit|dijo)\s*:"
+    r"|^(?:please )?(?:sign up|subscribe (?:to|now|today|here|for)|log ?in|sign in|register now|follow us|share (?:this|on)|click here|read more|read also|related (?:articles|posts|stories)|you may also like|accept (?:all )?cookies|we use cookies|(?:we|this (?:web)?site|our (?:web)?site|by (?:using|continuing))\b.*\b(?:cookies?|privacy policy|terms of (?:use|service))|leave a (?:comment|reply)|post a comment|\d+ comments?$|abonnieren|jetzt anmelden|mehr lesen|inscrivez-vous|abonnez-vous|lire aussi|suscríbete|leer más)\b",
+    re.I,
+)
 CALL_WORDS = 15
+#: Words from which a block counts as sentences; a landmark with less than this share of the sentences that nothing speaks against is a teaser.
+SENTENCE_WORDS, TEASER = 5, 0.2
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"])
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -74,52 +84,100 @@ INFINITE = 1e9
 #: Prior means of the weights: bias; the page has landmarks; in an article or main element; under a
 #: good class name; under a bad one; share of linked characters outside articles; log of words; ends
 #: like a sentence; heading; list item; copyright sign outside articles; short call to act; table cell.
-PRIOR = {"bias": -1.2, "landmarks": 0.0, "article": 4.0, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5, "call": -7.0, "cell": 0.6}
+PRIOR = {"bias": -1.2, "landmarks": -2.5, "article": 6.5, "good": 1.5, "bad": -6.0, "link": -3.5, "words": 0.55, "sentence": 0.6, "heading": 0.6, "item": -0.5, "copyright": -2.5, "call": -7.0, "cell": 0.6}
 NAMES = tuple(PRIOR)
 _PRIOR = tuple(PRIOR.values())
 MAX_TRAIN = 2000
 #: Blocks that the sample counts as, against a prior of variance 1.
 EVIDENCE = 1000.0
 ADJACENT, SIBLING = 0.6, 0.4
+#: What blocks of a page without content become cheaper by, in turn.
+CHEAPER = (1.0, 2.0, 3.0)
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "article", "good", "bad", "banned", "heading", "item", "cell", "call")
+    __slots__ = ("text", "linked", "parent", "article", "good", "bad", "banned", "heading", "item", "cell", "call", "marks")
 
-    def __init__(self, text, linked, parent, article, good, bad, banned, heading, item, cell):
-        self.text, self.linked, self.parent = text, linked, parent
-        self.article, self.good, self.bad, self.banned = article, good, bad, banned
+    def __init__(self, text, linked, parent, marks, heading, item, cell):
+        self.text, self.linked, self.parent, self.marks = text, linked, parent, marks
         self.heading, self.item, self.cell = heading, item, cell
-        self.call = not heading and len(text) < 8 * CALL_WORDS and text.count(" ") < CALL_WORDS and bool(_CALL.search(text))
 
+    def judge(self, article, good, bad, banned):
+        self.article, self.good, self.bad, self.banned = article, good, bad, banned
+        sentence = self.text[-1] in ".!?…" and self.text.count(" ") >= 3
+        call = _CALL_FIRST if article or sentence else _CALL
+        self.call = not self.heading and len(self.text) < 8 * CALL_WORDS and self.text.count(" ") < CALL_WORDS and bool(call.search(self.text))
+
+
+class Marks:
+    """What an element's tag and names say, below what its ancestors' do."""
 
-def _marks(tag: str, attrs: str, inherited: tuple) -> tuple:
-    """(article, good, bad, banned) below an element."""
-    article, good, bad, banned = inherited
-    if tag in _BOILER or (tag == "header" and not article):
-        banned = True
-    elif tag in ("article", "main"):
-        article = True
+    __slots__ = ("above", "article", "main", "good", "bad", "banned", "header", "sentences", "below")
+
+    def __init__(self, above):
+        self.above = above
+        self.article = self.main = self.good = self.bad = self.banned = self.header = False
+        self.sentences = 0
+
+
+def _marks(tag: str, attrs: str, above: Marks, kept: list[Marks]) -> Marks:
+    """The marks in force below an element; its own are kept in order of the page."""
+    m = Marks(above)
+    m.banned, m.header, m.main = tag in _BOILER, tag == "header", tag == "main"
+    m.article = m.main or tag == "article"
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 # a name with signs of both kinds tells nothing
                 signs = {(bool(_GOOD.search(x)), bool(_SIGN.search(x))) for x in value.split()}
-                bad = bad or (False, True) in signs
-                good = good or (True, False) in signs
+                m.bad = m.bad or (False, True) in signs
+                m.good = m.good or (True, False) in signs
             elif name == "role":
-                banned = banned or value.lower() in _ROLE
-                article = article or value.lower() in ("main", "article")
+                m.banned = m.banned or value.lower() in _ROLE
+                m.main = m.main or value.lower() == "main"
+                m.article = m.article or value.lower() in ("main", "article")
             elif (name == "hidden" and "hidden" in attrs) or (name == "style" and _HIDDEN.search(value)):
-                banned = True
-    return article, good, bad, banned
+                m.banned = True
+    if not (m.article or m.good or m.bad or m.banned or m.header):
+        return above
+    kept.append(m)
+    return m
+
+
+def _judge(bs: list[Block], root: Marks, kept: list[Marks]) -> None:
+    """Settles what the marks say of each block."""
+    size = [len(b.text) - b.linked if b.text.count(" ") >= SENTENCE_WORDS - 1 else 0 for b in bs]
+    for b, n in zip(bs, size):
+        b.marks.sentences += n
+    root.below = root.bad = root.banned = False
+    for m in kept:  # whether anything speaks against it, of which nothing is void yet
+        m.below = m.bad or m.banned or m.above.below
+    clean = sum(n for b, n in zip(bs, size) if not b.marks.below)
+    for m in reversed(kept):
+        m.above.sentences += m.sentences
+    article = max((m for m in kept if m.article), key=lambda m: (m.main and m.sentences > 0, m.sentences), default=None)
+    if article and article.sentences < TEASER * clean:
+        article = None
+    chain, m = set(), article
+    while m:
+        chain.add(id(m))
+        m = m.above
+    says: dict[int, tuple[bool, bool, bool, bool]] = {id(root): (False, False, False, False)}
+    for m in kept:
+        a, good, bad, banned = says[id(m.above)]
+        void = id(m) in chain if article else 2 * m.sentences > root.sentences
+        a = a or (m.article and (article is not None or not clean))
+        says[id(m)] = a, good or m.good, bad or (m.bad and not void), banned or ((m.banned or (m.header and not a)) and not void)
+    for b in bs:
+        b.judge(*says[id(b.marks)])
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple]] = [("", 0, (False, False, False, False))]
+    root, kept = Marks(None), []
+    stack: list[tuple[str, int, Marks]] = [("", 0, root)]
     parts: list[str] = []
     opened: Counter = Counter()
     linked, in_link, number, at, n = 0, 0, 0, 0, len(html)
@@ -136,7 +194,7 @@ def blocks(html: str) -> list[Block]:
                 tags = [s[0] for s in stack[-4:]]
                 heading = any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags)
                 parent = next((s[1] for s in reversed(stack) if s[0] not in _INLINE and s[0] not in ("p", "li")), 0)
-                out.append(Block(text, linked, parent, *stack[-1][2], heading, "li" in tags, "td" in tags or "th" in tags))
+                out.append(Block(text, linked, parent, stack[-1][2], heading, "li" in tags, "td" in tags or "th" in tags))
             parts.clear()
         linked = 0
 
@@ -215,8 +273,9 @@ def blocks(html: str) -> list[Block]:
             continue
         number += 1
         opened[tag] += 1
-        stack.append((tag, number, _marks(tag, attrs, stack[-1][2])))
+        stack.append((tag, number, _marks(tag, attrs, stack[-1][2], kept)))
     flush()
+    _judge(out, root, kept)
     return out
 
 
@@ -236,7 +295,7 @@ def examples(bs: list[Block]) -> Iterator[tuple[float, ...]]:
     if not any(b.article for b in bs):
         return
     for b in bs:
-        content = float(b.article and not (b.bad or b.banned or b.call))
+        content = float(b.article and not (b.bad or b.banned))
         yield content, *features(b, True, b.article, b.good, b.bad)
         yield content, *features(b, False, False, False, False)
         if b.bad:
@@ -367,20 +426,20 @@ def _cut_component(start: int, graph: list[dict[int, float]], pull: list[float],
 def label(bs: list[Block], weights: tuple[float, ...] = _PRIOR) -> list[bool]:
     """Content or not, for each block."""
     landmarks = any(b.article for b in bs)
-    source, sink, edges = [], [], []
+    scores, edges = [], []
     last: dict[int, int] = {}
     for k, b in enumerate(bs):
-        s = -INFINITE if b.banned else sum(map(mul, weights, features(b, landmarks, b.article, b.good, b.bad)))
-        source.append(max(s, 0.0))
-        sink.append(max(-s, 0.0))
+        scores.append(-INFINITE if b.banned else sum(map(mul, weights, features(b, landmarks, b.article, b.good, b.bad))))
         if k:
             edges.append((k - 1, k, ADJACENT))
         if b.parent in last:
             edges.append((last[b.parent], k, SIBLING))
         last[b.parent] = k
-    side = min_cut(source, sink, edges)
-    if not any(side):
-        side = [not (b.banned or b.bad or b.call or 2 * b.linked > len(b.text) or "©" in b.text) for b in bs]
+    side = [False] * len(bs)
+    for cheaper in (0.0, *CHEAPER):
+        side = min_cut([max(s + cheaper, 0.0) for s in scores], [max(-s - cheaper, 0.0) for s in scores], edges)
+        if any(side):
+            break
     return side
 
 
