@@ -16,7 +16,8 @@ counted by document and item, and candidates meet their texts by join.
 Defined cases: a null or word-less text has no shingles and is kept; a text of 1 to 4 words is one
 shingle of its whole sequence; a null or word-less item matches nothing; a repeated item id counts
 each of its distinct texts apart and reports the id; ties go to the greatest containment, then the
-smallest item_id; repeated rows are each judged; an empty set matches nothing; extra columns don't
+smallest item_id, null last; an item without an id is matched like any other, and reported with a null id;
+repeated rows are each judged; an empty set matches nothing; extra columns don't
 matter.
 """
 
@@ -61,7 +62,7 @@ def sketch(s: np.ndarray) -> tuple[int, np.ndarray, int]:
 class Index:
     """Sketch postings by size class, and whole sets."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids, self.sets = [i for i, _ in items], []
         for _, sets in _sets(pa.array([t for _, t in items], pa.large_string())):
             self.sets += sets
@@ -107,7 +108,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null").distinct()
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("item")).where("item is not null").distinct()
 
 
 def _small(items: DataFrame) -> Index | None:
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = []
                 for found in sets:
                     got = index.matches(found) if len(found) else []
-                    best = min(got, key=lambda x: (-x[0], x[1])) if got else None
+                    best = min(got, key=lambda x: (-x[0], x[1] is None, x[1] or 0)) if got else None
                     out.append((len(found), len(got), *(best[1:] if best else (None, None, None)), bool(got)))
                 kinds = [pa.int64()] * 5 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_shingles", "n_items", "item_id", "n_shared", "item_size", "contaminated"])

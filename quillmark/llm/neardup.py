@@ -18,7 +18,8 @@ similarity s is a candidate with probability (1 - (1 - s^2)^SIDE)^2, 0.99998 at
 
 Defined cases: null, empty or word-less texts have an empty set and stand alone; 1 to 4 words are one
 shingle; equal rows are one class; a null doc_id is left out of classes and stands alone with a
-null component; extra columns are ignored.
+null component; where an id stands for several texts, each row is judged by its own text, and
+component_id is the smallest id of its rows' component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -306,9 +307,57 @@ def _meet(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return alike.unionByName(shares.join(a, "a").select("p", "q"))
 
 
+#: A column name for row numbers.
+ROW = "__qm_row"
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     seen = settle(sketches(docs))
+    if _ids_are_keys(seen):
+        return _components(docs, seen)
+    rows = _numbered(docs)
+    found = _components(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    found = settle(rows.where("doc_id is not null").select(ROW, "doc_id").join(found.withColumnRenamed("doc_id", ROW), ROW))
+    names = found.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    named = found.join(names, "component_id").select("doc_id", "n_shingles", F.col("name").alias("component_id"), (F.col("doc_id") == F.col("name")).alias("kept"))
+    alone = seen.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return named.unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays, that of the smallest doc_id; rows without an
+    id all stay."""
+    seen = settle(sketches(docs))
+    if _ids_are_keys(seen):
+        gone = _components(docs, seen).where("not kept").select("doc_id")
+        out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        # rows of one id and one set are one class: all would stay
+        again = seen.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        if again.isEmpty():
+            return out
+    rows = _numbered(docs)
+    found = _components(rows.select(F.col(ROW).alias("doc_id"), "text")).where("doc_id is not null and n_shingles > 0").withColumnRenamed("doc_id", ROW)
+    found = settle(found.join(rows.select(ROW, "doc_id"), ROW))
+    first = found.groupBy("component_id").agg(F.min_by(ROW, F.struct("doc_id", ROW)).alias(ROW))
+    gone = found.select(ROW).join(first.select(ROW), ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+
+
+def _ids_are_keys(seen: DataFrame) -> bool:
+    """Whether no doc_id stands for two different sets."""
+    sets = F.struct("s1", "s2", "n_shingles")
+    return seen.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row that has an id, written so that it stays."""
+    return settle(docs.withColumns({ROW: F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()), "text": F.col("text").cast("string"), "doc_id": F.col("doc_id").cast("bigint")}))
+
+
+def _components(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, for doc_ids that are keys but for equal sets."""
+    seen = seen or settle(sketches(docs))
     named = seen.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
     with scope(docs.sparkSession):
         labels = settle(_labels(docs, seen, named), outer=True)
