@@ -23,14 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies stays, and of rows equal in id and
-    text one.  Rows without an id belong to no group and stay."""
-    docs = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    more = kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(more)
+    """Of each group of near copies the document of the smallest id stays, one row of it.  Where an id stands for several
+    texts each row is judged by its own.  Rows without an id belong to no group and stay."""
+    return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
