@@ -9,12 +9,15 @@ windows that share one form an entry.  Three passes read the blocks:
 2. a block sends, for windows of returned minimizers only, 96-bit window hashes with their first
    place in the block; the index finds each window's first place in the corpus, and returns it
    where that is earlier;
-3. a document is parsed into factors: runs of windows whose first places in the corpus follow each
-   other in one source.  No longer match in a later source is sought, so a copy of a text that is
-   partly older makes several factors; the words they cover are the same.  A factor of 20 words or more is a duplicate span.
-   Where a factor ends, the windows across the boundary are looked up as well, since a repeat may
-   begin inside the factor before it.
-
+3. a document is parsed greedily against the reference, which is the corpus without its repeats: of each
+   window only the first place belongs to it, so a window is in the reference once.  From a position
+   the longest match is therefore one run, of windows whose first places follow each other in one
+   source; it is taken whole, and is a factor of 20 words or more.  At a factor's end the windows across
+   the boundary are looked up as well, since the next match may begin inside the factor before it.
+   A text that is copied from a place which was itself a copy in part makes several factors, as
+   the part is in the reference elsewhere; the words that factors cover are the same.
+
+Blocks, minimizers and windows are written between the passes, and no pass leaves shuffle files to the next.
 A minimizer or window is a row of two or three numbers, so what moves is in proportion to the text.
 Rows are sorted by hash and streamed: a task keeps the first place of one hash at a time, however
 many blocks hold it.  A block sends each minimizer and window at most once, so a passage that a
@@ -38,15 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .tables import release, settle, settle_buckets, table
+from .tables import settle, settle_buckets, table
 
 WINDOW = 20
 RUN = 8
 BLOCK_BYTES = 4 << 20
 #: Blocks whose messages one partition of the index holds, about.
 BLOCKS_A_PART = 16
-#: From so many blocks on, shuffle files of a pass are let go before the next.
-RELEASE_BLOCKS = 32
 NULL_ID = -(1 << 63)
 U = V.U
 _HIGH = U(0xFFFFFFFF00000000)
@@ -314,13 +315,9 @@ def find_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, bloc
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, -(-total // block_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCKS_A_PART))
-    clean = release if n >= RELEASE_BLOCKS else lambda _: None
     blocks = settle_buckets(to_blocks(docs, n), "block", parts)
-    clean(spark)
     returned = settle_buckets(_returned(blocks, parts, window, run_words), "block", parts)
-    clean(spark)
     places = settle(_sources(blocks, returned, n, parts, window, run_words))
-    clean(spark)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint,source_doc:bigint,source_start:bigint>>, kept_text string, kept_sha256 string"
     span_type = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "source_doc", "source_start")]))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import threading
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: An Arrow batch that goes to Python holds about so many bytes, or a single longer row.
 BATCH_BYTES = 8 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own setting: shuffle files go when the query that made them ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local = threading.local()
 
 
@@ -40,8 +40,12 @@ def shared_dir(spark: SparkSession, outer: bool = False) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor sees; it goes when its
     ``scope`` (the one around that, if ``outer``) ends, and at the latest with the driver's JVM.
 
-    Only where that setting is missing (tests on one machine) is one made under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    Only a local session may do without that setting (tests on one machine): there it lies beside the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     path = f"{base.rstrip('/')}/qm-{uuid.uuid4().hex}"
     p, fs = _hadoop(spark, path)
     fs.mkdirs(p)
@@ -51,13 +55,25 @@ def shared_dir(spark: SparkSession, outer: bool = False) -> str:
     return path
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind: the table written is what later steps read."""
+    was = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, was)
+
+
 def settle(df: DataFrame, outer: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, on files that
     outlive any executor."""
     spark = df.sparkSession
     modest(spark)
     path = shared_dir(spark, outer) + "/t"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,20 +87,13 @@ def settle_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     modest(spark)
     path, name = shared_dir(spark) + "/t", f"qm_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    with _tidy(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files are the folder's, the plan has them
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs now, and not when the driver next happens to collect its
-    garbage.  Python's references are dropped on the JVM's side within a second; Spark's cleaner follows."""
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop(spark, path)
     fs.delete(p, True)
