@@ -3,12 +3,12 @@
 ``write_pages`` lays a table out as such a service would answer: for each code, pages of so many rows in order of time,
 a JSON object {"next": key of the next page or null, "rows": [...]}; the last page may be short.  Reading,
 
-    spark.dataSource.register(PagedHistory)
-    spark.read.format("paged_history").option("path", folder).option("schema", ddl).load()
+    read_pages(spark, folder, ddl, code, time)
 
 gives a partition for each chain of ``span`` pages of a code (pages are numbered, so chains start anywhere) and follows
 the keys within it.  Filters on the code choose chains, and a bound on the time ends a chain at the first page beyond
-it and skips rows before; both show as pushed.  A page that can't be read is asked for again ``retries`` times, after
+it and skips rows before; both show as pushed.  (Spark keeps what a relation was last asked to filter, for a next
+query without filters too; so ``read_pages`` gives every query one, on the page's number, and by itself the format takes none over.)  A page that can't be read is asked for again ``retries`` times, after
 growing pauses; then the task fails, and Spark tries it elsewhere.
 
 As a stream, an offset is the number of pages of every code; a batch reads the pages that came since, a page that is
@@ -21,15 +21,20 @@ code "" and after all times)."""
 from __future__ import annotations
 
 import json
+import sys
 import time
 from collections.abc import Iterator
 from datetime import datetime
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
 
+# The source is planned in Python processes of its own, which may not know this package: its classes travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAUSE = 0.05
 #: What a folder's name holds as % and two digits.
 _ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")
@@ -99,6 +104,7 @@ class _Pages:
         self.span, self.retries = int(options.get("span", 8)), int(options.get("retries", 3))
         self.codes: set | None = None
         self.bounds: list[tuple[str, object]] = []
+        self.push = options.get("push", "false") == "true"
 
     def chains(self, first: dict[str, int], end: dict[str, int]) -> list[Chain]:
         out = []
@@ -127,7 +133,7 @@ class _Pages:
             page = self.fetch(chain.code, number)
             late = False
             for r in page["rows"]:
-                row = tuple(self.value(f, r.get(f.name)) for f in self.schema.fields)
+                row = tuple(number if f.name == "_page" else self.value(f, r.get(f.name)) for f in self.schema.fields)
                 if place is not None and row[place] is not None:
                     if any(op in (">", ">=") and not (row[place] > v if op == ">" else row[place] >= v) for op, v in self.bounds):
                         continue
@@ -146,7 +152,11 @@ class HistoryReader(_Pages, DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         signs = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == (self.code,):
+            if not self.push:
+                yield f
+            elif f.attribute == ("_page",):
+                pass  # every page has a number
+            elif isinstance(f, (EqualTo, In)) and f.attribute == (self.code,):
                 chosen = set(f.value if isinstance(f, In) else (f.value,))
                 self.codes = chosen if self.codes is None else self.codes & chosen
             elif type(f) in signs and f.attribute == (self.ts,) and isinstance(f.value, datetime):
@@ -199,4 +209,5 @@ def read_pages(spark, folder: str, schema: str, code: str, ts: str, span: int =
     """The rows behind the pages of ``folder``; filters on code and time reach the source."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedHistory)
-    return spark.read.format("paged_history").options(path=folder, schema=schema, code=code, time=ts, span=span).load()
+    rows = spark.read.format("paged_history").options(path=folder, schema=f"{schema}, _page int", code=code, time=ts, span=span, push="true").load()
+    return rows.where(F.col("_page") >= 0).drop("_page")
