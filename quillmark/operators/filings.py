@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.periods import parse_period
 from quillmark.functions.text import chinese_year
+from quillmark.operators.manypatterns import contained
 
 #: Words of announcements that are no reports. Fixed values.
 NO_REPORT = ["董事会", "股东周年大会", "股东大会", "投票结果", "投票", "通函", "章程", "翌日披露", "翌日报表", "回购", "购回", "变动月报表", "证券变动", "邀请", "会议召开", "meeting", "notice of", "poll result", "任命", "辞任", "股权激励", "分红", "股息", "股票期权"]
@@ -168,11 +169,10 @@ def first_enough(candidates: DataFrame, counts: DataFrame, key: str, least: int
 
 def alias_match(labels: DataFrame, aliases: DataFrame, label: str = "label") -> DataFrame:
     """Each label's segment code: an alias that equals it before one that it holds, then the alias's order.
-
-    ``aliases`` (code, alias, place) is a company's configuration, a few hundred rows; it is broadcast."""
-    a = F.broadcast(aliases.select("code", F.lower("alias").alias("_alias"), "place"))
+    ``aliases`` (code, alias, place) may be of any size."""
+    a = aliases.select("code", F.lower("alias").alias("_alias"), "place")
     low = F.lower(F.trim("_label"))
-    hits = labels.select(F.col(label).alias("_label")).distinct().join(a, low.contains(F.col("_alias")))
-    best = F.min(F.struct(F.when(low == F.col("_alias"), 0).otherwise(1).alias("kind"), "place", "code"))
+    hits = contained(labels.select(F.col(label).alias("_label")).distinct().withColumn("_low", low), "_low", a, "_alias").join(a, "_alias")
+    best = F.min(F.struct(F.when(F.col("_low") == F.col("_alias"), 0).otherwise(1).alias("kind"), "place", "code"))
     found = hits.groupBy("_label").agg(best.alias("m")).select(F.col("_label").alias(label), F.col("m.code").alias("code"))
     return labels.join(found, label, "left").select(*labels.columns, "code")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.periods import fiscal_quarter, fiscal_year
+from quillmark.operators.manypatterns import contained
 from quillmark.operators.sections import Node, tree
 from quillmark.operators.statements import number
 
@@ -159,12 +160,11 @@ def by_indent(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def labelled(rows: DataFrame, config: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, code, level, parent, kind) of rows whose label is (kind 0), or holds (1), a configured segment's name;
-    of several the equal one, then the longest.
-
-    ``config`` (code, name, level, parent), a company's few segments, is broadcast."""
-    c = F.broadcast(config.select("code", F.lower("name").alias("_name"), "level", "parent"))
+    of several the equal one, then the longest.  ``config`` (code, name, level, parent) may be of any size."""
+    c = config.select("code", F.lower("name").alias("_name"), "level", "parent")
     label = F.lower(F.trim("label"))
-    hits = rows.where(~F.col("total")).select(*keys, "row", label.alias("_label")).join(c, F.col("_label").contains(F.col("_name")))
+    held = contained(rows.where(~F.col("total")).select(*keys, "row", label.alias("_label")), "_label", c, "_name")
+    hits = held.join(c, "_name")
     kind = F.when(F.col("_label") == F.col("_name"), 0).otherwise(1)
     best = F.min(F.struct(kind.alias("kind"), (-F.length("_name")).alias("size"), "code", "level", "parent"))
     return hits.groupBy(*keys, "row").agg(best.alias("m")).select(*keys, "row", "m.code", "m.level", "m.parent", "m.kind")
