@@ -1,5 +1,6 @@
-"""Registered queries over small literal tables: rules of filings, texts, periods and models that the benchmark
-tables hold nothing for.  Each takes its rows from VALUES on both sides."""
+"""Rules of filings, texts, periods and models, each with its SQL and small literal cases, which the tests run.
+
+``derived`` registers a rule as a query over rows that come from the benchmark tables; see ``plans/derived.py``."""
 
 from __future__ import annotations
 
@@ -33,20 +34,44 @@ def values(ddl: str, rows: list[tuple]) -> str:
     return f"(SELECT {cast} FROM (VALUES {body}) AS v({', '.join(n for n, _ in cols)}))"
 
 
+#: Literal cases by name: (what gives the rows for a session, the SQL that gives the same).
+CASES: dict[str, tuple] = {}
+#: Rules by name: (function of the tables, SQL with {t} and other tables' names).
+RULES: dict[str, tuple] = {}
+
+
 def fixture(name: str, ddl: str, rows: list[tuple], sql: str, **more: tuple[str, list[tuple]]):
-    """Registers f(df, **tables) as a query over literal rows; the SQL names them {t} and by the others' names."""
+    """A rule f(df, **tables) with literal cases; the SQL names them {t} and by the others' names."""
     text = sql.format(t=values(ddl, rows), **{k: values(*v) for k, v in more.items()})
 
     def add(f):
-        def run(spark, _):
-            return f(spark.createDataFrame(rows, ddl), **{k: spark.createDataFrame(r, d) for k, (d, r) in more.items()})
-
-        query(name, text)(run)
+        CASES[name] = (lambda spark: f(spark.createDataFrame(rows, ddl), **{k: spark.createDataFrame(r, d) for k, (d, r) in more.items()}), text)
+        RULES[name] = (f, sql)
         return f
 
     return add
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def derived(name: str, t: str, sql: str | None = None, **more: str) -> None:
+    """Registers a rule as a query: its tables come from SELECTs over the benchmark tables, named in braces, that both
+    engines read alike; ``sql`` in place of the rule's own where that is about its literal cases."""
+    f, own = RULES[name]
+    sources = {"t": t} | more
+    text = (sql or own).format(**{k: "(" + v.format(**{x: x for x in _TABLES}) + ")" for k, v in sources.items()})
+
+    def run(spark, d):
+        def rows(v: str):
+            used = {x: spark.read.parquet(f"{d}/{x}.parquet") for x in _TABLES if "{" + x + "}" in v}
+            return spark.sql(v, **used)
+
+        return f(rows(t), **{k: rows(v) for k, v in more.items()})
+
+    query(name, text)(run)
+
+
 def expected(name: str, ddl: str, rows: list[tuple], out: str, want: list[tuple]):
     """A query whose rows are stated: what the rule gives for each literal input."""
     return fixture(name, ddl, rows, "SELECT * FROM " + values(out, want).replace("{", "{{").replace("}", "}}"))

@@ -1,5 +1,5 @@
-"""Registered queries of file sources, section readers and push streams: each writes its small files to the shared
-folder first, and reads them back through the source."""
+"""Cases of file sources, section readers and push streams, which the tests run: each writes small files to the shared
+folder first, and reads them back through the source.  ``plans/derived.py`` runs the sources on the benchmark tables."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from quillmark.functions.periods import date_bucket
 from quillmark.functions.text import url_host
 from quillmark.operators import sections
 from quillmark.operators.statements import number
-from quillmark.plans.fixtures import values
-from quillmark.plans.queries import query
+from quillmark.plans.fixtures import CASES, values
 from quillmark.sources import files, pdf, workbook
 from quillmark.sources.shared import shared_folder
 from quillmark.streaming import pushes
@@ -30,10 +29,10 @@ def put(spark, contents: dict[str, str | bytes]) -> str:
 
 
 def stated(name: str, ddl: str, rows: list[tuple]):
-    """A query whose rows are stated in its SQL."""
+    """A case whose rows are stated."""
 
     def add(f):
-        query(name, "SELECT * FROM " + values(ddl, rows))(lambda spark, d: f(spark))
+        CASES[name] = (f, "SELECT * FROM " + values(ddl, rows))
         return f
 
     return add

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
-from quillmark.plans import chain, endpoints, fixtures, more, queries, segments, sources, wide  # noqa: F401
+from quillmark.plans import chain, derived, endpoints, filed, fixtures, indexes, more, queries, segments, sources, stores, streams, structures, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,18 @@ def test_query(spark, duck, name):
         assert got == Counter(tuple(r[k] for k in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(fixtures.CASES))
+def test_case(spark, duck, name):
+    """The literal cases of a rule."""
+    run, sql = fixtures.CASES[name]
+    df, rel = run(spark), duck.sql(sql)
+    cols = sorted(df.columns)
+    at = [rel.columns.index(c) for c in cols]
+    assert sorted(rel.columns) == cols
+    got = Counter(tuple(r[c] for c in cols) for r in df.collect())
+    assert got and got == Counter(tuple(r[k] for k in at) for r in rel.fetchall())
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
