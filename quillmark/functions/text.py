@@ -75,7 +75,7 @@ def normalise_space(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end with sentence signs of either script, or at a line break; none empty."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？；!?;])|(?<=\.)\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？；!?;])\n*|(?<=\.)\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def normalise_ticker(raw: Column) -> Column:

@@ -92,6 +92,23 @@ derived(
     sql="SELECT x, CASE WHEN abs(x) >= 1e12 THEN printf('%.2f', x / 1e12) || '万亿' WHEN abs(x) >= 1e8 THEN printf('%.2f', x / 1e8) || '亿' WHEN abs(x) >= 1e4 THEN printf('%.2f', x / 1e4) || '万' ELSE printf('%.2f', x) END AS shown FROM {t}",
 )
 
+derived("x10_spaces", "SELECT text AS t FROM {documents} WHERE text IS NOT NULL", sql=r"SELECT t, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x{{00a0}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS clean FROM {t}")
+derived(
+    "x11_sentences",
+    "SELECT text AS t FROM {documents} WHERE text IS NOT NULL",
+    sql=r"SELECT t, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '([。！？；!?;])', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM {t}",
+)
+derived("x13_tickers", "SELECT CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey AS STRING), 5, '0') || '.HK 营收' WHEN c_custkey % 3 = 1 THEN '6' || lpad(CAST(c_custkey AS STRING), 5, '0') || '的ROE' ELSE '营收如何' END AS q FROM {customer}", sql="SELECT q, nullif(regexp_extract(q, '[0-9]{{5,6}}'), '') AS ticker FROM {t}")
+derived("x15_hierarchy", "SELECT repeat('  ', CAST(l_linenumber - 1 AS INT)) || CASE WHEN l_linenumber > 1 THEN '├─ ' ELSE '' END || l_returnflag || CAST(l_partkey AS STRING) AS raw FROM {lineitem}", sql="SELECT raw, regexp_replace(raw, '^[ ├─]+', '') AS name, CAST((len(raw) - len(ltrim(raw, ' '))) // 2 + 1 AS INTEGER) AS level FROM {t}")
+derived("d15_time_terms", "SELECT CAST(2015 + o_orderkey % 10 AS STRING) || '年Q' || CAST(1 + o_custkey % 4 AS STRING) || '和' || CAST(2016 + o_orderkey % 10 AS STRING) || '年' || CASE WHEN o_custkey % 3 = 0 THEN 'FY' WHEN o_custkey % 3 = 1 THEN 'h1' ELSE '' END AS q FROM {orders}", sql="SELECT q, array_to_string(list_concat(regexp_extract_all(q, '20[0-9]{{2}}'), regexp_extract_all(upper(q), 'Q[1-4]|H[12]|FY')), ',') AS terms FROM {t}")
+_MONTHS = _text("March", "June", "September", "December")
+derived(
+    "d10_period_type",
+    f"SELECT {_pick('o_custkey', *_text('Three Months Ended ', 'For the quarter ended '))} || {_pick('o_orderkey', *_MONTHS)} || ' 30, ' || substr(CAST(o_orderdate AS STRING), 1, 4) AS t FROM {{orders}}",
+    sql="SELECT t, CASE WHEN contains(t, 'March') THEN 'Q1' WHEN contains(t, 'June') THEN 'Q2' WHEN contains(t, 'September') THEN 'Q3' ELSE 'Q4' END AS calendar, CASE WHEN contains(t, 'March') THEN 'Q3' WHEN contains(t, 'June') THEN 'Q4' WHEN contains(t, 'September') THEN 'Q1' ELSE 'Q2' END AS june FROM {t}",
+)
+derived("s33_ticker_search", f"SELECT c_name AS code, {_pick('c_custkey', *_text('腾讯', '腾讯购', '阿里'))} || c_name AS name, {_pick('c_nationkey', *_text('港股', '美股', '基金'))} AS kind, CAST({_pick('c_custkey', '116', '153')} AS INT) AS market FROM {{customer}}")
+
 # --- retrieval ---------------------------------------------------------------------------------------
 
 _CHUNKS = "SELECT CAST({i} AS STRING) AS chunk_id, {s} AS doc, CASE WHEN {i} % 10 = 0 THEN NULL ELSE ({i} * 37 % 101) / 100.0 END AS score, CASE WHEN {i} % 3 = 0 THEN '云' || text ELSE text END AS content FROM "

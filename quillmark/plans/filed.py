@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillmark import tools
 from quillmark.functions.periods import date_bucket
 from quillmark.functions.text import url_host
-from quillmark.operators import chain, sections
+from quillmark.operators import chain, sections, segments
 from quillmark.operators.statements import number
 from quillmark.plans.fixtures import derived
 from quillmark.plans.queries import _r, _t, query
@@ -118,14 +119,14 @@ def s13(spark, d):
 
 def _pdfs(spark, d) -> str:
     """A PDF of every nation: a title, then its customers' table over pages of 40 rows."""
-    rows = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("rows"))
+    rows = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment", F.format_string("%.2f", "c_acctbal").alias("balance")))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, made = [], []
             for n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = [f"{r['c_custkey']}\t{r['c_mktsegment']}" for r in own]
-                pages = [["Item 1. Customers", "Key\tSegment", *lines[k : k + 40]] for k in range(0, len(lines), 40)]
+                lines = [f"{r['c_custkey']}\t{r['c_mktsegment']}\t{r['balance']}" for r in own]
+                pages = [["Item 1. Customers", "Key\tSegment\tBalance", *lines[k : k + 40]] for k in range(0, len(lines), 40)]
                 names.append(f"n{n}.pdf")
                 made.append(simple_pdf(pages))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], ["name", "data"])
@@ -156,6 +157,26 @@ def s05(spark, d):
     return parts.select(F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast("int").alias("n"), F.col("page").cast("bigint").alias("page"), lines.cast("bigint").alias("customers"))
 
 
+@query("s18_pdf_table_facts", "SELECT CAST(c_custkey AS VARCHAR) AS metric, 'Balance' AS period, c_acctbal AS value FROM customer")
+def s18(spark, d):
+    """Facts of tables in PDF pages: names from the first column, periods from the head."""
+    cells = workbook.pdf_tables(spark, _pdfs(spark, d))
+    head = cells.where("row = 1 and col > 1").select("path", "sheet", "col", F.col("value").alias("period"))
+    name = cells.where("row > 1 and col = 1").select("path", "sheet", "row", F.col("value").alias("metric"))
+    body = cells.where("row > 1 and col > 1").join(head, ["path", "sheet", "col"]).join(name, ["path", "sheet", "row"])
+    return body.where("period = 'Balance'").select("metric", "period", number(F.col("value")).alias("value"))
+
+
+@query("s03_pdf_text", "SELECT c_nationkey AS n, count(*) AS lines, CAST(ceil(count(*) / 40.0) AS BIGINT) AS headings, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def s03(spark, d):
+    """PDF files as marked text: a heading a page, a line a row."""
+    text = files.as_text(files.routed(spark, _pdfs(spark, d)))
+    line = F.split("text", "\n")
+    rows = F.filter(line, lambda x: x.rlike(r"^\d+\s"))
+    keys = F.aggregate(F.transform(rows, lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return text.select(F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast("int").alias("n"), F.size(rows).cast("bigint").alias("lines"), F.size(F.filter(line, lambda x: x == "## Item 1. Customers")).cast("bigint").alias("headings"), keys.alias("keys"))
+
+
 _LINES = "(SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k, CAST(l_partkey AS VARCHAR) AS part, printf('%.2f', l_extendedprice) AS price FROM lineitem)"
 
 
@@ -185,6 +206,74 @@ def s04(spark, d):
     return sections.sections(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html").select("id", "place", "title", "content")
 
 
+# --- segment tables of filings -----------------------------------------------------------------------
+
+_SUMS = "(SELECT c_nationkey AS id, c_mktsegment AS segment, CAST(floor(sum(abs(c_acctbal))) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS b FROM customer GROUP BY 1, 2)"
+
+
+def _segment_pages(spark, d):
+    """A nation's filing: a table of market segments with amounts and counts as two years' quarters, and a total."""
+    c = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("segment")).agg(F.floor(F.sum(F.abs("c_acctbal"))).alias("a"), F.count("*").alias("b"))
+    cell = lambda x: F.concat(F.lit("<td>"), F.format_number(x, 0), F.lit("</td>"))
+    row = F.concat(F.lit('<tr><td style="padding-left:12px">'), F.initcap("segment"), F.lit("</td>"), cell(F.col("a")), cell(F.col("b")), F.lit("</tr>"))
+    rows = c.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", row.alias("r")))), lambda x: x["r"]), "").alias("r"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    head = "<p>(In millions of RMB)</p><table><tr><td></td><td colspan=2>Three Months Ended June 30,</td></tr><tr><td></td><td>2025</td><td>2024</td></tr><tr><td><b>Revenue</b></td><td></td><td></td></tr>"
+    return rows.select("id", F.concat(F.lit(head), "r", F.lit("<tr><td>Total</td>"), cell(F.col("a")), cell(F.col("b")), F.lit("</tr></table>")).alias("html"))
+
+
+def _segment_config(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_mktsegment").alias("code"), F.initcap("c_mktsegment").alias("name"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent")).distinct()
+
+
+@query("s19_financial_tables", f"SELECT id, upper(segment) AS label, 1::INTEGER AS indent, false AS total, a, b FROM {_SUMS} UNION ALL SELECT id, 'TOTAL', 0, true, CAST(sum(a) AS BIGINT), CAST(sum(b) AS BIGINT) FROM {_SUMS} GROUP BY id")
+def s19(spark, d):
+    """Rows of a filing's table with their indents, totals and numbers."""
+    rows = segments.financial_tables(_segment_pages(spark, d), "id", "html").withColumn("v", F.transform(F.filter("cells", lambda x: x != ""), number))
+    rows = rows.where((F.size("v") == 2) & (F.col("label") != ""))
+    return rows.select("id", F.upper("label").alias("label"), "indent", "total", F.col("v")[0].cast("bigint").alias("a"), F.col("v")[1].cast("bigint").alias("b"))
+
+
+@query("h06_row_facts", f"SELECT id, segment, 'REVENUE' AS metric, p AS period, CAST(CASE p WHEN '2025Q2' THEN a ELSE b END AS DOUBLE) AS value FROM {_SUMS}, (VALUES ('2025Q2'), ('2024Q2')) v(p)")
+def h06(spark, d):
+    """Facts of tables with segments as rows: segment, metric, period, value."""
+    rows, on = segments.financial_tables(_segment_pages(spark, d), "id", "html"), ["id", "sheet"]
+    facts = segments.row_facts(rows, segments.period_sequence(rows, on), segments.labelled(rows, _segment_config(spark, d), on), [("REVENUE", "^revenue")], on)
+    return facts.select("id", "segment", "metric", "period", "value")
+
+
+@query("h08_period_sequence", "SELECT DISTINCT c_nationkey AS id, p AS period FROM customer, (VALUES ('2025Q2'), ('2024Q2')) v(p)")
+def h08(spark, d):
+    """The periods that a table's columns stand for."""
+    return segments.period_sequence(segments.financial_tables(_segment_pages(spark, d), "id", "html"), ["id", "sheet"]).select("id", "period").distinct()
+
+
+@query("h09_by_config", f"SELECT id, segment AS code FROM {_SUMS}")
+def h09(spark, d):
+    """The first row of every configured segment."""
+    return segments.by_config(segments.financial_tables(_segment_pages(spark, d), "id", "html"), _segment_config(spark, d), ["id", "sheet"]).select("id", "code")
+
+
+@query("h09_by_indent", f"SELECT id, upper(segment) AS label, 2::INTEGER AS level FROM {_SUMS}")
+def h09i(spark, d):
+    """Labels that may be segments, by their indents."""
+    return segments.by_indent(segments.financial_tables(_segment_pages(spark, d), "id", "html"), ["id", "sheet"]).select("id", F.upper("label").alias("label"), "level")
+
+
+@query("z15_tables_by_type", "SELECT o_orderkey AS id, 'Revenue' AS label FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'Total revenue' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+def z15(spark, d):
+    """The rows of a page's income tables."""
+    own = F.col("o_orderkey").cast("string")
+    income = F.concat(F.lit("<table><tr><td>Revenue</td><td>"), own, F.lit("</td></tr>"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<tr><td>Total revenue</td><td>"), own, F.lit("</td></tr>"))).otherwise(""), F.lit("</table>"))
+    html = F.concat(F.lit("<table><tr><td>Total assets</td><td>"), own, F.lit("</td></tr></table>"), F.when(F.col("o_orderkey") % 2 == 0, income).otherwise(""))
+    return tools.lf_extract_table(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", "income").select("id", "label")
+
+
+@query("z14_filings", f"SELECT {_TICKER} AS ticker, {_DOC} AS document_id, (2018 + s_suppkey % 8) || {_QUARTER} AS fiscal_period FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0")
+def z14(spark, d):
+    """Filings of a folder that are whole, with their canonical periods."""
+    return tools.lf_filings(spark, _filings(spark, d)).select("ticker", "document_id", "fiscal_period")
+
+
 # --- stores and sinks --------------------------------------------------------------------------------
 
 

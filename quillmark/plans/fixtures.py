@@ -670,8 +670,9 @@ def s33(df):
     """Securities of a name, the preferred exchange first, scores falling by place."""
     ok = df.where(filings.security_passes(F.col("kind"), F.col("name"), ["股"], ["购"]) & F.col("name").contains("腾讯"))
     ok = ok.withColumn("exchange", filings.exchange_name(F.col("market"), {"116": "HKEX"}))
-    ranked = retrieval.rank_decay(ok.withColumn("g", F.lit(1)), 1.0, 0.1, ["g"], [F.when(F.col("exchange") == "HKEX", 0).otherwise(1), "code"])
-    return ranked.orderBy(F.desc("score"), "code").limit(2).select("code", "exchange", _r("score", 4).alias("score"))
+    order = [F.when(F.col("exchange") == "HKEX", 0).otherwise(1), F.col("code")]
+    ranked = retrieval.rank_decay(ok.orderBy(*order).limit(2).withColumn("g", F.lit(1)), 1.0, 0.1, ["g"], order)  # two rows
+    return ranked.select("code", "exchange", _r("score", 4).alias("score"))
 
 
 @query("z21_filtered_neighbours", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label >= 1 AND label <= 5 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 10")
