@@ -126,11 +126,13 @@ def run(chunks: DataFrame, ask: Ask, scene: str = "filing", web: bool = False) -
     return out
 
 
-def hashed_vector(text: Column, size: int = 64) -> Column:
-    """A unit vector of a text without a model: signed counts of its words, by hash."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    place = lambda w: F.pmod(F.xxhash64(w), F.lit(size))
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(place(w) == k, sign(w)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+def hashed_vectors(docs: DataFrame, id_col: str, text: str, size: int = 64) -> DataFrame:
+    """(id, v): unit vectors of texts without a model: signed counts of their words, by hash.  Words are added up
+    where they are read, so a text of any length is ``size`` sums; texts without a word have no vector, and one whose
+    counts cancel out is all zeros.  ids are keys."""
+    word = docs.select(id_col, F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where("w <> ''")
+    placed = word.select(id_col, F.pmod(F.xxhash64("w"), F.lit(size)).alias("p"), F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    sums = placed.groupBy(id_col).agg(*(F.sum(F.when(F.col("p") == k, F.col("s")).otherwise(0.0)).alias(f"_{k}") for k in range(size)))
+    v = F.array(*(F.col(f"_{k}") for k in range(size)))
+    made = sums.select(id_col, v.alias("v")).withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    return made.select(id_col, F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))

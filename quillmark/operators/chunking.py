@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,24 @@ def hash16(*parts: object) -> str:
 _KINDS = (re.compile("[一-鿿]+"), re.compile("[!-~]+"), re.compile(r"[^\x00-\x7f一-鿿\s]+"))
 
 
+#: White space beyond ASCII.
+_SPACES = np.array([ord(x) for x in map(chr, range(0x80, 0x3001)) if x.isspace()], np.uint32)
+
+
 def counts(text: str) -> tuple[int, int, int]:
     """CJK characters, ASCII ones that aren't space, and others; they add up over pieces of a text."""
     cjk, plain, other = (sum(map(len, k.findall(text))) for k in _KINDS)
     return cjk, plain, other
 
 
+def _running(text: str) -> np.ndarray:
+    """``counts`` of every beginning of a text: (length + 1, 3)."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cjk, plain = (c >= 0x4E00) & (c <= 0x9FFF), (c >= 0x21) & (c <= 0x7E)
+    other = (c > 0x7F) & ~cjk & ~np.isin(c, _SPACES)
+    return np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(np.stack([cjk, plain, other], 1), 0, dtype=np.int64)])
+
+
 def estimate(cjk: int, plain: int, other: int) -> int:
     return -(-2 * cjk // 3) + plain // 4 + other
 
@@ -113,11 +126,13 @@ def window_chunks(text: str, title: str = "", target: int = 400, most: int = 600
     units: list[tuple[str, tuple[int, int, int]]] = []
     for u in _UNIT.findall(text):
         c = counts(u)
-        while (n := estimate(*c)) > most:
-            cut = max(1, len(u) * most // (n + 1))
-            units.append((u[:cut], counts(u[:cut])))
-            u = u[cut:]
-            c = counts(u)
+        if estimate(*c) > most:  # a long unit's pieces are told from its running counts
+            run, at = _running(u), 0
+            while (n := estimate(*(run[-1] - run[at]).tolist())) > most:
+                cut = max(1, (len(u) - at) * most // (n + 1))
+                units.append((u[at : at + cut], tuple((run[at + cut] - run[at]).tolist())))
+                at += cut
+            u, c = u[at:], tuple((run[-1] - run[at]).tolist())
         if u.strip():
             units.append((u, c))
     windows: list[list[tuple[str, tuple[int, int, int]]]] = []

@@ -95,10 +95,9 @@ def s22(df, new):
     return retrieval.upsert(df, new, ["chunk_id"]).select("chunk_id", "v")
 
 
-@query("s27_embeddings", "SELECT doc_id, CAST(64 AS INTEGER) AS size, 1.0::DOUBLE AS norm FROM documents WHERE text IS NOT NULL AND length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND len(text) < 400")
+@query("s27_embeddings", "SELECT doc_id, CAST(64 AS INTEGER) AS size, 1.0::DOUBLE AS norm FROM documents WHERE text IS NOT NULL AND length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0")
 def s27(spark, d):
-    docs = _t(spark, d, "documents").where("text is not null and length(text) < 400").where(~F.col("text").rlike(r"^[ \t-\r]*$"))
-    made = docs.select("doc_id", chain.hashed_vector(F.col("text")).alias("v"))
+    made = chain.hashed_vectors(_t(spark, d, "documents").where("text is not null"), "doc_id", "text")
     norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6)
     # a text whose signed counts cancel out has no direction; any other vector has length 1
     return made.select("doc_id", F.size("v").alias("size"), F.when(norm == 0, 1.0).otherwise(norm).alias("norm"))

@@ -380,3 +380,36 @@ def test_heading_chunks_lie_in_their_text():
         # every word of a body stands in some child
         for word in {w for _, _, body in chunking.sections(text) for w in body.split()}:
             assert any(word in c["content"] for c in made if c["kind"] == "child")
+
+
+def test_window_chunks_of_a_long_unit_take_time_in_proportion():
+    """A unit without sentence signs is cut as by counting its rest anew, in linear time."""
+    import random
+    import time
+
+    r = random.Random(4)
+    for size in (900, 5000):
+        unit = "".join(r.choice("ab \u4e2d\u6587\u00e9\u3000\u00a0\t") for _ in range(size))
+        parts, u = [], unit
+        while (n := chunking.tokens(u)) > 600:
+            cut = max(1, len(u) * 600 // (n + 1))
+            parts.append(u[:cut])
+            u = u[cut:]
+        run = chunking._running(unit)
+        assert [tuple(x) for x in run[[0, 7, size // 2, size]].tolist()] == [chunking.counts(unit[:k]) for k in (0, 7, size // 2, size)]
+        got = "".join(c["content"] for c in chunking.window_chunks(unit, overlap=0)).replace(" ", "")
+        assert "".join(p for p in [*parts, u]).split() == unit.split() and set(got) <= set(unit)
+    took = []
+    for n in (200_000, 800_000):
+        began = time.time()
+        assert len(list(chunking.window_chunks("x" * n))) >= n // 2400
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_hashed_vectors_are_units_whatever_the_length(spark):
+    from quillmark.operators import chain as C
+
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "word " * 20_000), (3, " \n "), (4, None), (5, "a b c a")], "id int, text string")
+    got = {r.id: r.v for r in C.hashed_vectors(docs, "id", "text").collect()}
+    assert set(got) == {1, 2, 5} and got[1] == got[5] and all(len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
