@@ -3,15 +3,21 @@ and cite, each a step of one DataFrame plan."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
-from quillmark.operators import filings, retrieval
+from quillmark.operators import filings, retrieval, textindex, vectorindex
+
+
+#: A step of a chain: chunks and the question to chunks.
+Step = Callable[[DataFrame, "Ask"], DataFrame]
 
 
 @dataclass
@@ -66,14 +72,86 @@ def by_relative_period(chunks: DataFrame, ask: Ask) -> DataFrame:
     return chunks.join(F.broadcast(chosen.select("fiscal_period")), "fiscal_period", "left_semi")  # at most the distinct periods
 
 
-def search(chunks: DataFrame, ask: Ask, factor: int = 3) -> DataFrame:
-    """The best by words, and by vectors if there is one, fused by their places; all the chunk's columns."""
-    words = retrieval.bm25f(chunks, ask.terms, "title", "content")
-    found = retrieval.top(words, factor * ask.k, "chunk_id")
-    if ask.vector:
-        near = retrieval.nearest(chunks, ask.vector, factor * ask.k, "chunk_id")
-        found = retrieval.fuse(found, near, "chunk_id", factor * ask.k)
-    return chunks.join(found.select("chunk_id", "score"), "chunk_id")
+class Backend(Protocol):
+    """What answers a question by words or by its vector: the best ``k`` of ``chunks`` as (chunk_id, score), or None
+    where the question has nothing that it could go by."""
+
+    def find(self, chunks: DataFrame, ask: Ask, k: int) -> DataFrame | None: ...
+
+
+class WordScan:
+    def find(self, chunks: DataFrame, ask: Ask, k: int) -> DataFrame | None:
+        if not ask.terms:
+            return None
+        return retrieval.top(retrieval.bm25f(chunks, ask.terms, "title", "content"), k, "chunk_id").select("chunk_id", "score")
+
+
+class VectorScan:
+    def find(self, chunks: DataFrame, ask: Ask, k: int) -> DataFrame | None:
+        if not ask.vector:
+            return None
+        return retrieval.nearest(chunks, ask.vector, k, "chunk_id").select("chunk_id", "score")
+
+
+@dataclass
+class WordIndex:
+    """A stored index of chunks; its figures are those of all of them, whichever a question is narrowed to.  Terms that
+    no piece of a word can be are left out."""
+
+    index: textindex.TextIndex
+
+    def find(self, chunks: DataFrame, ask: Ask, k: int) -> DataFrame | None:
+        terms = [t for t in ask.terms if re.fullmatch(r"\w+", t)]
+        if not terms:
+            return None
+        found = textindex.scores_contains(self.index, terms).withColumnRenamed("id", "chunk_id")
+        return retrieval.top(found.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), k, "chunk_id", "raw").select("chunk_id", "score")
+
+
+@dataclass
+class VectorCells:
+    """A stored index of vectors by numbered chunks: ``numbers`` (id, chunk_id) tells whose they are."""
+
+    index: vectorindex.VectorIndex
+    numbers: DataFrame
+    probes: int | None = None
+    spare: int = 4
+
+    def find(self, chunks: DataFrame, ask: Ask, k: int) -> DataFrame | None:
+        """Of ``spare`` times as many neighbours those that the question is narrowed to."""
+        if not ask.vector:
+            return None
+        asked = chunks.sparkSession.createDataFrame([(0, [float(x) for x in ask.vector])], "vec_id bigint, embedding array<double>")
+        near = vectorindex.search(self.index, asked, self.spare * k, self.probes).join(self.numbers, "id")
+        return retrieval.top(near.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), k, "chunk_id").select("chunk_id", "score")
+
+
+#: Backends by name and their weights in the fusion; ``register_backend`` adds more.
+BACKENDS: dict[str, tuple[Backend, float]] = {"words": (WordScan(), retrieval.KEYWORD_WEIGHT), "vectors": (VectorScan(), retrieval.VECTOR_WEIGHT)}
+
+
+def register_backend(name: str, backend: Backend, weight: float) -> None:
+    BACKENDS[name] = (backend, weight)
+
+
+def search_by(*names: str, factor: int = 3) -> Step:
+    """A step that asks these backends, fuses what they find by place, and gives the chunks with all their columns.  One list
+    alone keeps its scores; of a question that none can go by nothing is found."""
+
+    def step(chunks: DataFrame, ask: Ask) -> DataFrame:
+        k = factor * ask.k
+        lists = [(found, BACKENDS[n][1]) for n in names if (found := BACKENDS[n][0].find(chunks, ask, k)) is not None]
+        if not lists:
+            return chunks.limit(0).withColumn("score", F.lit(0.0))
+        found = lists[0][0]
+        if len(lists) > 1:
+            found = retrieval.fuse_lists(lists, "chunk_id", k)
+        return chunks.join(found.select("chunk_id", "score"), "chunk_id")
+
+    return step
+
+
+search = search_by("words", "vectors")
 
 
 def merge(results: DataFrame, ask: Ask) -> DataFrame:
@@ -100,7 +178,7 @@ def cite(results: DataFrame, ask: Ask) -> DataFrame:
     return rows.withColumn("citation", filings.citation(F.col("place"), tags, F.lit(None).cast("string")))
 
 
-STEPS: dict[str, Callable[[DataFrame, Ask], DataFrame]] = {
+STEPS: dict[str, Step] = {
     "parse_tags": by_tags,
     "normalise_period": by_relative_period,
     "search": search,
@@ -113,6 +191,18 @@ STEPS: dict[str, Callable[[DataFrame, Ask], DataFrame]] = {
 SCENES = {"filing": ["parse_tags", "normalise_period", "search", "merge", "rerank", "top_k", "cite"], "hybrid": ["search", "merge", "top_k"], "chat": []}
 
 
+def register_step(name: str, step: Step) -> None:
+    """A handler that scenes may name."""
+    STEPS[name] = step
+
+
+def register_scene(name: str, steps: list[str]) -> None:
+    """A chain of registered handlers; an unknown one is an error at once."""
+    if missing := [s for s in steps if s not in STEPS]:
+        raise ValueError(f"no such steps: {missing}")
+    SCENES[name] = list(steps)
+
+
 def run(chunks: DataFrame, ask: Ask, scene: str = "filing", web: bool = False) -> DataFrame:
     """The chunks for a question, by the steps of a scene; none where its intent needs no retrieval.
 

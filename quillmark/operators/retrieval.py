@@ -62,10 +62,14 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, col: st
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, id_col: str, k: int, w_keyword: float = KEYWORD_WEIGHT, w_vector: float = VECTOR_WEIGHT) -> DataFrame:
-    """Weighted reciprocal-rank fusion of two top lists: sum of w / (60 + rank)."""
-    w = Window.orderBy(F.desc("score"), id_col)  # lists are top-k, bounded by k
-    part = lambda df, x: df.select(id_col, (x / (RRF_K + F.row_number().over(w))).alias("s"))
-    return top(part(keyword, w_keyword).unionByName(part(vector, w_vector)).groupBy(id_col).agg(F.sum("s").alias("score")), k, id_col)
+    """Weighted reciprocal-rank fusion of the best k of two lists: sum of w / (60 + rank)."""
+    return fuse_lists([(keyword, w_keyword), (vector, w_vector)], id_col, k)
+
+
+def fuse_lists(lists: list[tuple[DataFrame, float]], id_col: str, k: int) -> DataFrame:
+    w = Window.orderBy(F.desc("score"), id_col)  # of k rows, as each list is cut first
+    ranked = [top(df.select(id_col, "score"), k, id_col).select(id_col, (x / (RRF_K + F.row_number().over(w))).alias("s")) for df, x in lists]
+    return top(reduce(DataFrame.unionByName, ranked).groupBy(id_col).agg(F.sum("s").alias("score")), k, id_col)
 
 
 def tag_filter(chunks: DataFrame, tags: DataFrame, conditions: list[tuple[str, str, list[str]]] | None, on: list[str]) -> DataFrame:

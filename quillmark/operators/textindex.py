@@ -147,7 +147,13 @@ def skipped(index: TextIndex, words: list[str], least: float) -> tuple[int, int]
 
 
 def search_contains(index: TextIndex, pieces: list[str], k: int, min_raw: float = MIN_RAW) -> DataFrame:
-    """As ``bm25f`` does: id, raw and score of the k best documents by pieces of words.
+    """The k best of ``scores_contains``."""
+    found = scores_contains(index, pieces, min_raw)
+    return top(found, k, "id", "raw").withColumnRenamed("id", index.id_col)
+
+
+def scores_contains(index: TextIndex, pieces: list[str], min_raw: float = MIN_RAW) -> DataFrame:
+    """As ``bm25f`` does: id, raw and score of the documents by pieces of words.
 
     A piece must consist of letters, digits and underscores, or it could reach over a gap: then ValueError."""
     pieces = [p.lower() for p in pieces]
@@ -162,4 +168,4 @@ def search_contains(index: TextIndex, pieces: list[str], k: int, min_raw: float
     docs = settle(_scored(index, rows, pieces, None, lambda i: F.col(f"m{i}")))
     found = docs.agg(F.count("*"), *(F.greatest(F.count_if(F.col(f"t{i}") > 0), F.count_if(F.col(f"c{i}") > 0)) for i in range(len(pieces)))).first()
     idf = [_idf(index.documents, n) for n in found[1:]]
-    return _finish(index, docs.select("id", _raw(index, idf).alias("raw")), k, min_raw)
+    return docs.select("id", _raw(index, idf).alias("raw")).where(F.col("raw") > min_raw).withColumn("score", F.tanh(F.col("raw") / SQUASH))

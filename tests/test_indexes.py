@@ -113,3 +113,29 @@ def test_probes_find_nearly_all(spark):
     assert vectorindex.calibrate(close, 10) <= 6  # vectors with groups need few cells
     read = index.cells.where(F.col("cell").isin([1, 2]))
     assert "PartitionFilters: [cell" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_backends_and_scenes_are_registered_by_name(spark):
+    """The chain by scans and by stored indexes gives the same; handlers and scenes are added by name."""
+    from quillmark.operators import chain as C
+
+    base = docs(spark, 200).select(F.format_string("c%05d", "id").alias("chunk_id"), F.lit("00700").alias("ticker"), F.lit("2025Q1").alias("fiscal_period"), "title", F.col("body").alias("content"), F.col("id").alias("number"))
+    r = random.Random(9)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(200)], "number bigint, embedding array<double>")
+    chunks = base.join(v, "number")
+    ask = C.Ask("w1 nation", terms=["nation", "w1", "no-word"], vector=[1.0, 0.5, 0, 0, -1, 0, 0.2, 0], k=5)
+    words, cells = textindex.build(chunks, "chunk_id", "title", "content"), vectorindex.build(chunks, "number", "embedding", cells=6, size=8)
+    C.register_backend("word index", C.WordIndex(words), retrieval.KEYWORD_WEIGHT)
+    C.register_backend("cells", C.VectorCells(cells, chunks.select(F.col("number").alias("id"), "chunk_id")), retrieval.VECTOR_WEIGHT)
+    C.register_step("search stored", C.search_by("word index", "cells"))
+    C.register_scene("stored", ["search stored", "merge", "top_k", "cite"])
+    C.register_scene("scanned", ["search", "merge", "top_k", "cite"])
+    rows = lambda scene, a: [(x.place, x.chunk_id, round(x.score, 9)) for x in C.run(chunks, a, scene).orderBy("place").collect()]
+    assert rows("stored", ask) == rows("scanned", ask) and len(rows("stored", ask)) == 5
+    only = C.Ask("w1 nation", terms=["nation"], k=4)
+    assert rows("stored", only) == rows("scanned", only)
+    assert rows("stored", C.Ask("?", terms=["!"], k=3)) == []
+    some = chunks.where("number % 2 = 0")
+    assert {x.chunk_id for x in C.run(some, only, "stored").collect()} <= {x.chunk_id for x in some.collect()}
+    with pytest.raises(ValueError):
+        C.register_scene("bad", ["none such"])
