@@ -12,6 +12,7 @@ from quillmark.functions.periods import date_bucket
 from quillmark.functions.text import url_host
 from quillmark.operators import chain, sections, segments
 from quillmark.operators.statements import number
+import quillmark.plans.chain  # noqa: F401  (its rules)
 from quillmark.plans.fixtures import derived
 from quillmark.plans.queries import _r, _t, query
 from quillmark.plans.sources import simple_pdf
@@ -534,3 +535,50 @@ _FORMS = """SELECT id, form_type, CAST(CASE WHEN title LIKE 'Form%' THEN CASE WH
 FROM (SELECT *, unnest(CASE WHEN title LIKE '%年度财报公告' OR title LIKE 'Form%' THEN ['FY'] WHEN title LIKE '%六个月%' THEN ['H1', 'Q2'] WHEN title LIKE '%第三季度%' THEN ['Q3'] WHEN title LIKE '%三个月%' THEN ['Q1'] ELSE [] END) AS form_type FROM {t}) z"""
 derived("f20_classify", _TITLES, sql=_FORMS)
 derived("f19_announcements", _TITLES, sql=f"SELECT id, form_type FROM ({_FORMS}) WHERE form_type IN ('FY', 'H1', 'Q1') AND fiscal_year BETWEEN 2023 AND 2025 AND id <> 5 AND id IN (SELECT id FROM {{t}} u WHERE contains(u.title, '业绩') OR contains(u.title, '财报'))")
+
+
+# --- PDF tables by drawn lines -----------------------------------------------------------------------
+
+
+def ruled_pdf(pages: list[tuple[str, list[list[str]]]], turned: bool) -> bytes:
+    """A PDF of tables with rules: over the columns of each page's rows a title spans them all; rules are drawn field by field,
+    some as lines and some as thin boxes.  Turned pages are drawn on their side and rotated back."""
+    width, height = 612, 792
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{4 + 2 * k} 0 R' for k in range(len(pages)))}] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for k, (title, rows) in enumerate(pages):
+        cols, top, left, w, h = len(rows[0]), (height if not turned else width) - 60, 50, 90, 12
+        draw = [f"0 1 -1 0 {width} 0 cm"] if turned else []
+        ys = [top - h * i for i in range(len(rows) + 2)]
+        for i, y in enumerate(ys):
+            draw += [f"{left + w * j} {y} m {left + w * (j + 1)} {y} l S" if (i + j) % 2 else f"{left + w * j} {y - 0.25} {w} 0.5 re f" for j in range(cols)]
+        for i in range(len(ys) - 1):
+            draw += [f"{left + w * j} {ys[i]} m {left + w * j} {ys[i + 1]} l S" for j in range(cols + 1) if i or j in (0, cols)]
+        shown = [(left + 3, ys[1] + 3, title), *((left + w * j + 3, ys[i + 2] + 3, x) for i, r in enumerate(rows) for j, x in enumerate(r))]
+        text = "\n".join([*draw, *(f"BT /F1 9 Tf 1 0 0 1 {x} {y} Tm ({t}) Tj ET" for x, y, t in shown)]) + "\n"
+        turn = " /Rotate 90" if turned else ""
+        objects += [f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width} {height}]{turn} /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * k} 0 R >>", f"<< /Length {len(text)} >>\nstream\n{text}endstream"]
+    body = "".join(f"{n} 0 obj\n{o}\nendobj\n" for n, o in enumerate(objects, 1))
+    return f"%PDF-1.4\n{body}trailer << /Root 1 0 R >>\n%%EOF".encode("latin-1")
+
+
+@query("s42_ruled_tables", "SELECT l_suppkey AS supplier, CAST(l_orderkey AS VARCHAR) AS order_key, CAST(l_linenumber AS VARCHAR) AS line, printf('%.2f', l_extendedprice) AS price FROM lineitem")
+def s42(spark, d):
+    """Every supplier's lines as ruled PDF tables, half of them on turned pages, read back by their lines."""
+    order = F.struct("l_orderkey", "l_linenumber", F.format_string("%.2f", "l_extendedprice").alias("price"))
+    rows = _t(spark, d, "lineitem").withColumn("book", F.floor(F.col("l_orderkey") / 5000)).groupBy("l_suppkey", "book").agg(F.array_sort(F.collect_list(order)).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, made = [], []
+            for n, book, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lines = [[str(r["l_orderkey"]), str(r["l_linenumber"]), r["price"]] for r in own]
+                names.append(f"s{n}-{book}.pdf")
+                made.append(ruled_pdf([(f"Lines {k} of {n}", lines[k : k + 40]) for k in range(0, len(lines), 40)], n % 2 == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], ["name", "data"])
+
+    root = shared_folder(spark)
+    put_files(rows.select("l_suppkey", F.col("book").cast("bigint"), "rows").mapInArrow(run, "name string, data binary"), root)
+    cells = workbook.pdf_tables(spark, root).where("row > 1")
+    one = lambda k: F.max(F.when(F.col("col") == k, F.col("value")))
+    back = cells.groupBy("path", "sheet", "row").agg(one(1).alias("order_key"), one(2).alias("line"), one(3).alias("price"))
+    return back.select(F.regexp_extract("path", r"s(\d+)-\d+\.pdf$", 1).cast("bigint").alias("supplier"), "order_key", "line", "price")

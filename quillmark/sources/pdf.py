@@ -140,15 +140,8 @@ def pages(data: bytes | None) -> list[str]:
     objects = _objects(data)
     out = []
     for n in _pages(objects):
-        body = objects[n]
-        holder = b"".join([body, *(objects.get(k, b"") for k in _refs(body, b"Resources"))])
-        fonts = {}
-        for name, ref in re.findall(rb"/([A-Za-z0-9_.+-]+)\s+(\d+)\s+\d+\s+R", holder):
-            for k in _refs(objects.get(int(ref), b""), b"ToUnicode"):
-                fonts[name] = _unicode_map(_stream(objects.get(k, b"")))
-        content = b"\n".join(_stream(objects.get(k, b"")) for k in _refs(body, b"Contents"))
         rows: dict[float, list[tuple[float, str]]] = {}
-        for y, x, text in _shown(content, fonts):
+        for y, x, text in _shown(content(objects, n), fonts(objects, n)):
             rows.setdefault(round(y, 1), []).append((x, text))
         lines = (" ".join(t.strip() for _, t in sorted(r, key=lambda p: p[0]) if t.strip()) for _, r in sorted(rows.items(), key=lambda p: -p[0]))
         out.append("\n".join(x for x in lines if x))
@@ -162,30 +155,34 @@ def markdown(data: bytes | None) -> str:
     return heading_marks("\n".join(pages(data)))
 
 
-def table_cells(data: bytes | None) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, col, value) of tables: two lines or more, one below the other, of two cells or more; a cell is what
+def gap_tables(shown: Iterator[tuple[float, float, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """Tables of a page as (row, col, value): two lines or more, one below the other, of two cells or more; a cell is what
     is shown from one place on.  Columns are the places where the table's cells begin."""
-    if not data or b"%PDF" not in data[:1024]:
-        return
-    objects, number, seen = _objects(data), 0, set()
-    for n in _pages(objects):
-        content = b"\n".join(_stream(objects.get(k, b"")) for k in _refs(objects[n], b"Contents"))
-        rows: dict[float, list[tuple[float, str]]] = {}
-        for y, x, text in _shown(content, {}):
-            if text.strip():
-                rows.setdefault(round(y, 1), []).append((round(x), text.strip()))
-        block: list[list[tuple[float, str]]] = []
-        for line in [*(sorted(r) for _, r in sorted(rows.items(), key=lambda p: -p[0])), []]:
-            if len(line) >= 2:
-                block.append(line)
-                continue
-            mark = tuple(tuple(t[:100] for _, t in r) for r in block)  # a table that comes again is one
-            if len(block) >= 2 and mark not in seen:
-                seen.add(mark)
-                places = sorted({x for r in block for x, _ in r})
-                columns = [x for k, x in enumerate(places) if not k or x - places[k - 1] > 12]
-                for i, r in enumerate(block, 1):
-                    for x, text in r:
-                        yield str(number), i, sum(c <= x for c in columns), text
-                number += 1
-            block = []
+    rows: dict[float, list[tuple[float, str]]] = {}
+    for y, x, text in shown:
+        if text.strip():
+            rows.setdefault(round(y, 1), []).append((round(x), text.strip()))
+    block: list[list[tuple[float, str]]] = []
+    for line in [*(sorted(r) for _, r in sorted(rows.items(), key=lambda p: -p[0])), []]:
+        if len(line) >= 2:
+            block.append(line)
+            continue
+        if len(block) >= 2:
+            places = sorted({x for r in block for x, _ in r})
+            columns = [x for k, x in enumerate(places) if not k or x - places[k - 1] > 12]
+            yield [(i, sum(c <= x for c in columns), text) for i, r in enumerate(block, 1) for x, text in r]
+        block = []
+
+
+def content(objects: dict[int, bytes], page: int) -> bytes:
+    return b"\n".join(_stream(objects.get(k, b"")) for k in _refs(objects[page], b"Contents"))
+
+
+def fonts(objects: dict[int, bytes], page: int) -> dict[bytes, dict[bytes, str]]:
+    """The Unicode maps of a page's fonts that have one, by name."""
+    body = objects[page]
+    holder, out = b"".join([body, *(objects.get(k, b"") for k in _refs(body, b"Resources"))]), {}
+    for name, ref in re.findall(rb"/([A-Za-z0-9_.+-]+)\s+(\d+)\s+\d+\s+R", holder):
+        for k in _refs(objects.get(int(ref), b""), b"ToUnicode"):
+            out[name] = _unicode_map(_stream(objects.get(k, b"")))
+    return out

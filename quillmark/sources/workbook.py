@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.statements import number
-from quillmark.sources import pdf
+from quillmark.sources import ruled
 
 _CELL = "sheet string, row int, col int, value string"
 
@@ -132,9 +132,10 @@ def html_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
 
 
 def pdf_tables(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, col, value of the tables of the .pdf files below ``path``."""
+    """path, sheet, row, col, value of the tables of the .pdf files below ``path``: by their drawn lines, or by the gaps
+    between columns on pages without such."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
-    return _cells(files, "path", "content", pdf.table_cells)
+    return _cells(files, "path", "content", ruled.table_cells)
 
 
 def statement_facts(cells: DataFrame, id_col: str) -> DataFrame:
