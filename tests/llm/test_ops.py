@@ -862,15 +862,27 @@ def test_pipeline(spark):
         old, new = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
         assert set(new) <= set(old)
         if name == "near_dedup":
-            kept = {r.doc_id for r in neardup.near_duplicates(before).where("kept").collect()}
-            assert set(new) == kept
+            # every pair of whole sets, and the smallest id of each component
+            sets = {i: shingles(r.text) for i, r in old.items()}
+            label = {i: i for i in sets}
+            fell = True
+            while fell:
+                fell = False
+                for a in sets:
+                    for b in sets:
+                        n = len(sets[a] & sets[b])
+                        if n and label[b] < label[a] and 100 * n >= 75 * len(sets[a] | sets[b]):
+                            label[a], fell = label[b], True
+            assert set(new) == {i for i in sets if label[i] == i} and len(new) < len(old)
         if name == "decontamination":
             items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(new) == {i for i, r in old.items() if not any(s and 100 * len(s & shingles(r.text)) >= 75 * len(s) for s in items)}
         if name == "privacy":
             assert set(new) == set(old)
-            values = {v for r in old.values() for *_, v, _ in pii.detect(r.text)}
+            plain = re.compile(r"""[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<=token = ")[0-9a-f]{40}|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])""")
+            values = {v for r in old.values() for v in plain.findall(r.text)}
             assert values and not any(v in r.text for v in values for r in new.values())
+            assert all(new[i].text == r.text for i, r in old.items() if not plain.search(r.text) and not re.search(r"\d{13,}", r.text))
         before = after
     out = C.STAGES[-1][1](spark, before, sf)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in before.collect()}
