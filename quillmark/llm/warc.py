@@ -4,7 +4,8 @@ assembled by their concurrent-to identifiers into one nested row a capture.
 Records are made with SQL functions and written by Spark's text sink, whose line separator is the
 blank line pair that ends a record, so any file system that Spark writes to will do.  A file is
 compressed as a whole and holds at most ``PER_FILE`` captures, or as many as make up ``FILE_BYTES`` at
-the mean size if these are fewer; it is read as a stream, a record at a time.  Payloads of 1000
+the mean size if these are fewer; captures beyond the first of ``SIZES`` are written apart, as many to a file as
+their class's largest allows.  A file is read as a stream, a record at a time.  Payloads of 1000
 bytes or more are kept once: of equal ones that of the largest page_id is the response and the
 others revisit it.
 
@@ -34,6 +35,8 @@ from .tables import settle, shared_dir, table
 MIN_REVISIT = 1000
 PER_FILE = 2000
 FILE_BYTES = 32 << 20
+#: Captures are written apart by size, up to each of these, so that a run of large ones makes no large file.
+SIZES = (64 << 10, 1 << 20, 16 << 20, 1 << 31)
 #: Bits of the bitmap of shared digests; a full one is 8 MB of rows.
 DIGEST_BITS = 25
 EOL = "\r\n"
@@ -109,10 +112,19 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", this)), *common, ("WARC-Concurrent-To", _uuid("response", this)), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), own, F.lit(EOL)),
     )
-    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    each = max(1, min(PER_FILE, int(FILE_BYTES / (mean + 1000))))
-    records = d.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * each).option("compression", "gzip").text(path)
+    size = F.octet_length(F.col("html").cast("string"))
+    light = F.coalesce(size, F.lit(0)) <= SIZES[0]
+    mean, most = pages.agg(F.avg(F.when(light, F.coalesce(size, F.lit(0)))), F.max(size)).first()
+    low = -1
+    for high in SIZES:
+        # small captures by their mean, as so many of the largest make no large file; others by their class's largest
+        each = max(1, min(PER_FILE, int(FILE_BYTES / ((mean or 0) + 1000 if low < 0 else high))))
+        own = d.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        records = own.select(F.explode(F.array(request, response, metadata)).alias("value"))
+        records.write.mode("append").option("lineSep", EOL + EOL).option("maxRecordsPerFile", 3 * each).option("compression", "gzip").text(path)
+        low = high
+        if (most or 0) <= high:
+            break
 
 
 _HEAD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
