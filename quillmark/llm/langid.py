@@ -9,7 +9,7 @@ Letters are lower-cased; every run of other characters is one boundary sign.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; equal cosines go to
 the alphabetically first language; without training rows everything is ``und``; a null lang and a
-null doc_id are not learned from; repeated rows are each predicted; other columns are not read.
+null doc_id are not learned from; of over ``MAX_LANGS`` languages those of most rows are learned; repeated rows are each predicted; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .tables import modest, table
 
 DIM = 2048
 PER_LANG = 1000
+#: Languages that are learned: beyond, those of most rows, so that what comes to the driver is bounded.
+MAX_LANGS = 4096
 UNKNOWN = "und"
 CACHE = 16384
 CHUNK = 256
@@ -142,7 +144,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Profiles:
     modest(docs.sparkSession)
     known = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("lang is not null and text is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
-    many = known.groupBy("lang").agg(F.count("*").alias("n"))
+    many = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = known.join(F.broadcast(many), "lang").where(place * F.col("n") < per_lang)  # a row a language
     texts = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")

@@ -2,8 +2,8 @@
 
 The model sees hashed word 1-2-grams and hashed code point 3-5-grams of a whole text, each feature
 family as shares of its occurrences, so a long text is judged by its mix and not by its length.
-It is fitted on at most ``max_train`` labelled rows (those of smallest hashed id) with a ridge, by
-L-BFGS; every fifth of them, by hash, is held back for the calibration: Platt's two parameters of
+It is fitted on at most ``max_train`` labelled rows (those of smallest hashed id, as many as ``TRAIN_BYTES`` hold, none
+over ``TRAIN_TEXT`` bytes) with a ridge, by L-BFGS; every fifth of them, by hash, is held back for the calibration: Platt's two parameters of
 the standardised score, found by Newton steps that are halved until the log loss falls.  Texts are
 scored in Arrow batches against a fixed threshold.
 
@@ -31,6 +31,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_AT = 0.5
 MAX_TRAIN = 4000
+#: Bytes of texts that come to the driver for the fit, and of one such text.
+TRAIN_BYTES, TRAIN_TEXT = 64 << 20, 1 << 20
 BITS = 17
 CHARS = (3, 4, 5)
 RIDGE = 1e-4
@@ -293,9 +295,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     order = F.xxhash64("doc_id")
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = one.orderBy(order, "doc_id").limit(max_train)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).collect()
-    return fit([r.text for r in rows], np.array([int(r.quality > 0) for r in rows], dtype=np.int64))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").where(F.octet_length("text") <= TRAIN_TEXT)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    held, found = 0, []
+    for r in rows.orderBy(order, "doc_id").toLocalIterator():  # a part at a time, as far as the bound goes
+        held += len(r.text.encode("utf-8", "surrogatepass"))
+        if held > TRAIN_BYTES:
+            break
+        found.append((r.text, int(r.quality > 0)))
+    return fit([t for t, _ in found], np.array([q for _, q in found], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
