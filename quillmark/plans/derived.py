@@ -168,6 +168,12 @@ derived(
 derived("n25_earnings", f"SELECT period, metric, max(v) AS value FROM (SELECT substr(CAST(o_orderdate AS STRING), 1, 10) AS period, {_pick('o_orderkey', *_text('gross', 'assets', 'equity'))} AS metric, CASE WHEN o_custkey % 6 > 0 THEN floor(o_totalprice) END AS v FROM {{orders}}) x GROUP BY period, metric")
 _ITEMS = f"SELECT CAST(o_orderdate AS STRING) AS period, CAST(field AS INT) AS field_id, max(floor(o_totalprice)) AS data FROM (SELECT *, {_pick('o_orderkey', '8001', '8004', '8010')} AS field FROM {{orders}}) x GROUP BY CAST(o_orderdate AS STRING), field"
 derived("c06_nested_items", _ITEMS)
+derived(
+    "z04_statement_table",
+    _ITEMS,
+    sql="SELECT p.period, s.place, s.field_id, s.name, f.data FROM (SELECT DISTINCT period FROM {t}) p CROSS JOIN (VALUES (0, 8001, 'revenue'), (1, 8004, 'gross'), (2, 8017, 'operating')) s(place, field_id, name) LEFT JOIN {t} f ON f.period = p.period AND f.field_id = s.field_id",
+    s="SELECT r_regionkey AS place FROM {region}",
+)
 _FIELDS = {"US": ("8001", "8004", "8017", "8010"), "HK": ("5001", "5010", "5051", "5017"), "A": ("3001", "3032", "3043", "3015")}
 derived(
     "z06_market_ratios",

@@ -260,6 +260,21 @@ def h09i(spark, d):
     return segments.by_indent(segments.financial_tables(_segment_pages(spark, d), "id", "html"), ["id", "sheet"]).select("id", F.upper("label").alias("label"), "level")
 
 
+@query(
+    "h07_column_facts",
+    """SELECT o_orderkey AS id, segment, metric, '2025Q3' AS period, CAST(CASE segment WHEN 'VAS' THEN o_custkey ELSE o_orderkey + 1 END * CASE metric WHEN 'REVENUE' THEN 1 ELSE -2 END AS DOUBLE) AS value
+FROM orders, (VALUES ('VAS'), ('ADS')) v(segment), (VALUES ('REVENUE'), ('PROFIT')) w(metric) WHERE o_orderkey % 5 > 0""",
+)
+def h07(spark, d):
+    """Facts of text tables with segments as columns, where these add up to the total."""
+    a, b = F.col("o_custkey"), F.col("o_orderkey") + 1
+    total = a + b + F.when(F.col("o_orderkey") % 5 == 0, a + b + 10).otherwise(0)
+    line = lambda k, form: F.format_string(form, a * k, b * k, total * k)
+    text = F.concat(F.lit("Segment results\n"), line(1, "  %d   %d   %d\n"), line(2, "  (%d)   (%d)   (%d)\n"), F.lit("note 5  text\n"), line(3, "  %d  %d  %d"))
+    lines = segments.line_cells(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), "id")
+    return segments.column_facts(lines, ["id"], ["VAS", "ADS", "TOTAL"], ["REVENUE", "PROFIT"], "2025Q3", "TOTAL").select("id", "segment", "metric", "period", "value")
+
+
 @query("z15_tables_by_type", "SELECT o_orderkey AS id, 'Revenue' AS label FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'Total revenue' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
 def z15(spark, d):
     """The rows of a page's income tables."""
@@ -537,6 +552,50 @@ derived("f20_classify", _TITLES, sql=_FORMS)
 derived("f19_announcements", _TITLES, sql=f"SELECT id, form_type FROM ({_FORMS}) WHERE form_type IN ('FY', 'H1', 'Q1') AND fiscal_year BETWEEN 2023 AND 2025 AND id <> 5 AND id IN (SELECT id FROM {{t}} u WHERE contains(u.title, '业绩') OR contains(u.title, '财报'))")
 
 
+# --- statement workbooks -----------------------------------------------------------------------------
+
+
+def _books(spark, d) -> str:
+    """Income statements of every nation as workbooks, an older version with other numbers beside the newest."""
+    c = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("metric")).agg(F.floor(F.sum(F.abs("c_acctbal"))).alias("a"), F.count("*").alias("b"))
+    value = lambda x: F.col(x).cast("string")
+    facts = c.select("n", F.col("metric").alias("k"), "metric", F.lit("m").alias("unit"), value("a").alias("2025Q1"), value("b").alias("2024Q1"))
+    dates = c.select("n").distinct().select("n", F.lit("").alias("k"), F.lit("date").alias("metric"), F.lit("").alias("unit"), F.lit("2025-03-31").alias("2025Q1"), F.lit("2024-03-31").alias("2024Q1"))
+    rows = dates.unionByName(facts)
+    name = lambda day: F.concat(F.lit("HK_"), F.format_string("%05d", "n"), F.lit(f"_income_{day}_080000.xlsx"))
+    both = rows.withColumn("name", name("20250501")).unionByName(rows.withColumn("2025Q1", F.when(F.col("k") == "", F.col("2025Q1")).otherwise("1")).withColumn("name", name("20250101")))
+    root = shared_folder(spark)
+    put_files(workbook.books(both, "name", "k", ["metric", "unit", "2025Q1", "2024Q1"]), root)
+    return root
+
+
+@query("s37_workbook", f"SELECT id AS n, day, segment AS metric, p AS period, CAST(CASE WHEN p = '2024Q1' THEN b WHEN day = '20250101' THEN 1 ELSE a END AS DOUBLE) AS value FROM {_SUMS}, (VALUES ('2025Q1'), ('2024Q1')) v(p), (VALUES ('20250101'), ('20250501')) w(day)")
+def s37(spark, d):
+    """Reports written as workbooks and read back as facts."""
+    facts = workbook.statement_facts(workbook.workbooks(spark, _books(spark, d)), "path")
+    return facts.select(F.regexp_extract("path", r"HK_(\d+)_", 1).cast("int").alias("n"), F.regexp_extract("path", r"income_(\d+)_", 1).alias("day"), "metric", "period", "value")
+
+
+@query("s14_historicals", f"SELECT id AS n, segment AS metric, p AS period, CAST(CASE p WHEN '2025Q1' THEN a ELSE b END AS DOUBLE) AS value FROM {_SUMS}, (VALUES ('2025Q1'), ('2024Q1')) v(p)")
+def s14(spark, d):
+    """The newest version of each statement in a folder, as facts."""
+    got = tools.lf_historicals(spark, _books(spark, d))
+    return got.select(F.col("ticker").cast("int").alias("n"), "metric", "period", "value")
+
+
+@query("z13_consensus_files", "SELECT 'N' || c_nationkey AS ticker, lower(c_mktsegment) AS item, '2026FY' AS period, CAST(count(*) AS DOUBLE) AS value, 'estimate' AS kind FROM customer GROUP BY ALL UNION ALL SELECT 'N' || n_nationkey, 'revenue', '2025FY', CAST(n_regionkey AS DOUBLE), 'actual' FROM nation")
+def z13(spark, d):
+    """Estimates of files beside actual facts."""
+    c = _t(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    line = F.concat(F.lower("c_mktsegment"), F.lit(","), F.col("n").cast("string"))
+    made = c.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("r")).select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("_consensus.csv")).alias("name"), F.concat(F.lit("item,2026FY\n"), "r").alias("data"))
+    other = c.groupBy("c_nationkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("other-"), F.col("c_nationkey").cast("string"), F.lit(".csv")).alias("name"), F.lit("item,2026FY\nx,1\n").alias("data"))
+    root = shared_folder(spark)
+    put_files(made.unionByName(other), root)
+    actual = _t(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"), F.lit("revenue").alias("item"), F.lit("2025FY").alias("period"), F.col("n_regionkey").cast("double").alias("value"))
+    return tools.lf_consensus(spark, root, actual)
+
+
 # --- PDF tables by drawn lines -----------------------------------------------------------------------
 
 

@@ -191,6 +191,18 @@ def _sheet(columns: list[str], rows: Iterator[tuple]) -> bytes:
     return out.getvalue()
 
 
+def books(rows: DataFrame, name: str, order: str, columns: list[str]) -> DataFrame:
+    """(name, data): a workbook a name, made in the tasks, of its rows in ``order``; a sheet holds what the format allows."""
+    held = rows.groupBy(F.col(name).alias("name")).agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("_row")))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_sheet(columns, (tuple(r["_row"].values()) for r in own)) for own in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["name", "data"])
+
+    return held.mapInArrow(run, "name string, data binary")
+
+
 def write_workbook(df: DataFrame, path: str) -> None:
     """A report as one .xlsx file: column names, then rows in order; more rows than a sheet holds are an error."""
     data = _sheet(df.columns, (tuple(r) for r in df.toLocalIterator()))

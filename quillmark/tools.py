@@ -53,8 +53,8 @@ def lf_historicals(spark: SparkSession, root: str, n: int = 8) -> DataFrame:
     """statement, metric, unit, period, value, yoy of the latest version of each statement workbook, the last n periods."""
     books = workbook.workbooks(spark, root)
     newest = files.latest_versions(books.select("path").distinct()).select("ticker", "statement", "path")
-    facts = workbook.statement_facts(books.join(F.broadcast(newest.select("path")), "path", "left_semi"), "path")  # a path a statement
-    facts = facts.join(F.broadcast(newest), "path").select("ticker", "statement", "metric", "unit", "period", "value")
+    facts = workbook.statement_facts(books.join(newest.select("path"), "path", "left_semi"), "path")
+    facts = facts.join(newest, "path").select("ticker", "statement", "metric", "unit", "period", "value")
     prior = facts.select("ticker", "statement", "metric", F.col("period").alias("before"), F.col("value").alias("prev"))
     out = facts.withColumn("before", previous_bucket(F.col("period"), "quarter")).join(prior, ["ticker", "statement", "metric", "before"], "left")
     out = out.withColumn("yoy", statements.growth(F.col("value"), F.col("prev"), 2)).drop("before", "prev")
