@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import periods as P
 from quillmark.functions import text as T
 from quillmark.operators import chunking, market, modelling, retrieval, statements, valuation
-from quillmark.plans import chain, derived, endpoints, filed, fixtures, indexes, more, queries, segments, sources, stores, streams, structures, wide  # noqa: F401
+from quillmark.plans import chain, collections, derived, endpoints, filed, fixtures, indexes, more, queries, segments, sources, stores, streams, structures, wide  # noqa: F401
 from quillmark.sources import files, workbook
 
 SF = "/root/testdata/sf0.001"
