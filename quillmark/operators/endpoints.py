@@ -3,6 +3,8 @@ securities, a page of a ranking, a range of times, a screen, a hierarchy, or an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +78,13 @@ def band(value: str, n: int, width: float, code: str, order: str) -> tuple[Colum
 
 
 def smoothed(value: str, span: int, code: str, order: str) -> Column:
-    """Exponential mean of weight 2 / (span + 1), over the last 10 * span values (what is left out weighs under 1e-8
-    of the whole), started from the oldest of them."""
-    w = Window.partitionBy(code).orderBy(order).rowsBetween(-10 * span, 0)
+    """Exponential mean of weight 2 / (span + 1): the recursion from a code's first value on.  What is older than the values
+    summed weighs under 1e-18 of the whole, less than a double's last digit."""
     a = 2.0 / (span + 1)
+    back = math.ceil(math.log(1e-18) / math.log(1 - a)) if span > 1 else 1
+    w = Window.partitionBy(code).orderBy(order).rowsBetween(-back, 0)
     held = F.collect_list(value).over(w)
-    return F.aggregate(F.slice(held, 2, 10 * span), held[0], lambda acc, x: acc * (1 - a) + x * a)
+    return F.aggregate(F.slice(held, 2, back), held[0], lambda acc, x: acc * (1 - a) + x * a)
 
 
 def call(name: str, table: DataFrame, **options) -> DataFrame:
