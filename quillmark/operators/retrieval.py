@@ -14,6 +14,7 @@ from quillmark.functions.text import count_occurrences, estimate_tokens
 K1, TITLE_WEIGHT, CONTENT_WEIGHT, TITLE_B, CONTENT_B = 1.2, 3.0, 1.0, 0.35, 0.75
 SQUASH, MIN_RAW = 5.0, 0.01
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 0.3, 0.7
+FUSED = 10
 RERANK_BASE, RERANK_MODEL = 0.3, 0.7
 _KEY = re.compile(r"[A-Za-z0-9_]+")
 
@@ -62,13 +63,14 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, col: st
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, id_col: str, k: int, w_keyword: float = KEYWORD_WEIGHT, w_vector: float = VECTOR_WEIGHT) -> DataFrame:
-    """Weighted reciprocal-rank fusion of the best k of two lists: sum of w / (60 + rank)."""
+    """Weighted reciprocal-rank fusion of two top lists: sum of w / (60 + rank)."""
     return fuse_lists([(keyword, w_keyword), (vector, w_vector)], id_col, k)
 
 
 def fuse_lists(lists: list[tuple[DataFrame, float]], id_col: str, k: int) -> DataFrame:
-    w = Window.orderBy(F.desc("score"), id_col)  # of k rows, as each list is cut first
-    ranked = [top(df.select(id_col, "score"), k, id_col).select(id_col, (x / (RRF_K + F.row_number().over(w))).alias("s")) for df, x in lists]
+    """The k best of lists, of each of which no more than ``FUSED`` * k rows count."""
+    w = Window.orderBy(F.desc("score"), id_col)  # of rows that were cut to that number
+    ranked = [top(df.select(id_col, "score"), FUSED * k, id_col).select(id_col, (x / (RRF_K + F.row_number().over(w))).alias("s")) for df, x in lists]
     return top(reduce(DataFrame.unionByName, ranked).groupBy(id_col).agg(F.sum("s").alias("score")), k, id_col)
 
 

@@ -111,7 +111,7 @@ derived("s33_ticker_search", f"SELECT c_name AS code, {_pick('c_custkey', *_text
 
 # --- retrieval ---------------------------------------------------------------------------------------
 
-_CHUNKS = "SELECT CAST({i} AS STRING) AS chunk_id, {s} AS doc, CASE WHEN {i} % 10 = 0 THEN NULL ELSE ({i} * 37 % 101) / 100.0 END AS score, CASE WHEN {i} % 3 = 0 THEN '云' || text ELSE text END AS content FROM "
+_CHUNKS = "SELECT CAST({i} AS STRING) AS chunk_id, {s} AS doc, CASE WHEN {i} % 10 = 0 THEN NULL ELSE ({i} * 37 % 101) / 100.0 END AS score, CASE WHEN {i} % 3 = 0 THEN text ELSE '云' || text END AS content FROM "
 _OF_DOCS = _CHUNKS.format(i="doc_id", s="source").replace("/ 100.0", "/ CAST(100 AS DOUBLE)") + "{documents}"
 _OF_ITEMS = _CHUNKS.format(i="item_id", s="'b'").replace("/ 100.0", "/ CAST(100 AS DOUBLE)") + "{benchmark}"
 derived("k04_top", _OF_DOCS)
