@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.operators import market
 
@@ -56,6 +57,25 @@ def series(df: DataFrame, code: str, codes: list | None, ts: str, start: str, en
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last).drop("_n")
 
 
+def scans(df: DataFrame, code: str, calls: dict[str, list], fields: list[str]) -> DataFrame:
+    """Many scans as one: the rows of every call's codes beside the call's name (column ``endpoint``).  The table is read
+    once; what is broadcast are the codes that were asked for."""
+    asked = df.sparkSession.createDataFrame([(n, c) for n, codes in calls.items() for c in dict.fromkeys(codes)], T.StructType([T.StructField("endpoint", T.StringType()), T.StructField(code, df.schema[code].dataType)]))
+    return df.join(F.broadcast(asked), code).select("endpoint", code, *fields)
+
+
+def all_series(df: DataFrame, code: str, ts: str, tie: str, calls: dict[str, dict]) -> DataFrame:
+    """Many ranges of times as one: each call is {code, start, end, last}.  The table is read once, for the times that any call
+    asks for, and each call's rows are ranked where they meet."""
+    kind = T.StructType([T.StructField("endpoint", T.StringType()), T.StructField(code, df.schema[code].dataType), T.StructField("_from", T.StringType()), T.StructField("_to", T.StringType()), T.StructField("_last", T.IntegerType())])
+    asked = df.sparkSession.createDataFrame([(n, c["code"], c["start"], c["end"], c["last"]) for n, c in calls.items()], kind)
+    asked = asked.withColumns({x: F.col(x).cast(df.schema[ts].dataType) for x in ("_from", "_to")})
+    rows = market.between_times(df, ts, min(c["start"] for c in calls.values()), max(c["end"] for c in calls.values()))
+    met = rows.join(F.broadcast(asked), code).where(F.col(ts).between(F.col("_from"), F.col("_to")))
+    w = Window.partitionBy("endpoint").orderBy(F.col(ts).desc(), F.col(tie).desc())
+    return met.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_last")).drop("_n", "_from", "_to", "_last")
+
+
 def hierarchy(edges: DataFrame, parents: DataFrame, parent: str, child: str, of: list | None = None, owners_of: list | None = None, aliases: dict[str, object] | None = None) -> DataFrame:
     """Members of some parents, or the parents that own some children; parents may go by an alias."""
     named = [(aliases or {}).get(p, p) for p in of or []]

@@ -41,7 +41,8 @@ def _scan_query(family: str) -> None:
 
     def run(spark, d):
         df = _t(spark, d, table)
-        return _every(E.SCAN[family], lambda k, n: E.call(n, df, code=code, codes=_codes(k), fields=[a, b]).select(F.col(code).alias("code"), F.col(a).alias("a"), _r(F.col(b).cast("double")).alias("b")))
+        found = E.scans(df, code, {n: _codes(k) for k, n in enumerate(E.SCAN[family])}, [a, b])
+        return found.select(F.col(code).alias("code"), F.col(a).alias("a"), _r(F.col(b).cast("double")).alias("b"), "endpoint")
 
     sql = _sql(E.SCAN[family], lambda k: f"SELECT {code} AS code, {a} AS a, round(CAST({b} AS DOUBLE), 6) AS b FROM {table} WHERE {code} IN ({', '.join(map(str, _codes(k)))})")
     query(f"e_scan_{family}", sql)(run)
@@ -78,8 +79,9 @@ def _span(k: int) -> tuple[str, str]:
     _sql(E.TIMES, lambda k: f"SELECT event_type AS code, ts, round(value, 6) AS value FROM events WHERE event_type = '{_KINDS[k % 5]}' AND ts BETWEEN TIMESTAMP '{_span(k)[0]}' AND TIMESTAMP '{_span(k)[1]}' QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= {5 + k}"),
 )
 def e_times(spark, d):
-    df = _t(spark, d, "events")
-    return _every(E.TIMES, lambda k, n: E.call(n, df, code="event_type", codes=[_KINDS[k % 5]], ts="ts", start=_span(k)[0], end=_span(k)[1], last=5 + k, tie="event_id").select(F.col("event_type").alias("code"), "ts", _r("value").alias("value")))
+    """Every endpoint's last rows of its range of times, in one reading of the events."""
+    calls = {n: {"code": _KINDS[k % 5], "start": _span(k)[0], "end": _span(k)[1], "last": 5 + k} for k, n in enumerate(E.TIMES)}
+    return E.all_series(_t(spark, d, "events"), "event_type", "ts", "event_id", calls).select(F.col("event_type").alias("code"), "ts", _r("value").alias("value"), "endpoint")
 
 
 _SEGMENTS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
