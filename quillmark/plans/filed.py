@@ -555,7 +555,7 @@ derived("f19_announcements", _TITLES, sql=f"SELECT id, form_type FROM ({_FORMS})
 # --- statement workbooks -----------------------------------------------------------------------------
 
 
-def _books(spark, d) -> str:
+def _statement_books(spark, d) -> str:
     """Income statements of every nation as workbooks, an older version with other numbers beside the newest."""
     c = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("metric")).agg(F.floor(F.sum(F.abs("c_acctbal"))).alias("a"), F.count("*").alias("b"))
     value = lambda x: F.col(x).cast("string")
@@ -572,14 +572,14 @@ def _books(spark, d) -> str:
 @query("s37_workbook", f"SELECT id AS n, day, segment AS metric, p AS period, CAST(CASE WHEN p = '2024Q1' THEN b WHEN day = '20250101' THEN 1 ELSE a END AS DOUBLE) AS value FROM {_SUMS}, (VALUES ('2025Q1'), ('2024Q1')) v(p), (VALUES ('20250101'), ('20250501')) w(day)")
 def s37(spark, d):
     """Reports written as workbooks and read back as facts."""
-    facts = workbook.statement_facts(workbook.workbooks(spark, _books(spark, d)), "path")
+    facts = workbook.statement_facts(workbook.workbooks(spark, _statement_books(spark, d)), "path")
     return facts.select(F.regexp_extract("path", r"HK_(\d+)_", 1).cast("int").alias("n"), F.regexp_extract("path", r"income_(\d+)_", 1).alias("day"), "metric", "period", "value")
 
 
 @query("s14_historicals", f"SELECT id AS n, segment AS metric, p AS period, CAST(CASE p WHEN '2025Q1' THEN a ELSE b END AS DOUBLE) AS value FROM {_SUMS}, (VALUES ('2025Q1'), ('2024Q1')) v(p)")
 def s14(spark, d):
     """The newest version of each statement in a folder, as facts."""
-    got = tools.lf_historicals(spark, _books(spark, d))
+    got = tools.lf_historicals(spark, _statement_books(spark, d))
     return got.select(F.col("ticker").cast("int").alias("n"), "metric", "period", "value")
 
 
