@@ -185,7 +185,8 @@ def _unit_pairs(met: DataFrame, key_units: int = KEY_UNITS) -> DataFrame:
 
     ``met``: key, unit, lo, hi (labels), small, large (set sizes), sig (of a class alone).  A key's
     units are dealt into blocks of about ``key_units`` and each two blocks are a group of their own, so
-    a hot key is many small tasks; only rows move more than once, never pairs."""
+    a hot key is many small tasks; units of its most common label alone meet the others' blocks only.  Only rows
+    move more than once, never pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -225,9 +226,14 @@ def _unit_pairs(met: DataFrame, key_units: int = KEY_UNITS) -> DataFrame:
             yield from pairs(rows)
 
     many = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_units)
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / key_units).cast("int")
-    dealt = met.join(many, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit", F.lit(3)), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # the label that most of a hot key's units hold alone: these have nothing to tell each other
+    held = met.where("lo = hi").join(many, "key").groupBy("key", "n", "lo").agg(F.count("*").alias("c"))
+    main = held.groupBy("key").agg(F.max(F.struct("c", "lo")).alias("m")).select("key", F.col("m.lo").alias("main"), F.col("m.c").alias("c"))
+    shape = many.join(main, "key", "left").select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("n") - F.coalesce("c", F.lit(0))) / key_units)).cast("int").alias("odds"), F.ceil(F.coalesce("c", F.lit(0)) / key_units).cast("int").alias("mains"))
+    dealt = met.join(shape, "key", "left").withColumns({"odds": F.coalesce("odds", F.lit(1)), "mains": F.coalesce("mains", F.lit(0)), "same": F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("main")), F.lit(False))})
+    place = lambda n: F.pmod(F.xxhash64("unit", F.lit(3)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("same"), F.col("odds") + place("mains")).otherwise(place("odds")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("same"), F.col("odds")).otherwise(F.col("odds") + F.col("mains")) - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "unit", "lo", "hi", "small", "large", "sig")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -78,3 +78,24 @@ def test_items_without_an_id_are_matched(spark, monkeypatch, large):
     got = {r.doc_id: (r.contaminated, r.n_items, r.item_id) for r in decontaminate.scan(docs, items).collect()}
     assert got == {1: (True, 1, None), 2: (True, 2, 4), 3: (False, 0, None), 4: (False, 0, None)}
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("size", [1000, 40, 7])
+def test_units_of_a_hot_key_s_common_label_meet_the_others_only(spark, size):
+    """The pairs are those of comparing every two units, whatever the blocks; units of one label give none."""
+    r = random.Random(size)
+    labels = [0] * 60 + [r.randint(1, 4) for _ in range(15)]
+    rows = []
+    for key, mixed in ((1, False), (2, True)):
+        for u, lab in enumerate(labels):
+            lo, hi = (lab, lab) if not mixed or u % 5 else (min(lab, 2), max(lab, 2))
+            rows.append((key, key * 1000 + u, lo, hi, 90 + u % 20, 100 + u % 20, None))
+    met = spark.createDataFrame(rows, "key bigint, unit bigint, lo bigint, hi bigint, small bigint, large bigint, sig binary")
+    want = set()
+    for a in rows:
+        for b in rows:
+            one = a[2] == b[3] and a[3] == b[2]
+            if a[0] == b[0] and a[1] <= b[1] and not one and 75 * a[4] <= 100 * b[5] and 75 * b[4] <= 100 * a[5]:
+                want.add((a[1], b[1]))
+    got = [(x.a, x.b) for x in neardup._unit_pairs(met, size).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
