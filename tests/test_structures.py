@@ -111,6 +111,35 @@ def test_points_in_intervals(spark, how, on):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("on", [[], ["g"]])
+def test_points_are_counted_without_pairs(spark, on):
+    points, made = spans(4)
+    p = spark.createDataFrame([*points, (2000, 778, None), (2001, 5, None)], "p int, t int, g string")
+    made = [*made, (505, 0, 9000, None), made[0]]
+    s = spark.createDataFrame([m if on else m[:3] for m in made], "s int, a int, b int" + (", g string" if on else ""))
+    holds = lambda x, m: None not in (x[1], m[1], m[2]) and m[1] <= x[1] < m[2] and (not on or (x[2] is not None and x[2] == m[3]))
+    want = sorted((m[0], sum(holds(x, m) for x in [*points, (2000, 778, None), (2001, 5, None)])) for m in made)
+    got = ranges.point_counts(p, s, "t", "a", "b", on)
+    assert sorted((r.s, r.n) for r in got.collect()) == want
+    assert sorted(r.n for r in ranges.point_counts(p.limit(0), s, "t", "a", "b", on).collect()) == [0] * len(made)
+
+
+def test_counts_of_orders_make_no_pairs(spark, tmp_path):
+    """20,000 events of one second and 2,000 orders that hold it are 40,000,000 pairs."""
+    moment = 1704067200 + 7919 * 100 % 2592000
+    spark.range(20_000).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.timestamp_seconds(F.lit(moment)).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2000).select(F.lit(100).cast("bigint").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    made = []
+    kept = ranges.settle
+    ranges.settle = lambda df, *a: made.append(kept(df, *a)) or made[-1]
+    try:
+        got = structures.z34(spark, str(tmp_path)).collect()
+    finally:
+        ranges.settle = kept
+    assert [tuple(r) for r in got] == [(100, 40_000_000)]
+    assert all(m.count() < 10 for m in made)
+
+
 def test_points_of_one_bin_are_dealt_out(spark):
     p = spark.range(5000).select("id", F.lit(10).alias("t"))
     s = spark.createDataFrame([(1, 0, 20), (2, 15, 30)], "s int, a int, b int")
