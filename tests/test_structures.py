@@ -163,3 +163,15 @@ def test_sketches_merge_over_days(spark):
     got = structures.distinct_in(kept, "2024-01-02", "2024-01-04").first()
     true = events.where("ts >= '2024-01-02' and ts < '2024-01-05'").select("user").distinct().count()
     assert abs(got.estimate - true) <= 0.02 * true and got.n == 12_000
+
+
+def test_sketches_are_as_wide_as_their_bound_needs(spark, tmp_path):
+    """Weeks of many events, events that come twice, and one without a number: counts are of distinct ones, estimates within 2 %."""
+    rows = spark.range(120_000).select((F.col("id") * 7 + 1).alias("event_id"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 30 as int))").alias("ts"))
+    twice = rows.where("event_id % 3 = 0").unionByName(spark.createDataFrame([(None,)], "event_id bigint").select("event_id", F.expr("timestamp'2024-01-02'").alias("ts")))
+    rows.unionByName(twice).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in structures.z38(spark, str(tmp_path)).collect())
+    assert got == [(w, 4000 * n, True) for w, n in enumerate((7, 7, 7, 7, 2))]
+    assert structures.sketch_bits(0.02) == 17
+    with pytest.raises(ValueError):
+        structures.sketch_bits(0.0001)
