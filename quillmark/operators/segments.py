@@ -14,6 +14,7 @@ from quillmark.functions.periods import fiscal_quarter, fiscal_year
 from quillmark.operators.manypatterns import contained
 from quillmark.operators.sections import Node, tree
 from quillmark.operators.statements import number
+from quillmark.sources.shared import row_batches
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTH = "(" + "|".join(MONTHS) + ")"
@@ -73,12 +74,12 @@ def _units(text: str) -> tuple[str | None, str | None]:
     return money, unit
 
 
-def financial_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
-    """id, sheet, row, label, indent, bold, total, cells, currency, unit: a row for each row of each table of two
-    columns or more; currency and unit are those that the table names, else the page."""
+def whole_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """id, sheet, rows (row, label, indent, bold, total, cells), currency, unit: a row for each table of two columns or
+    more; currency and unit are those that the table names, else the page."""
     kind = dict(pages.dtypes)[id_col]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string()]
-    names = ["sheet", "row", "label", "indent", "bold", "total", "cells", "currency", "unit"]
+    row = pa.struct([("row", pa.int32()), ("label", pa.string()), ("indent", pa.int32()), ("bold", pa.bool_()), ("total", pa.bool_()), ("cells", pa.list_(pa.string()))])
+    types, names = [pa.int32(), pa.list_(row), pa.string(), pa.string()], ["sheet", "rows", "currency", "unit"]
 
     def parse(data: str) -> Iterator[tuple]:
         top = tree(data)
@@ -87,20 +88,27 @@ def financial_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
             rows = _compact(list(_rows(t)))
             own = _units(" ".join(r[0] + " " + " ".join(r[4]) for r in rows[:HEADER_ROWS]))
             if max((1 + len(r[4]) for r in rows), default=0) >= 2:
-                for i, r in enumerate(rows, 1):
-                    yield k, i, *r, own[0] or page[0], own[1] or page[1]
+                yield k, [dict(zip(("row", "label", "indent", "bold", "total", "cells"), (i, *r))) for i, r in enumerate(rows, 1)], own[0] or page[0], own[1] or page[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if data and (rows := list(parse(data))):
-                    cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), b.schema.field(0).type), *cols], [id_col, *names])
+        return row_batches(batches, parse, [id_col, *names], types)
 
-    schema = f"`{id_col}` {kind}, sheet int, row int, label string, indent int, bold boolean, total boolean, cells array<string>, currency string, unit string"
+    schema = f"`{id_col}` {kind}, sheet int, rows array<struct<row:int,label:string,indent:int,bold:boolean,total:boolean,cells:array<string>>>, currency string, unit string"
     return pages.select(id_col, F.col(html).cast("string")).mapInArrow(run, schema)
 
 
+def table_rows(tables: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``whole_tables``, with further columns if there are any."""
+    more = [c for c in tables.columns if c not in (id_col, "sheet", "rows", "currency", "unit")]
+    return tables.select(id_col, "sheet", F.explode("rows").alias("_r"), "currency", "unit", *more).select(id_col, "sheet", "_r.*", "currency", "unit", *more)
+
+
+def financial_tables(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """id, sheet, row, label, indent, bold, total, cells, currency, unit: a row for each row of each table of two
+    columns or more; currency and unit are those that the table names, else the page."""
+    return table_rows(whole_tables(pages, id_col, html), id_col)
+
+
 # --- periods of columns -----------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from quillmark.plans.fixtures import derived
 from quillmark.plans.queries import _r, _t, query
 from quillmark.plans.sources import simple_pdf
 from quillmark.sources import files, pdf, workbook
-from quillmark.sources.shared import shared_folder
+from quillmark.sources.shared import dealt, shared_folder
 from quillmark.streaming import pushes
 
 
@@ -281,7 +281,8 @@ def z15(spark, d):
     own = F.col("o_orderkey").cast("string")
     income = F.concat(F.lit("<table><tr><td>Revenue</td><td>"), own, F.lit("</td></tr>"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<tr><td>Total revenue</td><td>"), own, F.lit("</td></tr>"))).otherwise(""), F.lit("</table>"))
     html = F.concat(F.lit("<table><tr><td>Total assets</td><td>"), own, F.lit("</td></tr></table>"), F.when(F.col("o_orderkey") % 2 == 0, income).otherwise(""))
-    return tools.lf_extract_table(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", "income").select("id", "label")
+    orders = dealt(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return tools.lf_extract_table(orders.select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", "income").select("id", "label")
 
 
 @query("z14_filings", f"SELECT {_TICKER} AS ticker, {_DOC} AS document_id, (2018 + s_suppkey % 8) || {_QUARTER} AS fiscal_period FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0")

@@ -3,10 +3,49 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows, and characters of text, of a batch that a task gives on. A batch a document would cost more than its rows.
+BATCH_ROWS, BATCH_CHARS = 10_000, 4 << 20
+
+
+def row_batches(batches: Iterator[pa.RecordBatch], parse: Callable[..., Iterable[tuple]], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """What ``parse`` gives for the content of each row (id, content), behind the row's id: many small documents in one
+    batch, a large one in several, and one content at a time in Python; a null content gives nothing."""
+    held: list[list] = [[] for _ in names]
+    size, own_kind = 0, None
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, [own_kind, *kinds])], names)
+
+    for b in batches:
+        own_kind = b.schema.field(0).type
+        for own, data in zip(b.column(0), b.column(1)):
+            if not data.is_valid:
+                continue
+            own = own.as_py()
+            for row in parse(data.as_py()):
+                for c, v in zip(held, (own, *row)):
+                    c.append(v)
+                    size += len(v) if isinstance(v, str) else 0
+                if len(held[0]) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield made()
+                    held, size = [[] for _ in names], 0
+    if held[0]:
+        yield made()
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt evenly by its key, before a step whose work in Python is large beside its bytes: small files, and
+    exchanges that are joined by their bytes, would leave that to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

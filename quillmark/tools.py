@@ -77,11 +77,10 @@ def lf_filings(spark: SparkSession, root: str, form_type: str | None = None, n:
 
 def lf_extract_table(pages: DataFrame, id_col: str, html: str, kind: str = "all") -> DataFrame:
     """Rows of a document's tables, of one type (income, balance, cashflow, other) or all."""
-    rows = segments.financial_tables(pages, id_col, html)
-    words = F.concat_ws(" ", F.collect_list(F.concat_ws(" ", "label", F.array_join("cells", " "))))
-    types = rows.groupBy(id_col, "sheet").agg(statements.table_type(words).alias("table_type"))
-    out = rows.join(types, [id_col, "sheet"])
-    return out if kind == "all" else out.where(F.col("table_type") == kind)
+    tables = segments.whole_tables(pages, id_col, html)
+    words = F.array_join(F.transform("rows", lambda r: F.concat_ws(" ", r["label"], F.array_join(r["cells"], " "))), " ")
+    tables = tables.withColumn("table_type", statements.table_type(words))
+    return segments.table_rows(tables if kind == "all" else tables.where(F.col("table_type") == kind), id_col)
 
 
 def lf_validate(models: DataFrame, tolerance: float = 1.0) -> DataFrame:
