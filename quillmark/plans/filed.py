@@ -120,19 +120,24 @@ def s13(spark, d):
 # --- PDF and HTML ------------------------------------------------------------------------------------
 
 
+#: Pages of a volume of a nation's customers, so a file is of one size however many there are. Fixed value.
+VOLUME = 50
+
+
 def _pdfs(spark, d) -> str:
-    """A PDF of every nation: a title, then its customers' table over pages of 40 rows."""
-    rows = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment", F.format_string("%.2f", "c_acctbal").alias("balance")))).alias("rows"))
+    """PDFs of every nation, a volume for each ``VOLUME`` pages: a title, then its customers' table over pages of 40 rows."""
+    balance = F.format_string("%.2f", "c_acctbal").alias("balance")
+    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey", "c_mktsegment", balance)) - 1
+    volume = F.floor(at / (40 * VOLUME)).alias("volume")
+    rows = _t(spark, d, "customer").select(F.col("c_nationkey").alias("n"), volume, F.struct("c_custkey", "c_mktsegment", balance).alias("r"))
+    rows = dealt(rows.groupBy(F.format_string("n%d-%d.pdf", "n", "volume").alias("name")).agg(F.array_sort(F.collect_list("r")).alias("rows")), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, made = [], []
-            for n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = [f"{r['c_custkey']}\t{r['c_mktsegment']}\t{r['balance']}" for r in own]
+            for name, own in zip(b.column(0), b.column(1)):
+                lines = [f"{r['c_custkey']}\t{r['c_mktsegment']}\t{r['balance']}" for r in own.as_py()]
                 pages = [["Item 1. Customers", "Key\tSegment\tBalance", *lines[k : k + 40]] for k in range(0, len(lines), 40)]
-                names.append(f"n{n}.pdf")
-                made.append(simple_pdf(pages))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], ["name", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([simple_pdf(pages)], pa.binary())], ["name", "data"])
 
     root = shared_folder(spark)
     put_files(rows.mapInArrow(run, "name string, data binary"), root)
@@ -157,7 +162,8 @@ def s05(spark, d):
     found = spark.read.format("binaryFile").load(_pdfs(spark, d))
     parts = sections.sections(found, "path", "content", lambda data: sections.page_sections(pdf.pages(data))).where("title is not null")
     lines = F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^\d")))
-    return parts.select(F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast("int").alias("n"), F.col("page").cast("bigint").alias("page"), lines.cast("bigint").alias("customers"))
+    first = F.regexp_extract("path", r"-(\d+)\.pdf$", 1).cast("bigint") * VOLUME
+    return parts.select(F.regexp_extract("path", r"n(\d+)-\d+\.pdf$", 1).cast("int").alias("n"), (first + F.col("page")).alias("page"), lines.cast("bigint").alias("customers"))
 
 
 @query("s18_pdf_table_facts", "SELECT CAST(c_custkey AS VARCHAR) AS metric, 'Balance' AS period, c_acctbal AS value FROM customer")
@@ -177,7 +183,8 @@ def s03(spark, d):
     line = F.split("text", "\n")
     rows = F.filter(line, lambda x: x.rlike(r"^\d+\s"))
     keys = F.aggregate(F.transform(rows, lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return text.select(F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast("int").alias("n"), F.size(rows).cast("bigint").alias("lines"), F.size(F.filter(line, lambda x: x == "## Item 1. Customers")).cast("bigint").alias("headings"), keys.alias("keys"))
+    volumes = text.select(F.regexp_extract("path", r"n(\d+)-\d+\.pdf$", 1).cast("int").alias("n"), F.size(rows).alias("lines"), F.size(F.filter(line, lambda x: x == "## Item 1. Customers")).alias("headings"), keys.alias("keys"))
+    return volumes.groupBy("n").agg(*(F.sum(c).alias(c) for c in ("lines", "headings", "keys")))
 
 
 _LINES = "(SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k, CAST(l_partkey AS VARCHAR) AS part, printf('%.2f', l_extendedprice) AS price FROM lineitem)"
