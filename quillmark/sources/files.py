@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quillmark.operators.chunking import html_markdown
 from quillmark.operators.statements import latest, number, to_long
 from quillmark.sources import pdf
+from quillmark.sources.shared import row_batches
 
 DOCUMENT_SUFFIXES = ["pdf", "html", "htm"]
 
@@ -124,17 +125,14 @@ def statement_csvs(spark: SparkSession, path: str) -> DataFrame:
             text = data.decode("utf-8-sig")
         except UnicodeDecodeError:
             text = data.decode("gbk", "replace")
-        head, *rows = [r for r in csv.reader(io.StringIO(text)) if r] or [[]]
-        for r in rows:
+        rows = csv.reader(io.StringIO(text))
+        head = next(filter(None, rows), [])
+        for r in filter(None, rows):
             for name, value in zip(head[1:], r[1:]):
                 yield (name, r[0], value) if head[0].strip().lower() == "period" else (r[0], name, value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if found := list(parse(data)):
-                    cols = [[own] * len(found), *zip(*found)]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["path", "item", "period", "value"])
+        return row_batches(batches, parse, ["path", "item", "period", "value"], [pa.string()] * 3)
 
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path).select("path", "content")
     return df.mapInArrow(run, "path string, item string, period string, value string").withColumn("value", number(F.col("value")))
