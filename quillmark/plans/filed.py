@@ -150,7 +150,7 @@ def s17(spark, d):
     cells = workbook.pdf_tables(spark, _pdfs(spark, d)).where("row > 1")
     one = lambda k: F.max(F.when(F.col("col") == k, F.col("value")))
     rows = cells.groupBy("path", "sheet", "row").agg(one(1).alias("key"), one(2).alias("segment"))
-    return rows.select(F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast("int").alias("n"), "key", "segment")
+    return rows.select(F.regexp_extract("path", r"n(\d+)-\d+\.pdf$", 1).cast("int").alias("n"), "key", "segment")
 
 
 @query(
