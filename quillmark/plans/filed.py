@@ -194,7 +194,8 @@ def _tables(spark, d):
     """An order's lines as an HTML table: id, html."""
     row = F.concat(F.lit("<tr><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), F.format_string("%.2f", "l_extendedprice"), F.lit("</td></tr>"))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", row.alias("r"))
-    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"]), "").alias("r"))
+    rows = dealt(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
+    rows = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"]), "").alias("r"))
     return rows.select("id", F.concat(F.lit("<p>before</p><table><tr><th>Part</th><th>Price</th></tr>"), "r", F.lit("</table><table><tr><td>single</td></tr></table>")).alias("html"))
 
 
@@ -213,7 +214,7 @@ def s04(spark, d):
         F.lit("<html><head><title>x</title></head><body><nav>menu</nav><p>Before "), "o_orderpriority", F.lit(".</p><h2>Status "), "o_orderstatus", F.lit("</h2><p>Customer   "), F.col("o_custkey").cast("string"),
         F.lit(".</p><p><b>Item 1. Dates</b></p><div>Ordered on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".</div><script>var x;</script></body></html>"),
     )
-    return sections.sections(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html").select("id", "place", "title", "content")
+    return sections.sections(dealt(_t(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html").select("id", "place", "title", "content")
 
 
 # --- segment tables of filings -----------------------------------------------------------------------
@@ -340,7 +341,7 @@ def s36(spark, d):
     "SELECT 'wide' AS layout, p_name || ' ' || p_partkey AS item, p AS period, CAST(CASE p WHEN '2025Q1' THEN p_size * 1000 ELSE -p_size END AS DOUBLE) AS value FROM part, (VALUES ('2025Q1'), ('2024FY')) v(p) UNION ALL SELECT 'long', 'revenue', '20' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || 'FY', CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey * 10 AS DOUBLE) END FROM nation",
 )
 def s15(spark, d):
-    """Statement CSVs, GBK with periods as columns and UTF-8 with a period column: a file a brand, and one of nations."""
+    """Statement CSVs, GBK with periods as columns and UTF-8 with a period column: files a brand, and one of nations."""
     line = F.concat(F.lit('营业,"'), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit('","'), F.format_number(F.col("p_size") * 1000, 0), F.lit('",('), F.col("p_size").cast("string"), F.lit(")"))
     wide = _t(spark, d, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 200_000).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.regexp_replace(line, "^营业,", ""))), "\n").alias("r"))
     wide = wide.select(F.concat(F.lit("wide-"), F.regexp_replace("p_brand", "#", ""), F.lit("-"), F.col("k").cast("string"), F.lit(".csv")).alias("name"), F.concat(F.lit("项目,2025Q1,2024FY\n"), "r").alias("data"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from html.parser import HTMLParser
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark import tools
+from quillmark.operators import sections
 from quillmark.plans import filed
 from quillmark.sources import ruled, shared
 
@@ -97,3 +101,39 @@ def test_a_brand_of_many_parts_has_files_of_one_size(spark, tmp_path, written):
     spark.createDataFrame([(1,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
     filed.s15(spark, str(tmp_path))
     assert sorted(written[0]) == ["long.csv", "wide-Brand1-0.csv", "wide-Brand1-1.csv", "wide-Brand1-2.csv"]
+
+
+class Heard(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.got, self.fed = [], 0
+
+    def feed(self, data):
+        self.fed += 1
+        super().feed(data)
+
+    def handle_starttag(self, tag, attrs):
+        self.got.append(("<", tag, attrs))
+
+    def handle_endtag(self, tag):
+        self.got.append((">", tag))
+
+    def handle_data(self, data):
+        before = self.got.pop()[1] if self.got and not self.got[-1][0] else ""
+        self.got.append(("", before + data))
+
+
+def test_plain_pages_are_told_as_the_parser_tells_them():
+    r = random.Random(5)
+    bits = ["<p>", "</p>", "<TD>", "</td>", "<br>", "a ", "\u00a0x\n", ">", "]]>", "<table>", "</h1>", "<tr>", "text", "<b1>"]
+    odd = ["&amp;", "&", "<", "< p>", "<!-- c -->", "<p class='a'>", "<script>", "</script>", "<br/>", "<title>", "<?x?>", "</ p>", "<style>"]
+    plain = 0
+    for k in range(3000):
+        html = "".join(r.choice(bits + odd * (k % 2)) for _ in range(r.randint(0, 12)))
+        a, b = Heard(), Heard()
+        sections.feed(a, html)
+        HTMLParser.feed(b, html)
+        b.close()
+        assert a.got == b.got, html
+        plain += not a.fed
+    assert plain > 1000
