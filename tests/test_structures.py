@@ -140,6 +140,12 @@ def test_counts_of_orders_make_no_pairs(spark, tmp_path):
     assert all(m.count() < 10 for m in made)
 
 
+def test_pairs_of_few_bytes_are_made_in_many_tasks(spark):
+    p = spark.range(5000).select("id", (F.col("id") % 500).alias("t")).coalesce(1)
+    s = spark.range(500).select(F.col("id").alias("s"), F.col("id").alias("a"), (F.col("id") + 5).alias("b")).coalesce(1)
+    assert ranges.point_join(p, s, "t", "a", "b").rdd.getNumPartitions() >= 16
+
+
 def test_points_of_one_bin_are_dealt_out(spark):
     p = spark.range(5000).select("id", F.lit(10).alias("t"))
     s = spark.createDataFrame([(1, 0, 20), (2, 15, 30)], "s int, a int, b int")
