@@ -33,11 +33,12 @@ def s40(spark, d):
 
 
 def _replayed(spark, d):
-    """(folder of files in order of time, their schema, a fresh folder for results)."""
+    """(a stream of files in order of time, a fresh folder for results, the number of rows)."""
     e = _t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    folder = shared_folder(spark)
-    keyed.replay(e, "ts", _CUTS, f"{folder}/in", {"event_id": -1, "user_id": -1, "event_type": "end"})
-    return f"{folder}/in", e.schema, folder
+    folder, rows = shared_folder(spark), e.count()
+    each = 1 + rows // (len(_CUTS) + 1) // 500_000
+    keyed.replay(e, "ts", _CUTS, f"{folder}/in", {"event_id": -1, "user_id": -1, "event_type": "end"}, each)
+    return lambda: keyed.files(spark, f"{folder}/in", e.schema, each), folder, rows
 
 
 @query(
@@ -48,8 +49,8 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) A
 )
 def r12(spark, d):
     """Sessions of users, from a stream of files that stops and goes on from its checkpoint."""
-    folder, schema, out = _replayed(spark, d)
-    made = lambda: keyed.sessions(keyed.files(spark, folder, schema), ["user_id"], "ts", "6 hours", "10 minutes")
+    events, out, _ = _replayed(spark, d)
+    made = lambda: keyed.sessions(events(), ["user_id"], "ts", "6 hours", "10 minutes")
     keyed.run(made(), out, triggers=2)
     keyed.run(made(), out)
     rows = spark.read.schema(made().schema).parquet(f"{out}/rows").where("user_id >= 0")
@@ -63,9 +64,10 @@ LEFT JOIN events a ON a.user_id = q.user_id AND a.event_type = 'click' AND epoch
 )
 def r13(spark, d):
     """Each request's first answer within two hours, or that it timed out, by keyed state and timers across a restart."""
-    folder, schema, out = _replayed(spark, d)
+    events, out, n = _replayed(spark, d)
+    shares = max(64, n // 20_000)
     kind = F.when(F.col("event_type") == "view", "request").when(F.col("event_type").isin("click", "end"), "answer")
-    made = lambda: keyed.correlated(keyed.files(spark, folder, schema), "user_id", kind, "event_id", "ts", 7_200_000, "10 minutes")
+    made = lambda: keyed.correlated(events(), "user_id", kind, "event_id", "ts", 7_200_000, "10 minutes", shares)
     keyed.run(made(), out, triggers=2)
     keyed.run(made(), out)
     rows = spark.read.schema("key bigint, id bigint, ms bigint, answered bigint").parquet(f"{out}/rows")
@@ -78,10 +80,10 @@ def r13(spark, d):
 )
 def r14(spark, d):
     """Requests with all answers within three hours, as a join of two streams."""
-    folder, schema, out = _replayed(spark, d)
+    events, out, _ = _replayed(spark, d)
 
     def made():
-        e = lambda kind: keyed.files(spark, folder, schema).where(F.col("event_type").isin(kind, "end"))
+        e = lambda kind: events().where(F.col("event_type").isin(kind, "end"))
         sent = e("click").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("sent"))
         return keyed.matched(sent, e("purchase").select("user_id", F.col("ts").alias("got")), "user_id", "sent", "got", "3 hours", "10 minutes")
 

@@ -1,9 +1,9 @@
 """Keyed stateful streams: sessions, and requests matched with their answers.
 
 Sessions and the interval join are Spark's own stateful operators under watermarks.  ``correlated`` keeps its own state:
-it holds the requests and answers of a key until the watermark says that no earlier answer can come, then a timer
-settles each request, by its first answer in time or as timed out.  So the order of rows within what the
-watermark allows doesn't matter.  A key's state holds what came within the timeout and the watermark's delay, no more.
+it holds the requests and answers of a share of the keys until the watermark says that no earlier answer can come, then
+a timer settles the requests that are due, by their first answers in time or as timed out.  So the order of rows within
+what the watermark allows doesn't matter.  The state holds what came within the timeout and the watermark's delay, no more.
 
 ``replay`` lays a table out as files in order of time, for streams that read a file a trigger; a last file of one row
 far in the future lets the watermark pass everything.  Rows without a key or a time never enter a stream."""
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The time of the row that ends a replay.
 END = "2200-01-01 00:00:00"
+#: Rows of a chunk of kept state.
+CHUNK = 10_000
 
 
 def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str, late: str) -> DataFrame:
@@ -42,45 +45,60 @@ def _correlator(timeout: int) -> StatefulProcessor:
     """The class is made here so that it travels by value: the state's Python on the driver may not know this package."""
 
     class Correlator(StatefulProcessor):
-        """Input: key, kind ('request' or 'answer'), id, ms (time in milliseconds). Output: key, id, ms, answered."""
+        """Input: share, key, kind ('request' or 'answer'), id, ms (time in milliseconds). Output: key, id, ms, answered.
+
+        A share's rows are kept in chunks as they came; one timer, for its oldest row, settles all that is due by then."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.requests = handle.getMapState("requests", "due bigint, n bigint", "id bigint, ms bigint")
-            self.answers = handle.getMapState("answers", "ms bigint", "n int")
-            self.count = handle.getValueState("count", "n bigint")
+            self.requests = handle.getListState("requests", "keys array<bigint>, ids array<bigint>, ms array<bigint>")
+            self.answers = handle.getListState("answers", "keys array<bigint>, ms array<bigint>")
+
+        def due(self, first: int | None) -> None:
+            """The share's timer: for the row of this time, if that is before the one that is set."""
+            timers = list(self.handle.listTimers())
+            if first is not None and (not timers or first + timeout < min(timers)):
+                for x in timers:
+                    self.handle.deleteTimer(x)
+                self.handle.registerTimer(first + timeout)
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-            n = self.count.get()[0] if self.count.exists() else 0
+            first = None
             for part in rows:
-                for kind, i, ms in zip(part["kind"], part["id"], part["ms"]):
-                    if kind == "request":
-                        due = int(ms) + timeout
-                        self.requests.updateValue((due, n), (int(i), int(ms)))
-                        n += 1
-                        self.handle.registerTimer(due)
-                    else:
-                        self.answers.updateValue((int(ms),), (1,))
-            self.count.update((n,))
+                asked = part["kind"] == "request"
+                for state, own, names in ((self.requests, part[asked], ["key", "id", "ms"]), (self.answers, part[~asked], ["key", "ms"])):
+                    if len(own):
+                        state.appendValue(tuple(own[c].tolist() for c in names))
+                if len(part):
+                    first = int(part["ms"].min()) if first is None else min(first, int(part["ms"].min()))
+            self.due(first)
             return iter([])
 
         def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-            due = expiredTimerInfo.getExpiryTimeInMs()
-            answers = sorted(k[0] for k in self.answers.keys())
-            waiting = sorted(tuple(k) for k in self.requests.keys())
-            out = []
-            for at, n in waiting:
-                if at == due:
-                    i, ms = self.requests.getValue((at, n))
-                    out.append((key[0], i, ms, next((a for a in answers if ms <= a <= at), None)))
-                    self.requests.removeKey((at, n))
-            left = [at for at, _ in waiting if at > due]
+            now = timerValues.getCurrentWatermarkInMs()
+
+            def held(state, names: list[str]) -> pd.DataFrame:
+                columns = list(zip(*state.get())) if state.exists() else [[]] * len(names)
+                return pd.DataFrame({n: np.concatenate([np.asarray(c, np.int64) for c in chunks] or [np.empty(0, np.int64)]) for n, chunks in zip(names, columns)})
+
+            def kept(state, left: pd.DataFrame) -> None:
+                chunks = [left.iloc[i : i + CHUNK] for i in range(0, len(left), CHUNK)]
+                state.put([tuple(c[n].tolist() for n in left.columns) for c in chunks]) if chunks else state.clear()
+
+            requests, answers = held(self.requests, ["key", "id", "ms"]), held(self.answers, ["key", "ms"])
+            over = requests["ms"] + timeout <= now
+            came = answers.assign(answered=answers["ms"].astype("Int64")).sort_values("ms")
+            out = pd.merge_asof(requests[over].sort_values("ms"), came, on="ms", by="key", direction="forward", tolerance=timeout)
+            left = requests[~over]
             # what is older than any request that waits or may still come can answer none
-            oldest = min([a - timeout for a in left] + [timerValues.getCurrentWatermarkInMs()])
-            for a in answers:
-                if a < oldest:
-                    self.answers.removeKey((a,))
-            yield pd.DataFrame(out, columns=["key", "id", "ms", "answered"]).astype({"key": "int64", "id": "int64", "ms": "int64", "answered": "Int64"})
+            oldest = min(now, int(left["ms"].min())) if len(left) else now
+            answers = answers[answers["ms"] >= oldest]
+            kept(self.requests, left)
+            kept(self.answers, answers)
+            rest = [int(x["ms"].min()) for x in (left, answers) if len(x)]
+            self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+            self.due(min(rest) if rest else None)
+            yield out[["key", "id", "ms", "answered"]]
 
         def close(self) -> None:
             pass
@@ -88,22 +106,28 @@ def _correlator(timeout: int) -> StatefulProcessor:
     return Correlator()
 
 
-def correlated(stream: DataFrame, key: str, kind: Column, id_col: str, ts: str, timeout_ms: int, late: str) -> DataFrame:
-    """key, id, ms, answered (null: timed out) of every request, when it is settled; needs the RocksDB state store."""
+def correlated(stream: DataFrame, key: str, kind: Column, id_col: str, ts: str, timeout_ms: int, late: str, shares: int = 64) -> DataFrame:
+    """key, id, ms, answered (null: timed out) of every request, when it is settled; needs the RocksDB state store.
+
+    Keys are dealt into ``shares``, each with its state and timer, as calls cost more than rows. A share's open rows are
+    in a task's memory together; a stream keeps its number of shares when it goes on."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = stream.withWatermark(ts, late).select(F.col(key).cast("bigint").alias("key"), kind.alias("kind"), F.col(id_col).cast("bigint").alias("id"), F.unix_millis(F.col(ts)).alias("ms"), ts).where("kind is not null and key is not null")
-    return rows.groupBy("key").transformWithStateInPandas(_correlator(timeout_ms), "key bigint, id bigint, ms bigint, answered bigint", "append", "EventTime")
+    own = F.col(key).cast("bigint")
+    share = F.pmod(F.xxhash64(own), F.lit(shares)).cast("int").alias("share")
+    rows = stream.withWatermark(ts, late).select(share, own.alias("key"), kind.alias("kind"), F.col(id_col).cast("bigint").alias("id"), F.unix_millis(F.col(ts)).alias("ms"), ts).where("kind is not null and key is not null")
+    return rows.groupBy("share").transformWithStateInPandas(_correlator(timeout_ms), "key bigint, id bigint, ms bigint, answered bigint", "append", "EventTime")
 
 
-def replay(df: DataFrame, ts: str, cuts: list[str], folder: str, end: dict) -> int:
-    """Writes the rows with a time, cut at these times, one file after the other, and a last one of the row ``end`` at ``END``."""
+def replay(df: DataFrame, ts: str, cuts: list[str], folder: str, end: dict, files: int = 1) -> int:
+    """Writes the rows with a time, cut at these times, so many files a cut, one cut after the other, and a last file of the
+    row ``end`` at ``END``."""
     spark, kind = df.sparkSession, df.schema
     rows = df.where(F.col(ts).isNotNull())
     bounds = [None, *cuts, None]
     for a, b in zip(bounds, bounds[1:]):
         part = rows if a is None else rows.where(F.col(ts) >= F.lit(a).cast("timestamp"))
         part = part if b is None else part.where(F.col(ts) < F.lit(b).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
     last = spark.range(1).select(*(F.lit(END if f.name == ts else end.get(f.name)).cast(f.dataType).alias(f.name) for f in kind.fields))
     last.write.mode("append").parquet(folder)
     return len(cuts) + 2
@@ -124,5 +148,6 @@ def run(stream: DataFrame, out: str, triggers: int | None = None) -> int:
     return len(q.recentProgress)
 
 
-def files(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def files(spark: SparkSession, folder: str, schema, each: int = 1) -> DataFrame:
+    """``each`` files a trigger."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(folder)

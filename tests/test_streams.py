@@ -147,6 +147,26 @@ def test_state_follows_what_is_open_and_not_the_stream(spark, tmp_path):
     assert state.count() == 0  # every request is settled
 
 
+def test_correlation_keeps_a_timer_a_share_and_no_answers_without_requests(spark, tmp_path):
+    folder, names = f"{tmp_path}/in", {"answers": 0, "requests": 0}
+    for day in range(3):  # users 0 to 49 only answer; the others ask and are answered a minute later
+        rows = [(day * 1000 + i, at(day * 1440 + i // 50), i % 100, "click" if i % 100 < 50 or i >= 100 else "view") for i in range(200)]
+        put(spark, folder, rows)
+    put(spark, folder, [(-1, datetime(2100, 1, 1), -1, "end")])
+    schema = spark.createDataFrame([], EVENTS).schema
+    made = keyed.correlated(keyed.files(spark, folder, schema), "user_id", kind(), "event_id", "ts", 60 * 60 * 1000, "30 minutes", shares=3)
+    keyed.run(made, f"{tmp_path}/out", 1)
+    timers = spark.read.format("statestore").option("path", f"{tmp_path}/out/state").option("readRegisteredTimers", True).load()
+    assert 0 < timers.count() <= 3
+    keyed.run(made, f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out/rows").collect()
+    assert len(got) == 150 and all(r.answered - r.ms == 2 * 60_000 for r in got)
+    for name in names:
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/out/state").option("stateVarName", name)
+        names[name] = state.load().count()
+    assert names == {"answers": 1, "requests": 0}  # the end's own
+
+
 def test_sessions_over_batches_and_late_rows(spark, tmp_path):
     folder = f"{tmp_path}/in"
     put(spark, folder, [(1, at(0), 1, "x"), (2, at(20), 1, "x"), (3, at(5), 2, "x")])
