@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows, and characters of text, of a batch that a task gives on. A batch a document would cost more than its rows.
 BATCH_ROWS, BATCH_CHARS = 10_000, 4 << 20
+#: Bytes of an Arrow batch that goes to Python, if no single row is longer.
+ARROW_BYTES = 8 << 20
+
+
+def modest(spark: SparkSession) -> None:
+    """Holds Arrow batches to ARROW_BYTES: rows alone would let long texts add up in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if not (held and held.isdigit() and int(held) <= ARROW_BYTES):
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], parse: Callable[..., Iterable[tuple]], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:

@@ -139,3 +139,16 @@ def test_backends_and_scenes_are_registered_by_name(spark):
     assert {x.chunk_id for x in C.run(some, only, "stored").collect()} <= {x.chunk_id for x in some.collect()}
     with pytest.raises(ValueError):
         C.register_scene("bad", ["none such"])
+
+
+def test_an_index_is_written_in_as_many_tasks_as_its_text_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK", 10)
+    df = docs(spark, 600)
+    plain = textindex.build(df, "id", "title", "body")
+    monkeypatch.setattr(textindex, "TASK_CHARS", 500, raising=False)
+    index = textindex.build(df, "id", "title", "body")
+    tasks = lambda i: len({f.rsplit("/", 1)[1].split("-")[1] for f in i.postings.inputFiles()})
+    assert tasks(plain) <= 4 < tasks(index)
+    rows = lambda i: sorted((r.block, r.term, r.best, r.in_title, r.in_content, sorted(map(tuple, r.docs))) for r in i.postings.collect())
+    assert rows(plain) == rows(index)
+    assert sorted(map(tuple, plain.vocabulary.collect())) == sorted(map(tuple, index.vocabulary.collect()))
