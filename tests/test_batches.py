@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import tools
-from quillmark.operators import sections
+from quillmark.operators import chunking, sections
 from quillmark.plans import filed
 from quillmark.sources import ruled, shared
 
@@ -137,3 +137,21 @@ def test_plain_pages_are_told_as_the_parser_tells_them():
         assert a.got == b.got, html
         plain += not a.fed
     assert plain > 1000
+
+
+def test_chunks_go_in_bounded_batches_and_keep_their_links(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        text = "\n\n".join(f"paragraph {i}" for i in range(12_000))  # more rows than a batch holds
+        made = chunking.chunk(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "one")], "id bigint, text string"), "id", "text", "FIX_SIZE", size=10)
+        assert int(spark.conf.get(name)) <= 8 << 20  # texts of 10,000 rows were held together
+        rows = sorted(made.collect(), key=lambda r: (r.id, r.chunk_index))
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+    first = [r for r in rows if r.id == 1]
+    assert [r.chunk_index for r in first] == list(range(12_000)) and [r.content for r in first] == text.split("\n\n")
+    assert [r.prev_id for r in first] == [None, *(r.chunk_id for r in first[:-1])]
+    assert [r.next_id for r in first] == [*(r.chunk_id for r in first[1:]), None]
+    assert [(r.id, r.prev_id, r.next_id) for r in rows if r.id > 1] == [(4, None, None)]
