@@ -19,7 +19,7 @@ from quillmark.plans.fixtures import derived
 from quillmark.plans.queries import _r, _t, query
 from quillmark.plans.sources import simple_pdf
 from quillmark.sources import files, pdf, workbook
-from quillmark.sources.shared import dealt, shared_folder
+from quillmark.sources.shared import dealt, hadoop_path, shared_folder
 from quillmark.streaming import pushes
 
 
@@ -392,11 +392,18 @@ def s31(spark, d):
 # --- push streams ------------------------------------------------------------------------------------
 
 
+#: Triggers of a stream over files of messages, at most.
+TRIGGERS = 4
+
+
 def _pushed(spark, d, messages, rows_of):
     """The rows of a stream over files of messages, read to their end."""
     root = shared_folder(spark)
     messages.select("value").write.text(f"{root}/in")
-    made = rows_of(spark.readStream.option("maxFilesPerTrigger", 4).text(f"{root}/in"))
+    path, fs = hadoop_path(spark, f"{root}/in")
+    # as many triggers however large the table is, so that a trigger's files keep all cores busy
+    each = max(4, -(-len(fs.listStatus(path)) // TRIGGERS))
+    made = rows_of(spark.readStream.option("maxFilesPerTrigger", each).text(f"{root}/in"))
     pushes.consume(made, f"{root}/out")
     return spark.read.schema(made.schema).parquet(f"{root}/out/rows")
 

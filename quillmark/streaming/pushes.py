@@ -23,8 +23,11 @@ def rows_of(messages: DataFrame, kind: str) -> DataFrame:
 
 def _sides(messages: DataFrame, kind: str, bid: str, ask: str, entry: str) -> DataFrame:
     m = F.from_json("value", f"struct<type:string,code:string,data:struct<{bid}:array<{entry}>,{ask}:array<{entry}>>>")
+    # a message is read once: a filter on its type would read it again
+    read = messages.select(m.alias("m"))
+    m = F.col("m")
     sides = F.array(*(F.struct(F.lit(side).alias("side"), m["data"][name].alias("items")) for side, name in (("bid", bid), ("ask", ask))))
-    rows = messages.where(m["type"] == kind).select(m["code"].alias("code"), F.inline(sides))
+    rows = read.select(m["code"].alias("code"), F.inline(F.when(m["type"] == kind, sides)))
     return rows.select("code", "side", F.posexplode("items").alias("level", "item"))
 
 

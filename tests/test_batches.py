@@ -13,6 +13,7 @@ from quillmark import tools
 from quillmark.operators import chunking, sections
 from quillmark.plans import filed
 from quillmark.sources import ruled, shared
+from quillmark.streaming import pushes
 
 NAMES, KINDS = ["id", "n", "word"], [pa.int32(), pa.string()]
 
@@ -155,3 +156,16 @@ def test_chunks_go_in_bounded_batches_and_keep_their_links(spark):
     assert [r.prev_id for r in first] == [None, *(r.chunk_id for r in first[:-1])]
     assert [r.next_id for r in first] == [*(r.chunk_id for r in first[1:]), None]
     assert [(r.id, r.prev_id, r.next_id) for r in rows if r.id > 1] == [(4, None, None)]
+
+
+def test_a_push_message_is_read_once_and_triggers_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    book = '{"type":"ORDER_BOOK","code":"c%d","data":{"Bid":[{"price":1.5,"volume":2,"orders":1}],"Ask":[{"price":2.5,"volume":3,"orders":1},{"price":3.5,"volume":4,"orders":1}]}}'
+    other = ['{"type":"BROKER","code":"x","data":{"Bid":[{"price":9}]}}', "not json", '{"type":"ORDER_BOOK","code":"e","data":{}}', '{"code":"n"}']
+    messages = spark.createDataFrame([(v,) for v in [*(book % i for i in range(200)), *other]], "value string").repartition(40)
+    plan = pushes.order_book(messages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    monkeypatch.setattr(filed, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = filed._pushed(spark, None, messages, pushes.order_book).collect()
+    want = [(f"c{i}", *x) for i in range(200) for x in (("bid", 0, 1.5, 2, 1), ("ask", 0, 2.5, 3, 1), ("ask", 1, 3.5, 4, 1))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert 1 < len([p for p in (tmp_path / "out/state/commits").iterdir() if p.name.isdigit()]) <= filed.TRIGGERS
