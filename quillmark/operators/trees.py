@@ -2,7 +2,6 @@
 
 Every node knows an ancestor and what lies between; a round replaces the ancestor by that one's own, so rounds
 follow the logarithm of the depth.  A round's rows are written, and only nodes that haven't arrived go on.
-A node that hasn't after as many rounds as the number of nodes allows hangs below a cycle.
 
 Null ids are left out; of an id's rows the one of the smallest parent counts; a parent that is no id is none."""
 
@@ -11,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.skew import lookup
+from quillmark.operators.skew import least, lookup, meet
 from quillmark.sources.shared import settle
 
+#: Among so few nodes no key is too large for a task, and none need wait.
+FEW = 100_000
+
 
 def _edges(nodes: DataFrame, id_col: str, parent: str, *more: str) -> tuple[DataFrame, int]:
     first = F.min_by(F.struct(F.col(parent).alias("at"), *more), F.struct(F.col(parent).isNull(), F.col(parent))).alias("x")
@@ -24,28 +26,71 @@ def _edges(nodes: DataFrame, id_col: str, parent: str, *more: str) -> tuple[Data
     return settle(linked.withColumn("at", F.when(F.col("_known"), F.col("at"))).drop("_known")), size
 
 
+def _asked(nodes: DataFrame, id_col: str, parent: str, *more: str) -> DataFrame:
+    """id, at (its parent, an id or not), more, and _n, how many rows name it as their parent: a row an id, by one exchange."""
+    rows = nodes.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.col(parent).alias("at"), *more, F.lit(True).alias("_own")).alias("x"))
+    asks = F.struct(F.col("x.at").alias("id"), F.lit(None).alias("at"), *(F.lit(None).alias(c) for c in more), F.lit(False).alias("_own"))
+    both = rows.select(F.explode(F.array("x", asks)).alias("x")).select("x.*").where("id is not null")
+    if more:
+        first = [F.min_by(F.struct("at", *more), F.when(F.col("_own"), F.struct(F.col("at").isNull(), "at"))).alias("x")]
+    else:  # fixed widths are counted by hash, without sorting
+        first = [F.min("at").alias("at")]
+    held = both.groupBy("id").agg(*first, F.max("_own").alias("_own"), F.count_if(~F.col("_own")).alias("_n")).where("_own")
+    return settle(held.select("id", "x.*" if more else "at", "_n"))
+
+
+def _follow(rows: DataFrame, ends: DataFrame, common: DataFrame | None, sep: str, also: str) -> DataFrame:
+    """Each of ``rows`` goes on from its `at` to where that one is in ``ends``, and takes over its ``also``."""
+    ends = ends.select(F.col("id").alias("at"), *(F.col(c).alias(f"_{c}") for c in ("far", "depth", "path", also)))
+    depth = F.col("depth") + F.coalesce(F.col("_depth") + 1, F.lit(0))  # an `at` that is no id is none
+    path = F.coalesce(F.concat("_path", F.lit(sep), "path"), "_path", "path")
+    return meet(rows, ends, "at", common).select("id", F.coalesce("_far", "far").alias("far"), depth.alias("depth"), path.alias("path"), F.col(f"_{also}").alias(also))
+
+
 def climb(nodes: DataFrame, id_col: str, parent: str, name: str | None = None, sep: str = "/") -> DataFrame:
-    """id, root, depth (0 for a root), cyclic, and the path of names from the root if ``name`` is given.
-
-    Below or in a cycle: no root, depth or path."""
-    label = F.col(name).cast("string") if name else F.lit(None).cast("string")
-    edges, size = _edges(nodes.withColumn("_path", label), id_col, parent, "_path")
-    state = edges.select("id", F.col("at"), F.coalesce("at", "id").alias("far"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("_path").alias("path"))
-    # `at` is the ancestor that the node points to, null once it has arrived; `far` the last ancestor seen
-    done = state.where("at is null")
-    active = state.where("at is not null")
-    for _ in range(max(1, size).bit_length() + 1):
-        if active.isEmpty():
+    """id, root, depth (0 for a root), cyclic, and the path of names from the root if ``name`` is given; null names are left out.
+
+    Below or in a cycle: no root, depth or path.
+
+    Where others point to at most half of the nodes, rounds go on with those alone, and all the nodes meet the outcome once in the
+    end.  So rounds shrink as trees branch, and most whole paths are made once and not written.
+    Of the nodes that haven't arrived and aren't below a cycle the topmost arrives in the next round; where none does, all are cyclic."""
+    plain = name in (None, id_col)
+    held = _asked(nodes, id_col, parent) if plain else _asked(nodes.withColumn("_path", F.col(name).cast("string")), id_col, parent, "_path")
+    label = F.lit(None).cast("string") if name is None else F.col("id").cast("string") if plain else F.col("_path")
+    # `at` is the ancestor that the node points to, null once it has arrived; `far` the last one before it, `depth` steps up
+    begin = lambda df: df.select("id", "at", F.coalesce("id", "at").alias("far"), F.lit(0).cast("bigint").alias("depth"), label.alias("path"))
+    state = begin(held)
+    size, active, n, most, rest = held.agg(F.count("*"), F.count("at"), F.count_if(F.col("_n") > 0), F.max("_n"), F.count_if(F.expr("_n > 0 AND at IS NOT NULL"))).first()
+    common = held.where(F.col("_n") > least(size)).select(F.col("id").alias("at")) if n and most > least(size) else None
+    waiting = []
+    if active and 2 * n <= size:
+        waiting.append((state, common))
+        state, size, active = begin(held.where("_n > 0")), n, rest
+    while active:
+        moved = settle(_follow(state.where("at is not null"), state, common, sep, "at"))
+        before, common = active, None
+        state = state.where("at is null").unionByName(moved)
+        if size <= FEW:
+            active = moved.where("at is not null").count()
+        else:
+            asked = settle(moved.where("at is not null").groupBy("at").agg(F.count("*").alias("_n")))
+            n, active, most = asked.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n")).first()
+            common = asked.where(F.col("_n") > least(size)).select("at") if n and most > least(size) else None
+        if active == before:
             break
-        steps = done.unionByName(active).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        moved = lookup(active, steps, "at", size)
-        path = F.concat_ws(sep, "_path", "path") if name else F.lit(None).cast("string")
-        moved = settle(moved.select("id", F.col("_at").alias("at"), F.col("_far").alias("far"), (F.col("depth") + F.col("_depth")).alias("depth"), path.alias("path")))
-        done, active = done.unionByName(moved.where("at is null")), moved.where("at is not null")
-    none = F.lit(None)
-    out = done.select("id", F.col("far").alias("root"), "depth", "path", F.lit(False).alias("cyclic"))
-    lost = active.select("id", none.cast(state.schema["far"].dataType).alias("root"), none.cast("bigint").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("cyclic"))
-    out = out.unionByName(lost).withColumnRenamed("id", id_col)
+        if size > FEW and active and 2 * n <= size:
+            waiting.append((state, common))
+            state = settle(state.join(asked.select(F.col("at").alias("id")), "id", "left_semi"))
+            size, active = state.agg(F.count("*"), F.count("at")).first()
+    ends = state.withColumn("cyclic", F.col("at").isNotNull()).drop("at")
+    for i, (state, common) in enumerate(reversed(waiting)):
+        here = state.where("at is null").withColumn("cyclic", F.lit(False)).drop("at")
+        ends = ends if common is None or i == 0 else settle(ends)  # common keys read it twice
+        below = _follow(state.where("at is not null"), ends, common, sep, "cyclic")
+        ends = here.unionByName(below.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
+    fine = lambda c: F.when(~F.col("cyclic"), F.col(c))
+    out = ends.select(F.col("id").alias(id_col), fine("far").alias("root"), fine("depth").alias("depth"), fine("path").alias("path"), "cyclic")
     return out if name else out.drop("path")
 
 

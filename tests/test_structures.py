@@ -66,6 +66,54 @@ def test_a_chain_of_thousands_and_an_empty_tree(spark):
     assert trees.climb(chain.limit(0), "id", "parent").collect() == [] == trees.subtree_sums(chain.limit(0), "id", "parent", "v").collect()
 
 
+def written(monkeypatch):
+    """The rows of every table that a climb writes."""
+    rows, settle = [], trees.settle
+
+    def counted(df):
+        out = settle(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "settle", counted)
+    return rows
+
+
+def test_rounds_shrink_where_a_tree_branches(spark, monkeypatch):
+    monkeypatch.setattr(trees, "FEW", 0, raising=False)
+    n = 3000
+    rows = [(i, (i - 1) // 3 if i else None, 1) for i in range(n)]
+    tables = written(monkeypatch)
+    got = {r.id: r for r in trees.climb(spark.createDataFrame(rows, "id int, parent int, v int"), "id", "parent", "id").collect()}
+    assert {i: (got[i].root, got[i].depth, got[i].path) for i in got} == {i: (p[-1], len(p) - 1, "/".join(map(str, reversed(p)))) for i, p in plain(rows).items()}
+    assert sum(tables) < 2.5 * n
+
+
+@pytest.mark.parametrize("name", ["id", "label"])
+def test_those_who_wait_meet_common_keys_cycles_and_orphans(spark, monkeypatch, name):
+    monkeypatch.setattr(trees, "FEW", 0, raising=False)
+    monkeypatch.setattr(trees, "least", lambda size: 4, raising=False)
+    rows = forest(3) + [(5000 + i, 2000 + i % 5, i) for i in range(400)] + [(6000 + i, 9990 + i % 7, i) for i in range(100)]
+    rows += [(7000 + i, 150 + i % 9, i) for i in range(300)] + [(8000 + i, 7000 + i % 60, i) for i in range(900)]
+    label = lambda i: None if i % 4 == 1 else f"n{i}"
+    df = spark.createDataFrame([(*r, None if r[0] is None else label(r[0])) for r in rows], "id int, parent bigint, v bigint, label string").repartition(3)
+    got = {r.id: r for r in trees.climb(df, "id", "parent", name).collect()}
+    paths = plain(rows)
+    assert set(got) == set(paths)
+    for i, p in paths.items():
+        names = [x for x in (str(j) if name == "id" else label(j) for j in reversed(p or [])) if x]
+        want = (p[-1], len(p) - 1, "/".join(names) if names else None, False) if p else (None, None, None, True)
+        assert (got[i].root, got[i].depth, got[i].path, got[i].cyclic) == want
+
+
+def test_rounds_end_when_only_cycles_are_left(spark, monkeypatch):
+    tables = written(monkeypatch)
+    ring = [(i, (i + 1) % 500, 1) for i in range(500)] + [(1000, 3, 1), (1001, None, 1), (1002, 1001, 1)]
+    got = trees.climb(spark.createDataFrame(ring, "id int, parent int, v int"), "id", "parent", "id").collect()
+    assert sorted(r.id for r in got if not r.cyclic) == [1001, 1002] and len(got) == 503
+    assert len(tables) <= 4
+
+
 def test_fill_reaches_every_level(spark):
     depth = 9
     rows = [(f"n{i - 1}" if i else None, f"n{i}", "REV", "FY", 5.0 if i == depth else None) for i in range(depth + 1)]
