@@ -17,15 +17,6 @@ from quillmark.sources.shared import settle
 FEW = 100_000
 
 
-def _edges(nodes: DataFrame, id_col: str, parent: str, *more: str) -> tuple[DataFrame, int]:
-    first = F.min_by(F.struct(F.col(parent).alias("at"), *more), F.struct(F.col(parent).isNull(), F.col(parent))).alias("x")
-    own = settle(nodes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(first).select("id", "x.*"))
-    size = own.count()
-    known = own.select(F.col("id").alias("at"), F.lit(True).alias("_known"))
-    linked = lookup(own, known, "at", size)
-    return settle(linked.withColumn("at", F.when(F.col("_known"), F.col("at"))).drop("_known")), size
-
-
 def _asked(nodes: DataFrame, id_col: str, parent: str, *more: str) -> DataFrame:
     """id, at (its parent, an id or not), more, and _n, how many rows name it as their parent: a row an id, by one exchange."""
     rows = nodes.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.col(parent).alias("at"), *more, F.lit(True).alias("_own")).alias("x"))
@@ -39,6 +30,11 @@ def _asked(nodes: DataFrame, id_col: str, parent: str, *more: str) -> DataFrame:
     return settle(held.select("id", "x.*" if more else "at", "_n"))
 
 
+def _counts(held: DataFrame) -> tuple[int, int, int, int | None, int]:
+    """Of `_asked`: nodes, those with a parent, those asked for, the most that ask for one, and those asked for that have a parent."""
+    return held.agg(F.count("*"), F.count("at"), F.count_if(F.col("_n") > 0), F.max("_n"), F.count_if(F.expr("_n > 0 AND at IS NOT NULL"))).first()
+
+
 def _follow(rows: DataFrame, ends: DataFrame, common: DataFrame | None, sep: str, also: str) -> DataFrame:
     """Each of ``rows`` goes on from its `at` to where that one is in ``ends``, and takes over its ``also``."""
     ends = ends.select(F.col("id").alias("at"), *(F.col(c).alias(f"_{c}") for c in ("far", "depth", "path", also)))
@@ -61,7 +57,7 @@ def climb(nodes: DataFrame, id_col: str, parent: str, name: str | None = None, s
     # `at` is the ancestor that the node points to, null once it has arrived; `far` the last one before it, `depth` steps up
     begin = lambda df: df.select("id", "at", F.coalesce("id", "at").alias("far"), F.lit(0).cast("bigint").alias("depth"), label.alias("path"))
     state = begin(held)
-    size, active, n, most, rest = held.agg(F.count("*"), F.count("at"), F.count_if(F.col("_n") > 0), F.max("_n"), F.count_if(F.expr("_n > 0 AND at IS NOT NULL"))).first()
+    size, active, n, most, rest = _counts(held)
     common = held.where(F.col("_n") > least(size)).select(F.col("id").alias("at")) if n and most > least(size) else None
     waiting = []
     if active and 2 * n <= size:
@@ -90,7 +86,7 @@ def climb(nodes: DataFrame, id_col: str, parent: str, name: str | None = None, s
         below = _follow(state.where("at is not null"), ends, common, sep, "cyclic")
         ends = here.unionByName(below.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
     fine = lambda c: F.when(~F.col("cyclic"), F.col(c))
-    out = ends.select(F.col("id").alias(id_col), fine("far").alias("root"), fine("depth").alias("depth"), fine("path").alias("path"), "cyclic")
+    out = ends.select(F.col("id").cast(nodes.schema[id_col].dataType).alias(id_col), fine("far").alias("root"), fine("depth").alias("depth"), fine("path").alias("path"), "cyclic")
     return out if name else out.drop("path")
 
 
@@ -99,22 +95,30 @@ def subtree_sums(nodes: DataFrame, id_col: str, parent: str, value: str) -> Data
     any value the total is null.  Below or in a cycle totals are null.
 
     After k rounds a node has the sum of what lies less than 2**k steps below, and adds those of the nodes that many
-    steps below; these are summed by their ancestor before they meet it."""
-    edges, size = _edges(nodes, id_col, parent, value)
-    state = edges.select("id", "at", F.col(value).alias("total"))
+    steps below; these are summed by their ancestor before they meet it.  Where at least half of the nodes are leaves, these
+    give their values to their parents first and take no part in the rounds."""
+    held = _asked(nodes.withColumn("_value", F.col(value)), id_col, parent, "_value")
+    held = held.withColumnRenamed("_value", "total")
+    size, active, n, _, rest = _counts(held)
+    kind = held.schema["total"].dataType
+    added = lambda rows, more: rows.join(more, "id", "left").withColumn("total", F.coalesce(F.try_add("total", "_more"), "total", "_more").cast(kind)).select("id", "at", "total")
+    sums = lambda rows: rows.groupBy(F.col("at").alias("id")).agg(F.try_sum("total").alias("_more"))
+    state, leaves = held.select("id", "at", "total"), None
+    if active and 2 * n <= size:
+        leaves = held.where("_n = 0").select("id", "at", "total")
+        state = settle(added(held.where("_n > 0"), sums(leaves.where("at is not null"))))
+        size, active = n, rest
     cyclic = False
-    for _ in range(max(1, size).bit_length() + 1):
-        active = state.where("at is not null")
-        if active.isEmpty():
-            break
-        more = active.groupBy(F.col("at").alias("id")).agg(F.try_sum("total").alias("_more"))
+    while active and not cyclic:
+        going = state.where("at is not null")
         ups = state.select(F.col("id").alias("at"), F.col("at").alias("_at"))
-        moved = lookup(active, ups, "at", size).withColumn("at", F.col("_at")).drop("_at").unionByName(state.where("at is null"))
-        both = F.coalesce(F.try_add("total", "_more"), "total", "_more").cast(state.schema["total"].dataType)
-        state = settle(moved.join(more, "id", "left").withColumn("total", both).select("id", "at", "total"))
-    else:
-        cyclic = True
+        moved = lookup(going, ups, "at", size) if size > FEW else meet(going, ups, "at", None)
+        moved = moved.withColumn("at", F.col("_at")).drop("_at").unionByName(state.where("at is null"))
+        state = settle(added(moved, sums(going)))
+        before, active = active, state.where("at is not null").count()
+        cyclic = active == before  # see `climb`
+    state = state if leaves is None else state.unionByName(leaves)
     if cyclic:  # what never arrives, and so what it was added to, has no total
         fine = climb(nodes, id_col, parent).where("not cyclic").select(F.col(id_col).alias("id"))
         state = state.join(fine.withColumn("_fine", F.lit(True)), "id", "left").withColumn("total", F.when(F.col("_fine"), F.col("total"))).drop("_fine")
-    return state.select(F.col("id").alias(id_col), "total")
+    return state.select(F.col("id").cast(nodes.schema[id_col].dataType).alias(id_col), "total")

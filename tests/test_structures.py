@@ -89,6 +89,18 @@ def test_rounds_shrink_where_a_tree_branches(spark, monkeypatch):
     assert sum(tables) < 2.5 * n
 
 
+def test_leaves_give_their_values_before_the_rounds(spark, monkeypatch):
+    n = 3000
+    rows = [(i, (i - 1) // 3 if i else None, i % 7) for i in range(n)]
+    want = {i: v for i, _, v in rows}
+    for i in range(n - 1, 0, -1):
+        want[(i - 1) // 3] += want[i]
+    tables = written(monkeypatch)
+    got = trees.subtree_sums(spark.createDataFrame(rows, "id int, parent bigint, v bigint"), "id", "parent", "v")
+    assert {r.id: r.total for r in got.collect()} == want and dict(got.dtypes) == {"id": "int", "total": "bigint"}
+    assert sum(tables) < 4.5 * n
+
+
 @pytest.mark.parametrize("name", ["id", "label"])
 def test_those_who_wait_meet_common_keys_cycles_and_orphans(spark, monkeypatch, name):
     monkeypatch.setattr(trees, "FEW", 0, raising=False)
