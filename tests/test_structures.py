@@ -206,6 +206,20 @@ def test_pairs_of_few_bytes_are_made_in_many_tasks(spark):
     assert ranges.point_join(p, s, "t", "a", "b").rdd.getNumPartitions() >= 16
 
 
+def test_intervals_of_one_bin_are_dealt_out(spark):
+    p = spark.range(100).select("id", F.lit(10).alias("t"))
+    s = spark.range(1000).select(F.col("id").alias("s"), F.lit(0).alias("a"), F.lit(20).alias("b"))
+    placed, kept = [], ranges.dealt
+    ranges.dealt = lambda df, *a: placed.append((df, a)) or kept(df, *a)
+    try:
+        got = ranges.point_join(p, s, "t", "a", "b", width=100, full=50)
+    finally:
+        ranges.dealt = kept
+    assert got.count() == got.distinct().count() == 100 * 1000
+    (points, keys), = placed
+    assert points.select(*keys).distinct().count() == 2 * 20  # shares by lots
+
+
 def test_points_of_one_bin_are_dealt_out(spark):
     p = spark.range(5000).select("id", F.lit(10).alias("t"))
     s = spark.createDataFrame([(1, 0, 20), (2, 15, 30)], "s int, a int, b int")
